@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_ORDER = 4
 ROUGE_TOKEN = r"[a-z0-9]+"
@@ -90,7 +91,7 @@ def rouge_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({ROUGE_TOKEN})"), F.lit(1))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two arrays.
 
@@ -288,7 +289,7 @@ def translation_edits(hyp: list, ref: list) -> int:
     return shifts + distance(hyp)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def shifted_edits(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series(
         [translation_edits(list(h), list(r)) for h, r in zip(hyp, ref)], dtype="int64"

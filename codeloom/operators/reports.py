@@ -13,7 +13,7 @@ def corpus_counts(records: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_counts(chunks: DataFrame) -> DataFrame:
+def progress_counts(chunks: DataFrame) -> DataFrame:
     """Files, chunks and repositories per mode."""
     return chunks.groupBy("mode").agg(
         F.count("*").alias("n_chunks"),

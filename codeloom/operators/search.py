@@ -56,11 +56,15 @@ METRICS: dict[str, tuple[Callable, bool]] = {
 
 
 def _vector_bytes(column: pa.Array) -> bytes:
-    return np.asarray(column.flatten(), dtype=np.float64).tobytes()
+    return np.asarray(column.flatten()).tobytes()
 
 
-def _vectors(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=np.float64).reshape(n, -1)
+def _vectors(data: bytes, n: int, number: str) -> np.ndarray:
+    return np.frombuffer(data, dtype=number).reshape(n, -1).astype(np.float64)
+
+
+def _numpy_type(vectors: T.DataType) -> str:
+    return "f4" if isinstance(vectors.elementType, T.FloatType) else "f8"
 
 
 def _pack(df: DataFrame, prefix: str, rows_per_block: int) -> DataFrame:
@@ -107,7 +111,9 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int, larger: bool) -> np.ndarr
     return at[np.lexsort((ids[at], keys[at]))][:k]
 
 
-def _score_blocks(joined: DataFrame, metric: str, k: int, tie_decimals: int) -> DataFrame:
+def _score_blocks(
+    joined: DataFrame, metric: str, k: int, tie_decimals: int, q_number: str, c_number: str
+) -> DataFrame:
     score, larger = METRICS[metric]
     schema = T.StructType(
         [
@@ -123,11 +129,12 @@ def _score_blocks(joined: DataFrame, metric: str, k: int, tie_decimals: int) ->
                 one = batch.slice(row, 1)
                 q_ids = one.column("q_ids").flatten()
                 c_ids = one.column("c_ids").flatten()
-                order = np.asarray(c_ids.to_numpy(zero_copy_only=False))
+                order = c_ids.to_numpy(zero_copy_only=False)
+                order = order.astype(str) if order.dtype == object else order
                 scores = np.round(
                     score(
-                        _vectors(one.column("q_data")[0].as_py(), len(q_ids)),
-                        _vectors(one.column("c_data")[0].as_py(), len(c_ids)),
+                        _vectors(one.column("q_data")[0].as_py(), len(q_ids), q_number),
+                        _vectors(one.column("c_data")[0].as_py(), len(c_ids), c_number),
                     ),
                     tie_decimals,
                 )
@@ -190,7 +197,9 @@ def top_k(
             q_blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))),
             ["cell", "salt"],
         )
-    best = rank_hits(_score_blocks(joined, metric, k, tie_decimals), k, METRICS[metric][1])
+    numbers = [_numpy_type(side.schema["vector"].dataType) for side in (q_side, c_side)]
+    scored = _score_blocks(joined, metric, k, tie_decimals, *numbers)
+    best = rank_hits(scored, k, METRICS[metric][1])
     if not output_fields:
         return best
     entities = collection.select(F.col(id_col).alias("id"), *output_fields)

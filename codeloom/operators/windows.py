@@ -9,6 +9,7 @@ from codeloom.functions.text import TOKEN_PATTERN, padded_tokens, sentences
 
 CHUNK_SIZE = 512
 CHUNK_OVERLAP = 20
+BLANKS = " \t\r\n"
 
 
 def token_windows(
@@ -35,7 +36,7 @@ def token_windows(
             i.cast("bigint").alias("win"),
             (i * step).cast("bigint").alias("first_token"),
             F.least(F.lit(chunk_size), n - i * step).cast("bigint").alias("n_tokens"),
-            F.rtrim(F.array_join(F.slice("_t", i * step + 1, F.lit(chunk_size)), "")).alias("text"),
+            F.rtrim(F.array_join(F.slice("_t", i * step + 1, F.lit(chunk_size)), ""), F.lit(BLANKS)).alias("text"),
         )
 
     return cut.where(n > 0).select(
@@ -74,7 +75,7 @@ def sentence_windows(
         F.transform(
             pieces,
             lambda t: F.struct(
-                F.size(t).cast("bigint").alias("n"), F.rtrim(F.array_join(t, "")).alias("text")
+                F.size(t).cast("bigint").alias("n"), F.rtrim(F.array_join(t, ""), F.lit(BLANKS)).alias("text")
             ),
         ).alias("_s"),
     ).where(F.size("_s") > 0)

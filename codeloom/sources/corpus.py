@@ -16,11 +16,11 @@ CORRUPT = "_corrupt_record"
 RECORD_SCHEMA = T.StructType([T.StructField("repo", T.StringType())])
 
 
-def corpus_glob(base_dir: str, languages=None, splits=None) -> str:
+def corpus_glob(base_dir: str, languages=None, splits=None, file_glob: str = "*.jsonl") -> str:
     """One glob over the chosen directories; absent ones are simply not matched."""
     langs = ",".join(languages or CORPUS_LANGUAGES)
     parts = ",".join(splits or CORPUS_SPLITS)
-    return f"{base_dir.rstrip('/')}/{{{langs}}}/final/jsonl/{{{parts}}}/unzipped/*.jsonl"
+    return f"{base_dir.rstrip('/')}/{{{langs}}}/final/jsonl/{{{parts}}}/unzipped/{file_glob}"
 
 
 def reader_schema(record_schema: T.StructType = RECORD_SCHEMA) -> T.StructType:
@@ -52,12 +52,13 @@ def read_corpus(
     languages=None,
     splits=None,
     record_schema: T.StructType = RECORD_SCHEMA,
+    file_glob: str = "*.jsonl",
 ) -> DataFrame:
     """All lines of the chosen files; a line that is no JSON object keeps its text
     in ``_corrupt_record`` and has null fields.
     """
     raw = spark.read.json(
-        corpus_glob(base_dir, languages, splits),
+        corpus_glob(base_dir, languages, splits, file_glob),
         schema=reader_schema(record_schema),
         mode="PERMISSIVE",
         columnNameOfCorruptRecord=CORRUPT,
@@ -70,8 +71,11 @@ def good_records(corpus: DataFrame) -> DataFrame:
 
 
 def quarantined_lines(corpus: DataFrame) -> DataFrame:
-    """Malformed lines with the directory they came from."""
-    return corpus.where(F.col(CORRUPT).isNotNull()).select("language", "split", CORRUPT)
+    """Malformed lines with the directory they came from.
+
+    The record's columns stay, since Spark refuses to read the corrupt text alone.
+    """
+    return corpus.where(F.col(CORRUPT).isNotNull())
 
 
 def scan_position(languages=None, splits=None) -> Column:

@@ -29,6 +29,7 @@ def stream_corpus(
     splits=None,
     record_schema: T.StructType = RECORD_SCHEMA,
     max_files_per_batch: int = 10,
+    file_glob: str = "*.jsonl",
 ) -> DataFrame:
     """Good records of the corpus as a stream, a number of files at a time."""
     raw = (
@@ -36,7 +37,7 @@ def stream_corpus(
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("maxFilesPerTrigger", max_files_per_batch)
-        .json(corpus_glob(base_dir, languages, splits))
+        .json(corpus_glob(base_dir, languages, splits, file_glob))
     )
     return good_records(with_path_columns(raw))
 
