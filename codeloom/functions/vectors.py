@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codeloom.functions.binding import bind
 from codeloom.functions.text import words
 
 DEFAULT_DIM = 1024
@@ -24,18 +25,13 @@ def l2_norm(vector: Column) -> Column:
 
 
 def l2_normalize(vector: Column) -> Column:
-    """Unit vector; a zero vector stays zero.
-
-    The norm is bound once per row as a one-element array, since a lambda body
-    would work it out again for every element.
-    """
-    scaled = F.transform(
-        F.array(l2_norm(vector)),
+    """Unit vector; a zero vector stays zero."""
+    return bind(
+        l2_norm(vector),
         lambda n: F.transform(
             vector, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n)
         ),
     )
-    return scaled[0]
 
 
 def hash_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.functions.binding import bind
 from codeloom.functions.repos import base_name, content_id
 from codeloom.functions.text import sentences
 
@@ -97,7 +98,7 @@ def leading_sentences(text: Column, max_words: int = SUMMARY_WORDS) -> Column:
         lambda acc: acc["text"],
     )
     cut_first = F.array_join(F.slice(F.split(F.get(parts, F.lit(0)), r"\s+"), 1, max_words), " ")
-    return F.when(taken != "", taken).otherwise(F.coalesce(cut_first, F.lit("")))
+    return bind(taken, lambda t: F.when(t != "", t).otherwise(F.coalesce(cut_first, F.lit(""))))
 
 
 def summarize(

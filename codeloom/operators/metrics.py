@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.functions.binding import bind
+
 MAX_ORDER = 4
 ROUGE_TOKEN = r"[a-z0-9]+"
 # Limits of the block-shift search.
@@ -47,12 +49,12 @@ def clipped_matches(left: Column, right: Column) -> Column:
     """
 
     def numbered(values: Column) -> Column:
-        return F.transform(
-            F.array(F.array_sort(values)),
+        return bind(
+            F.array_sort(values),
             lambda s: F.transform(
                 s, lambda v, i: F.concat_ws("\u0001", v, i + 1 - F.array_position(s, v))
             ),
-        )[0]
+        )
 
     return F.size(F.array_intersect(numbered(left), numbered(right)))
 
@@ -65,65 +67,68 @@ def bleu_counts(prediction: Column, reference: Column) -> Column:
         enough = (F.size(p) >= n) & (F.size(r) >= n)
         return F.when(enough, clipped_matches(ngrams(p, n), ngrams(r, n))).otherwise(0)
 
-    return F.transform(
-        F.array(F.struct(p.alias("p"), r.alias("r"))),
+    return bind(
+        F.struct(p.alias("p"), r.alias("r")),
         lambda t: F.struct(
             F.size(t["p"]).alias("pred_len"),
             F.size(t["r"]).alias("ref_len"),
             *[matches(t["p"], t["r"], n).alias(f"m{n}") for n in range(1, MAX_ORDER + 1)],
         ),
-    )[0]
+    )
 
 
 def bleu_score(counts: Column) -> Column:
     """Geometric mean of the n-gram precisions, times the brevity penalty; no smoothing."""
-    pred, ref = counts["pred_len"], counts["ref_len"]
-    orders = range(1, MAX_ORDER + 1)
-    logs = sum(F.log(counts[f"m{n}"] / (pred - (n - 1))) for n in orders) / MAX_ORDER
-    all_match = counts["m1"] > 0
-    for n in orders:
-        all_match = all_match & (counts[f"m{n}"] > 0)
-    penalty = F.when(pred > ref, F.lit(1.0)).otherwise(F.exp(1 - ref / pred))
-    return F.when(all_match, penalty * F.exp(logs)).otherwise(F.lit(0.0))
+
+    def score(c: Column) -> Column:
+        orders = range(1, MAX_ORDER + 1)
+        logs = sum(F.log(c[f"m{n}"] / (c["pred_len"] - (n - 1))) for n in orders) / MAX_ORDER
+        penalty = F.when(c["pred_len"] > c["ref_len"], F.lit(1.0)).otherwise(
+            F.exp(1 - c["ref_len"] / c["pred_len"])
+        )
+        all_match = F.least(*[c[f"m{n}"] for n in orders]) > 0
+        return F.when(all_match, penalty * F.exp(logs)).otherwise(F.lit(0.0))
+
+    return bind(counts, score)
 
 
 def rouge_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({ROUGE_TOKEN})"), F.lit(1))
 
 
-@F.pandas_udf(T.LongType())
-def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of two arrays.
+def _lcs_length(a, b) -> int:
+    """Length of the longest common subsequence.
 
     One machine word per 64 elements: a row of the table is an integer whose zero
     bits are the positions where the length grows.
     """
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & where.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
-    def one(a, b) -> int:
-        if a is None or b is None or not len(a) or not len(b):
-            return 0
-        where: dict[str, int] = {}
-        for i, x in enumerate(a):
-            where[x] = where.get(x, 0) | (1 << i)
-        full = (1 << len(a)) - 1
-        row = full
-        for y in b:
-            hit = row & where.get(y, 0)
-            row = ((row + hit) | (row - hit)) & full
-        return len(a) - row.bit_count()
 
-    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="int64")
+def subsequence_f_score(prediction, reference) -> float:
+    """F-score of the longest common subsequence of two token lists."""
+    lcs = _lcs_length(prediction, reference)
+    if not lcs:
+        return 0.0
+    precision, recall = lcs / len(prediction), lcs / len(reference)
+    return 2.0 * precision * recall / (precision + recall)
 
 
-def rouge_l_score(lcs: Column, pred_len: Column, ref_len: Column) -> Column:
-    """F-score of the longest common subsequence."""
-    precision, recall = lcs / pred_len, lcs / ref_len
-    return F.when(lcs > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
+@F.pandas_udf(T.DoubleType())
+def _subsequence_scores(prediction: pd.Series, reference: pd.Series) -> pd.Series:
+    return pd.Series([subsequence_f_score(p, r) for p, r in zip(prediction, reference)], dtype="float64")
 
 
 def rouge_l(prediction: Column, reference: Column) -> Column:
-    p, r = rouge_tokens(prediction), rouge_tokens(reference)
-    return rouge_l_score(lcs_length(p, r), F.size(p), F.size(r))
+    return _subsequence_scores(rouge_tokens(prediction), rouge_tokens(reference))
 
 
 def ter_words(text: Column) -> Column:
@@ -149,10 +154,10 @@ def word_edits(left: Column, right: Column) -> Column:
             "",
         )
 
-    return F.transform(
-        F.array(F.array_distinct(F.concat(left, right))),
+    return bind(
+        F.array_distinct(F.concat(left, right)),
         lambda v: F.levenshtein(coded(v, left), coded(v, right)),
-    )[0].cast("bigint")
+    ).cast("bigint")
 
 
 class _Distances:
@@ -289,26 +294,34 @@ def translation_edits(hyp: list, ref: list) -> int:
     return shifts + distance(hyp)
 
 
-@F.pandas_udf(T.LongType())
-def shifted_edits(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series(
-        [translation_edits(list(h), list(r)) for h, r in zip(hyp, ref)], dtype="int64"
-    )
-
-
-def rate(edits: Column, ref_len: Column) -> Column:
+def rate(edits: float, ref_len: int) -> float:
     """Edits per reference word, times 100. An empty reference gives 100 if there
     are edits and else 0.
     """
-    empty = F.when(edits > 0, F.lit(100.0)).otherwise(F.lit(0.0))
-    return F.when(ref_len > 0, 100.0 * edits / ref_len).otherwise(empty)
+    if ref_len:
+        return 100.0 * edits / ref_len
+    return 100.0 if edits else 0.0
+
+
+@F.pandas_udf(T.DoubleType())
+def _shifted_edit_rates(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    rates = [rate(translation_edits(list(h), list(r)), len(r)) for h, r in zip(hyp, ref)]
+    return pd.Series(rates, dtype="float64")
 
 
 def ter(prediction: Column, reference: Column) -> Column:
-    p, r = ter_words(prediction), ter_words(reference)
-    return rate(shifted_edits(p, r), F.size(r))
+    return _shifted_edit_rates(ter_words(prediction), ter_words(reference))
 
 
 def word_edit_rate(prediction: Column, reference: Column) -> Column:
-    p, r = ter_words(prediction), ter_words(reference)
-    return rate(word_edits(p, r), F.size(r))
+    """As ``rate``, without block moves and without leaving the JVM."""
+    pair = F.struct(ter_words(prediction).alias("p"), ter_words(reference).alias("r"))
+    return bind(
+        pair,
+        lambda t: bind(
+            word_edits(t["p"], t["r"]),
+            lambda edits: F.when(F.size(t["r"]) > 0, 100.0 * edits / F.size(t["r"]))
+            .when(edits > 0, F.lit(100.0))
+            .otherwise(F.lit(0.0)),
+        ),
+    )

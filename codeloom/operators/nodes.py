@@ -20,11 +20,11 @@ def prose_nodes(files: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     One shuffle, of whole files; lines and sentences are cut and numbered in place.
     """
-    lines = files.select(id_col, text_col).repartition(id_col).select(
-        id_col,
-        F.length(text_col).cast("bigint").alias("size"),
-        F.posexplode(F.split(text_col, "\n")).alias("ln", "line"),
+    # The size is taken before the text is cut, so that the lines do not carry the text.
+    sized = files.select(id_col, text_col).repartition(id_col).select(
+        id_col, text_col, F.length(text_col).cast("bigint").alias("size")
     )
+    lines = sized.select(id_col, "size", F.posexplode(F.split(text_col, "\n")).alias("ln", "line"))
     in_file = Window.partitionBy(id_col).orderBy("ln")
     placed = lines.withColumn("line_start", running_start(F.length("line"), in_file))
     parts = placed.select(

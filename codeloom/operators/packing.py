@@ -41,8 +41,8 @@ def sibling_groups(nodes: DataFrame, max_chars: int, id_col: str = "doc_id") ->
         id_col, "start", "end", is_big.alias("big"), F.explode(roles).alias("r")
     ).select(id_col, "start", "end", "big", "r.*")
 
-    family = Window.partitionBy(id_col, "under")
-    ordered = family.orderBy("role", "at")
+    ordered = Window.partitionBy(id_col, "under").orderBy("role", "at")
+    family = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_head = F.col("role") == 0
     big_child = ~is_head & F.col("big")
@@ -227,27 +227,23 @@ def structural_chunks(
     spans, turn offsets to half-open line ranges and drop the empty ones.
     """
     spans = fill_gaps(greedy_pack(nodes, max_chars, id_col), id_col)
-    per_file = measured_spans(spans, files, id_col, text_col)
-    merged = per_file.select(
-        id_col,
-        F.col(text_col).alias("_text"),
-        F.transform(
-            _coalesced("non_blank", coalesce),
-            lambda s: F.struct(
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                s["line"].alias("first"),
-                (s["line"] + s["breaks"]).alias("last"),
-                span_text(F.col(text_col), s["start"], s["end"]).alias("text"),
-            ),
-        ).alias("chunks"),
+    text = F.col(text_col)
+    per_file = measured_spans(spans, files, id_col, text_col).select(
+        id_col, text_col, "spans", F.length(text).alias("size"), line_count(text).alias("n_lines")
     )
-    sized = merged.select(
-        id_col,
-        F.length("_text").alias("size"),
-        line_count(F.col("_text")).alias("n_lines"),
-        F.explode("chunks").alias("c"),
+    # The chunks are made inside the generator. As a column of their own, Spark would
+    # add a filter on their number, and with it make them once more for the filter.
+    merged = F.transform(
+        _coalesced("non_blank", coalesce),
+        lambda s: F.struct(
+            s["start"].alias("start"),
+            s["end"].alias("end"),
+            s["line"].alias("first"),
+            (s["line"] + s["breaks"]).alias("last"),
+            span_text(text, s["start"], s["end"]).alias("text"),
+        ),
     )
+    sized = per_file.select(id_col, "size", "n_lines", F.explode(merged).alias("c"))
 
     def line_at(offset: Column, breaks_before: Column) -> Column:
         return F.when(offset >= F.col("size"), F.col("n_lines")).otherwise(breaks_before)

@@ -236,10 +236,12 @@ def clean_links(links: DataFrame, chunks: DataFrame, id_col: str = "path") -> Da
 
 def with_children(links: DataFrame, id_col: str = "path") -> DataFrame:
     """Adds the child links that mirror the parent links."""
-    mirrored = links.where(F.col("relation") == "parent").select(
-        id_col,
-        F.col("target").alias("chunk_id"),
-        F.lit("child").alias("relation"),
-        F.col("chunk_id").alias("target"),
-    )
-    return links.select(id_col, "chunk_id", "relation", "target").unionByName(mirrored)
+    def link(source: str, relation: Column, target: str) -> Column:
+        return F.struct(
+            F.col(source).alias("chunk_id"), relation.alias("relation"), F.col(target).alias("target")
+        )
+
+    as_is = link("chunk_id", F.col("relation"), "target")
+    mirrored = F.when(F.col("relation") == "parent", link("target", F.lit("child"), "chunk_id"))
+    both = F.explode(F.array_compact(F.array(as_is, mirrored)))
+    return links.select(id_col, both.alias("l")).select(id_col, "l.*")

@@ -27,6 +27,8 @@ def token_windows(
     if not 0 <= chunk_overlap < chunk_size:
         raise ValueError("chunk_overlap must be at least 0 and less than chunk_size")
     step = chunk_size - chunk_overlap
+    # A text without tokens is left out inside the generator: a filter on the tokens
+    # would be pushed below this projection and cut every text a second time.
     cut = files.select(id_col, padded_tokens(F.col(text_col), pattern).alias("_t"))
     n = F.size("_t")
     last = F.greatest(F.ceil((n - chunk_overlap) / step).cast("int") - 1, F.lit(0))
@@ -39,9 +41,8 @@ def token_windows(
             F.rtrim(F.array_join(F.slice("_t", i * step + 1, F.lit(chunk_size)), ""), F.lit(BLANKS)).alias("text"),
         )
 
-    return cut.where(n > 0).select(
-        id_col, F.inline(F.transform(F.sequence(F.lit(0), last), window))
-    )
+    windows = F.transform(F.sequence(F.lit(0), last), window)
+    return cut.select(id_col, F.inline(F.when(n > 0, windows)))
 
 
 def sentence_windows(
@@ -78,7 +79,7 @@ def sentence_windows(
                 F.size(t).cast("bigint").alias("n"), F.rtrim(F.array_join(t, ""), F.lit(BLANKS)).alias("text")
             ),
         ).alias("_s"),
-    ).where(F.size("_s") > 0)
+    )
     # The fold carries the sentences of the open window; closing it keeps its tail.
     sentence = "struct<n: bigint, text: string>"
     chunk = f"struct<n: bigint, parts: array<{sentence}>>"
@@ -101,7 +102,8 @@ def sentence_windows(
                   named_struct('n', acc.n + s.n, 'parts', concat(acc.parts, array(s)), 'done', acc.done)),
               acc -> concat(acc.done, array(named_struct('n', acc.n, 'parts', acc.parts))))"""
     )
-    return cut.select(id_col, F.posexplode(folded).alias("win", "w")).select(
+    windows = F.when(F.size("_s") > 0, folded)
+    return cut.select(id_col, F.posexplode(windows).alias("win", "w")).select(
         id_col,
         F.col("win").cast("bigint").alias("win"),
         F.col("w.n").alias("n_tokens"),

@@ -10,6 +10,7 @@ from codeloom.operators import lines, nodes, packing, scopes, windows
 from codeloom.plans import sql as S
 from codeloom.plans import views
 from codeloom.plans.registry import query
+from codeloom.workspace import materialize
 
 SMALL = 300
 SPAN = 'doc_id, s AS "start", e AS "end"'
@@ -221,7 +222,7 @@ def scope_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("chunk_edges", f"WITH RECURSIVE {SCOPE_CHUNKS},{LINKS} SELECT * FROM links")
 def chunk_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return scope_links(small_scope_chunks(spark, sf))
+    return scope_links(materialize(small_scope_chunks(spark, sf), "scope-chunks"))
 
 
 @query("token_windows", f"WITH {S.windowed()} SELECT doc_id, win, first_token, n_tokens, text FROM windows")

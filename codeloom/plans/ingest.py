@@ -90,7 +90,7 @@ def eval_sheet(spark: SparkSession, sf: str) -> DataFrame:
 )
 def chunk_store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_dir(spark, "chunks")
-    chunks = views.naive_chunks(spark, sf).select("chunk_id", "repo", "mode", "text")
+    chunks = views.naive_chunks(views.corpus(spark, sf)).select("chunk_id", "repo", "mode", "text")
     chunk_store.write_chunk_store(chunks, path)
     # A second write replaces the same stores instead of adding to them.
     chunk_store.write_chunk_store(chunks, path)
@@ -284,7 +284,7 @@ def text_lengths(spark: SparkSession, sf: str) -> DataFrame:
     "FROM windows JOIN corpus USING (seq)",
 )
 def progress_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.progress_counts(views.naive_chunks(spark, sf))
+    return reports.progress_counts(views.naive_chunks(views.corpus(spark, sf)))
 
 
 def _firsts_sql(limit: int | None) -> str:

@@ -13,6 +13,7 @@ from codeloom.plans import sql as S
 from codeloom.plans import views
 from codeloom.plans.chunks import LINKS, SCOPE_CHUNKS, scope_links, small_scope_chunks
 from codeloom.plans.registry import query
+from codeloom.workspace import materialize
 
 _SCORES = {
     "cosine": ("list_cosine_similarity(e.embedding::DOUBLE[], q.qv)", "DESC"),
@@ -131,7 +132,7 @@ def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     f"{S.summarized('summaries', 'w', 'chunk_id')} SELECT chunk_id, summary FROM summaries",
 )
 def summarize_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.summarize(views.naive_chunks(spark, sf)).select("chunk_id", "summary")
+    return enrich.summarize(views.naive_chunks(views.corpus(spark, sf))).select("chunk_id", "summary")
 
 
 def _checked_digest(frame: pd.DataFrame) -> pd.Series:
@@ -161,20 +162,25 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def window_hits(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
     """Best token windows for every question."""
-    return mode_hits(views.naive_chunks(spark, sf), F.col("text"), questions(spark, sf), "naive", k)
+    return mode_hits(views.corpus(spark, sf), questions(spark, sf), "naive", k)
 
 
-def mode_hits(chunks: DataFrame, embedded, asked: DataFrame, mode: str, k: int = 5) -> DataFrame:
+def mode_hits(files: DataFrame, asked: DataFrame, mode: str, k: int = 5) -> DataFrame:
     """(q_id, mode, rank, chunk_id, score, summary, chunk_code) of the best chunks.
 
-    Only ids and vectors take part in the search; the texts of the hits are joined
-    back at the end.
+    Only ids and vectors take part in the search. For the texts of the hits their
+    files alone are cut again, which spares storing the text of every chunk.
     """
-    collection = chunks.select("chunk_id", vectors.embed_text(embedded).alias("embedding"))
+    if mode == "naive":
+        cut, summary = views.naive_chunks, F.col("text")
+    else:
+        cut, summary = views.smart_chunks, enrich.leading_sentences(F.col("text"))
+    collection = cut(files).select("chunk_id", vectors.embed_text(summary).alias("embedding"))
     queries = asked.select("q_id", vectors.embed_text(F.col("question")).alias("qv"))
     hits = top_k(collection, queries, k=k, id_col="chunk_id")
-    texts = chunks.select(F.col("chunk_id").alias("id"), "text")
-    summary = F.col("text") if mode == "naive" else enrich.leading_sentences(F.col("text"))
+    file_of_hit = F.split_part("id", F.lit(":"), F.lit(1)).cast("bigint")
+    hit_files = files.join(hits.select(file_of_hit.alias("seq")), "seq", "left_semi")
+    texts = cut(hit_files).select(F.col("chunk_id").alias("id"), "text")
     return hits.join(texts, "id").select(
         "q_id", F.lit(mode).alias("mode"), "rank", F.col("id").alias("chunk_id"), "score",
         summary.alias("summary"), F.col("text").alias("chunk_code"),
@@ -238,10 +244,8 @@ def assemble_context(spark: SparkSession, sf: str) -> DataFrame:
 def both_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """(q_id, question, smart, naive): contexts of both modes side by side."""
     asked = questions(spark, sf)
-    smart = views.smart_chunks(spark, sf)
-    hits = mode_hits(smart, enrich.leading_sentences(F.col("text")), asked, "smart").unionByName(
-        mode_hits(views.naive_chunks(spark, sf), F.col("text"), asked, "naive")
-    )
+    files = views.corpus(spark, sf)
+    hits = mode_hits(files, asked, "smart").unionByName(mode_hits(files, asked, "naive"))
     return asked.join(context.side_by_side(context.assemble_context(hits, ["q_id", "mode"])), "q_id")
 
 
@@ -344,5 +348,5 @@ def build_prompts(spark: SparkSession, sf: str) -> DataFrame:
 def scope_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Part names asked for, among the scopes of the code files."""
     asked = views.table(spark, sf, "part").select(F.col("p_name").alias("q_id")).distinct()
-    chunks = small_scope_chunks(spark, sf)
+    chunks = materialize(small_scope_chunks(spark, sf), "scope-chunks")
     return lookup.scope_lookup(asked.withColumn("question", F.col("q_id")), chunks, scope_links(chunks))

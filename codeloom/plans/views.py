@@ -13,6 +13,7 @@ from codeloom.operators.nodes import prose_nodes
 from codeloom.operators.packing import structural_chunks
 from codeloom.operators.windows import token_windows
 from codeloom.sources.corpus import write_corpus
+from codeloom.sources.tables import read_table
 from codeloom.workspace import fresh_dir
 
 RECORD = T.StructType(
@@ -27,8 +28,8 @@ RECORD = T.StructType(
 WRITTEN = "*.txt"
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, spread_by: str | None = None) -> DataFrame:
+    return read_table(spark, f"{sf}/{name}.parquet", spread_by)
 
 
 def _by_lang(values: dict[str, str]):
@@ -42,7 +43,7 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as corpus records: repository, language, split, path, scan order."""
     ext = _by_lang({"en": ".py", "de": ".java", "fr": ".go", "es": ".rb"})
     split_no = F.col("doc_id") % 10
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", "doc_id").select(
         F.col("doc_id").alias("seq"),
         F.concat(F.lit("org"), F.col("doc_id") % 3, F.lit("/"), "source").alias("repo"),
         _by_lang({"en": "python", "de": "java", "fr": "go", "es": "ruby"}).alias("language"),
@@ -124,7 +125,7 @@ def repo_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return table(spark, sf, "documents", "doc_id").select("doc_id", "text")
 
 
 def document_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,18 +142,16 @@ def label_queries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def naive_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Token windows of the corpus, with the columns of a chunk."""
-    files = corpus(spark, sf)
+def naive_chunks(files: DataFrame) -> DataFrame:
+    """Token windows of corpus files, with the columns of a chunk."""
     cut = token_windows(files, id_col="seq")
     return _as_chunks(cut.select("seq", F.col("win").alias("part"), "text"), files, "naive").withColumns(
         {"start_line": F.lit(None).cast("bigint"), "end_line": F.lit(None).cast("bigint")}
     )
 
 
-def smart_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Structural chunks of the corpus, with the columns of a chunk."""
-    files = corpus(spark, sf)
+def smart_chunks(files: DataFrame) -> DataFrame:
+    """Structural chunks of corpus files, with the columns of a chunk."""
     texts = files.select("seq", "text")
     cut = structural_chunks(prose_nodes(texts, "seq"), texts, id_col="seq")
     return _as_chunks(
