@@ -15,16 +15,22 @@ def hit_text(mode: Column) -> Column:
     )
 
 
-def assemble_context(hits: DataFrame, keys: list[str], separator: str = "\n") -> DataFrame:
-    """(keys, n_hits, context): hit texts in rank order. A group is the k hits of a
-    query. ``hits`` has rank, mode, summary and chunk_code.
+def in_rank_order(text: Column, separator: str) -> Column:
+    """Aggregate: the texts of a query's hits, joined in rank order."""
+    listed = F.array_sort(F.collect_list(F.struct("rank", text.alias("text"))))
+    return F.array_join(F.transform(listed, lambda h: h["text"]), separator)
+
+
+def assemble_context(
+    hits: DataFrame, keys: list[str], separator: str = "\n", *more: Column
+) -> DataFrame:
+    """(keys, n_hits, context, *more): hit texts in rank order. A group is the k hits
+    of a query. ``hits`` has rank, mode, summary and chunk_code; ``more`` are further
+    aggregates of them.
     """
-    shown = F.struct("rank", hit_text(F.col("mode")).alias("text"))
+    shown = hit_text(F.col("mode"))
     return hits.groupBy(*keys).agg(
-        F.count("*").alias("n_hits"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(shown)), lambda h: h["text"]), separator
-        ).alias("context"),
+        F.count("*").alias("n_hits"), in_rank_order(shown, separator).alias("context"), *more
     )
 
 

@@ -68,7 +68,11 @@ def _numpy_type(vectors: T.DataType) -> str:
 
 
 def _pack(df: DataFrame, prefix: str, rows_per_block: int) -> DataFrame:
-    """(cell, id, vector) rows to one row per block of equal cell."""
+    """(cell, id, vector) rows to one row per block of equal cell.
+
+    Rows without a vector are left out here: as a filter before, a vector that is
+    still to be computed would be computed twice.
+    """
     schema = T.StructType(
         [
             T.StructField("cell", df.schema["cell"].dataType),
@@ -79,7 +83,7 @@ def _pack(df: DataFrame, prefix: str, rows_per_block: int) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
+            table = pa.Table.from_batches([batch.filter(pc.is_valid(batch.column("vector")))])
             for cell in table.column("cell").unique():
                 if not cell.is_valid:
                     continue
@@ -182,10 +186,10 @@ def top_k(
     cell = F.col(match_on) if match_on else F.lit(0)
     c_side = collection.select(
         cell.alias("cell"), F.col(id_col).alias("id"), F.col(vector_col).alias("vector")
-    ).where(F.col("vector").isNotNull())
+    )
     q_side = queries.select(
         cell.alias("cell"), F.col(query_id_col).alias("id"), F.col(query_vector_col).alias("vector")
-    ).where(F.col("vector").isNotNull())
+    )
 
     c_blocks = _pack(c_side, "c", COLLECTION_BLOCK)
     q_blocks = _pack(q_side, "q", QUERY_BLOCK)

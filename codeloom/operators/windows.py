@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,17 +21,18 @@ def token_windows(
     id_col: str = "doc_id",
     text_col: str = "text",
     pattern: str = TOKEN_PATTERN,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, win, first_token, n_tokens, text): windows of ``chunk_size`` tokens that
-    share ``chunk_overlap`` with the one before. No shuffle; a row gives its windows.
-    A text without tokens gives none.
+    """(id, *keep, win, first_token, n_tokens, text): windows of ``chunk_size`` tokens
+    that share ``chunk_overlap`` with the one before. No shuffle; a row gives its
+    windows, with its ``keep`` columns. A text without tokens gives none.
     """
     if not 0 <= chunk_overlap < chunk_size:
         raise ValueError("chunk_overlap must be at least 0 and less than chunk_size")
     step = chunk_size - chunk_overlap
     # A text without tokens is left out inside the generator: a filter on the tokens
     # would be pushed below this projection and cut every text a second time.
-    cut = files.select(id_col, padded_tokens(F.col(text_col), pattern).alias("_t"))
+    cut = files.select(id_col, *keep, padded_tokens(F.col(text_col), pattern).alias("_t"))
     n = F.size("_t")
     last = F.greatest(F.ceil((n - chunk_overlap) / step).cast("int") - 1, F.lit(0))
 
@@ -42,7 +45,7 @@ def token_windows(
         )
 
     windows = F.transform(F.sequence(F.lit(0), last), window)
-    return cut.select(id_col, F.inline(F.when(n > 0, windows)))
+    return cut.select(id_col, *keep, F.inline(F.when(n > 0, windows)))
 
 
 def sentence_windows(
@@ -52,8 +55,9 @@ def sentence_windows(
     id_col: str = "doc_id",
     text_col: str = "text",
     pattern: str = TOKEN_PATTERN,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, win, n_tokens, text): whole sentences up to ``chunk_size`` tokens.
+    """(id, *keep, win, n_tokens, text): whole sentences up to ``chunk_size`` tokens.
 
     A sentence longer than that is cut into pieces of ``chunk_size`` tokens first.
     A window starts with the trailing sentences of the one before that hold at most
@@ -73,6 +77,7 @@ def sentence_windows(
     )
     cut = files.select(
         id_col,
+        *keep,
         F.transform(
             pieces,
             lambda t: F.struct(
@@ -103,8 +108,9 @@ def sentence_windows(
               acc -> concat(acc.done, array(named_struct('n', acc.n, 'parts', acc.parts))))"""
     )
     windows = F.when(F.size("_s") > 0, folded)
-    return cut.select(id_col, F.posexplode(windows).alias("win", "w")).select(
+    return cut.select(id_col, *keep, F.posexplode(windows).alias("win", "w")).select(
         id_col,
+        *keep,
         F.col("win").cast("bigint").alias("win"),
         F.col("w.n").alias("n_tokens"),
         F.array_join(F.transform("w.parts", lambda p: p["text"]), " ").alias("text"),

@@ -102,9 +102,13 @@ def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
 )
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
     embedded = views.documents(spark, sf).select("doc_id", vectors.embed_text(F.col("text")).alias("v"))
-    return embedded.select("doc_id", F.posexplode("v").alias("bucket", "w")).where("w <> 0").select(
-        "doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round(F.col("w").cast("double"), 6).alias("weight")
+    entries = F.transform(
+        "v",
+        lambda w, i: F.struct(
+            i.cast("bigint").alias("bucket"), F.round(w.cast("double"), 6).alias("weight")
+        ),
     )
+    return embedded.select("doc_id", F.inline(F.filter(entries, lambda e: e["weight"] > 0)))
 
 
 @query(
@@ -177,7 +181,8 @@ def mode_hits(files: DataFrame, asked: DataFrame, mode: str, k: int = 5) -> Data
         cut, summary = views.smart_chunks, enrich.leading_sentences(F.col("text"))
     collection = cut(files).select("chunk_id", vectors.embed_text(summary).alias("embedding"))
     queries = asked.select("q_id", vectors.embed_text(F.col("question")).alias("qv"))
-    hits = top_k(collection, queries, k=k, id_col="chunk_id")
+    # The hits, k to a query, serve twice: to find their files, and to rank the texts.
+    hits = materialize(top_k(collection, queries, k=k, id_col="chunk_id"), "hits")
     file_of_hit = F.split_part("id", F.lit(":"), F.lit(1)).cast("bigint")
     hit_files = files.join(hits.select(file_of_hit.alias("seq")), "seq", "left_semi")
     texts = cut(hit_files).select(F.col("chunk_id").alias("id"), "text")
@@ -232,13 +237,9 @@ both_contexts AS (SELECT q_id, question, smart, naive FROM questions JOIN contex
 )
 def assemble_context(spark: SparkSession, sf: str) -> DataFrame:
     """The five best windows for every question, with their joined text."""
-    hits = window_hits(spark, sf).withColumn(
-        "hit", F.concat_ws("=", "chunk_id", F.format_string("%.6f", "score"))
-    )
-    listed = hits.groupBy("q_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "hit"))), lambda h: h["hit"]), " ").alias("hits")
-    )
-    return context.assemble_context(hits, ["q_id"]).join(listed, "q_id")
+    hit = F.concat_ws("=", "chunk_id", F.format_string("%.6f", "score"))
+    listed = context.in_rank_order(hit, " ").alias("hits")
+    return context.assemble_context(window_hits(spark, sf), ["q_id"], "\n", listed)
 
 
 def both_contexts(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,7 +17,11 @@ from codeloom.workspace import fresh_dir
 
 def corpus_stream(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.stream_corpus(
-        spark, views.corpus_folder(spark, sf), record_schema=views.RECORD, file_glob=views.WRITTEN
+        spark,
+        views.corpus_folder(spark, sf),
+        record_schema=views.RECORD,
+        max_files_per_batch=40,
+        file_glob=views.WRITTEN,
     )
 
 
@@ -42,9 +46,7 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def index_batch(batch: DataFrame) -> DataFrame:
     """Records of a batch: windows, their own text as summary, embedded."""
-    cut = token_windows(batch, id_col="path")
-    named = batch.select("path", "repo", "language")
-    chunks = cut.join(named, "path").withColumns(
+    chunks = token_windows(batch, id_col="path", keep=["repo", "language"]).withColumns(
         {"start_line": F.lit(None).cast("bigint"), "end_line": F.lit(None).cast("bigint")}
     )
     return chunk_records(chunks, "naive", embedding=vectors.embed_text(F.col("text")))

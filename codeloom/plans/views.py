@@ -142,30 +142,32 @@ def label_queries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+FILE_COLUMNS = ("repo", "path", "language")
+
+
 def naive_chunks(files: DataFrame) -> DataFrame:
     """Token windows of corpus files, with the columns of a chunk."""
-    cut = token_windows(files, id_col="seq")
-    return _as_chunks(cut.select("seq", F.col("win").alias("part"), "text"), files, "naive").withColumns(
-        {"start_line": F.lit(None).cast("bigint"), "end_line": F.lit(None).cast("bigint")}
-    )
+    cut = token_windows(files, id_col="seq", keep=FILE_COLUMNS)
+    no_line = F.lit(None).cast("bigint")
+    return _as_chunks(cut.withColumns({"start_line": no_line, "end_line": no_line}), "naive", "win")
 
 
 def smart_chunks(files: DataFrame) -> DataFrame:
     """Structural chunks of corpus files, with the columns of a chunk."""
-    texts = files.select("seq", "text")
-    cut = structural_chunks(prose_nodes(texts, "seq"), texts, id_col="seq")
-    return _as_chunks(
-        cut.select("seq", F.col("start").alias("part"), "text", "start_line", "end_line"), files, "smart"
-    )
+    tree = prose_nodes(files, "seq")
+    cut = structural_chunks(tree, files, id_col="seq", keep=FILE_COLUMNS)
+    return _as_chunks(cut, "smart", "start")
 
 
-def _as_chunks(cut: DataFrame, files: DataFrame, mode: str) -> DataFrame:
-    named = files.select("seq", "repo", "path", "language")
-    return cut.join(named, "seq").select(
-        F.concat_ws(":", "seq", "part").alias("chunk_id"),
+def _as_chunks(cut: DataFrame, mode: str, part: str) -> DataFrame:
+    return cut.select(
+        F.concat_ws(":", "seq", part).alias("chunk_id"),
         F.lit(mode).alias("mode"),
-        *[c for c in named.columns],
-        *[c for c in cut.columns if c != "seq"],
+        "seq",
+        *FILE_COLUMNS,
+        "start_line",
+        "end_line",
+        "text",
     )
 
 
