@@ -135,14 +135,15 @@ def chunk_records(
 ) -> DataFrame:
     """Chunks as collection records, with defaults for what is missing.
 
-    Takes repo, language, path, start_line, end_line and text. The owner of the
-    repository is kept beside its base name, which several owners may share.
+    Takes repo, language, path, part, start_line, end_line and text; ``part`` tells
+    the chunks of a file apart. The owner of the repository is kept beside its base
+    name, which several owners may share.
     """
     line = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
     lines = F.concat_ws("-", line("start_line"), line("end_line"))
     file = F.coalesce("path", F.lit("unknown"))
     columns = [
-        content_id(F.col("repo"), file, lines, F.lit(mode), F.col("text")).alias("id"),
+        content_id(F.col("repo"), file, F.col("part"), F.lit(mode), F.col("text")).alias("id"),
         base_name(F.col("repo")).alias("repo_name"),
         F.col("repo"),
         F.col("language"),

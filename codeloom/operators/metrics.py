@@ -206,32 +206,34 @@ class _Distances:
         return column[2]
 
 
-def _aligned(hyp: list, ref: list) -> tuple[int, list[bool], list[bool], list[int]]:
-    """Edit distance, the words of either side that are in error, and for each
-    reference word the hypothesis position it is aligned to.
+def _cell(columns: list[tuple[int, int, int]], i: int, j: int) -> int:
+    """Distance of the first ``i`` hypothesis words to the first ``j`` reference words."""
+    grows, falls, _ = columns[i]
+    upto = (1 << j) - 1
+    return i + (grows & upto).bit_count() - (falls & upto).bit_count()
+
+
+def _aligned(hyp: list, ref: list, columns: list) -> tuple[list[bool], list[bool], list[int]]:
+    """The words of either side that are in error, and for each reference word the
+    hypothesis position it is aligned to, walking back through the columns.
     """
-    n, m = len(hyp), len(ref)
-    table = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        last, now = table[-1], [i]
-        for j in range(1, m + 1):
-            now.append(min(last[j - 1] + (hyp[i - 1] != ref[j - 1]), last[j] + 1, now[j - 1] + 1))
-        table.append(now)
-    hyp_error, ref_error, at = [False] * n, [False] * m, [-1] * m
-    i, j = n, m
+    i, j = len(hyp), len(ref)
+    hyp_error, ref_error, at = [False] * i, [False] * j, [-1] * j
+    here = _cell(columns, i, j)
     while i or j:
-        if i and j and table[i][j] == table[i - 1][j - 1] + (hyp[i - 1] != ref[j - 1]):
+        if i and j and here == _cell(columns, i - 1, j - 1) + (hyp[i - 1] != ref[j - 1]):
             i, j = i - 1, j - 1
             hyp_error[i] = ref_error[j] = hyp[i] != ref[j]
+            here -= hyp_error[i]
             at[j] = i
-        elif i and table[i][j] == table[i - 1][j] + 1:
-            i -= 1
+        elif i and here == _cell(columns, i - 1, j) + 1:
+            i, here = i - 1, here - 1
             hyp_error[i] = True
         else:
-            j -= 1
+            j, here = j - 1, here - 1
             ref_error[j] = True
             at[j] = i - 1
-    return table[n][m], hyp_error, ref_error, at
+    return hyp_error, ref_error, at
 
 
 def _best_shift(hyp: list, ref: list, distance: _Distances) -> list | None:
@@ -239,13 +241,13 @@ def _best_shift(hyp: list, ref: list, distance: _Distances) -> list | None:
     words that the reference has elsewhere, put where the reference has it. Equal
     gains go to the longer block, then to the one further left.
     """
-    edits, hyp_error, ref_error, at = _aligned(hyp, ref)
     columns = distance.columns(hyp)
+    edits = columns[-1][2]
+    hyp_error, ref_error, at = _aligned(hyp, ref, columns)
     positions: dict = {}
     for j, word in enumerate(ref):
         positions.setdefault(word, []).append(j)
-    measured: dict = {}
-    best = None
+    moves = set()
     for start in range(len(hyp)):
         for j in positions.get(hyp[start], ()):
             if abs(j - start) > MAX_SHIFT_DISTANCE:
@@ -256,27 +258,26 @@ def _best_shift(hyp: list, ref: list, distance: _Distances) -> list | None:
                 wrong = any(hyp_error[start : start + size]) and any(ref_error[j : j + size])
                 if not wrong or start <= at[j] < start + size:
                     continue
-                targets = {at[i] + 1 if i >= 0 else 0 for i in range(j - 1, j + size)}
-                for to in targets:
-                    if start <= to <= start + size:
-                        continue
-                    move = (start, size, to)
-                    if move not in measured:
-                        same, tail = _shared_and_moved(hyp, *move)
-                        measured[move] = edits - distance(tail, columns[same])
-                    rank = (measured[move], size, -start, -to)
-                    if best is None or rank > best:
-                        best = rank
-    if best is None or best[0] <= 0:
-        return None
-    _, size, start, to = best
-    same, tail = _shared_and_moved(hyp, -start, size, -to)
-    return hyp[:same] + tail
+                for i in range(j - 1, j + size):
+                    to = at[i] + 1 if i >= 0 else 0
+                    if not start <= to <= start + size:
+                        moves.add((-size, start, to))
+    best_gain, best = 0, None
+    for move in sorted(moves):
+        size = -move[0]
+        # Taking out and putting back ``size`` words cannot save more than 2 * size.
+        if 2 * size <= best_gain:
+            break
+        same, tail = _shared_and_moved(hyp, move[1], size, move[2])
+        gain = edits - distance(tail, columns[same])
+        if gain > best_gain:
+            best_gain, best = gain, hyp[:same] + tail
+    return best
 
 
 def _shared_and_moved(hyp: list, start: int, size: int, to: int) -> tuple[int, list]:
-    """Move ``size`` words from ``start`` to before word ``to``: how many leading
-    words stay, and all words behind them.
+    """Move ``size`` words from ``start`` to before word ``to``: how many leading words
+    stay, and all words behind them.
     """
     block = hyp[start : start + size]
     if to < start:

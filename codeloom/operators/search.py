@@ -14,6 +14,7 @@ bound both sides are shuffled on (cell, salt).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 COLLECTION_BLOCK = 4096
 QUERY_BLOCK = 256
 BROADCAST_BYTES = 64 * 1024 * 1024
+# A hit is two ids, a rank and a score; a generous bound on one row.
+HIT_BYTES = 256
 TOP_K = 5
 # Scores equal to this many decimals count as ties, which the id breaks.
 TIE_DECIMALS = 9
@@ -83,20 +86,21 @@ def _pack(df: DataFrame, prefix: str, rows_per_block: int) -> DataFrame:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch.filter(pc.is_valid(batch.column("vector")))])
-            for cell in table.column("cell").unique():
-                if not cell.is_valid:
-                    continue
-                of_cell = table.filter(pc.equal(table.column("cell"), cell))
-                for at in range(0, of_cell.num_rows, rows_per_block):
-                    part = of_cell.slice(at, rows_per_block).combine_chunks()
-                    ids = part.column("id").combine_chunks()
-                    offsets = pa.array([0, len(ids)], pa.int32())
+            batch = batch.filter(pc.and_(pc.is_valid(batch.column("vector")), pc.is_valid(batch.column("cell"))))
+            if not batch.num_rows:
+                continue
+            batch = batch.sort_by("cell")
+            cells = batch.column("cell").to_numpy(zero_copy_only=False)
+            firsts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+            for first, last in zip(firsts, [*firsts[1:], len(cells)]):
+                for at in range(first, last, rows_per_block):
+                    part = batch.slice(at, min(rows_per_block, last - at))
+                    offsets = pa.array([0, part.num_rows], pa.int32())
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([cell.as_py()], batch.schema.field("cell").type),
-                            pa.ListArray.from_arrays(offsets, ids),
-                            pa.array([_vector_bytes(part.column("vector").combine_chunks())]),
+                            part.column("cell").slice(0, 1),
+                            pa.ListArray.from_arrays(offsets, part.column("id")),
+                            pa.array([_vector_bytes(part.column("vector"))]),
                         ],
                         names=schema.names,
                     )
@@ -153,9 +157,10 @@ def _score_blocks(
     return joined.select("q_ids", "q_data", "c_ids", "c_data").mapInArrow(rank, schema)
 
 
-def _query_bytes(queries: DataFrame) -> int:
-    size = queries.agg((F.count("*") * F.max(F.size("vector")) * 8).alias("b")).first()["b"]
-    return int(size or 0)
+def _query_size(queries: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a query table."""
+    row = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    return row["n"], row["n"] * int(row["dim"] or 0) * 8
 
 
 def top_k(
@@ -191,9 +196,15 @@ def top_k(
         cell.alias("cell"), F.col(query_id_col).alias("id"), F.col(query_vector_col).alias("vector")
     )
 
+    n_queries, query_bytes = _query_size(q_side)
+    few_queries = query_bytes <= broadcast_bytes
+    if few_queries:
+        # Full blocks, however many partitions the queries come in.
+        parts = math.ceil(max(n_queries, 1) / QUERY_BLOCK)
+        q_side = q_side.repartition(parts, "cell") if match_on else q_side.repartition(parts)
     c_blocks = _pack(c_side, "c", COLLECTION_BLOCK)
     q_blocks = _pack(q_side, "q", QUERY_BLOCK)
-    if _query_bytes(q_side) <= broadcast_bytes:
+    if few_queries:
         joined = c_blocks.join(F.broadcast(q_blocks), "cell")
     else:
         salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -207,6 +218,8 @@ def top_k(
     if not output_fields:
         return best
     entities = collection.select(F.col(id_col).alias("id"), *output_fields)
+    if n_queries * k * HIT_BYTES <= broadcast_bytes:
+        best = F.broadcast(best)
     return best.join(entities, "id").select("q_id", "rank", "id", "score", *output_fields)
 
 
@@ -246,16 +259,18 @@ def top_k_terms(
             T.StructField("score", T.LongType()),
         ]
     )
-    q_blocks = _pack_terms(q)
-    size = q.agg(F.sum(F.aggregate("q_terms", F.lit(16), lambda n, t: n + F.octet_length(t) + 8)))
-    if int(size.first()[0] or 0) > broadcast_bytes:
-        salts = int(collection.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        q_blocks = q_blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = _pack_term_rows(c).withColumn("salt", F.pmod(F.xxhash64("c_ids"), F.lit(salts))).join(
-            q_blocks, ["cell", "salt"]
-        )
+    row_bytes = F.aggregate("q_terms", F.lit(16), lambda n, t: n + F.octet_length(t) + 8)
+    size = q.agg(F.count("*").alias("n"), F.sum(row_bytes).alias("bytes")).first()
+    c_blocks = _pack_rows(c, "c", "id", "terms", COLLECTION_BLOCK)
+    if (size["bytes"] or 0) <= broadcast_bytes:
+        q = q.repartition(math.ceil(max(size["n"], 1) / QUERY_BLOCK))
+        joined = c_blocks.join(F.broadcast(_pack_rows(q, "q", "q_id", "q_terms", QUERY_BLOCK)), "cell")
     else:
-        joined = _pack_term_rows(c).join(F.broadcast(q_blocks), "cell")
+        salts = int(collection.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        q_blocks = _pack_rows(q, "q", "q_id", "q_terms", QUERY_BLOCK).withColumn("salt", every_salt)
+        c_blocks = c_blocks.withColumn("salt", F.pmod(F.xxhash64("c_ids"), F.lit(salts)))
+        joined = c_blocks.join(q_blocks, ["cell", "salt"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,14 +307,6 @@ def _pack_rows(df: DataFrame, prefix: str, id_col: str, terms_col: str, rows_per
     return df.select(id_col, terms_col).mapInArrow(blocks, schema)
 
 
-def _pack_terms(queries: DataFrame) -> DataFrame:
-    return _pack_rows(queries, "q", "q_id", "q_terms", QUERY_BLOCK)
-
-
-def _pack_term_rows(collection: DataFrame) -> DataFrame:
-    return _pack_rows(collection, "c", "id", "terms", COLLECTION_BLOCK)
-
-
 def _best_by_overlap(row: dict, k: int, schema: T.StructType) -> pa.RecordBatch:
     q_ids, c_ids = row["q_ids"], np.asarray(row["c_ids"], dtype=object)
     asked: dict[str, list[int]] = {}

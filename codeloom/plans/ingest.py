@@ -102,7 +102,7 @@ def chunk_store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def document_records(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents as collection records."""
     whole = views.corpus(spark, sf).withColumns(
-        {"start_line": F.lit(1), "end_line": text.line_count(F.col("text"))}
+        {"part": F.lit(0), "start_line": F.lit(1), "end_line": text.line_count(F.col("text"))}
     )
     return chunk_records(
         whole,
@@ -121,7 +121,7 @@ whole AS (
   SELECT *, '1-' || (length(text) - length(replace(text, chr(10), '')) +
          CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END) AS lines FROM corpus),
 records AS (
-  SELECT substr(sha256(repo || '|' || path || '|' || lines || '|whole|' || text), 1, 36) AS id,
+  SELECT substr(sha256(repo || '|' || path || '|0|whole|' || text), 1, 36) AS id,
          split_part(repo, '/', 2) AS repo_name, repo, language, path AS chunk_file, lines AS chunk_lines,
          text AS chunk_code, summary, seq
   FROM whole JOIN summaries USING (seq))"""

@@ -46,16 +46,16 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def index_batch(batch: DataFrame) -> DataFrame:
     """Records of a batch: windows, their own text as summary, embedded."""
-    chunks = token_windows(batch, id_col="path", keep=["repo", "language"]).withColumns(
-        {"start_line": F.lit(None).cast("bigint"), "end_line": F.lit(None).cast("bigint")}
-    )
+    no_line = F.lit(None).cast("bigint")
+    chunks = token_windows(batch, id_col="path", keep=["repo", "language"])
+    chunks = chunks.withColumns({"part": F.col("win"), "start_line": no_line, "end_line": no_line})
     return chunk_records(chunks, "naive", embedding=vectors.embed_text(F.col("text")))
 
 
 @query(
     "stream_index",
     f"WITH {S.CORPUS},{S.windowed(source='corpus', key='seq')} "
-    "SELECT DISTINCT substr(sha256(repo || '|' || path || '|?-?|naive|' || w.text), 1, 36) AS id, repo, language, "
+    "SELECT substr(sha256(repo || '|' || path || '|' || win || '|naive|' || w.text), 1, 36) AS id, repo, language, "
     "path AS chunk_file, md5(w.text) AS code_md5, 1024::BIGINT AS dim FROM windows w JOIN corpus USING (seq)",
 )
 def stream_index(spark: SparkSession, sf: str) -> DataFrame:

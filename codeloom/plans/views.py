@@ -164,6 +164,7 @@ def _as_chunks(cut: DataFrame, mode: str, part: str) -> DataFrame:
         F.concat_ws(":", "seq", part).alias("chunk_id"),
         F.lit(mode).alias("mode"),
         "seq",
+        F.col(part).alias("part"),
         *FILE_COLUMNS,
         "start_line",
         "end_line",

@@ -74,12 +74,14 @@ def index_stream(
     build: Callable[[DataFrame], DataFrame],
     table_path: str,
     checkpoint: str,
-    id_col: str = "id",
+    distinct_id: str | None = None,
 ) -> DataFrame:
     """Apply the batch operators of ``build`` to every batch and keep the records.
 
     A batch is written to a folder of its own number, which a repeated batch
-    replaces, and ids depend on content, so the drained table has each record once.
+    replaces, so the drained table has each record once. Only if a run started
+    anew over a table that holds other batches can a record be there twice; ids
+    depend on content, and ``distinct_id`` then keeps one of each.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
@@ -93,6 +95,7 @@ def index_stream(
     )
     query.awaitTermination()
     written = stream.sparkSession.read.option("basePath", table_path).parquet(table_path)
-    return written.drop("batch").dropDuplicates([id_col])
+    table = written.drop("batch")
+    return table.dropDuplicates([distinct_id]) if distinct_id else table
 
 

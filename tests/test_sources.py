@@ -186,12 +186,13 @@ def test_results(spark, tmp_path):
 
 
 def test_chunk_record_defaults(spark):
-    schema = "repo string, language string, path string, start_line long, end_line long, text string"
-    df = spark.createDataFrame([("o/r", "go", None, None, 4, "t"), ("p/r", "go", "f", 1, 4, "t")], schema)
-    found = sorted(chunk_records(df, "smart").collect(), key=lambda r: r["repo"])
-    assert [(r["repo_name"], r["chunk_file"], r["chunk_lines"]) for r in found] == [("r", "unknown", "?-4"), ("r", "f", "1-4")]
-    assert len({r["id"] for r in found}) == 2 and all(len(r["id"]) == 36 for r in found)
-    again = sorted(chunk_records(df.repartition(3), "smart").collect(), key=lambda r: r["repo"])
+    schema = "repo string, language string, path string, part long, start_line long, end_line long, text string"
+    rows = [("o/r", "go", None, 0, None, 4, "t"), ("p/r", "go", "f", 0, 1, 4, "t"), ("p/r", "go", "f", 1, 1, 4, "t")]
+    df = spark.createDataFrame(rows, schema)
+    found = sorted(chunk_records(df, "smart").collect(), key=lambda r: (r["repo"], r["id"]))
+    assert [(r["repo_name"], r["chunk_file"], r["chunk_lines"]) for r in found] == [("r", "unknown", "?-4"), ("r", "f", "1-4"), ("r", "f", "1-4")]
+    assert len({r["id"] for r in found}) == 3 and all(len(r["id"]) == 36 for r in found)
+    again = sorted(chunk_records(df.repartition(3), "smart").collect(), key=lambda r: (r["repo"], r["id"]))
     assert [r["id"] for r in again] == [r["id"] for r in found]
 
 

@@ -65,6 +65,7 @@ def test_index_stream_equals_batch(spark, base):
     indexed = ingest.index_stream(stream(spark, base), index_batch, out, progress)
     wanted = sorted(index_batch(read(spark, base)).select(columns).collect())
     assert sorted(indexed.select(columns).collect()) == wanted
-    # A second run over the whole input, as after lost progress, adds nothing.
-    repeated = ingest.index_stream(stream(spark, base), index_batch, out, str(base / "progress2"))
+    # A run started anew, cut to other batches, leaves some records twice.
+    whole = ingest.stream_corpus(spark, str(base / "c"), record_schema=RECORD, max_files_per_batch=9)
+    repeated = ingest.index_stream(whole, index_batch, out, str(base / "progress2"), distinct_id="id")
     assert sorted(repeated.select(columns).collect()) == wanted
