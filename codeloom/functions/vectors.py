@@ -6,11 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.functions.binding import bind
 from codeloom.functions.text import words
 
 DEFAULT_DIM = 1024
+# Rows whose counts are held in memory together.
+ROWS_AT_ONCE = 1024
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -45,17 +48,19 @@ def hash_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
 
 
 def _unit_counts(dim: int):
-    @F.arrow_udf("array<float>")
-    def unit_counts(buckets: pa.Array) -> pa.Array:
+    def of_rows(buckets: pa.Array) -> np.ndarray:
         n = len(buckets)
-        lengths = np.asarray(buckets.value_lengths().fill_null(0))
-        rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
+        rows = np.repeat(np.arange(n, dtype=np.int64), np.asarray(buckets.value_lengths()))
         cells = rows * dim + np.asarray(buckets.flatten(), dtype=np.int64)
         counts = np.bincount(cells, minlength=n * dim).reshape(n, dim).astype(np.float64)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-        unit = np.divide(counts, norms, out=counts, where=norms > 0).astype(np.float32)
-        offsets = np.arange(n + 1, dtype=np.int32) * dim
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel()))
+        return np.divide(counts, norms, out=counts, where=norms > 0).astype(np.float32)
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def unit_counts(buckets: pa.Array) -> pa.Array:
+        parts = [of_rows(buckets.slice(at, ROWS_AT_ONCE)) for at in range(0, len(buckets), ROWS_AT_ONCE)]
+        offsets = np.arange(len(buckets) + 1, dtype=np.int32) * dim
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).ravel()))
 
     return unit_counts
 

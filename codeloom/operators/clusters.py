@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.vectors import l2_normalize
 from codeloom.operators.search import TOP_K, top_k
-from codeloom.workspace import fresh_dir
+from codeloom.workspace import fresh_dir, materialize
 
 NLIST = 128
 NPROBE = 10
@@ -87,8 +87,11 @@ def probed_top_k(
     id_col: str = "id",
     vector_col: str = "embedding",
 ) -> DataFrame:
-    """Top-k over the probed clusters alone; files of other clusters are not read."""
-    probes = probe_clusters(index, queries, nprobe)
+    """Top-k over the probed clusters alone; files of other clusters are not read.
+
+    The probes, ``nprobe`` to a query, are written out, since they serve twice.
+    """
+    probes = materialize(probe_clusters(index, queries, nprobe), "probes")
     wanted = F.broadcast(probes.select("cid").distinct())
     reached = index.collection.join(wanted, "cid", "left_semi")
     return top_k(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import words
 from codeloom.operators.search import top_k_terms
+from codeloom.workspace import materialize
 
 
 def name_terms(name):
@@ -19,6 +20,9 @@ def scope_lookup(questions: DataFrame, chunks: DataFrame, links: DataFrame, k: i
     """(q_id, rank, chunk_id, score, relation, related): the ``k`` scopes whose names
     share most words with the question, each listed with itself, its parent and its
     children. ``links`` are clean and hold the child links.
+
+    The hits are written out, since they serve twice; being k to a question, their
+    size then lets Spark decide how to join them with all links.
     """
     named = chunks.where(F.col("part") == 0).where(F.col("name").isNotNull())
     hits = top_k_terms(
@@ -26,11 +30,11 @@ def scope_lookup(questions: DataFrame, chunks: DataFrame, links: DataFrame, k: i
         questions.select("q_id", words(F.col("question")).alias("q_terms")),
         k=k,
         id_col="chunk_id",
-    ).withColumnRenamed("id", "chunk_id")
+    )
+    hits = materialize(hits.withColumnRenamed("id", "chunk_id"), "hits")
     family = links.where(F.col("relation").isin("parent", "child")).select("chunk_id", "relation", "target")
     itself = hits.select("q_id", "rank", "chunk_id", "score", F.lit("self").alias("relation"),
                          F.col("chunk_id").alias("related"))
-    # Few hits against all links: the hits decide which links are read.
     around = hits.join(family, "chunk_id").select(
         "q_id", "rank", "chunk_id", "score", "relation", F.col("target").alias("related")
     )

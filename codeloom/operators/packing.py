@@ -8,13 +8,13 @@ fold over its units in order. Groups are built from their boundaries, one marker
 per entered node and per big child, so that groups without units keep their empty
 span, which gap filling may stretch later.
 
-All steps partition by file id; after the shuffle of the files there is no other.
+All steps partition by file id. Texts are shuffled by id once, where nodes are cut
+from them, and Spark reuses that shuffle where spans are joined with their text; there
+is no other. Columns besides id and text are best joined to the chunks afterwards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,11 +148,7 @@ def fill_gaps(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def measured_spans(
-    spans: DataFrame,
-    files: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    keep: Sequence[str] = (),
+    spans: DataFrame, files: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per file: its text and its ordered spans, each with the character,
     non-blank and line-break counts since the end of the span before. The text is
@@ -173,8 +169,8 @@ def measured_spans(
             newline_count(text).cast("bigint").alias("breaks"),
         )
 
-    return per_file.join(files.select(id_col, text_col, *keep).repartition(id_col), id_col).select(
-        id_col, *keep, text_col, F.transform("spans", measure).alias("spans")
+    return per_file.join(files.select(id_col, text_col).repartition(id_col), id_col).select(
+        id_col, text_col, F.transform("spans", measure).alias("spans")
     )
 
 
@@ -228,15 +224,14 @@ def structural_chunks(
     coalesce: int = COALESCE,
     id_col: str = "doc_id",
     text_col: str = "text",
-    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, *keep, start, end, start_line, end_line, text): pack, fill gaps, merge
-    small spans, turn offsets to half-open line ranges and drop the empty ones.
+    """(id, start, end, start_line, end_line, text): pack, fill gaps, merge small
+    spans, turn offsets to half-open line ranges and drop the empty ones.
     """
     spans = fill_gaps(greedy_pack(nodes, max_chars, id_col), id_col)
     text = F.col(text_col)
-    per_file = measured_spans(spans, files, id_col, text_col, keep).select(
-        id_col, *keep, text_col, "spans", F.length(text).alias("size"), line_count(text).alias("n_lines")
+    per_file = measured_spans(spans, files, id_col, text_col).select(
+        id_col, text_col, "spans", F.length(text).alias("size"), line_count(text).alias("n_lines")
     )
     # The chunks are made inside the generator. As a column of their own, Spark would
     # add a filter on their number, and with it make them once more for the filter.
@@ -250,14 +245,13 @@ def structural_chunks(
             span_text(text, s["start"], s["end"]).alias("text"),
         ),
     )
-    sized = per_file.select(id_col, *keep, "size", "n_lines", F.explode(merged).alias("c"))
+    sized = per_file.select(id_col, "size", "n_lines", F.explode(merged).alias("c"))
 
     def line_at(offset: Column, breaks_before: Column) -> Column:
         return F.when(offset >= F.col("size"), F.col("n_lines")).otherwise(breaks_before)
 
     return sized.select(
         id_col,
-        *keep,
         "c.start",
         "c.end",
         line_at(F.col("c.start"), F.col("c.first")).alias("start_line"),

@@ -154,9 +154,8 @@ def naive_chunks(files: DataFrame) -> DataFrame:
 
 def smart_chunks(files: DataFrame) -> DataFrame:
     """Structural chunks of corpus files, with the columns of a chunk."""
-    tree = prose_nodes(files, "seq")
-    cut = structural_chunks(tree, files, id_col="seq", keep=FILE_COLUMNS)
-    return _as_chunks(cut, "smart", "start")
+    cut = structural_chunks(prose_nodes(files, "seq"), files, id_col="seq")
+    return _as_chunks(cut.join(files.select("seq", *FILE_COLUMNS), "seq"), "smart", "start")
 
 
 def _as_chunks(cut: DataFrame, mode: str, part: str) -> DataFrame:
