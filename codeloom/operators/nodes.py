@@ -15,10 +15,15 @@ from codeloom.operators.lines import running_start
 ROOT = "0"
 
 
-def prose_nodes(files: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prose_nodes(
+    files: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences_over: int = 0
+) -> DataFrame:
     """Document, its lines, and the sentences of each line; empty ones are left out.
 
-    One shuffle, of whole files; lines and sentences are cut and numbered in place.
+    Only lines longer than ``sentences_over`` are cut into sentences. Packing enters
+    no node within its limit, so with that limit here it gives the same chunks from
+    fewer nodes. One shuffle, of whole files; lines and sentences are cut and numbered
+    in place.
     """
     # The size is taken before the text is cut, so that the lines do not carry the text.
     sized = files.select(id_col, text_col).repartition(id_col).select(
@@ -27,8 +32,10 @@ def prose_nodes(files: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = sized.select(id_col, "size", F.posexplode(F.split(text_col, "\n")).alias("ln", "line"))
     in_file = Window.partitionBy(id_col).orderBy("ln")
     placed = lines.withColumn("line_start", running_start(F.length("line"), in_file))
+    cut = F.length("line") > sentences_over
+    line_parts = F.when(cut, sentences(F.col("line"))).otherwise(F.array("line"))
     parts = placed.select(
-        id_col, "size", "ln", "line", "line_start", F.posexplode(sentences(F.col("line"))).alias("sn", "part")
+        id_col, "size", "ln", "line", "line_start", F.posexplode(line_parts).alias("sn", "part")
     )
     in_line = Window.partitionBy(id_col, "ln").orderBy("sn")
     placed_parts = parts.withColumn(
@@ -66,7 +73,7 @@ def prose_nodes(files: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per_part = F.array(
         F.when((ln == 0) & (sn == 0), document),
         F.when((sn == 0) & (F.length("line") > 0), line),
-        F.when(F.length("part") > 0, sentence),
+        F.when(cut & (F.length("part") > 0), sentence),
     )
     return placed_parts.select(id_col, F.explode(F.array_compact(per_part)).alias("n")).select(id_col, "n.*")
 

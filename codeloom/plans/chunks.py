@@ -160,7 +160,8 @@ def span_text(spark: SparkSession, sf: str) -> DataFrame:
 )
 def structural_chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = views.documents(spark, sf)
-    return packing.structural_chunks(nodes.prose_nodes(docs), docs)
+    tree = nodes.prose_nodes(docs, sentences_over=packing.MAX_CHARS)
+    return packing.structural_chunks(tree, docs)
 
 
 @query("code_scopes", f"WITH {S.SCOPES} SELECT * FROM scopes")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from codeloom.operators.evaluate import spread
 from codeloom.operators.nodes import prose_nodes
-from codeloom.operators.packing import structural_chunks
+from codeloom.operators.packing import MAX_CHARS, structural_chunks
 from codeloom.operators.windows import token_windows
 from codeloom.sources.corpus import write_corpus
 from codeloom.sources.tables import read_table
@@ -154,7 +154,7 @@ def naive_chunks(files: DataFrame) -> DataFrame:
 
 def smart_chunks(files: DataFrame) -> DataFrame:
     """Structural chunks of corpus files, with the columns of a chunk."""
-    cut = structural_chunks(prose_nodes(files, "seq"), files, id_col="seq")
+    cut = structural_chunks(prose_nodes(files, "seq", sentences_over=MAX_CHARS), files, id_col="seq")
     return _as_chunks(cut.join(files.select("seq", *FILE_COLUMNS), "seq"), "smart", "start")
 
 

@@ -211,6 +211,16 @@ def test_prose_nodes_cover_text(spark):
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+@pytest.mark.parametrize("limit", [6, 30])
+def test_uncut_short_lines_change_no_chunk(spark, limit):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab.? \n") for _ in range(rng.randrange(120))) for _ in range(40)]
+    files = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = packing.greedy_pack(prose_nodes(files), limit)
+    fewer = packing.greedy_pack(prose_nodes(files, sentences_over=limit), limit)
+    assert sorted(every.collect()) == sorted(fewer.collect())
+
+
 def test_offset_to_line(spark):
     texts = ["", "a", "a\n", "ab\ncd", "\n\né\n", "x" * 5]
     files = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
