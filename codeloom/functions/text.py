@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Words of letters, digits and underscores, or one other visible character.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
+TEXT_BLOCK = 1024
 
 
 def char_length(text: Column) -> Column:
@@ -65,6 +66,21 @@ def span_text(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
 
 
+def text_blocks(text: Column) -> Column:
+    """The text as an array of blocks of ``TEXT_BLOCK`` characters, for many spans of
+    one text: a substring counts its way from the start of its string.
+    """
+    return F.regexp_extract_all(text, F.lit("((?s).{1,%d})" % TEXT_BLOCK), F.lit(1))
+
+
+def block_span_text(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters ``[start, end)`` of a text given as blocks."""
+    first = F.floor(start / TEXT_BLOCK).cast("int")
+    last = F.floor((F.greatest(end, start + 1) - 1) / TEXT_BLOCK).cast("int")
+    around = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return span_text(around, start - first * TEXT_BLOCK, end - first * TEXT_BLOCK)
+
+
 def span_lines(text: Column, start: Column, end: Column) -> Column:
     """Lines ``[start, end)``, joined by line breaks."""
     picked = F.slice(

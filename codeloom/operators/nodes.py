@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import non_blank_length, sentences, span_text
+from codeloom.functions.text import block_span_text, non_blank_length, sentences, text_blocks
 from codeloom.operators.lines import running_start
 
 ROOT = "0"
@@ -95,7 +95,10 @@ def large_nodes(
     per_file = long_enough.groupBy(id_col).agg(
         F.collect_list(F.struct("node_id", "depth", "kind", "start", "end")).alias("found")
     )
-    measured = per_file.join(files.select(id_col, text_col).repartition(id_col), id_col).select(
+    blocked = per_file.join(files.select(id_col, text_col).repartition(id_col), id_col).select(
+        id_col, "found", text_blocks(F.col(text_col)).alias("blocks")
+    )
+    measured = blocked.select(
         id_col,
         F.inline(
             F.transform(
@@ -104,7 +107,7 @@ def large_nodes(
                     n["node_id"].alias("node_id"),
                     n["depth"].alias("depth"),
                     F.format_string("%s:%d-%d", n["kind"], n["start"], n["end"]).alias("label"),
-                    non_blank_length(span_text(F.col(text_col), n["start"], n["end"])).alias("non_blank"),
+                    non_blank_length(block_span_text(F.col("blocks"), n["start"], n["end"])).alias("non_blank"),
                 ),
             )
         ),

@@ -18,7 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import line_count, newline_count, non_blank_length, span_text
+from codeloom.functions.folds import emitting_fold
+from codeloom.functions.text import (
+    block_span_text,
+    line_count,
+    newline_count,
+    non_blank_length,
+    text_blocks,
+)
+from codeloom.operators.lines import offset_to_line
 
 MAX_CHARS = 1536
 TEXT_MAX_CHARS = 600
@@ -76,15 +84,15 @@ def greedy_pack(nodes: DataFrame, max_chars: int = MAX_CHARS, id_col: str = "doc
     Every group gives at least one span, possibly empty. Sorting by (start, end)
     gives depth-first order.
     """
-    packed = F.expr(
-        f"""aggregate(units,
-              named_struct('start', grp_start, 'end', grp_start,
-                           'done', cast(array() as array<struct<start: bigint, end: bigint>>)),
-              (acc, u) -> if(u.end - u.start + acc.end - acc.start > {int(max_chars)},
-                  named_struct('start', u.start, 'end', u.end,
-                               'done', concat(acc.done, array(named_struct('start', acc.start, 'end', acc.end)))),
-                  named_struct('start', acc.start, 'end', u.end, 'done', acc.done)),
-              acc -> concat(acc.done, array(named_struct('start', acc.start, 'end', acc.end))))"""
+    now = "array(named_struct('start', acc.start, 'end', acc.end))"
+    packed = emitting_fold(
+        "units",
+        {"start": "grp_start", "end": "grp_start"},
+        f"""if(u.end - u.start + acc.end - acc.start > {int(max_chars)},
+               named_struct('start', u.start, 'end', u.end, 'done', concat(acc.done, {now})),
+               named_struct('start', acc.start, 'end', u.end, 'done', acc.done))""",
+        "struct<start: bigint, end: bigint>",
+        f"concat(acc.done, {now})",
     )
     return sibling_groups(nodes, max_chars, id_col).select(id_col, F.inline(packed))
 
@@ -104,18 +112,17 @@ def greedy_pack_text(
     """
     unit_end = "u.next_start" if keep_gaps else "u.end"
     pieces = "array<struct<start: bigint, end: bigint>>"
-    packed = F.expr(
-        f"""aggregate(units,
-              named_struct('len', 0L, 'now', cast(array() as {pieces}),
-                           'done', cast(array() as array<{pieces}>)),
-              (acc, u) -> if(u.end - u.start + acc.len > {int(max_chars)},
-                  named_struct('len', {unit_end} - u.start,
-                               'now', array(named_struct('start', u.start, 'end', {unit_end})),
-                               'done', concat(acc.done, array(acc.now))),
-                  named_struct('len', acc.len + {unit_end} - u.start,
-                               'now', concat(acc.now, array(named_struct('start', u.start, 'end', {unit_end}))),
-                               'done', acc.done)),
-              acc -> concat(acc.done, array(acc.now)))"""
+    piece = f"array(named_struct('start', u.start, 'end', {unit_end}))"
+    packed = emitting_fold(
+        "units",
+        {"len": "0L", "now": f"cast(array() as {pieces})"},
+        f"""if(u.end - u.start + acc.len > {int(max_chars)},
+               named_struct('len', {unit_end} - u.start, 'now', {piece},
+                            'done', concat(acc.done, array(acc.now))),
+               named_struct('len', acc.len + {unit_end} - u.start, 'now', concat(acc.now, {piece}),
+                            'done', acc.done))""",
+        pieces,
+        "concat(acc.done, array(acc.now))",
     )
     chunks = sibling_groups(nodes, max_chars, id_col).select(
         id_col, "grp_start", "grp_end", F.posexplode(packed).alias("i", "pieces")
@@ -123,17 +130,21 @@ def greedy_pack_text(
     in_order = Window.partitionBy(id_col).orderBy("grp_start", "grp_end", "i")
     numbered = chunks.withColumn("seq", F.row_number().over(in_order) - 1)
     per_file = numbered.groupBy(id_col).agg(F.collect_list(F.struct("seq", "pieces")).alias("found"))
-    return per_file.join(files.select(id_col, text_col).repartition(id_col), id_col).select(
+    blocked = per_file.join(files.select(id_col, text_col).repartition(id_col), id_col).select(
+        id_col, "found", text_blocks(F.col(text_col)).alias("blocks")
+    )
+
+    def piece_text(p: Column) -> Column:
+        return block_span_text(F.col("blocks"), p["start"], p["end"])
+
+    return blocked.select(
         id_col,
         F.inline(
             F.transform(
                 "found",
                 lambda c: F.struct(
                     c["seq"].cast("bigint").alias("seq"),
-                    F.array_join(
-                        F.transform(c["pieces"], lambda p: span_text(F.col(text_col), p["start"], p["end"])),
-                        "",
-                    ).alias("text"),
+                    F.array_join(F.transform(c["pieces"], piece_text), "").alias("text"),
                 ),
             )
         ),
@@ -150,9 +161,9 @@ def fill_gaps(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def measured_spans(
     spans: DataFrame, files: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per file: its text and its ordered spans, each with the character,
-    non-blank and line-break counts since the end of the span before. The text is
-    read next to its spans, never per span row.
+    """One row per file: its text, the text as blocks, and its ordered spans, each with
+    the character, non-blank and line-break counts since the end of the span before.
+    The text is read next to its spans, never per span row.
     """
     per_file = spans.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")
@@ -160,7 +171,7 @@ def measured_spans(
 
     def measure(s: Column, i: Column) -> Column:
         since = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get("spans", i - 1)["end"])
-        text = span_text(F.col(text_col), since, s["end"])
+        text = block_span_text(F.col("blocks"), since, s["end"])
         return F.struct(
             s["start"].alias("start"),
             s["end"].alias("end"),
@@ -169,9 +180,10 @@ def measured_spans(
             newline_count(text).cast("bigint").alias("breaks"),
         )
 
-    return per_file.join(files.select(id_col, text_col).repartition(id_col), id_col).select(
-        id_col, text_col, F.transform("spans", measure).alias("spans")
+    blocked = per_file.join(files.select(id_col, text_col).repartition(id_col), id_col).select(
+        id_col, text_col, "spans", text_blocks(F.col(text_col)).alias("blocks")
     )
+    return blocked.select(id_col, text_col, "blocks", F.transform("spans", measure).alias("spans"))
 
 
 def _coalesced(measure: str, limit: int) -> Column:
@@ -179,23 +191,23 @@ def _coalesced(measure: str, limit: int) -> Column:
     more than ``limit`` by ``measure`` and holds a line break. Carries the number
     of line breaks before the merged span, which is its first line.
     """
-    span = "struct<start: bigint, end: bigint, line: bigint, breaks: bigint>"
-    return F.expr(
-        f"""filter(aggregate(spans,
-              named_struct('start', 0L, 'end', 0L, 'size', 0L, 'breaks', 0L, 'line', 0L,
-                           'done', cast(array() as array<{span}>)),
-              (acc, s) -> if(acc.size + s.{measure} > {int(limit)} and acc.breaks + s.breaks > 0,
-                  named_struct('start', s.end, 'end', s.end, 'size', 0L, 'breaks', 0L,
-                               'line', acc.line + acc.breaks + s.breaks,
-                               'done', concat(acc.done, array(named_struct(
-                                   'start', acc.start, 'end', s.end, 'line', acc.line,
-                                   'breaks', acc.breaks + s.breaks)))),
-                  named_struct('start', acc.start, 'end', s.end, 'size', acc.size + s.{measure},
-                               'breaks', acc.breaks + s.breaks, 'line', acc.line, 'done', acc.done)),
-              acc -> concat(acc.done, array(named_struct(
-                  'start', acc.start, 'end', acc.end, 'line', acc.line, 'breaks', acc.breaks)))),
-            s -> s.end > s.start)"""
+    full = f"acc.size + u.{measure} > {int(limit)} and acc.breaks + u.breaks > 0"
+    folded = emitting_fold(
+        "spans",
+        {"start": "0L", "end": "0L", "size": "0L", "breaks": "0L", "line": "0L"},
+        f"""if({full},
+               named_struct('start', u.end, 'end', u.end, 'size', 0L, 'breaks', 0L,
+                            'line', acc.line + acc.breaks + u.breaks,
+                            'done', concat(acc.done, array(named_struct(
+                                'start', acc.start, 'end', u.end, 'line', acc.line,
+                                'breaks', acc.breaks + u.breaks)))),
+               named_struct('start', acc.start, 'end', u.end, 'size', acc.size + u.{measure},
+                            'breaks', acc.breaks + u.breaks, 'line', acc.line, 'done', acc.done))""",
+        "struct<start: bigint, end: bigint, line: bigint, breaks: bigint>",
+        """concat(acc.done, array(named_struct(
+               'start', acc.start, 'end', acc.end, 'line', acc.line, 'breaks', acc.breaks)))""",
     )
+    return F.filter(folded, lambda s: s["end"] > s["start"])
 
 
 def coalesce_spans(
@@ -231,7 +243,7 @@ def structural_chunks(
     spans = fill_gaps(greedy_pack(nodes, max_chars, id_col), id_col)
     text = F.col(text_col)
     per_file = measured_spans(spans, files, id_col, text_col).select(
-        id_col, text_col, "spans", F.length(text).alias("size"), line_count(text).alias("n_lines")
+        id_col, "blocks", "spans", F.length(text).alias("size"), line_count(text).alias("n_lines")
     )
     # The chunks are made inside the generator. As a column of their own, Spark would
     # add a filter on their number, and with it make them once more for the filter.
@@ -242,7 +254,7 @@ def structural_chunks(
             s["end"].alias("end"),
             s["line"].alias("first"),
             (s["line"] + s["breaks"]).alias("last"),
-            span_text(text, s["start"], s["end"]).alias("text"),
+            block_span_text(F.col("blocks"), s["start"], s["end"]).alias("text"),
         ),
     )
     sized = per_file.select(id_col, "size", "n_lines", F.explode(merged).alias("c"))
@@ -264,29 +276,7 @@ def line_spans(
     spans: DataFrame, files: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Offset spans as half-open line spans; empty before or after turning are dropped."""
-    filled = spans.where(F.col("end") > F.col("start"))
-    per_file = filled.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")
-    )
-    text = F.col(text_col)
-
-    def line_at(offset: Column, size: Column, n: Column) -> Column:
-        before = F.substring(text, F.lit(1), offset.cast("int"))
-        return F.when(offset >= size, n).otherwise(newline_count(before).cast("bigint"))
-
-    sized = per_file.join(files.select(id_col, text_col).repartition(id_col), id_col).select(
-        id_col, text_col, "spans", F.length(text).alias("size"), line_count(text).alias("n")
-    )
-    turned = sized.select(
-        id_col,
-        F.inline(
-            F.transform(
-                "spans",
-                lambda s: F.struct(
-                    line_at(s["start"], F.col("size"), F.col("n")).alias("start_line"),
-                    line_at(s["end"], F.col("size"), F.col("n")).alias("end_line"),
-                ),
-            )
-        ),
-    )
-    return turned.where(F.col("end_line") > F.col("start_line"))
+    turned = spans.where(F.col("end") > F.col("start"))
+    for side in ("start", "end"):
+        turned = offset_to_line(turned, files, id_col, side, text_col).withColumnRenamed("line", f"{side}_line")
+    return turned.where(F.col("end_line") > F.col("start_line")).select(id_col, "start_line", "end_line")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.folds import emitting_fold
 from codeloom.functions.text import TOKEN_PATTERN, padded_tokens, sentences
 
 CHUNK_SIZE = 512
@@ -85,33 +86,32 @@ def sentence_windows(
             ),
         ).alias("_s"),
     )
-    # The fold carries the sentences of the open window; closing it keeps its tail.
-    sentence = "struct<n: bigint, text: string>"
-    chunk = f"struct<n: bigint, parts: array<{sentence}>>"
-    trailing = (
-        f"""aggregate(reverse(acc.parts),
-              named_struct('n', 0L, 'open', true, 'kept', cast(array() as array<{sentence}>)),
-              (t, p) -> if(t.open and t.n + p.n <= {overlap},
-                  named_struct('n', t.n + p.n, 'open', true, 'kept', concat(array(p), t.kept)),
-                  named_struct('n', t.n, 'open', false, 'kept', t.kept)),
-              t -> named_struct('n', t.n, 'parts', t.kept))"""
+    counted = cut.select(id_col, *keep, "_s", F.transform("_s", lambda p: p["n"]).alias("_n"))
+    # The fold carries numbers alone: where the open window begins, the sentence it has
+    # reached and its tokens. Closing it finds how many trailing sentences to repeat.
+    trailing = f"""aggregate(reverse(slice(_n, cast(acc.first + 1 as int), cast(acc.i - acc.first as int))),
+          named_struct('n', 0L, 'kept', 0L, 'open', true),
+          (t, n) -> if(t.open and t.n + n <= {overlap},
+              named_struct('n', t.n + n, 'kept', t.kept + 1, 'open', true),
+              named_struct('n', t.n, 'kept', t.kept, 'open', false)))"""
+    now = "array(named_struct('n', acc.n, 'first', acc.first, 'len', acc.i - acc.first))"
+    folded = emitting_fold(
+        "_n",
+        {"first": "0L", "i": "0L", "n": "0L"},
+        f"""if(acc.n > 0 and acc.n + u > {size},
+               transform(array({trailing}), t -> named_struct(
+                   'first', acc.i - t.kept, 'i', acc.i + 1, 'n', t.n + u, 'done', concat(acc.done, {now})))[0],
+               named_struct('first', acc.first, 'i', acc.i + 1, 'n', acc.n + u, 'done', acc.done))""",
+        "struct<n: bigint, first: bigint, len: bigint>",
+        f"concat(acc.done, {now})",
     )
-    folded = F.expr(
-        f"""aggregate(_s,
-              named_struct('n', 0L, 'parts', cast(array() as array<{sentence}>),
-                           'done', cast(array() as array<{chunk}>)),
-              (acc, s) -> if(acc.n > 0 and acc.n + s.n > {size},
-                  aggregate(array({trailing}), acc, (a, t) ->
-                      named_struct('n', t.n + s.n, 'parts', concat(t.parts, array(s)),
-                                   'done', concat(acc.done, array(named_struct('n', acc.n, 'parts', acc.parts))))),
-                  named_struct('n', acc.n + s.n, 'parts', concat(acc.parts, array(s)), 'done', acc.done)),
-              acc -> concat(acc.done, array(named_struct('n', acc.n, 'parts', acc.parts))))"""
-    )
-    windows = F.when(F.size("_s") > 0, folded)
-    return cut.select(id_col, *keep, F.posexplode(windows).alias("win", "w")).select(
-        id_col,
-        *keep,
-        F.col("win").cast("bigint").alias("win"),
-        F.col("w.n").alias("n_tokens"),
-        F.array_join(F.transform("w.parts", lambda p: p["text"]), " ").alias("text"),
+
+    def window(w: Column) -> Column:
+        held = F.slice("_s", (w["first"] + 1).cast("int"), w["len"].cast("int"))
+        text = F.array_join(F.transform(held, lambda p: p["text"]), " ")
+        return F.struct(w["n"].alias("n"), text.alias("text"))
+
+    windows = F.when(F.size("_n") > 0, F.transform(folded, window))
+    return counted.select(id_col, *keep, F.posexplode(windows).alias("win", "w")).select(
+        id_col, *keep, F.col("win").cast("bigint").alias("win"), F.col("w.n").alias("n_tokens"), "w.text"
     )
