@@ -37,6 +37,15 @@ PREFERENCE_PROMPT = (
 )
 
 
+def filled(template: str, *values: Column) -> Column:
+    """``template`` with its ``%s`` replaced; null if a value is null."""
+    head, *rest = template.split("%s")
+    parts = [F.lit(head)]
+    for value, text in zip(values, rest, strict=True):
+        parts += [value, F.lit(text)]
+    return F.concat(*parts)
+
+
 def summary_prompt(chunk: Column) -> Column:
     return F.concat(F.lit(SUMMARY_PROMPT), chunk)
 
@@ -61,12 +70,12 @@ def choice_prompt(query: Column, smart: Column, naive: Column) -> Column:
 def short_answer_prompt(query: Column, contexts: Column) -> Column:
     """``contexts`` is an array of texts."""
     joined = F.array_join(contexts, CONTEXT_SEPARATOR)
-    return F.concat(F.format_string(SHORT_ANSWER_HEAD, query, joined), F.lit(SHORT_ANSWER_TAIL))
+    return F.concat(filled(SHORT_ANSWER_HEAD, query, joined), F.lit(SHORT_ANSWER_TAIL))
 
 
 def question_prompt(query: Column) -> Column:
-    return F.format_string(QUESTION_PROMPT, query)
+    return filled(QUESTION_PROMPT, query)
 
 
 def preference_prompt(query: Column, response_a: Column, response_b: Column) -> Column:
-    return F.format_string(PREFERENCE_PROMPT, query, response_a, response_b)
+    return filled(PREFERENCE_PROMPT, query, response_a, response_b)

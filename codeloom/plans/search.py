@@ -304,19 +304,17 @@ def _filled(template: str, *columns: str) -> str:
     + _quoted(prompts.ANSWER_PROMPT) + " || 'Query: ' || question || chr(10) || chr(10) || 'Context: ' || reference AS answer_prompt, "
     + _quoted(prompts.CHOICE_PROMPT) + " || 'Query: ' || question || chr(10) || chr(10) || 'Smart Context: ' || smart_response"
     " || chr(10) || chr(10) || 'Naive Context: ' || naive_response AS choice_prompt, "
-    + _filled(prompts.SHORT_ANSWER_HEAD, "question", f"smart_response || {_quoted(prompts.CONTEXT_SEPARATOR)} || reference")
+    + _filled(prompts.SHORT_ANSWER_HEAD, "question", f"concat_ws({_quoted(prompts.CONTEXT_SEPARATOR)}, smart_response, reference)")
     + f" || {_quoted(prompts.SHORT_ANSWER_TAIL)} AS short_answer_prompt, "
     + _filled(prompts.QUESTION_PROMPT, "question") + " AS question_prompt, "
     + _filled(prompts.PREFERENCE_PROMPT, "question", "smart_response", "naive_response")
-    + " AS preference_prompt FROM eval_long "
-    "WHERE question IS NOT NULL AND reference IS NOT NULL AND naive_response IS NOT NULL",
+    + " AS preference_prompt FROM eval_long",
 )
 def build_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    """All prompt texts, for the conversations that have every part."""
-    full = views.eval_long(spark, sf).dropna(subset=["question", "reference", "naive_response"])
+    """All prompt texts; a prompt that lacks a part is null."""
     q, ref = F.col("question"), F.col("reference")
     smart, naive = F.col("smart_response"), F.col("naive_response")
-    return full.select(
+    return views.eval_long(spark, sf).select(
         "repo",
         "n",
         prompts.summary_prompt(ref).alias("summary_prompt"),
