@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -124,7 +124,7 @@ def answer(
     if fn is not None:
         return batch_map(questions, fn, ["question", "context"], "answer", "string")
     best = hits.where(F.col("rank") == 1).select("q_id", F.col("summary").alias("answer"))
-    return questions.join(best, "q_id", "left").select("q_id", "question", "answer")
+    return questions.select("q_id", "question").join(best, "q_id", "left")
 
 
 def chunk_records(
@@ -132,8 +132,10 @@ def chunk_records(
     mode: str,
     summary: Column | None = None,
     embedding: Column | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Chunks as collection records, with defaults for what is missing.
+    """Chunks as collection records, with defaults for what is missing; columns named
+    in ``keep`` go along.
 
     Takes repo, language, path, part, start_line, end_line and text; ``part`` tells
     the chunks of a file apart. The owner of the repository is kept beside its base
@@ -154,4 +156,4 @@ def chunk_records(
     ]
     if embedding is not None:
         columns.append(embedding.alias("embedding"))
-    return chunks.select(*columns)
+    return chunks.select(*columns, *keep)

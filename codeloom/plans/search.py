@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from codeloom.functions import prompts, vectors
 from codeloom.operators import clusters, context, enrich, lookup
 from codeloom.operators.search import top_k
 from codeloom.plans import sql as S
-from codeloom.plans import views
+from codeloom.plans import flows, views
 from codeloom.plans.chunks import LINKS, SCOPE_CHUNKS, scope_links, small_scope_chunks
 from codeloom.plans.registry import query
 from codeloom.workspace import materialize
@@ -284,6 +286,27 @@ def answer_queries(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.answer(questions(spark, sf), window_hits(spark, sf, k=1))
 
 
+@query(
+    "index_and_ask",
+    f"""WITH {S.CORPUS},{S.windowed(source='corpus', key='seq')},
+    stored AS (
+      SELECT substr(sha256(repo || '|' || path || '|' || win || '|naive|' || w.text), 1, 36) AS id, path AS chunk_file, w.text
+      FROM windows w JOIN corpus USING (seq) WHERE strlen(w.text) <= 2000),
+    {QUESTIONS},{S.hashed('stored_vectors', 'stored', 'id', 'text')},{QVECTORS},
+    {S.nearest('stored_top', 'question_vectors', 'stored_vectors', 'q_id', 'id', 'stored')}
+    SELECT q_id, question, string_agg(text, chr(10) ORDER BY rank) AS context,
+           max(text) FILTER (rank = 1) AS answer
+    FROM stored_top JOIN stored USING (id) JOIN questions USING (q_id) GROUP BY q_id, question""",
+)
+def index_and_ask(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of the whole corpus stored in a collection, within its field widths,
+    and all questions asked of it.
+    """
+    name = f"c_{uuid.uuid4().hex}"
+    flows.index_files(views.corpus(spark, sf), "naive", name)
+    return flows.ask(spark, questions(spark, sf), name, "naive")
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
