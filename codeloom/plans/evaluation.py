@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import evaluate, metrics
 from codeloom.plans import sql as S
-from codeloom.plans import views
+from codeloom.plans import flows, views
 from codeloom.plans.registry import query
 from codeloom.sources import chunk_store
 from codeloom.workspace import fresh_dir
@@ -266,20 +266,10 @@ def eval_report(spark: SparkSession, sf: str) -> DataFrame:
 )
 def results_document(spark: SparkSession, sf: str) -> DataFrame:
     """Nested results written as JSON by repository, read back and flattened."""
-    scores = evaluate.nested_metrics(all_scores(spark, sf), ["repo", "n"])
-    flat = scores.select(
-        "repo",
-        "n",
-        *[
-            F.col(f"metrics.{mode}.{field}").alias(f"{mode}_{name}")
-            for mode in evaluate.MODES
-            for field, name in (("bleu", "bleu"), ("rougeL", "rouge_l"), ("ter", "ter"))
-        ],
-    )
-    asked = views.eval_long(spark, sf)
-    judged = choices(spark, sf).select("repo", "n", "chosen_mode")
-    results = evaluate.partial_results(
-        evaluate.partial_results(asked, flat, ["repo", "n"]), judged, ["repo", "n"]
+    long = views.eval_long(spark, sf)
+    results = flows.evaluate_answers(
+        long.select("repo", "n", "question", "reference"),
+        long.select("repo", "n", "smart_response", "naive_response"),
     )
     document = chunk_store.result_document(results)
     path = fresh_dir(spark, "results")

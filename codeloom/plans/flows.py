@@ -1,7 +1,7 @@
 """From files to a stored collection, and from questions to answers.
 
 The steps a user runs: ``index_files`` once per mode, then ``ask`` and ``compare`` for
-a table of questions at a time.
+a table of questions at a time, and ``evaluate_answers`` where references are known.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.vectors import embed_text
-from codeloom.operators import context, enrich
+from codeloom.operators import context, enrich, evaluate
 from codeloom.operators.nodes import prose_nodes
 from codeloom.operators.packing import MAX_CHARS, structural_chunks
 from codeloom.operators.scopes import scope_chunks
@@ -153,3 +153,35 @@ def compare(
     return chosen.select(
         "q_id", "question", "smart", "naive", context.clean_choice(F.col("choice")).alias("choice")
     )
+
+
+def evaluate_answers(asked: DataFrame, answers: DataFrame, judge_fn: BatchFunction | None = None) -> DataFrame:
+    """Results of an experiment, a row per (repo, n).
+
+    ``asked`` has question and reference, ``answers`` smart_response and
+    naive_response; one that is missing leaves its scores null. ``judge_fn`` answers
+    the prompt of a blind pair with A or B; without it the longer response wins.
+    """
+    keys = ["repo", "n"]
+    wide = evaluate.partial_results(asked, answers, keys)
+    long = evaluate.long_responses(evaluate.spread(wide, *keys))
+    nested = evaluate.nested_metrics(evaluate.score_responses(long), keys)
+    scores = nested.select(
+        *keys,
+        *[
+            F.col(f"metrics.{mode}.{field}").alias(f"{mode}_{name}")
+            for mode in evaluate.MODES
+            for field, name in (("bleu", "bleu"), ("rougeL", "rouge_l"), ("ter", "ter"))
+        ],
+    )
+    pairs = evaluate.ab_pairs(wide.dropna(subset=["question", "smart_response", "naive_response"]), keys)
+    if judge_fn is None:
+        judged = pairs.withColumn(
+            "choice", evaluate.longer_response(F.col("response_a"), F.col("response_b"))
+        )
+    else:
+        judged = enrich.batch_map(pairs, judge_fn, ["prompt"], "choice", "string")
+    chosen = judged.select(
+        *keys, evaluate.chosen_mode(F.col("choice"), F.col("first_mode")).alias("chosen_mode")
+    )
+    return evaluate.partial_results(evaluate.partial_results(wide, scores, keys), chosen, keys)

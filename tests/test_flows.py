@@ -93,6 +93,25 @@ def test_failures_are_reported_not_stored(spark, files):
     assert kept and not any("send_mail" in t or "total" in t for t in kept)
 
 
+def test_experiment(spark, names, questions):
+    """Answers of both modes, scored against references and judged blind."""
+    asked = questions.selectExpr("'shop' AS repo", "q_id AS n", "question", "'sends the mail body' AS reference")
+
+    def answers(mode):
+        found = flows.ask(spark, questions.where("q_id < 2 OR 'smart' = '%s'" % mode), names[mode], mode)
+        return found.selectExpr("'shop' AS repo", "q_id AS n", f"answer AS {mode}_response")
+
+    both = answers("smart").join(answers("naive"), ["repo", "n"], "left")
+
+    def judge(frame: pd.DataFrame) -> pd.Series:
+        return frame["prompt"].map(lambda p: " A " if "Response A:" in p else "?")
+
+    rows = {r["n"]: r for r in flows.evaluate_answers(asked, both, judge).collect()}
+    assert rows[1]["chosen_mode"] in ("smart", "naive") and rows[1]["naive_ter"] is not None
+    # The question without a naive answer keeps its smart scores.
+    assert rows[2]["naive_bleu"] is None and rows[2]["chosen_mode"] is None and rows[2]["smart_rouge_l"] > 0
+
+
 def test_unknown_mode(files):
     with pytest.raises(ValueError):
         flows.chunk_files(files, "other")
