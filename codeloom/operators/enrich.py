@@ -127,6 +127,12 @@ def answer(
     return questions.select("q_id", "question").join(best, "q_id", "left")
 
 
+def record_id(mode: str) -> Column:
+    """Id of a chunk of repo, path, part and text; the same whenever it is cut again."""
+    file = F.coalesce("path", F.lit("unknown"))
+    return content_id(F.col("repo"), file, F.col("part"), F.lit(mode), F.col("text"))
+
+
 def chunk_records(
     chunks: DataFrame,
     mode: str,
@@ -145,7 +151,7 @@ def chunk_records(
     lines = F.concat_ws("-", line("start_line"), line("end_line"))
     file = F.coalesce("path", F.lit("unknown"))
     columns = [
-        content_id(F.col("repo"), file, F.col("part"), F.lit(mode), F.col("text")).alias("id"),
+        record_id(mode).alias("id"),
         base_name(F.col("repo")).alias("repo_name"),
         F.col("repo"),
         F.col("language"),

@@ -62,15 +62,21 @@ def index_files(
     path: str | None = None,
     summarize_fn: BatchFunction | None = None,
     embed_fn: BatchFunction | None = None,
+    skip_known: bool = False,
 ) -> DataFrame:
     """Chunk, summarise, embed and append to collection ``name``, made if missing.
 
-    A naive chunk is its own summary. Returns the chunks that were not stored, with
-    the reason: a failed summary or embedding, or a field beyond its width.
+    A naive chunk is its own summary. With ``skip_known``, chunks that the collection
+    has already are left out before anything costly is done to them, so an index can
+    be taken up again or brought up to date. Returns the chunks that were not stored,
+    with the reason: a failed summary or embedding, or a field beyond its width.
     """
     spark = files.sparkSession
     collection.create_collection(spark, name, path or fresh_dir(spark, name))
     chunks = chunk_files(files, mode)
+    if skip_known:
+        known = spark.table(name).select("id")
+        chunks = chunks.withColumn("id", enrich.record_id(mode)).join(known, "id", "left_anti").drop("id")
     no_error = F.lit(None).cast("string")
     if mode == "naive":
         told = chunks.withColumns({"summary": F.col("text"), "summary_error": no_error})

@@ -112,6 +112,16 @@ def test_experiment(spark, names, questions):
     assert rows[2]["naive_bleu"] is None and rows[2]["chosen_mode"] is None and rows[2]["smart_rouge_l"] > 0
 
 
+def test_index_again_skips_what_is_known(spark, files):
+    name = f"c_{uuid.uuid4().hex}"
+    first = files.where("repo = 'o/shop'")
+    flows.index_files(first, "smart", name)
+    before = spark.table(name).count()
+    flows.index_files(files, "smart", name, skip_known=True)
+    ids = [r["id"] for r in spark.table(name).select("id").collect()]
+    assert len(set(ids)) == len(ids) == before + 1
+
+
 def test_unknown_mode(files):
     with pytest.raises(ValueError):
         flows.chunk_files(files, "other")
