@@ -92,7 +92,9 @@ def probed_top_k(
     The probes, ``nprobe`` to a query, are written out, since they serve twice.
     """
     probes = materialize(probe_clusters(index, queries, nprobe), "probes")
-    wanted = F.broadcast(probes.select("cid").distinct())
+    # Every cluster number passes the filter; Spark prunes partitions by another table
+    # only if that table is filtered.
+    wanted = F.broadcast(probes.where(F.col("cid") >= 0).select("cid").distinct())
     reached = index.collection.join(wanted, "cid", "left_semi")
     return top_k(
         reached, probes, k=k, metric=index.metric, id_col=id_col, vector_col=vector_col, match_on="cid"
