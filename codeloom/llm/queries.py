@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat_format, license_scan
+from codeloom.llm import chat_format, license_scan, quality_classifier, simhash_dedup, toxicity
 from codeloom.llm.common import table
 from codeloom.llm.registry import ORACLES, QUERIES, query
 
@@ -23,6 +23,36 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    """Whether no label of a row may be learned; a row of null id is held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(True))
+
+
+def _judged(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    return scored.select("doc_id", _held_out(modulus, remainder).alias("held_out"), *[c for c in scored.columns if c != "doc_id"])
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, "toxic", ~_held_out(5, 0))
+    return _judged(toxicity.score(docs, model, keep=["doc_id"]), 5, 0)
+
+
+@query("op5_simhash_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    model = quality_classifier.train(docs, labels, "quality", ~_held_out(3, 1))
+    return _judged(quality_classifier.score(docs, model, keep=["doc_id"]), 3, 1)
+
+
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 OP9_SQL = r"""
