@@ -140,7 +140,7 @@ def clause_reader(words: dict[str, float], prefixes: dict[str, float]) -> Callab
     def classify(word: bytes) -> tuple[int, float]:
         if word not in classes:
             plain = word.decode("utf-8", "replace")
-            weight = max([words.get(plain, 0.0), *(prefixes.get(plain[:n], 0.0) for n in lengths)])
+            weight = max([words.get(plain, 0.0), *(prefixes.get(plain[:n], 0.0) for n in lengths if n < len(plain))])
             kind = INSULT if weight else CLASS_OF.get(plain, OTHER)
             if len(classes) > 100_000:
                 classes.clear()
@@ -169,7 +169,7 @@ def clause_reader(words: dict[str, float], prefixes: dict[str, float]) -> Callab
             for word in WORD.finditer(line, begin, end):
                 kind, weight = classify(word[0])
                 state = GRAMMAR.moves[state, kind]
-                strength = max(strength, weight)
+                strength += weight
             found = kind_of(state)
             if found is not None:
                 out[found] += strength
@@ -178,21 +178,25 @@ def clause_reader(words: dict[str, float], prefixes: dict[str, float]) -> Callab
     return read
 
 
-def terms_of(text: bytes | None, shortest: int = 4, longest: int = 6) -> set[str]:
-    """Whole words (marked by a blank behind) and beginnings of words."""
+def terms_of(text: bytes | None, shortest: int = 4, longest: int = 8) -> set[str]:
+    """Whole words (marked by a blank behind) and beginnings of longer words."""
     words = set((text or b"").translate(LETTERS).decode("utf-8", "replace").split())
     terms = {f"{w} " for w in words if len(w) >= 3}
     for n in range(shortest, longest + 1):
-        terms.update(w[:n] for w in words if len(w) >= n)
+        terms.update(w[:n] for w in words if len(w) > n)
     return terms
 
 
-def learn_insults(texts: list[bytes], toxic: list[int], covers: int = 2, least: float = 0.004) -> tuple[dict, dict]:
-    """Words and prefixes that cover toxic texts and hardly any others.
+def learn_insults(
+    texts: list[bytes], toxic: list[int], covers: int = 3, least: float = 0.01, odds: float = 1.5
+) -> tuple[dict[str, float], dict[str, float]]:
+    """Words, and beginnings of words, that toxic texts have and others hardly, with weights.
 
     Greedy: always the term that covers most toxic texts still short of ``covers`` terms,
-    less twenty times the others it meets, until it gains less than ``least`` of them (three
-    at least). Of equal terms whole words go first, then longer prefixes. Near-copies count once.
+    less twice the others it meets (scaled to as many others as toxic texts), until the gain
+    is below ``least`` of the toxic texts (three at least). Terms need log odds of ``odds``;
+    weights are log odds over 6, 1 at most. Of equal terms whole words go first, then longer
+    beginnings. No term that begins another chosen one is taken. Near-copies count once.
     """
     seen: set[tuple] = set()
     bad: list[set[str]] = []
@@ -210,23 +214,29 @@ def learn_insults(texts: list[bytes], toxic: list[int], covers: int = 2, least:
             others.update(terms)
             n_others += 1
     counts = Counter(t for terms in bad for t in terms)
+    cost = 2 * len(bad) / max(1, n_others)
     floor = max(3 if len(bad) > 30 else 2, least * len(bad))
-    where: dict[str, list[int]] = {t: [] for t, n in counts.items() if n - 20 * others[t] >= floor}
+
+    def log_odds(t: str) -> float:
+        return float(np.log((counts[t] + 0.5) / (len(bad) + 1) * (n_others + 1) / (others[t] + 0.5)))
+
+    where: dict[str, list[int]] = {
+        t: [] for t, n in counts.items() if n - cost * others[t] >= floor and log_odds(t) >= odds
+    }
     for i, terms in enumerate(bad):
         for t in terms & where.keys():
             where[t].append(i)
     short = np.full(len(bad), covers)
     chosen: list[str] = []
     while where:
-        gains = {t: int((short[at] > 0).sum()) - 20 * others[t] for t, at in where.items()}
+        gains = {t: int((short[at] > 0).sum()) - cost * others[t] for t, at in where.items()}
         best = max(gains, key=lambda t: (gains[t], t[-1] == " ", len(t), t))
         if gains[best] < floor:
             break
         chosen.append(best)
         short[where.pop(best)] -= 1
-        where = {t: at for t, at in where.items() if gains[t] >= floor}
-    weight = {t: float(np.log((counts[t] + 0.5) / (len(bad) + 1) * (n_others + 1) / (others[t] + 0.5))) for t in chosen}
-    weight = {t: min(max(w, 1.0), 6.0) / 6 for t, w in weight.items()}
+        where = {t: at for t, at in where.items() if gains[t] >= floor and not (t.startswith(best) or best.startswith(t))}
+    weight = {t: min(log_odds(t), 6.0) / 6 for t in chosen}
     return {t[:-1]: w for t, w in weight.items() if t[-1] == " "}, {t: w for t, w in weight.items() if t[-1] != " "}
 
 
@@ -259,8 +269,8 @@ def train(
     usable: Column,
     doc_id: str = "doc_id",
     text: str = "text",
-    max_toxic: int = 3000,
-    max_others: int = 6000,
+    max_toxic: int = 2000,
+    max_others: int = 4000,
     max_bytes: int = 20_000,
     seed: int = 1,
 ) -> Model | None:
