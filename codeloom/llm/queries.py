@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat_format, license_scan, packing, quality_classifier, simhash_dedup, toxicity
+from codeloom.llm import chat_format, license_scan, mixing, packing, quality_classifier, simhash_dedup, toxicity
 from codeloom.llm.common import table
 from codeloom.llm.registry import ORACLES, QUERIES, query
 
@@ -43,6 +43,12 @@ def _judged(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
     return scored.select("doc_id", _held_out(modulus, remainder).alias("held_out"), *[c for c in scored.columns if c != "doc_id"])
 
 
+@query("op3_mixing", mixing.mix_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("probability", F.round("probability", 6))
+
+
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
