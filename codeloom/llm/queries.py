@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat_format, license_scan, mixing, packing, quality_classifier, simhash_dedup, toxicity
+from codeloom.llm import chat_format, license_scan, mixing, packing, quality_classifier, simhash_dedup, substring_dedup, toxicity
 from codeloom.llm.common import table
 from codeloom.llm.registry import ORACLES, QUERIES, query
 
@@ -101,3 +101,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     parts = turns.unionByName(control).withColumn("parts", chat_format.text_part(F.col("text")))
     return chat_format.digest_formatted(chat_format.format_conversations(parts))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
