@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat_format, license_scan, mixing, packing, quality_classifier, simhash_dedup, substring_dedup, toxicity
+from codeloom.llm import chat_format, embedding_dedup, license_scan, mixing, packing, quality_classifier, simhash_dedup, substring_dedup, toxicity
 from codeloom.llm.common import table
 from codeloom.llm.registry import ORACLES, QUERIES, query
 
@@ -106,3 +106,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op8_embedding_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
