@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat_format, embedding_dedup, license_scan, mixing, packing, quality_classifier, simhash_dedup, substring_dedup, toxicity
+from codeloom.llm import ann_forest, chat_format, embedding_dedup, license_scan, mixing, packing, quality_classifier, simhash_dedup, substring_dedup, toxicity
 from codeloom.llm.common import table
 from codeloom.llm.registry import ORACLES, QUERIES, query
 
@@ -34,13 +34,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
-def _held_out(modulus: int, remainder: int) -> Column:
+def held_out(modulus: int, remainder: int) -> Column:
     """Whether no label of a row may be learned; a row of null id is held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
 def _judged(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
-    return scored.select("doc_id", _held_out(modulus, remainder).alias("held_out"), *[c for c in scored.columns if c != "doc_id"])
+    return scored.select("doc_id", held_out(modulus, remainder).alias("held_out"), *[c for c in scored.columns if c != "doc_id"])
 
 
 @query("op3_mixing", mixing.mix_sql())
@@ -53,7 +53,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    model = toxicity.train(docs, labels, "toxic", ~_held_out(5, 0))
+    model = toxicity.train(docs, labels, "toxic", ~held_out(5, 0))
     return _judged(toxicity.score(docs, model, keep=["doc_id"]), 5, 0)
 
 
@@ -66,7 +66,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    model = quality_classifier.train(docs, labels, "quality", ~_held_out(3, 1))
+    model = quality_classifier.train(docs, labels, "quality", ~held_out(3, 1))
     return _judged(quality_classifier.score(docs, model, keep=["doc_id"]), 3, 1)
 
 
@@ -111,3 +111,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_embedding_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_ann_forest")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -1,25 +1,84 @@
-"""Documents to training sequences, a stage at a time."""
+"""Documents to training sequences, a stage at a time.
+
+Each stage takes all that the one before it kept and returns the columns of documents,
+only the last one returns packed pieces. Stages read their input where it was written, so
+a lost executor costs the work since the last stage and no more.
+"""
 
 from __future__ import annotations
 
 import os
 import sys
+from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
+from codeloom.llm import mixing, packing, quality_classifier, queries, simhash_dedup, substring_dedup  # noqa: E402
+from codeloom.llm.common import table  # noqa: E402
 from codeloom.workspace import materialize  # noqa: E402
 
-STAGES: list = []
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels outside its held-out fold, accepts."""
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), "quality", ~queries.held_out(3, 1))
+    text = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    scored = quality_classifier.score(text, model, keep=["row"])
+    return scored.where("predicted = 1").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group; of rows of one doc_id one. Rows without
+    an id can't be told apart and all stay."""
+    groups = materialize(simhash_dedup.near_duplicates(docs), "groups")
+    later = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = docs.join(later.unionByName(again), "doc_id", "left_anti")
+    first = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(first).select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of passages that an earlier one has. Texts that lose a
+    word are the rest joined by spaces, with n_chars counted anew; those that lose all go."""
+    cut = substring_dedup.remove_repeats(docs, keep=docs.columns, with_text=True)
+    left = cut.where("n_removed = 0 OR n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept_text")).otherwise(F.col("kept.text")).alias("text")
+    n_chars = F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("kept.n_chars")).alias("n_chars")
+    own = {"text": text, "n_chars": n_chars}
+    return left.select(*[own.get(c, F.col(f"kept.`{c}`")) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens have the target shares of sources, languages and topics."""
+    return mixing.mix(docs, keep=docs.columns).where("sampled").select("kept.*")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left, in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, queries.tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", keep_quality),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
 #: A trained classifier and a tokenizer have no SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each reads what the one before it wrote."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
