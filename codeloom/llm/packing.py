@@ -2,8 +2,8 @@
 
 Pieces of texts are dealt to groups and packed there by best-fit decreasing. Bounds from
 dual feasible functions certify the groups that use as few sequences as can be. Groups
-with a gap give up their unfilled sequences, which are exchanged between such groups and
-packed again, as long as that saves sequences.
+with a gap give up their unfilled sequences (certified ones those that are half empty),
+which are exchanged between groups and packed again; an exchange that saves nothing is undone.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ CAPACITY = 2048
 #: Pieces that one task packs at a time.
 GROUP = 16_384
 #: Exchanges between groups with a gap.
-ROUNDS = 3
+ROUNDS = 5
 END_ID = b"\0\0\0\0"
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -129,9 +129,11 @@ def _packer(capacity: int, turn: int) -> Callable[[tuple, pa.Table], pa.Table]:
             _, bins = np.unique(before, return_inverse=True)
             offsets = rows["offset"].to_numpy()
             fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        open_ = len(fill) > lower_bound(lengths, capacity)
+        # A certified group has no gap of its own, but others may fill its emptiest sequences.
+        certified = len(fill) <= lower_bound(lengths, capacity)
+        spare = fill <= capacity // 2 if certified else fill < capacity
         sequence = (turn << 56) + (int(key[0].as_py()) << 24) + bins
-        made = {"sequence_id": sequence, "offset": offsets, "open": (fill < capacity)[bins] & open_}
+        made = {"sequence_id": sequence, "offset": offsets, "open": spare[bins]}
         kept = [rows[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *made]
         return pa.table([*kept, *map(pa.array, made.values())], names=names)
