@@ -15,7 +15,6 @@ from codeloom.workspace import fresh_dir, materialize
 
 NLIST = 128
 NPROBE = 10
-WRITE_SALTS = 16
 
 
 @dataclass
@@ -36,31 +35,31 @@ def build_index(
     path: str | None = None,
     seed: int = 42,
     max_iter: int = 10,
+    centroids: DataFrame | None = None,
 ) -> ClusteredIndex:
     """Cluster the vectors and write the collection partitioned by cluster ``cid``.
 
-    For cosine the unit vectors are clustered. A cluster is written by several
-    tasks, so a hot one is several files and no single task's work.
+    Clusters are those of ``centroids`` (cid, centroid), to which each vector goes by the
+    metric, or ``nlist`` found by k-means; for cosine the unit vectors are clustered.
+    Writers are rebalanced by size, so a hot cluster is several files and no task's work alone.
     """
     spark = collection.sparkSession
     path = path or fresh_dir(spark, "clusters")
-    direction = l2_normalize(F.col(vector_col)) if metric == "cosine" else F.col(vector_col).cast("array<double>")
-    points = collection.withColumn("_point", array_to_vector(direction))
-    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="_point", predictionCol="cid").fit(
-        points.select("_point")
-    )
-    salt = F.pmod(F.xxhash64(id_col), F.lit(WRITE_SALTS))
-    (
-        model.transform(points)
-        .drop("_point")
-        .repartition("cid", salt)
-        .write.partitionBy("cid")
-        .parquet(f"{path}/vectors")
-    )
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    spark.createDataFrame(rows, "cid int, centroid array<double>").coalesce(1).write.parquet(
-        f"{path}/centroids"
-    )
+    if centroids is None:
+        direction = l2_normalize(F.col(vector_col)) if metric == "cosine" else F.col(vector_col).cast("array<double>")
+        points = collection.withColumn("_point", array_to_vector(direction))
+        model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="_point", predictionCol="cid").fit(
+            points.select("_point")
+        )
+        clustered = model.transform(points).drop("_point")
+        rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+        centroids = spark.createDataFrame(rows, "cid int, centroid array<double>")
+    else:
+        asked = collection.select(F.col(id_col).alias("q_id"), F.col(vector_col).cast("array<double>").alias("qv"))
+        nearest = top_k(centroids, asked, k=1, metric=metric, id_col="cid", vector_col="centroid")
+        clustered = collection.join(nearest.select(F.col("q_id").alias(id_col), F.col("id").alias("cid")), id_col)
+    clustered.hint("rebalance", "cid").write.partitionBy("cid").parquet(f"{path}/vectors")
+    centroids.coalesce(1).write.parquet(f"{path}/centroids")
     return open_index(spark, path, metric)
 
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.functions.binding import bind
 from codeloom.functions.repos import base_name, content_id
-from codeloom.functions.text import sentences
+from codeloom.functions.text import sentences, words
 
 SUMMARY_WORDS = 150
 
@@ -26,8 +27,8 @@ def batch_map(
 ) -> DataFrame:
     """Adds ``fn`` of the columns ``in_cols``, taken batch by batch.
 
-    ``fn`` gets a frame and returns one value per row. If a batch fails, its rows
-    are tried one at a time; a row that fails keeps a null value and its error.
+    ``fn`` gets a frame and returns one value per row. A batch that fails is halved until
+    the rows that fail are alone; they keep a null value and their error.
     """
     if isinstance(value_type, str):
         value_type = T._parse_datatype_string(value_type)
@@ -39,26 +40,22 @@ def batch_map(
         ]
     )
 
-    def one_by_one(frame: pd.DataFrame) -> tuple[list, list]:
-        values, errors = [], []
-        for i in range(len(frame)):
-            try:
-                values.append(list(fn(frame.iloc[i : i + 1]))[0])
-                errors.append(None)
-            except Exception as problem:  # noqa: BLE001 - any failure of the caller's function
-                values.append(None)
-                errors.append(f"{type(problem).__name__}: {problem}")
-        return values, errors
+    def tried(args: pd.DataFrame) -> tuple[list, list]:
+        try:
+            values = list(fn(args))
+            if len(values) != len(args):
+                raise ValueError("the function must return one value per row")
+            return values, [None] * len(args)
+        except Exception as problem:  # noqa: BLE001 - any failure of the caller's function
+            if len(args) == 1:
+                return [None], [f"{type(problem).__name__}: {problem}"]
+        half = len(args) // 2
+        first, rest = tried(args.iloc[:half].reset_index(drop=True)), tried(args.iloc[half:].reset_index(drop=True))
+        return first[0] + rest[0], first[1] + rest[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            args = frame[in_cols].reset_index(drop=True)
-            try:
-                values, errors = list(fn(args)), [None] * len(frame)
-                if len(values) != len(frame):
-                    raise ValueError("the function must return one value per row")
-            except Exception:  # noqa: BLE001
-                values, errors = one_by_one(args)
+            values, errors = tried(frame[in_cols].reset_index(drop=True)) if len(frame) else ([], [])
             yield frame.assign(**{value_col: pd.Series(values, index=frame.index, dtype=object),
                                   error_col: pd.Series(errors, index=frame.index, dtype=object)})
 
@@ -73,42 +70,59 @@ def split_errors(enriched: DataFrame, error_col: str = "error") -> tuple[DataFra
     )
 
 
-def leading_sentences(text: Column, max_words: int = SUMMARY_WORDS) -> Column:
-    """Whole sentences from the start, up to ``max_words`` words in all.
-
-    If the first sentence alone is longer, its first ``max_words`` words. Every
-    sentence kept has a word, so no more than ``max_words`` sentences are looked at.
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _telling(words: pa.Array, lengths: pa.Array, limit: pa.Array) -> pa.Array:
+    """Which sentences to keep, best first: those whose words are most frequent in the text."""
+    out = []
+    for sentences_, sizes, most in zip(words.to_pylist(), lengths.to_pylist(), limit.to_pylist(), strict=True):
+        counts = Counter(w for s in sentences_ or () for w in s)
+        score = [sum(map(counts.__getitem__, s)) / len(s) if s else 0.0 for s in sentences_ or ()]
+        kept, total = [], 0
+        for i in sorted(range(len(score)), key=lambda i: (-score[i], i)):
+            total += sizes[i]
+            if total > most and kept:
+                break
+            kept.append(i)
+        out.append(kept)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def telling_sentences(text: Column, max_words: int = SUMMARY_WORDS) -> Column:
+    """The most telling sentences of the whole text, up to ``max_words`` words in all, in
+    the order of the text.
+
+    A sentence tells as much as its words are frequent in the text, on average; of equal
+    ones the first goes first. Sentences are taken best first until the next one is too
+    long; if the best alone is, its first ``max_words`` words are the summary.
     """
-    parts = F.slice(
-        F.filter(F.transform(sentences(text), lambda s: F.trim(s)), lambda s: s != ""), 1, max_words
-    )
-    counted = F.transform(
-        parts, lambda s: F.struct(s.alias("text"), F.size(F.split(s, r"\s+")).alias("n"))
-    )
-    taken = F.aggregate(
-        counted,
-        F.struct(F.lit(0).alias("n"), F.lit("").alias("text")),
-        lambda acc, s: F.when(
-            (acc["n"] + s["n"] <= max_words),
-            F.struct(
-                (acc["n"] + s["n"]).alias("n"),
-                F.when(acc["n"] == 0, s["text"]).otherwise(F.concat(acc["text"], F.lit(" "), s["text"])).alias("text"),
-            ),
-        ).otherwise(F.struct((acc["n"] + max_words).alias("n"), acc["text"].alias("text"))),
-        lambda acc: acc["text"],
-    )
-    cut_first = F.array_join(F.slice(F.split(F.get(parts, F.lit(0)), r"\s+"), 1, max_words), " ")
-    return bind(taken, lambda t: F.when(t != "", t).otherwise(F.coalesce(cut_first, F.lit(""))))
+    parts = F.filter(F.transform(sentences(F.coalesce(text, F.lit(""))), lambda s: F.trim(s)), lambda s: s != "")
+
+    def joined(found: Column) -> Column:
+        kept = _telling(
+            F.transform(found, lambda s: words(s)),
+            F.transform(found, lambda s: F.size(F.split(s, r"\s+"))),
+            F.lit(max_words),
+        )
+        return F.array_join(F.transform(F.array_sort(kept), lambda i: F.get(found, i)), " ")
+
+    # Only a sentence that is kept alone can be too long.
+    return cut_words(joined(parts), max_words)
+
+
+def cut_words(text: Column, max_words: int) -> Column:
+    """The text, or its first words if it has more."""
+    pieces = F.split(text, r"\s+")
+    return F.when(F.size(pieces) <= max_words, text).otherwise(F.array_join(F.slice(pieces, 1, max_words), " "))
 
 
 def summarize(
     chunks: DataFrame, text_col: str = "text", fn: Callable[[pd.DataFrame], pd.Series] | None = None
 ) -> DataFrame:
-    """Adds ``summary``: by the caller's function over batches, else the leading
+    """Adds ``summary``: by the caller's function over batches, else the most telling
     sentences. With a function there is an ``error`` column as well.
     """
     if fn is None:
-        return chunks.withColumn("summary", leading_sentences(F.col(text_col)))
+        return chunks.withColumn("summary", telling_sentences(F.col(text_col)))
     return batch_map(chunks, fn, [text_col], "summary", "string")
 
 

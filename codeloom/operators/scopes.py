@@ -158,7 +158,8 @@ def scope_chunks(
 
     One chunk per scope, of the lines it owns itself; nested scopes are chunks of
     their own, tied by ``parent``. A scope is cut every ``chunk_lines`` of its
-    lines, and a cut piece again wherever the next line would exceed ``max_chars``.
+    lines, and a cut piece again wherever the next line would exceed ``max_chars``. A line
+    longer than that is chunks of its own, cut by offset, which share its line number.
     """
     scoped = line_scopes(files, id_col, text_col)
     in_scope = Window.partitionBy(id_col, "owner").orderBy("ln")
@@ -182,8 +183,21 @@ def scope_chunks(
               acc -> concat(acc.done, array(named_struct(
                   'first', acc.first, 'last', acc.last, 'text', acc.text))))"""
     )
+    # What is still longer is one line alone: it is cut by offset.
+    short = F.flatten(
+        F.transform(
+            cut,
+            lambda c: F.transform(
+                F.sequence(F.lit(0), F.greatest(F.length(c["text"]) - 1, F.lit(0)), F.lit(max_chars)),
+                lambda at: F.struct(
+                    c["first"].alias("first"), c["last"].alias("last"),
+                    F.substring(c["text"], at + 1, F.lit(max_chars)).alias("text"),
+                ),
+            ),
+        )
+    )
     cuts = pieces.select(
-        id_col, "owner", "piece", "kind", "name", "parent", F.posexplode(cut).alias("cut", "c")
+        id_col, "owner", "piece", "kind", "name", "parent", F.posexplode(short).alias("cut", "c")
     )
     in_order = Window.partitionBy(id_col, "owner").orderBy("piece", "cut")
     scope = Window.partitionBy(id_col, "owner")
@@ -208,7 +222,7 @@ def raw_links(chunks: DataFrame, id_col: str = "path") -> DataFrame:
     Parent links name the first chunk of the enclosing scope, previous and next
     links the neighbours in file order; the ends of these chains have no target.
     """
-    in_file = Window.partitionBy(id_col).orderBy("start_line", "chunk_id")
+    in_file = Window.partitionBy(id_col).orderBy("start_line", "part", "chunk_id")
 
     def link(relation: str, target: Column) -> Column:
         return F.struct(F.lit(relation).alias("relation"), target.alias("target"))

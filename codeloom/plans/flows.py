@@ -26,25 +26,38 @@ BatchFunction = Callable[[pd.DataFrame], pd.Series]
 HIT_FIELDS = ["summary", "chunk_code", "chunk_file"]
 
 
+FILE_COLUMNS = ["repo", "path", "language"]
+
+
+def with_file_id(files: DataFrame) -> DataFrame:
+    """Different files (repo, path, language, text), each with an id of its own. JSON spells
+    nulls out, so files without a path are told apart by their text.
+    """
+    content = F.to_json(F.struct(*FILE_COLUMNS, "text"))
+    return files.select(*FILE_COLUMNS, "text", F.sha2(content, 256).alias("file_id")).dropDuplicates(["file_id"])
+
+
 def chunk_files(files: DataFrame, mode: str) -> DataFrame:
     """Chunks of files (repo, path, language, text): ``smart`` by scopes, ``structural``
-    by packed nodes, ``naive`` by token windows.
+    by packed nodes, ``naive`` by token windows. Equal rows are one file.
     """
-    columns = ["repo", "path", "language"]
-    keyed = files.withColumn("file_id", F.concat_ws("/", "repo", "path"))
+    keyed = with_file_id(files)
     no_line = F.lit(None).cast("bigint")
     if mode == "naive":
-        cut = token_windows(keyed, id_col="file_id", keep=columns)
-        return cut.withColumns({"part": F.col("win"), "start_line": no_line, "end_line": no_line})
-    if mode == "smart":
+        cut = token_windows(keyed, id_col="file_id", keep=FILE_COLUMNS)
+        cut = cut.withColumns({"part": F.col("win").cast("string"), "start_line": no_line, "end_line": no_line})
+    elif mode == "smart":
         cut = scope_chunks(keyed, id_col="file_id").withColumn("part", F.concat_ws(":", "scope", "part"))
     elif mode == "structural":
         tree = prose_nodes(keyed, "file_id", sentences_over=MAX_CHARS)
-        cut = structural_chunks(tree, keyed, id_col="file_id").withColumn("part", F.col("start"))
+        cut = structural_chunks(tree, keyed, id_col="file_id").withColumn("part", F.col("start").cast("string"))
     else:
         raise ValueError(f"Unknown mode: {mode}")
-    cut = cut.select("file_id", "part", "start_line", "end_line", "text")
-    return cut.join(keyed.select("file_id", *columns), "file_id")
+    if mode != "naive":
+        cut = cut.select("file_id", "part", "start_line", "end_line", "text")
+        cut = cut.join(keyed.select("file_id", *FILE_COLUMNS), "file_id")
+    # Ids of chunks are made of path and part: without a path, the part names the file.
+    return cut.withColumn("part", F.when(F.col("path").isNull(), F.concat_ws(":", "file_id", "part")).otherwise(F.col("part")))
 
 
 def _embedded(rows: DataFrame, text_col: str, fn: BatchFunction | None, value_col: str, error_col: str) -> DataFrame:
@@ -62,14 +75,16 @@ def index_files(
     path: str | None = None,
     summarize_fn: BatchFunction | None = None,
     embed_fn: BatchFunction | None = None,
-    skip_known: bool = False,
+    skip_known: bool = True,
+    reject_wide: bool = False,
 ) -> DataFrame:
     """Chunk, summarise, embed and append to collection ``name``, made if missing.
 
-    A naive chunk is its own summary. With ``skip_known``, chunks that the collection
-    has already are left out before anything costly is done to them, so an index can
-    be taken up again or brought up to date. Returns the chunks that were not stored,
-    with the reason: a failed summary or embedding, or a field beyond its width.
+    A naive chunk is its own summary. Chunks that the collection has already are left out
+    (unless ``skip_known`` is off) before anything costly is done to them, so an index can
+    be taken up again or brought up to date. Returns the chunks with a ``reason``, and
+    whether they are ``stored``: a failed summary or embedding keeps a chunk out; a field
+    beyond its declared width is reported, and keeps it out only with ``reject_wide``.
     """
     spark = files.sparkSession
     collection.create_collection(spark, name, path or fresh_dir(spark, name))
@@ -87,12 +102,23 @@ def index_files(
     vectors = _embedded(told, "summary", embed_fn, "embedding", "embed_error")
     ready = vectors.withColumn("error", F.coalesce("summary_error", "embed_error"))
     records = enrich.chunk_records(ready, mode, F.col("summary"), F.col("embedding"), ["error"])
-    # Written once: the records are read for storing and again for what was rejected.
+    barred = F.coalesce("error", collection.fault(), collection.too_wide() if reject_wide else no_error)
+    # Written once: the records are read for storing and again for the report.
     records = materialize(
-        records.withColumn("reason", F.coalesce("error", collection.reject_reason())).drop("error"), "records"
+        records.withColumns({"stored": barred.isNull(), "reason": F.coalesce(barred, collection.too_wide())}).drop("error"),
+        "records",
+    )
+    collection.append(records.where("stored"), name)
+    return records.where(F.col("reason").isNotNull()).select(
+        "id", "repo", "chunk_file", "chunk_lines", "reason", "stored"
     )
-    collection.append(records.where(F.col("reason").isNull()), name)
-    return records.where(F.col("reason").isNotNull()).select("id", "repo", "chunk_file", "chunk_lines", "reason")
+
+
+def embed_questions(questions: DataFrame, embed_fn: BatchFunction | None = None) -> DataFrame:
+    """(q_id, question, qv, question_error), worked out once: a search reads its questions
+    more than once."""
+    asked = _embedded(questions.select("q_id", "question"), "question", embed_fn, "qv", "question_error")
+    return materialize(asked, "questions")
 
 
 def find(
@@ -104,11 +130,12 @@ def find(
     k: int = TOP_K,
     embed_fn: BatchFunction | None = None,
 ) -> DataFrame:
-    """Best chunks of collection ``name`` for questions (q_id, question)."""
+    """Best chunks of collection ``name`` for questions (q_id, question), or for embedded ones."""
     stored = spark.table(name)
     if repo_name is not None:
         stored = stored.where(F.col("repo_name") == repo_name)
-    asked = _embedded(questions.select("q_id", "question"), "question", embed_fn, "qv", "error")
+    asked = questions if "qv" in questions.columns else embed_questions(questions, embed_fn)
+    asked = asked.where(F.col("qv").isNotNull()).select("q_id", "qv")
     return top_k(stored, asked, k=k, output_fields=HIT_FIELDS).withColumn("mode", F.lit(mode))
 
 
@@ -122,16 +149,22 @@ def ask(
     answer_fn: BatchFunction | None = None,
     embed_fn: BatchFunction | None = None,
 ) -> DataFrame:
-    """(q_id, question, context, answer): by ``answer_fn`` over question and context,
-    which adds an ``error`` column, else the summary of the best chunk.
+    """(q_id, question, context, answer, error): by ``answer_fn`` over question and
+    context, else the summary of the best chunk. ``error`` is what kept a question from
+    being embedded, or its answer from being made.
     """
-    hits = materialize(find(spark, questions, name, mode, repo_name, k, embed_fn), "hits")
+    asked = embed_questions(questions, embed_fn)
+    hits = materialize(find(spark, asked, name, mode, repo_name, k), "hits")
     contexts = context.assemble_context(hits, ["q_id"]).select("q_id", "context")
-    with_context = questions.select("q_id", "question").join(contexts, "q_id", "left")
+    with_context = asked.select("q_id", "question", "question_error").join(contexts, "q_id", "left")
     if answer_fn is not None:
-        return enrich.answer(with_context, hits, answer_fn)
-    return enrich.answer(with_context, hits).join(contexts, "q_id", "left").select(
-        "q_id", "question", "context", "answer"
+        answered = enrich.answer(with_context, hits, answer_fn)
+    else:
+        answered = enrich.answer(with_context, hits).join(with_context.drop("question"), "q_id", "left").withColumn(
+            "error", F.lit(None).cast("string")
+        )
+    return answered.select(
+        "q_id", "question", "context", "answer", F.coalesce("question_error", "error").alias("error")
     )
 
 
@@ -144,20 +177,20 @@ def compare(
     embed_fn: BatchFunction | None = None,
     judge_fn: BatchFunction | None = None,
 ) -> DataFrame:
-    """(q_id, question, smart, naive, choice): both contexts and the better one, as
+    """(q_id, question, smart, naive, choice, error): both contexts and the better one, as
     ``judge_fn`` over question, smart and naive says, else by word overlap.
     """
-    hits = find(spark, questions, smart_name, "smart", k=k, embed_fn=embed_fn).unionByName(
-        find(spark, questions, naive_name, "naive", k=k, embed_fn=embed_fn)
-    )
-    wide = context.side_by_side(context.assemble_context(hits, ["q_id", "mode"]))
-    pairs = questions.select("q_id", "question").join(wide, "q_id", "left")
+    asked = embed_questions(questions, embed_fn)
+    hits = find(spark, asked, smart_name, "smart", k=k).unionByName(find(spark, asked, naive_name, "naive", k=k))
+    wide = context.side_by_side(context.assemble_context(materialize(hits, "hits"), ["q_id", "mode"]))
+    pairs = asked.select("q_id", "question", "question_error").join(wide, "q_id", "left")
     if judge_fn is None:
-        chosen = context.choose_context(pairs)
+        chosen = context.choose_context(pairs).withColumn("error", F.lit(None).cast("string"))
     else:
         chosen = enrich.batch_map(pairs, judge_fn, ["question", "smart", "naive"], "choice", "string")
     return chosen.select(
-        "q_id", "question", "smart", "naive", context.clean_choice(F.col("choice")).alias("choice")
+        "q_id", "question", "smart", "naive", context.clean_choice(F.col("choice")).alias("choice"),
+        F.coalesce("question_error", "error").alias("error"),
     )
 
 
@@ -166,7 +199,8 @@ def evaluate_answers(asked: DataFrame, answers: DataFrame, judge_fn: BatchFuncti
 
     ``asked`` has question and reference, ``answers`` smart_response and
     naive_response; one that is missing leaves its scores null. ``judge_fn`` answers
-    the prompt of a blind pair with A or B; without it the longer response wins.
+    the prompt of a blind pair with A or B (``judge_error`` says why it failed); without
+    it the longer response wins.
     """
     keys = ["repo", "n"]
     wide = evaluate.partial_results(asked, answers, keys)
@@ -182,12 +216,15 @@ def evaluate_answers(asked: DataFrame, answers: DataFrame, judge_fn: BatchFuncti
     )
     pairs = evaluate.ab_pairs(wide.dropna(subset=["question", "smart_response", "naive_response"]), keys)
     if judge_fn is None:
-        judged = pairs.withColumn(
-            "choice", evaluate.longer_response(F.col("response_a"), F.col("response_b"))
+        judged = pairs.withColumns(
+            {
+                "choice": evaluate.longer_response(F.col("response_a"), F.col("response_b")),
+                "judge_error": F.lit(None).cast("string"),
+            }
         )
     else:
-        judged = enrich.batch_map(pairs, judge_fn, ["prompt"], "choice", "string")
+        judged = enrich.batch_map(pairs, judge_fn, ["prompt"], "choice", "string", "judge_error")
     chosen = judged.select(
-        *keys, evaluate.chosen_mode(F.col("choice"), F.col("first_mode")).alias("chosen_mode")
+        *keys, evaluate.chosen_mode(F.col("choice"), F.col("first_mode")).alias("chosen_mode"), "judge_error"
     )
     return evaluate.partial_results(evaluate.partial_results(wide, scores, keys), chosen, keys)

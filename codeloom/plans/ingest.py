@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import repos, text, vectors
 from codeloom.operators import firsts, reports
-from codeloom.operators.enrich import chunk_records, leading_sentences
+from codeloom.operators.enrich import chunk_records, telling_sentences
 from codeloom.plans import sql as S
 from codeloom.plans import views
 from codeloom.plans.registry import query
@@ -107,7 +107,7 @@ def document_records(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_records(
         whole,
         "whole",
-        summary=leading_sentences(F.col("text")),
+        summary=telling_sentences(F.col("text")),
         embedding=vectors.embed_text(F.col("text"), collection.VECTOR_DIM),
     )
 

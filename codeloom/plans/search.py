@@ -15,6 +15,7 @@ from codeloom.plans import sql as S
 from codeloom.plans import flows, views
 from codeloom.plans.chunks import LINKS, SCOPE_CHUNKS, scope_links, small_scope_chunks
 from codeloom.plans.registry import query
+from codeloom.sources import collection
 from codeloom.workspace import materialize
 
 _SCORES = {
@@ -69,33 +70,71 @@ def topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return _topk(spark, sf, "cosine", match_on="label")
 
 
-NLIST, NPROBE = 16, 4
+NPROBE = 3
+
+_IVF = f"""{S.LABEL_QUERIES},
+centroids AS (SELECT q_id AS cid, qv AS centroid FROM queries),
+assigned AS (
+  SELECT vec_id, embedding, cid FROM (
+    SELECT e.vec_id, e.embedding, c.cid, row_number() OVER (PARTITION BY e.vec_id
+      ORDER BY round(list_cosine_similarity(c.centroid, e.embedding::DOUBLE[]), 9) DESC, c.cid) AS i
+    FROM embeddings e CROSS JOIN centroids c) WHERE i = 1),
+asked AS (SELECT vec_id AS q_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0),
+probes AS (
+  SELECT q_id, qv, cid FROM (
+    SELECT a.q_id, a.qv, c.cid, row_number() OVER (PARTITION BY a.q_id
+      ORDER BY round(list_cosine_similarity(c.centroid, a.qv), 9) DESC, c.cid) AS i
+    FROM asked a CROSS JOIN centroids c) WHERE i <= {NPROBE}),
+probed AS (
+  SELECT q_id, rank, id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS rank
+    FROM (SELECT p.q_id, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], p.qv), 9) AS score
+          FROM probes p JOIN assigned v USING (cid))) WHERE rank <= 5),
+exact AS (
+  SELECT q_id, rank, id FROM (
+    SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS rank
+    FROM (SELECT a.q_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], a.qv), 9) AS score
+          FROM asked a CROSS JOIN embeddings e)) WHERE rank <= 5)"""
 
 
 def _index(spark: SparkSession, sf: str) -> clusters.ClusteredIndex:
-    return clusters.build_index(views.table(spark, sf, "embeddings"), nlist=NLIST, id_col="vec_id")
+    """Embeddings clustered around the means of their labels."""
+    means = views.label_queries(spark, sf).select(F.col("q_id").alias("cid"), F.col("qv").alias("centroid"))
+    return clusters.build_index(views.table(spark, sf, "embeddings"), id_col="vec_id", centroids=means)
 
 
-def _probed(index: clusters.ClusteredIndex, queries: DataFrame) -> DataFrame:
-    return clusters.probed_top_k(index, queries, nprobe=NPROBE, id_col="vec_id")
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every twentieth vector, searched among all."""
+    vecs = views.table(spark, sf, "embeddings").where("vec_id % 20 = 0")
+    return vecs.select(F.col("vec_id").alias("q_id"), F.col("embedding").cast("array<double>").alias("qv"))
 
 
-@query("ivf_build")
+def _probed(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.probed_top_k(_index(spark, sf), _asked(spark, sf), nprobe=NPROBE, id_col="vec_id")
+
+
+@query("ivf_build", f"WITH {_IVF} SELECT cid, count(*) AS n_vectors, sum(vec_id)::BIGINT AS ids FROM assigned GROUP BY cid")
 def ivf_build(spark: SparkSession, sf: str) -> DataFrame:
-    index = _index(spark, sf)
-    return index.collection.groupBy("cid").agg(F.count("*").alias("n_vectors"))
+    """Vectors by cluster, as written."""
+    written = _index(spark, sf).collection
+    return written.groupBy(F.col("cid").cast("bigint").alias("cid")).agg(
+        F.count("*").alias("n_vectors"), F.sum("vec_id").alias("ids")
+    )
 
 
-@query("ivf_search")
+@query("ivf_search", f"WITH {_IVF} SELECT q_id, rank, id AS vec_id, round(score, 6) AS score FROM probed")
 def ivf_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _probed(_index(spark, sf), views.label_queries(spark, sf))
+    return _probed(spark, sf).select("q_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
-@query("ivf_recall")
+@query(
+    "ivf_recall",
+    f"WITH {_IVF} SELECT e.q_id, round(count(p.id) / count(*)::DOUBLE, 6) AS recall "
+    "FROM exact e LEFT JOIN probed p ON p.q_id = e.q_id AND p.id = e.id GROUP BY e.q_id",
+)
 def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
-    queries = views.label_queries(spark, sf)
-    exact = top_k(views.table(spark, sf, "embeddings"), queries, id_col="vec_id")
-    return clusters.recall(_probed(_index(spark, sf), queries), exact)
+    exact = top_k(views.table(spark, sf, "embeddings"), _asked(spark, sf), id_col="vec_id")
+    return clusters.recall(_probed(spark, sf), exact).select("q_id", F.round("recall", 6).alias("recall"))
 
 
 @query(
@@ -180,11 +219,11 @@ def mode_hits(files: DataFrame, asked: DataFrame, mode: str, k: int = 5) -> Data
     if mode == "naive":
         cut, summary = views.naive_chunks, F.col("text")
     else:
-        cut, summary = views.smart_chunks, enrich.leading_sentences(F.col("text"))
-    collection = cut(files).select("chunk_id", vectors.embed_text(summary).alias("embedding"))
+        cut, summary = views.smart_chunks, enrich.telling_sentences(F.col("text"))
+    embedded = cut(files).select("chunk_id", vectors.embed_text(summary).alias("embedding"))
     queries = asked.select("q_id", vectors.embed_text(F.col("question")).alias("qv"))
     # The hits, k to a query, serve twice: to find their files, and to rank the texts.
-    hits = materialize(top_k(collection, queries, k=k, id_col="chunk_id"), "hits")
+    hits = materialize(top_k(embedded, queries, k=k, id_col="chunk_id"), "hits")
     file_of_hit = F.split_part("id", F.lit(":"), F.lit(1)).cast("bigint")
     hit_files = files.join(hits.select(file_of_hit.alias("seq")), "seq", "left_semi")
     texts = cut(hit_files).select(F.col("chunk_id").alias("id"), "text")
@@ -291,7 +330,7 @@ def answer_queries(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {S.CORPUS},{S.windowed(source='corpus', key='seq')},
     stored AS (
       SELECT substr(sha256(repo || '|' || path || '|' || win || '|naive|' || w.text), 1, 36) AS id, path AS chunk_file, w.text
-      FROM windows w JOIN corpus USING (seq) WHERE strlen(w.text) <= 2000),
+      FROM windows w JOIN corpus USING (seq)),
     {QUESTIONS},{S.hashed('stored_vectors', 'stored', 'id', 'text')},{QVECTORS},
     {S.nearest('stored_top', 'question_vectors', 'stored_vectors', 'q_id', 'id', 'stored')}
     SELECT q_id, question, string_agg(text, chr(10) ORDER BY rank) AS context,
@@ -299,12 +338,12 @@ def answer_queries(spark: SparkSession, sf: str) -> DataFrame:
     FROM stored_top JOIN stored USING (id) JOIN questions USING (q_id) GROUP BY q_id, question""",
 )
 def index_and_ask(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows of the whole corpus stored in a collection, within its field widths,
-    and all questions asked of it.
-    """
+    """All windows of the corpus stored in a collection, and all questions asked of it."""
     name = f"c_{uuid.uuid4().hex}"
     flows.index_files(views.corpus(spark, sf), "naive", name)
-    return flows.ask(spark, questions(spark, sf), name, "naive")
+    answers = flows.ask(spark, questions(spark, sf), name, "naive")
+    collection.drop_collection(spark, name, files=True)  # the hits have been written
+    return answers.drop("error")
 
 
 def _quoted(text: str) -> str:

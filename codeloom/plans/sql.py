@@ -185,20 +185,27 @@ def nearest(name: str, queries: str, collection: str, q: str, c: str, ids: str,
 
 
 def summarized(name: str, source: str, key: str, text: str = "text") -> str:
-    """``name``: (key, summary) of the leading sentences, up to 150 words."""
+    """``name``: (key, summary) of the most telling sentences, up to 150 words."""
     return rf"""
 {name}_sentences AS (
-  SELECT {key}, i, sentence, len(regexp_split_to_array(sentence, '\s+')) AS n
+  SELECT {key}, i, sentence, len(regexp_split_to_array(sentence, '\s+')) AS n,
+         regexp_extract_all(lower(sentence), '({WORD})', 1) AS words
   FROM (SELECT {key}, unnest(parts) AS sentence, unnest(range(len(parts))) AS i
         FROM (SELECT {key}, list_filter(list_transform(
                 string_split(regexp_replace({text}, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)),
                 lambda x: trim(x)), lambda x: x <> '') AS parts FROM {source}))),
+{name}_words AS (SELECT {key}, i, unnest(words) AS word FROM {name}_sentences),
+{name}_counts AS (SELECT {key}, word, count(*) AS c FROM {name}_words GROUP BY ALL),
+{name}_scores AS (
+  SELECT {key}, i, sum(c)::DOUBLE / count(*) AS score FROM {name}_words JOIN {name}_counts USING ({key}, word) GROUP BY ALL),
 {name}_running AS (
-  SELECT *, sum(n) OVER (PARTITION BY {key} ORDER BY i) AS upto FROM {name}_sentences),
+  SELECT *, row_number() OVER ranked AS place, sum(n) OVER ranked AS upto
+  FROM {name}_sentences LEFT JOIN {name}_scores USING ({key}, i)
+  WINDOW ranked AS (PARTITION BY {key} ORDER BY coalesce(score, 0) DESC, i ROWS UNBOUNDED PRECEDING)),
 {name} AS (
   SELECT s.{key}, coalesce(
     string_agg(sentence, ' ' ORDER BY i) FILTER (upto <= 150),
-    array_to_string(regexp_split_to_array(max(sentence) FILTER (i = 0), '\s+')[1:150], ' '), '') AS summary
+    array_to_string(regexp_split_to_array(max(sentence) FILTER (place = 1), '\s+')[1:150], ' '), '') AS summary
   FROM {source} s LEFT JOIN {name}_running r ON r.{key} = s.{key} GROUP BY s.{key})"""
 
 

@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WRITE_SALTS = 16
 
-
-def write_chunk_store(chunks: DataFrame, path: str, salts: int = WRITE_SALTS) -> None:
+def write_chunk_store(chunks: DataFrame, path: str) -> None:
     """Replace the stores of the (repo, mode) pairs that ``chunks`` holds.
 
-    Rows of one store are spread over ``salts`` writers, so that a repository
-    with most of the chunks is not written by one task.
+    Spark rebalances the writers by the size of the stores: one with most of the chunks is
+    cut into several files, small ones share a writer and are a file each.
     """
-    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(salts))
     (
-        chunks.repartition("repo", "mode", salt)
+        chunks.hint("rebalance", "repo", "mode")
         .write.partitionBy("repo", "mode")
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
@@ -85,5 +82,7 @@ def read_results(spark: SparkSession, path: str, schema) -> DataFrame:
         "r.naive_response",
         F.col("r.metrics.smart.bleu").alias("smart_bleu"),
         F.col("r.metrics.naive.bleu").alias("naive_bleu"),
+        F.col("r.metrics.smart.ter").alias("smart_ter"),
+        F.col("r.metrics.naive.ter").alias("naive_ter"),
         F.col("r.llm_chosen_mode").alias("chosen_mode"),
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.workspace import materialize, remove
+
 VECTOR_DIM = 1024
 
 # Widths in bytes of the text fields of a collection.
@@ -40,17 +42,32 @@ def create_collection(
     )
 
 
-def drop_collection(spark: SparkSession, name: str) -> None:
+def drop_collection(spark: SparkSession, name: str, files: bool = False) -> None:
+    """Forget the table; with ``files`` all its versions go as well."""
+    base = _location(spark, name).rsplit("/v", 1)[0] if files and spark.catalog.tableExists(name) else None
     spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if base:
+        remove(spark, base)
+
+
+def fault(dim: int = VECTOR_DIM) -> Column:
+    """Why a record can't be stored at all, or null."""
+    bad_dim = F.col("embedding").isNull() | (F.size("embedding") != dim)
+    return F.when(F.col("id").isNull(), F.lit("id is missing")).when(bad_dim, F.lit("embedding has the wrong dimension"))
+
+
+def too_wide(widths: dict[str, int] = FIELD_WIDTHS) -> Column:
+    """The first field beyond its declared width, or null. Such a record can be stored."""
+    reason = F.lit(None).cast("string")
+    for field, width in reversed(widths.items()):
+        reason = F.when(F.octet_length(field) > width, F.lit(f"{field} is too long")).otherwise(reason)
+    return reason
 
 
 def reject_reason(widths: dict[str, int] = FIELD_WIDTHS, dim: int = VECTOR_DIM) -> Column:
     """First constraint a record breaks, or null. Only a missing id is null-checked."""
-    reason = F.when(F.col("id").isNull(), F.lit("id is missing"))
-    for field, width in widths.items():
-        reason = reason.when(F.octet_length(field) > width, F.lit(f"{field} is too long"))
-    bad_dim = F.col("embedding").isNull() | (F.size("embedding") != dim)
-    return reason.when(bad_dim, F.lit("embedding has the wrong dimension"))
+    missing = F.when(F.col("id").isNull(), F.lit("id is missing"))
+    return F.coalesce(missing, too_wide(widths), fault(dim))
 
 
 def validate(
@@ -86,27 +103,18 @@ def delete_where(spark: SparkSession, name: str, condition: Column) -> None:
     spark.catalog.refreshTable(name)
 
 
-def with_batch_number(
-    records: DataFrame, order_col: str, batch_size: int = 10, bucket_width: int = 100_000
-) -> DataFrame:
-    """Number the batches of ``batch_size`` records in order of an integer column.
+def with_batch_number(records: DataFrame, order_col: str, batch_size: int = 10) -> DataFrame:
+    """Number the batches of ``batch_size`` records in the order of a unique column.
 
-    Rows are counted per range of ``bucket_width`` order values. Only these counts,
-    one row per range, are summed up in one place; the numbering itself runs per
-    range, so no task sees the whole table. The order column must be unique.
+    Records are dealt to ranges of the column by sampled bounds and kept so. Only the
+    count of each range, a row for each partition whatever the values, is summed up in
+    one place; the numbering itself runs per range.
     """
-    bucket = F.floor(F.col(order_col) / bucket_width)
-    ranged = records.withColumn("_range", bucket)
+    ranged = records.repartitionByRange(order_col).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select(
-        "_range",
-        F.coalesce(
-            F.sum("_n").over(
-                Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_before"),
-    )
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     in_range = F.row_number().over(Window.partitionBy("_range").orderBy(order_col))
     position = F.col("_before") + in_range - 1
     return (

@@ -90,7 +90,40 @@ def test_failures_are_reported_not_stored(spark, files):
     reasons = {r["reason"] for r in flows.index_files(files, "smart", name, summarize_fn=summarize, embed_fn=embed).collect()}
     assert reasons == {"ValueError: model is down", "summary is too long", "embedding has the wrong dimension"}
     kept = [r["chunk_code"] for r in spark.table(name).collect()]
-    assert kept and not any("send_mail" in t or "total" in t for t in kept)
+    # A field beyond its width is reported, and stored all the same.
+    assert not any("send_mail" in t for t in kept) and any("total" in t for t in kept)
+    strict = f"c_{uuid.uuid4().hex}"
+    report = flows.index_files(files, "smart", strict, summarize_fn=summarize, embed_fn=embed, reject_wide=True)
+    assert not any(r["stored"] for r in report.collect())
+    assert not any("total" in r["chunk_code"] for r in spark.table(strict).collect())
+
+
+@pytest.mark.parametrize("mode", ["smart", "naive", "structural"])
+def test_files_without_a_path_stay_apart(spark, mode):
+    rows = [("o/r", None, "python", "a = 1\nb = 2"), ("o/r", None, "python", "c = 3\nd = 4"), ("o/r", None, "python", "c = 3\nd = 4"),
+            (None, "", "python", "e = 5"), (None, None, "python", "e = 5")]
+    files = spark.createDataFrame(rows, "repo string, path string, language string, text string")
+    chunks = flows.chunk_files(files, mode).collect()
+    assert sorted(r["text"].strip() for r in chunks) == ["a = 1\nb = 2", "c = 3\nd = 4", "e = 5", "e = 5"]
+    name = f"c_{uuid.uuid4().hex}"
+    flows.index_files(files, mode, name)
+    assert spark.table(name).select("id").distinct().count() == 4
+
+
+def test_errors_reach_the_result(spark, names, questions):
+    def embed(frame: pd.DataFrame) -> pd.Series:
+        if frame["question"].str.contains("mail").any():
+            raise ValueError("no vector")
+        return frame["question"].map(lambda q: [1.0] * VECTOR_DIM)
+
+    def judge(frame: pd.DataFrame) -> pd.Series:
+        raise RuntimeError("no judge")
+
+    asked = {r["q_id"]: r for r in flows.ask(spark, questions, names["smart"], "smart", embed_fn=embed).collect()}
+    assert asked[2]["error"] == "ValueError: no vector" and asked[2]["answer"] is None
+    assert asked[1]["error"] is None and asked[1]["answer"]
+    compared = flows.compare(spark, questions, names["smart"], names["naive"], judge_fn=judge).collect()
+    assert {r["error"] for r in compared} == {"RuntimeError: no judge"}
 
 
 def test_experiment(spark, names, questions):

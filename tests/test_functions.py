@@ -59,15 +59,39 @@ def test_prompts(spark):
     assert 'A user asked: "why?"' in found[5] and "Response A:\ns\n\nResponse B:\nn\n" in found[5]
 
 
-def test_leading_sentences(spark):
+def test_telling_sentences(spark):
     long = " ".join(f"w{i}" for i in range(200)) + "."
-    rows = [("",), ("One two. Three four! Five",), ("A b c. " + long,), (long,), (None,), (" \n\n x. \n",)]
-    found = [r[0] for r in values(spark, rows, "t string", enrich.leading_sentences(F.col("t"), 5))]
-    assert found == ["", "One two. Three four! Five", "A b c.", "w0 w1 w2 w3 w4", "", "x."]
-    whole = values(spark, [(long,)], "t string", enrich.leading_sentences(F.col("t")))[0][0]
+    rows = [("",), ("One two. Three four! Five",), ("A b c. " + long,), (long,), (None,), (" \n\n x. \n",),
+            ("Red fox. Blue cat. The cat saw the cat. Cat.",)]
+    found = [r[0] for r in values(spark, rows, "t string", enrich.telling_sentences(F.col("t"), 5))]
+    assert found == ["", "One two. Three four! Five", "A b c.", "w0 w1 w2 w3 w4", "", "x.", "Cat."]
+    whole = values(spark, [(long,)], "t string", enrich.telling_sentences(F.col("t")))[0][0]
     assert len(whole.split()) == 150
 
 
+def test_summary_reads_to_the_end(spark):
+    filler = [f"Word{i} other{i} thing{i}." for i in range(400)]
+    text = " ".join([*filler, "Key point here.", "Key point."])
+    summary = values(spark, [(text,)], "t string", enrich.telling_sentences(F.col("t"), 10))[0][0]
+    assert summary.endswith("Key point here. Key point.")
+
+
+def test_failing_batches_are_halved(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def shout(frame: pd.DataFrame) -> pd.Series:
+        calls.add(1)
+        if (frame["text"] == "bad").any():
+            raise RuntimeError("no")
+        return frame["text"].str.upper()
+
+    rows = [("bad" if i == 700 else f"t{i}",) for i in range(1024)]
+    df = spark.createDataFrame(rows, "text string").coalesce(1)
+    out = enrich.batch_map(df, shout, ["text"], "loud", "string").collect()
+    assert [r["error"] for r in out if r["error"]] == ["RuntimeError: no"] and len(out) == 1024
+    assert calls.value <= 2 * 10 + 1
+
+
 def test_batch_map_keeps_good_rows(spark):
     def shout(frame: pd.DataFrame) -> pd.Series:
         if (frame["text"] == "bad").any():

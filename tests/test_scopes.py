@@ -100,12 +100,26 @@ def test_chunks_hold_every_line_once(files, max_chars, chunk_lines):
     chunks = scopes.scope_chunks(files, max_chars, chunk_lines).collect()
     assert len({c["chunk_id"] for c in chunks}) == len(chunks)
     for path, text in SOURCES.items():
-        mine = [c for c in chunks if c["path"] == path]
-        held = sorted(line for c in mine for line in c["text"].split("\n"))
+        mine = sorted((c for c in chunks if c["path"] == path), key=lambda c: (c["scope"], c["part"]))
+        whole = {}
+        for c in mine:  # pieces of one long line share where they start
+            whole[c["scope"], c["start_line"]] = whole.get((c["scope"], c["start_line"]), "") + c["text"]
+        held = sorted(line for text_ in whole.values() for line in text_.split("\n"))
         assert held == sorted(text.split("\n"))
         for c in mine:
             assert len(c["text"].split("\n")) <= chunk_lines
-            assert len(c["text"]) <= max_chars or "\n" not in c["text"]
+            assert len(c["text"]) <= max_chars
+
+
+def test_a_long_line_is_cut_by_offset(spark):
+    line = "x = '" + "".join(chr(97 + i % 26) for i in range(39_000)) + "'"
+    text = f"import a\n{line}\ny = 2"
+    cut = scopes.scope_chunks(spark.createDataFrame([("f.py", text)], "path string, text string"))
+    rows = sorted(cut.collect(), key=lambda r: r["part"])
+    assert len(rows) == 10 and max(len(r["text"]) for r in rows) == 5000
+    assert "".join(r["text"] for r in rows if r["start_line"] == 1) == line
+    links = {(r["chunk_id"], r["target"]) for r in scopes.raw_links(cut).where("relation = 'next'").collect()}
+    assert all((a["chunk_id"], b["chunk_id"]) in links for a, b in zip(rows, rows[1:], strict=False))
 
 
 def test_links(spark, files):

@@ -152,7 +152,7 @@ def test_validate(spark):
 def test_batch_numbers(spark):
     ids = [i * 7 % 1009 for i in range(1000)]
     df = spark.createDataFrame([(i,) for i in ids], "seq long")
-    found = {r["seq"]: r["batch_no"] for r in collection.with_batch_number(df, "seq", 10, bucket_width=64).collect()}
+    found = {r["seq"]: r["batch_no"] for r in collection.with_batch_number(df, "seq", 10).collect()}
     assert found == {seq: at // 10 for at, seq in enumerate(sorted(ids))}
 
 
@@ -209,6 +209,6 @@ def test_workspace(spark, tmp_path):
     assert df.inputFiles()[0].split("file:", 1)[-1].lstrip("/").startswith(shared_dir(spark).split("file:")[-1].lstrip("/"))
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
     assert tables.read_table(spark, str(tmp_path / "t"), "id").rdd.getNumPartitions() == 8
-    spark.range(100).repartition(9).write.parquet(str(tmp_path / "u"))
+    spark.range(100).repartition(40).write.parquet(str(tmp_path / "u"))
     plan = tables.read_table(spark, str(tmp_path / "u"), "id")._jdf.queryExecution().toString()
     assert "Repartition" not in plan
