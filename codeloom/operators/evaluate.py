@@ -127,7 +127,7 @@ def eval_report(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Per keys and mode: answered questions, mean scores and how often the mode was
     preferred, as a count and as a share of the questions with a preference.
 
-    ``scores`` has mode, bleu, rouge_l, word_edit_rate and chosen_mode.
+    ``scores`` has mode, bleu, rouge_l, word_edit_rate, ter and chosen_mode.
     """
     preferred = F.count_if(F.col("chosen_mode") == F.col("mode"))
     judged = F.count("chosen_mode")
@@ -136,6 +136,8 @@ def eval_report(scores: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("bleu").alias("bleu"),
         F.avg("rouge_l").alias("rouge_l"),
         F.avg("word_edit_rate").alias("word_edit_rate"),
+        F.count("ter").alias("n_ter"),
+        F.avg("ter").alias("ter"),
         preferred.alias("n_preferred"),
         F.when(judged > 0, preferred / judged).alias("preference_share"),
     )

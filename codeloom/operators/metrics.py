@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ ROUGE_TOKEN = r"[a-z0-9]+"
 # Limits of the block-shift search.
 MAX_SHIFT_SIZE = 10
 MAX_SHIFT_DISTANCE = 50
+# Cells of distance tables worked on together.
+CELLS = 1 << 21
 
 
 def bleu_tokens(text: Column) -> Column:
@@ -236,23 +239,19 @@ def _aligned(hyp: list, ref: list, columns: list) -> tuple[list[bool], list[bool
     return hyp_error, ref_error, at
 
 
-def _best_shift(hyp: list, ref: list, distance: _Distances) -> list | None:
-    """The block move that lowers the edit distance most, done: a block of wrong
-    words that the reference has elsewhere, put where the reference has it. Equal
-    gains go to the longer block, then to the one further left.
-    """
-    columns = distance.columns(hyp)
-    edits = columns[-1][2]
-    hyp_error, ref_error, at = _aligned(hyp, ref, columns)
+def _possible_moves(hyp: list, ref: list, errors: tuple, max_size: int, max_distance: int) -> dict[int, list]:
+    """By size, the moves (start, to) of blocks of wrong words that the reference has elsewhere,
+    to where the reference has them. In order of start and place."""
+    hyp_error, ref_error, at = errors
     positions: dict = {}
     for j, word in enumerate(ref):
         positions.setdefault(word, []).append(j)
-    moves = set()
+    moves: dict[int, set] = {}
     for start in range(len(hyp)):
         for j in positions.get(hyp[start], ()):
-            if abs(j - start) > MAX_SHIFT_DISTANCE:
+            if abs(j - start) > max_distance:
                 continue
-            for size in range(1, min(MAX_SHIFT_SIZE, len(hyp) - start, len(ref) - j) + 1):
+            for size in range(1, min(max_size, len(hyp) - start, len(ref) - j) + 1):
                 if hyp[start + size - 1] != ref[j + size - 1]:
                     break
                 wrong = any(hyp_error[start : start + size]) and any(ref_error[j : j + size])
@@ -261,35 +260,101 @@ def _best_shift(hyp: list, ref: list, distance: _Distances) -> list | None:
                 for i in range(j - 1, j + size):
                     to = at[i] + 1 if i >= 0 else 0
                     if not start <= to <= start + size:
-                        moves.add((-size, start, to))
+                        moves.setdefault(size, set()).add((start, to))
+    return {size: sorted(found) for size, found in sorted(moves.items(), reverse=True)}
+
+
+def _table_rows(columns: list[tuple[int, int, int]], wanted: np.ndarray, size: int, kind: type) -> np.ndarray:
+    """Rows of the distance table, after each wanted number of hypothesis words."""
+    n_bytes = size // 8 + 1
+    rows = np.empty((len(wanted), size + 1), kind)
+    for r, i in enumerate(wanted.tolist()):
+        grows, falls = (
+            np.unpackbits(np.frombuffer(columns[i][side].to_bytes(n_bytes, "little"), np.uint8), bitorder="little")[:size]
+            for side in (0, 1)
+        )
+        rows[r, 0] = i
+        np.cumsum(grows.view(np.int8) - falls.view(np.int8), dtype=kind, out=rows[r, 1:])
+        rows[r, 1:] += i
+    return rows
+
+
+def _edits_after(hyp: list, moves: list, size: int, costs: tuple, before: list, behind: list, width: int) -> np.ndarray:
+    """Edits after each move of ``size`` words, all at once. Only the words between where a
+    block was and where it goes are measured anew, from the table's rows before them;
+    rows counted from the end give what is left behind them."""
+    low = np.array([min(start, to) for start, to in moves])
+    high = np.array([max(start + size, to) for start, to in moves])
+    order = np.argsort(low - high, kind="stable")  # longest stretch first
+    words = []
+    for start, to in moves:
+        block = hyp[start : start + size]
+        words.append(block + hyp[to:start] if to < start else hyp[start + size : to] + block)
+    ids, cost_of = costs
+    kind = np.int16 if len(hyp) + width < 30_000 else np.int32
+    longest = int((high - low).max())
+    word_ids = np.array([[ids.get(w, 0) for w in ws] + [0] * (longest - len(ws)) for ws in words])
+    out = np.empty(len(moves), np.int64)
+    per_block = max(1, CELLS // (width + 1))
+    for at in range(0, len(order), per_block):
+        some = order[at : at + per_block]
+        starts, which = np.unique(low[some], return_inverse=True)
+        table = _table_rows(before, starts, width, kind)[which]
+        lengths = (high - low)[some]
+        slope = np.arange(width + 1, dtype=kind)
+        for t in range(int(lengths[0])):
+            n = int(np.searchsorted(-lengths, -t, "left"))
+            old = table[:n]
+            changed = cost_of[word_ids[some[:n], t]]
+            changed += old[:, :-1]
+            old += 1
+            np.minimum(old[:, 1:], changed, out=old[:, 1:])
+            old -= slope
+            np.minimum.accumulate(old, axis=1, out=old)
+            old += slope
+        ends, which = np.unique(len(hyp) - high[some], return_inverse=True)
+        out[some] = (table + _table_rows(behind, ends, width, kind)[which][:, ::-1]).min(axis=1)
+    return out
+
+
+def _best_shift(hyp: list, ref: list, costs: tuple, distance: _Distances, backward: _Distances, limits: tuple) -> list | None:
+    """The block move that lowers the edit distance most, done. Equal gains go to the longer
+    block, then to the one further left.
+    """
+    before, behind = distance.columns(hyp), backward.columns(hyp[::-1])
+    edits = before[-1][2]
+    moves = _possible_moves(hyp, ref, _aligned(hyp, ref, before), *limits)
     best_gain, best = 0, None
-    for move in sorted(moves):
-        size = -move[0]
+    for size, found in moves.items():
         # Taking out and putting back ``size`` words cannot save more than 2 * size.
         if 2 * size <= best_gain:
             break
-        same, tail = _shared_and_moved(hyp, move[1], size, move[2])
-        gain = edits - distance(tail, columns[same])
-        if gain > best_gain:
-            best_gain, best = gain, hyp[:same] + tail
-    return best
+        gains = edits - _edits_after(hyp, found, size, costs, before, behind, len(ref))
+        if gains.max() > best_gain:
+            best_gain = int(gains.max())
+            best = (size, *found[int(gains.argmax())])
+    return _moved(hyp, *best) if best else None
 
 
-def _shared_and_moved(hyp: list, start: int, size: int, to: int) -> tuple[int, list]:
-    """Move ``size`` words from ``start`` to before word ``to``: how many leading words
-    stay, and all words behind them.
-    """
+def _moved(hyp: list, size: int, start: int, to: int) -> list:
+    """``size`` words from ``start`` put before word ``to``."""
     block = hyp[start : start + size]
     if to < start:
-        return to, block + hyp[to:start] + hyp[start + size :]
-    return start, hyp[start + size : to] + block + hyp[to:]
-
-
-def translation_edits(hyp: list, ref: list) -> int:
-    """Word edits, where moving a block counts as one."""
-    distance = _Distances(ref)
+        return hyp[:to] + block + hyp[to:start] + hyp[start + size :]
+    return hyp[:start] + hyp[start + size : to] + block + hyp[to:]
+
+
+def translation_edits(
+    hyp: list, ref: list, max_size: int = MAX_SHIFT_SIZE, max_distance: int = MAX_SHIFT_DISTANCE
+) -> int:
+    """Word edits, where moving a block counts as one. Blocks of at most ``max_size`` words
+    move to words at most ``max_distance`` away, which are part of the published measure."""
+    distance, backward = _Distances(ref), _Distances(ref[::-1])
+    # Numbers of the reference's words, 0 for others, and what each costs beside each of them.
+    ids = {word: i for i, word in enumerate(dict.fromkeys(ref), 1)}
+    costs = ids, (np.arange(len(ids) + 1)[:, None] != np.array([ids[w] for w in ref])[None, :]).astype(np.int16)
     shifts = 0
-    while ref and (moved := _best_shift(hyp, ref, distance)):
+    while ref and (moved := _best_shift(hyp, ref, costs, distance, backward, (max_size, max_distance))):
         hyp = moved
         shifts += 1
     return shifts + distance(hyp)
@@ -304,14 +369,18 @@ def rate(edits: float, ref_len: int) -> float:
     return 100.0 if edits else 0.0
 
 
-@F.pandas_udf(T.DoubleType())
-def _shifted_edit_rates(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    rates = [rate(translation_edits(list(h), list(r)), len(r)) for h, r in zip(hyp, ref)]
-    return pd.Series(rates, dtype="float64")
+def ter(
+    prediction: Column, reference: Column, max_size: int = MAX_SHIFT_SIZE, max_distance: int = MAX_SHIFT_DISTANCE
+) -> Column:
+    """As ``rate``, with block moves. The limits of a move are those of the published
+    measure; others give another measure."""
 
+    @F.pandas_udf(T.DoubleType())
+    def shifted_edit_rates(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+        rates = [rate(translation_edits(list(h), list(r), max_size, max_distance), len(r)) for h, r in zip(hyp, ref)]
+        return pd.Series(rates, dtype="float64")
 
-def ter(prediction: Column, reference: Column) -> Column:
-    return _shifted_edit_rates(ter_words(prediction), ter_words(reference))
+    return shifted_edit_rates(ter_words(prediction), ter_words(reference))
 
 
 def word_edit_rate(prediction: Column, reference: Column) -> Column:
@@ -326,3 +395,19 @@ def word_edit_rate(prediction: Column, reference: Column) -> Column:
             .otherwise(F.lit(0.0)),
         ),
     )
+
+
+def bag_error_rate(prediction: Column, reference: Column) -> Column:
+    """As ``rate``, of the words that either side has more than the other: what no moving
+    of words can mend, so a lower bound of ``ter``.
+    """
+    pair = F.struct(ter_words(prediction).alias("p"), ter_words(reference).alias("r"))
+    return bind(
+        pair,
+        lambda t: bind(
+            F.greatest(F.size(t["p"]), F.size(t["r"])) - clipped_matches(t["p"], t["r"]),
+            lambda edits: F.when(F.size(t["r"]) > 0, 100.0 * edits / F.size(t["r"]))
+            .when(edits > 0, F.lit(100.0))
+            .otherwise(F.lit(0.0)),
+        ),
+    )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import evaluate, metrics
+from codeloom.operators import enrich, evaluate, metrics
 from codeloom.plans import sql as S
 from codeloom.plans import flows, views
 from codeloom.plans.registry import query
@@ -15,9 +16,10 @@ from codeloom.workspace import fresh_dir
 
 @query(
     "eval_unpivot",
-    f"WITH {S.CONVERSATIONS} SELECT p.repo, i AS n, e.question, e.reference "
-    "FROM (SELECT DISTINCT repo FROM eval_long) p CROSS JOIN range(1, 6) r(i) "
-    "LEFT JOIN eval_long e ON e.repo = p.repo AND e.n = i",
+    f"WITH {S.CONVERSATIONS}, placed AS (SELECT repo || '-' || ((n - 1) // 5) AS project, (n - 1) % 5 + 1 AS i, * FROM eval_long) "
+    "SELECT p.project AS repo, r.i AS n, e.question, e.reference "
+    "FROM (SELECT DISTINCT project FROM placed) p CROSS JOIN range(1, 6) r(i) "
+    "LEFT JOIN placed e ON e.project = p.project AND e.i = r.i",
 )
 def eval_unpivot(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.unpivot_sheet(views.eval_wide(spark, sf))
@@ -148,10 +150,39 @@ def word_edit_rate(spark: SparkSession, sf: str) -> DataFrame:
     return answered(spark, sf).select("repo", "n", "mode", F.round(score, 6).alias("word_edit_rate"))
 
 
-@query("ter")
+BOUNDS = f"""
+ter_tok AS (SELECT repo, n, mode, {_ter_tokens('response')} AS p, {_ter_tokens('reference')} AS r FROM full_pairs),
+ter_common AS (
+  SELECT repo, n, mode, sum(least(np, nr))::BIGINT AS common FROM (
+    SELECT repo, n, mode, w, count(*) FILTER (side = 'p') AS np, count(*) FILTER (side = 'r') AS nr FROM (
+      SELECT repo, n, mode, unnest(p) AS w, 'p' AS side FROM ter_tok
+      UNION ALL SELECT repo, n, mode, unnest(r), 'r' FROM ter_tok) GROUP BY ALL) GROUP BY ALL),
+ter_bounds AS (
+  SELECT t.repo, t.n, t.mode, greatest(len(p), len(r)) - coalesce(common, 0) AS missing,
+         CASE WHEN len(r) > 0 THEN 100.0 * missing / len(r) WHEN len(p) > 0 THEN 100.0 ELSE 0.0 END::DOUBLE AS lowest
+  FROM ter_tok t LEFT JOIN ter_common c ON c.repo = t.repo AND c.n = t.n AND c.mode = t.mode)"""
+
+
+@query(
+    "ter",
+    f"WITH RECURSIVE {S.CONVERSATIONS},{EDITS},{BOUNDS} SELECT repo, n, mode, round(lowest, 6) AS lowest, "
+    "round(word_edit_rate, 6) AS highest, true AS between, "
+    "CASE WHEN round(lowest, 6) = round(word_edit_rate, 6) THEN round(lowest, 6) END AS ter_if_certain "
+    "FROM ter_bounds JOIN edit_scores USING (repo, n, mode)",
+)
 def ter(spark: SparkSession, sf: str) -> DataFrame:
-    score = metrics.ter(F.col("response"), F.col("reference"))
-    return answered(spark, sf).select("repo", "n", "mode", F.round(score, 6).alias("ter"))
+    """The rate with block moves, which no SQL gives, between what the words in common
+    leave and the rate without moves; and its value where these two agree.
+    """
+    p, r = F.col("response"), F.col("reference")
+    scored = answered(spark, sf).select(
+        "repo", "n", "mode", F.round(metrics.bag_error_rate(p, r), 6).alias("lowest"),
+        F.round(metrics.word_edit_rate(p, r), 6).alias("highest"), F.round(metrics.ter(p, r), 6).alias("ter"),
+    )
+    return scored.select(
+        "repo", "n", "mode", "lowest", "highest", F.col("ter").between(F.col("lowest"), F.col("highest")).alias("between"),
+        F.when(F.col("lowest") == F.col("highest"), F.col("ter")).alias("ter_if_certain"),
+    )
 
 
 SCORES = f"""{BLEU},{ROUGE},{EDITS},
@@ -170,7 +201,9 @@ def all_scores(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH RECURSIVE {S.CONVERSATIONS},{SCORES} SELECT repo, n, max(round(bleu, 6)) FILTER (mode = 'smart') AS smart_bleu, "
     "max(round(bleu, 6)) FILTER (mode = 'naive') AS naive_bleu, "
     "max(round(rouge_l, 6)) FILTER (mode = 'smart') AS smart_rouge_l, "
-    "max(round(rouge_l, 6)) FILTER (mode = 'naive') AS naive_rouge_l FROM scores GROUP BY repo, n",
+    "max(round(rouge_l, 6)) FILTER (mode = 'naive') AS naive_rouge_l, "
+    "count(bleu) FILTER (mode = 'smart') > 0 AS smart_has_ter, count(bleu) FILTER (mode = 'naive') > 0 AS naive_has_ter "
+    "FROM scores GROUP BY repo, n",
 )
 def score_responses(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of both modes as nested metrics, shown flat."""
@@ -183,6 +216,7 @@ def score_responses(spark: SparkSession, sf: str) -> DataFrame:
             for mode in evaluate.MODES
             for field, name in (("bleu", "bleu"), ("rougeL", "rouge_l"))
         ],
+        *[F.col(f"metrics.{mode}.ter").isNotNull().alias(f"{mode}_has_ter") for mode in evaluate.MODES],
     )
 
 
@@ -219,23 +253,39 @@ def ab_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return blind_pairs(spark, sf).select("repo", "n", "first_mode", "response_a", "response_b")
 
 
-@query("ab_choice", f"WITH {S.CONVERSATIONS},{AB} SELECT repo, n, choice, chosen_mode FROM chosen")
+@query(
+    "ab_choice",
+    f"""WITH {S.CONVERSATIONS},{AB}
+    SELECT repo, n, CASE n % 4 WHEN 0 THEN ' ' || choice || ' ' WHEN 1 THEN 'both' ELSE choice END AS reply,
+           CASE WHEN n % 4 <> 1 THEN chosen_mode END AS chosen_mode FROM chosen""",
+)
 def ab_choice(spark: SparkSession, sf: str) -> DataFrame:
-    return choices(spark, sf).select("repo", "n", "choice", "chosen_mode")
+    """Replies as judges give them: bare, within blanks, or neither A nor B."""
+    n = F.col("n") % 4
+    reply = F.when(n == 0, F.concat(F.lit(" "), "choice", F.lit(" "))).when(n == 1, "both").otherwise(F.col("choice"))
+    return choices(spark, sf).select(
+        "repo", "n", reply.alias("reply"), evaluate.chosen_mode(reply, F.col("first_mode")).alias("chosen_mode")
+    )
+
+
+def _unsure(frame: pd.DataFrame) -> pd.Series:
+    """A caller's function that fails on long questions."""
+    if (frame["question"].str.len() > 120).any():
+        raise ValueError("too long")
+    return frame["question"].str.len().astype(str)
 
 
 @query(
     "eval_partial",
-    "SELECT doc_id, d.lang, l.quality::BIGINT AS quality, l.toxic::BIGINT AS toxic "
-    "FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY doc_id DESC",
+    f"WITH {S.CONVERSATIONS} SELECT repo, n, question, CASE WHEN length(question) <= 120 THEN length(question)::VARCHAR END AS answer, "
+    "CASE WHEN length(question) > 120 THEN 'ValueError: too long' END AS error FROM eval_long WHERE question IS NOT NULL",
 )
 def eval_partial(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document, with its labels where it has some."""
-    docs = views.table(spark, sf, "documents").select("doc_id", "lang")
-    labels = views.table(spark, sf, "labels").select(
-        "doc_id", F.col("quality").cast("bigint").alias("quality"), F.col("toxic").cast("bigint").alias("toxic")
-    )
-    return evaluate.partial_results(docs, labels, ["doc_id"]).orderBy(F.col("doc_id").desc())
+    """Every question, with its answer or with what went wrong."""
+    asked = views.eval_long(spark, sf).select("repo", "n", "question").dropna(subset=["question"])
+    done, failed = enrich.split_errors(enrich.batch_map(asked, _unsure, ["question"], "answer", "string"))
+    answers = evaluate.partial_results(asked, done.drop("question"), ["repo", "n"])
+    return evaluate.partial_results(answers, failed.select("repo", "n", "error"), ["repo", "n"])
 
 
 @query(
@@ -243,6 +293,7 @@ def eval_partial(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH RECURSIVE {S.CONVERSATIONS},{SCORES},{AB}
     SELECT s.repo, s.mode, count(bleu) AS n_scored, round(avg(bleu), 6) AS bleu, round(avg(rouge_l), 6) AS rouge_l,
            round(avg(word_edit_rate), 6) AS word_edit_rate,
+           count(bleu) AS n_ter, CASE WHEN count(bleu) > 0 THEN true END AS ter_bounded,
            count(*) FILTER (chosen_mode = s.mode) AS n_preferred,
            round(count(*) FILTER (chosen_mode = s.mode) / nullif(count(chosen_mode), 0)::DOUBLE, 6) AS preference_share
     FROM scores s LEFT JOIN chosen c ON c.repo = s.repo AND c.n = s.n GROUP BY s.repo, s.mode""",
@@ -252,14 +303,17 @@ def eval_report(spark: SparkSession, sf: str) -> DataFrame:
     scored = evaluate.partial_results(all_scores(spark, sf), judged, ["repo", "n"])
     report = evaluate.eval_report(scored, ["repo"])
     rounded = [F.round(c, 6).alias(c) for c in ("bleu", "rouge_l", "word_edit_rate", "preference_share")]
-    return report.select("repo", "mode", "n_scored", "n_preferred", *rounded)
+    # No SQL gives the rate with block moves: shown are its count and its bound.
+    bounded = (F.col("ter") <= F.col("word_edit_rate") + 1e-9).alias("ter_bounded")
+    return report.select("repo", "mode", "n_scored", "n_ter", "n_preferred", bounded, *rounded)
 
 
 @query(
     "results_document",
     f"""WITH RECURSIVE {S.CONVERSATIONS},{BLEU},{AB}
     SELECT e.repo, e.n, e.question, e.reference, e.smart_response, e.naive_response,
-           round(s.bleu, 6) AS smart_bleu, round(b.bleu, 6) AS naive_bleu, c.chosen_mode
+           round(s.bleu, 6) AS smart_bleu, round(b.bleu, 6) AS naive_bleu, c.chosen_mode,
+           s.bleu IS NOT NULL AS smart_has_ter, b.bleu IS NOT NULL AS naive_has_ter
     FROM eval_long e LEFT JOIN bleu_scores s ON s.repo = e.repo AND s.n = e.n AND s.mode = 'smart'
     LEFT JOIN bleu_scores b ON b.repo = e.repo AND b.n = e.n AND b.mode = 'naive'
     LEFT JOIN chosen c ON c.repo = e.repo AND c.n = e.n""",
@@ -276,5 +330,10 @@ def results_document(spark: SparkSession, sf: str) -> DataFrame:
     chunk_store.write_results(document, path)
     back = chunk_store.read_results(spark, path, document.schema)
     return back.withColumns(
-        {"smart_bleu": F.round("smart_bleu", 6), "naive_bleu": F.round("naive_bleu", 6)}
-    )
+        {
+            "smart_bleu": F.round("smart_bleu", 6),
+            "naive_bleu": F.round("naive_bleu", 6),
+            "smart_has_ter": F.col("smart_ter").isNotNull(),
+            "naive_has_ter": F.col("naive_ter").isNotNull(),
+        }
+    ).drop("smart_ter", "naive_ter")

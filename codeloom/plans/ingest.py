@@ -65,11 +65,11 @@ def source_tree_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EVAL_WIDE = (
-    "SELECT repo AS project, "
+    "SELECT repo || '-' || ((n - 1) // 5) AS project, "
     + ", ".join(
-        f"max({c}) FILTER (n = {i}) AS {k}_{i}" for k, c in (("query", "question"), ("doc", "reference")) for i in range(1, 6)
+        f"max({c}) FILTER ((n - 1) % 5 + 1 = {i}) AS {k}_{i}" for k, c in (("query", "question"), ("doc", "reference")) for i in range(1, 6)
     )
-    + " FROM eval_long GROUP BY repo"
+    + " FROM eval_long GROUP BY ALL"
 )
 
 

@@ -265,15 +265,20 @@ owned AS (
 
 CONVERSATIONS = """
 turns AS (
-  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i
-  FROM conversations WHERE role IN ('user', 'assistant')),
+  SELECT conv_id, turn, role, text, role = 'user' AS by_user,
+         lead(role) OVER in_conv AS next_role,
+         last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (in_conv ROWS UNBOUNDED PRECEDING) AS question,
+         lag(text) OVER in_role AS back_1, lag(text, 2) OVER in_role AS back_2,
+         lead(text) OVER in_role AS on_1, lead(text, 2) OVER in_role AS on_2
+  FROM conversations WHERE role IN ('user', 'assistant')
+  WINDOW in_conv AS (PARTITION BY conv_id ORDER BY turn, role), in_role AS (PARTITION BY conv_id, role ORDER BY turn)),
 eval_long AS (
-  SELECT 'proj' || (conv_id // 5) AS repo, conv_id % 5 + 1 AS n,
-         max(text) FILTER (role = 'user' AND i = 1) AS question,
-         max(text) FILTER (role = 'assistant' AND i = 2) AS reference,
-         max(text) FILTER (role = 'assistant' AND i = 1) AS smart_response,
-         max(text) FILTER (role = 'assistant' AND i = 3) AS naive_response
-  FROM turns GROUP BY conv_id),
+  SELECT 'proj' || (conv_id // 5) AS repo,
+         row_number() OVER (PARTITION BY conv_id // 5 ORDER BY conv_id, turn, role) AS n, question,
+         CASE WHEN NOT by_user THEN coalesce(on_1, back_1) END AS reference,
+         CASE WHEN NOT by_user THEN text END AS smart_response,
+         CASE WHEN NOT by_user THEN coalesce(CASE WHEN on_1 IS NOT NULL THEN back_1 ELSE back_2 END, on_2) END AS naive_response
+  FROM turns WHERE NOT by_user OR coalesce(next_role, 'user') = 'user'),
 pairs AS (
   SELECT repo, n, 'smart' AS mode, smart_response AS response, reference, question FROM eval_long
   UNION ALL SELECT repo, n, 'naive', naive_response, reference, question FROM eval_long),

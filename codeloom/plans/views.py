@@ -172,29 +172,35 @@ def _as_chunks(cut: DataFrame, mode: str, part: str) -> DataFrame:
 
 
 def eval_long(spark: SparkSession, sf: str) -> DataFrame:
-    """(repo, n, question, reference, smart_response, naive_response), one row per
-    conversation: its first user turn, and its second, first and third answer.
+    """(repo, n, question, reference, smart_response, naive_response), a row for each answer
+    of a conversation: the question before it, the answer itself, and its neighbours among
+    the answers as reference and second response. A user turn that nobody answers is a
+    question without answers. ``n`` counts the rows of five conversations.
     """
     spoken = table(spark, sf, "conversations").where(F.col("role").isin("user", "assistant"))
+    in_conv = Window.partitionBy("conv_id").orderBy("turn", "role")
     in_role = Window.partitionBy("conv_id", "role").orderBy("turn")
-    early = spoken.withColumn("i", F.row_number().over(in_role)).where(F.col("i") <= 3)
-
-    def turn(role: str, i: int):
-        return F.max(F.when((F.col("role") == role) & (F.col("i") == i), F.col("text")))
-
-    by_conv = early.groupBy("conv_id").agg(
-        turn("user", 1).alias("question"),
-        turn("assistant", 2).alias("reference"),
-        turn("assistant", 1).alias("smart_response"),
-        turn("assistant", 3).alias("naive_response"),
+    by_user = F.col("role") == "user"
+    asked = F.last(F.when(by_user, F.col("text")), ignorenulls=True).over(
+        in_conv.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return by_conv.select(
-        F.concat(F.lit("proj"), F.floor(F.col("conv_id") / 5)).alias("repo"),
-        (F.col("conv_id") % 5 + 1).alias("n"),
+    before, after = (lambda i: F.lag("text", i).over(in_role)), (lambda i: F.lead("text", i).over(in_role))
+    second = F.coalesce(F.when(after(1).isNotNull(), before(1)).otherwise(before(2)), after(2))
+    answered = spoken.select(
+        "conv_id", "turn", "role", by_user.alias("by_user"), asked.alias("question"), "text",
+        F.coalesce(after(1), before(1)).alias("neighbour"), second.alias("second"),
+        F.lead("role").over(in_conv).alias("next_role"),
+    ).where("NOT by_user OR coalesce(next_role, 'user') = 'user'")
+    answer = lambda c: F.when(~F.col("by_user"), F.col(c))
+    repo = F.concat(F.lit("proj"), F.floor(F.col("conv_id") / 5))
+    rows = answered.withColumn("repo", repo)
+    return rows.select(
+        "repo",
+        F.row_number().over(Window.partitionBy("repo").orderBy("conv_id", "turn", "role")).cast("bigint").alias("n"),
         "question",
-        "reference",
-        "smart_response",
-        "naive_response",
+        answer("neighbour").alias("reference"),
+        answer("text").alias("smart_response"),
+        answer("second").alias("naive_response"),
     )
 
 
@@ -204,14 +210,21 @@ def eval_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eval_wide(spark: SparkSession, sf: str) -> DataFrame:
-    """The evaluation sheet: a row per project, five questions and references."""
+    """The evaluation sheet: five questions and references to a row, as many rows to a
+    project as it needs, which are projects of their own.
+    """
+    long = eval_long(spark, sf)
+    placed = long.select(
+        F.concat_ws("-", "repo", F.floor((F.col("n") - 1) / 5)).alias("project"),
+        ((F.col("n") - 1) % 5 + 1).alias("i"), "question", "reference",
+    )
     cells = [
-        F.max(F.when(F.col("n") == i, F.col(source))).alias(f"{kind} {i}")
+        F.max(F.when(F.col("i") == i, F.col(source))).alias(f"{kind} {i}")
         for kind, source in (("Query", "question"), ("Doc", "reference"))
         for i in range(1, 6)
     ]
-    sheet = eval_long(spark, sf).groupBy("repo").agg(*cells)
-    url = F.concat(F.lit("https://github.com/eval/"), "repo", F.lit(".git"))
+    sheet = placed.groupBy("project").agg(*cells)
+    url = F.concat(F.lit("https://github.com/eval/"), "project", F.lit(".git"))
     return sheet.select(
-        F.col("repo").alias("Project Name"), url.alias("Github URL"), *sheet.columns[1:]
+        F.col("project").alias("Project Name"), url.alias("Github URL"), *sheet.columns[1:]
     )
