@@ -25,7 +25,7 @@ from codeloom.workspace import materialize
 
 WINDOW = 13
 #: Words of the runs that minimizers are chosen from.
-RUN = 4
+RUN = 7
 #: Stretches of a shard, about; those of one minimizer beyond it are split over shards.
 SHARD = 40_000
 #: Bytes of text worked on at a time.
@@ -92,19 +92,50 @@ def _blocks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
         low = high
 
 
-def _postings(window: int, run: int) -> Callable[[], Callable]:
-    def start() -> Callable:
-        def compute(texts: list) -> dict:
-            out: list[np.ndarray] = []
-            for _, block in _blocks(texts):
-                whose, _, _, hashes = minimizers(block, window, run)
-                cuts = np.searchsorted(whose, np.arange(len(block) + 1))
-                out += [np.unique(hashes[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            return {"hashes": out}
+POSTING = "hash long, d1 long, known boolean"
 
-        return compute
 
-    return start
+def _postings(window: int, run: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Different minimizers of each text. Of one that a batch has in three or more texts, two
+    have to meet those of other batches; the rest are ``known`` to be shared."""
+    schema = to_arrow_schema(T.StructType.fromDDL(POSTING))
+
+    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d1 = batch.column(0).to_numpy()
+            pairs: list[np.ndarray] = []
+            for low, block in _blocks(batch.column(1).cast(pa.binary()).to_pylist()):
+                whose, _, _, hashes = minimizers(block, window, run)
+                pairs.append(np.stack((hashes, d1[low + whose]), axis=1))
+            found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
+            first = np.flatnonzero(np.append(True, found[1:, 0] != found[:-1, 0])) if len(found) else np.empty(0, np.int64)
+            place = np.arange(len(found)) - np.repeat(first, np.diff(np.append(first, len(found))))
+            columns = [pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(place >= 2)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return run_task
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of postings in order of (hash, d1) those whose hash two texts have, and known ones."""
+
+    def chosen(table: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.append(True, table[1:, 0] != table[:-1, 0])) if len(table) else np.empty(0, np.int64)
+        ends = np.append(first[1:], len(table))
+        shared = table[first, 1] != table[ends - 1, 1] if len(table) else np.empty(0, bool)
+        keep = np.repeat(shared, ends - first) | known
+        return pa.RecordBatch.from_arrays([pa.array(table[keep, 0]), pa.array(table[keep, 1])], names=["hash", "d1"])
+
+    held, held_known = np.empty((0, 2), np.int64), np.empty(0, bool)
+    for batch in batches:
+        rows = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
+        rows = np.concatenate((held, rows))
+        known = np.concatenate((held_known, batch.column(2).to_numpy(zero_copy_only=False).astype(bool)))
+        # The last hash may go on in the next batch.
+        whole = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
+        yield chosen(rows[:whole], known[:whole])
+        held, held_known = rows[whole:], known[whole:]
+    yield chosen(held, held_known)
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataFrame:
@@ -120,17 +151,19 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataFram
 
 def _shared(rows: DataFrame, window: int, run: int, shard: int) -> DataFrame:
     """(d1, shared): for texts that share a minimizer with another text, the hashes they
-    share and over how many shards each is split."""
-    postings = map_rows(rows.select("d1", "text"), "text", "hashes array<long>", _postings(window, run), keep=["d1"])
-    postings = postings.select("d1", F.explode("hashes").alias("hash"))
-    several = (
-        postings.groupBy("hash")
-        .agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.count("*").alias("n"))
-        .where("a <> b")
-        .select("hash", F.ceil(F.col("n") / shard).alias("splits"))
-    )
-    met = postings.join(several, "hash")
-    return met.groupBy("d1").agg(F.collect_set(F.struct("hash", "splits")).alias("shared"))
+    share and over how many shards each is split.
+
+    Postings meet by hash in one shuffle. A batch sends two postings of a hash at most to
+    where it meets, the others anywhere, so a frequent hash is a few rows a batch there.
+    """
+    postings = rows.select("d1", "text").where("text IS NOT NULL").mapInArrow(_postings(window, run), POSTING)
+    target = F.when(F.col("known"), F.xxhash64("hash", "d1")).otherwise(F.col("hash"))
+    met = postings.repartition(target).sortWithinPartitions("hash", "d1").mapInArrow(_meeting, "hash long, d1 long")
+    met = materialize(met, "shared")
+    hot = met.groupBy("hash").count().where(F.col("count") > shard)
+    splits = hot.select("hash", F.ceil(F.col("count") / shard).alias("splits"))
+    placed = met.join(splits, "hash", "left").withColumn("splits", F.coalesce("splits", F.lit(1)).cast("long"))
+    return placed.groupBy("d1").agg(F.collect_set(F.struct("hash", "splits")).alias("shared"))
 
 
 def _tell(window: int) -> Callable[[], Callable]:
@@ -149,7 +182,7 @@ def _tell(window: int) -> Callable[[], Callable]:
     return start
 
 
-STRETCH = "shard long, d1 long, d2 long, id long, start int, split boolean, stretch binary"
+STRETCH = "shard long, d1 long, d2 long, id long, starts array<int>, split boolean, stretch binary"
 
 
 def _stretches(marked: DataFrame, window: int, run: int, n_shards: int) -> DataFrame:
@@ -168,25 +201,28 @@ def _stretches(marked: DataFrame, window: int, run: int, n_shards: int) -> DataF
                     splits = {s["hash"]: s["splits"] for s in shared[at]}
                     words = text.split()
                     mine = slice(cuts[i], cuts[i + 1])
+                    starts: dict[tuple[int, bytes], list[int]] = {}
                     for first, size, value in zip(firsts[mine].tolist(), sizes[mine].tolist(), hashes[mine].tolist(), strict=True):
-                        parts = splits.get(value)
-                        if parts is None:
-                            continue
+                        if value in splits:
+                            stretch = b" ".join(words[first : first + size + window - 1])
+                            starts.setdefault((value, stretch), []).append(first)
+                    for (value, stretch), places in starts.items():
+                        parts = splits[value]
                         out["shard"].append((value + (d1[at] % parts) * 0x9E3779B1) % n_shards)
                         out["d1"].append(d1[at])
                         out["d2"].append(d2[at])
                         out["id"].append(ids[at])
-                        out["start"].append(first)
+                        out["starts"].append(places)
                         out["split"].append(parts > 1)
-                        out["stretch"].append(b" ".join(words[first : first + size + window - 1]))
+                        out["stretch"].append(stretch)
                 if out["shard"]:
                     yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return marked.select("d1", "d2", "id", "shared", "text").mapInArrow(run_task, STRETCH)
 
 
-#: ``windows`` has a bit for each window from ``start`` on; rows of one window with w1, w2 wait for other shards.
-FOUND = "d1 long, d2 long, id long, start int, windows long, w1 long, w2 long"
+#: ``windows`` has a bit for each window from each of ``starts`` on; rows of one window with w1, w2 wait for other shards.
+FOUND = "d1 long, d2 long, id long, starts array<int>, windows long, w1 long, w2 long"
 
 
 def smallest_owner(stretches: list[bytes], owners: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,8 +254,8 @@ def _shard_searcher(window: int) -> Callable[[pa.Table], pa.Table]:
     schema = to_arrow_schema(T.StructType.fromDDL(FOUND))
 
     def search(rows: pa.Table) -> pa.Table:
-        d1, d2, ids, starts = (rows[c].to_numpy() for c in ("d1", "d2", "id", "start"))
-        split = rows["split"].to_pylist()
+        d1, d2, ids = (rows[c].to_numpy() for c in ("d1", "d2", "id"))
+        split = rows["split"].to_numpy()
         known: dict[bytes, int] = {}
         which = np.array([known.setdefault(s, len(known)) for s in rows["stretch"].to_pylist()])
         stretches = list(known)
@@ -232,24 +268,25 @@ def _shard_searcher(window: int) -> Callable[[pa.Table], pa.Table]:
             has = counts[which] > j
             masks[has] |= (smallest[at[which[has]] + j] < ids[has]).astype(np.int64) << j
         some = np.flatnonzero(masks)
-        out = {"d1": d1[some], "d2": d2[some], "id": ids[some], "start": starts[some], "windows": masks[some]}
+        out = {"d1": d1[some], "d2": d2[some], "id": ids[some], "starts": rows["starts"].take(pa.array(some)), "windows": masks[some]}
         table = pa.table({**out, "w1": pa.nulls(len(some), pa.int64()), "w2": pa.nulls(len(some), pa.int64())})
         # Windows that this shard leaves standing may stand in another shard of their minimizer.
         waiting: list[dict] = []
         for i in np.flatnonzero(split).tolist():
             words = stretches[which[i]].split()
+            starts = rows["starts"][i].as_py()
             for j in range(int(counts[which[i]])):
                 if not masks[i] >> j & 1:
                     key = hashlib.md5(b" ".join(words[j : j + window])).digest()
                     w1, w2 = (int.from_bytes(key[k : k + 8], "little", signed=True) for k in (0, 8))
-                    waiting.append({"d1": d1[i], "d2": d2[i], "id": ids[i], "start": starts[i] + j, "windows": 1, "w1": w1, "w2": w2})
+                    waiting.append({"d1": d1[i], "d2": d2[i], "id": ids[i], "starts": [s + j for s in starts], "windows": 1, "w1": w1, "w2": w2})
         return pa.concat_tables([table.cast(schema), pa.Table.from_pylist(waiting, schema=schema)])
 
     return search
 
 
 def _find(marked: DataFrame, window: int, run: int, shard: int) -> DataFrame:
-    """(d1, d2, places) of the windows to remove: (start, windows) pairs."""
+    """(d1, d2, places) of the windows to remove: (starts, windows) pairs."""
     total = marked.agg(F.sum(F.size("shared"))).first()[0] or 0
     n_shards = -(-max(1, total) // shard)
     stretches = _stretches(marked, window, run, n_shards)
@@ -257,22 +294,22 @@ def _find(marked: DataFrame, window: int, run: int, shard: int) -> DataFrame:
     waiting = found.where("w1 IS NOT NULL")
     least = waiting.groupBy("w1", "w2").agg(F.min("id").alias("least"))
     late = waiting.join(least, ["w1", "w2"]).where("id > least")
-    columns = ["d1", "d2", "start", "windows"]
+    columns = ["d1", "d2", "starts", "windows"]
     all_found = found.where("w1 IS NULL").select(columns).unionByName(late.select(columns))
-    return all_found.groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "windows")).alias("places"))
+    return all_found.groupBy("d1", "d2").agg(F.collect_set(F.struct("starts", "windows")).alias("places"))
 
 
 def _cover(places: list | None, n_words: int, window: int) -> np.ndarray:
     """Which words are covered by the windows to remove."""
     edge = np.zeros(n_words + 1, np.int64)
     for place in places or ():
-        bits, at = place["windows"], place["start"]
+        starts, bits = np.array(place["starts"]), place["windows"]
         while bits:
             if bits & 1:
-                edge[at] += 1
-                edge[at + window] -= 1
+                np.add.at(edge, starts, 1)
+                np.add.at(edge, starts + window, -1)
             bits >>= 1
-            at += 1
+            starts = starts + 1
     return np.cumsum(edge)[:n_words] > 0
 
 
@@ -301,8 +338,8 @@ def remove_repeats(
     have a window). Null texts have no words. A null id counts as larger than any. Rows of
     one id are not compared with each other, repeated rows are repeated, short texts kept.
 
-    Only minimizers and the texts once are shuffled; of texts without a shared minimizer
-    nothing more moves. A hot passage is one stretch in its shard, and a hot minimizer is
+    Minimizers and the texts are shuffled once; of texts that share a minimizer the stretches
+    around them and the text once more. A hot passage is one stretch in its shard, and a hot minimizer is
     split over shards whose undecided windows meet by hash; no task holds more than
     about ``shard`` stretches of it.
     """
