@@ -172,18 +172,20 @@ def code_scopes(spark: SparkSession, sf: str) -> DataFrame:
 # Cut sizes of the registered query, small enough that scopes are cut both ways.
 SCOPE_CHARS, SCOPE_LINES = 60, 3
 
-SCOPE_CHUNKS = f"""{S.SCOPES},
+def scope_chunks_sql(chars: int, lines: int) -> str:
+    """``scope_chunks``: scopes of the code files, cut line by line."""
+    return f"""{S.SCOPES},
 pieces AS MATERIALIZED (
-  SELECT path, owner, ln, line, (row_number() OVER (PARTITION BY path, owner ORDER BY ln) - 1) // {SCOPE_LINES} AS piece,
+  SELECT path, owner, ln, line, (row_number() OVER (PARTITION BY path, owner ORDER BY ln) - 1) // {lines} AS piece,
          row_number() OVER (PARTITION BY path, owner ORDER BY ln) AS i
   FROM owned),
 cutting AS (
   SELECT path, owner, 0::BIGINT AS i, -1::BIGINT AS piece, '' AS txt, 0::BIGINT AS cut FROM pieces WHERE i = 1
   UNION ALL
   SELECT c.path, c.owner, p.i, p.piece,
-         CASE WHEN p.piece <> c.piece OR length(c.txt) + 1 + length(p.line) > {SCOPE_CHARS} THEN p.line
+         CASE WHEN p.piece <> c.piece OR length(c.txt) + 1 + length(p.line) > {chars} THEN p.line
               ELSE c.txt || chr(10) || p.line END,
-         c.cut + CASE WHEN p.piece <> c.piece OR length(c.txt) + 1 + length(p.line) > {SCOPE_CHARS} THEN 1 ELSE 0 END
+         c.cut + CASE WHEN p.piece <> c.piece OR length(c.txt) + 1 + length(p.line) > {chars} THEN 1 ELSE 0 END
   FROM cutting c JOIN pieces p ON p.path = c.path AND p.owner = c.owner AND p.i = c.i + 1),
 scope_chunks AS (
   SELECT p.path, p.owner AS scope, s.parent, coalesce(s.kind, 'module') AS kind, s.name, c.cut - 1 AS part,
@@ -193,6 +195,9 @@ scope_chunks AS (
   LEFT JOIN scopes s ON s.path = p.path AND s.scope = p.owner
   GROUP BY p.path, p.owner, s.parent, s.kind, s.name, c.cut)"""
 
+
+SCOPE_CHUNKS = scope_chunks_sql(SCOPE_CHARS, SCOPE_LINES)
+
 LINKS = """
 raw_links AS (
   SELECT path, chunk_id, 'parent' AS relation, path || ':' || parent || ':0' AS target FROM scope_chunks

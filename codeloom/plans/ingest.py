@@ -14,7 +14,7 @@ from codeloom.plans import sql as S
 from codeloom.plans import views
 from codeloom.plans.registry import query
 from codeloom.sources import chunk_store, collection, corpus, files, languages
-from codeloom.workspace import fresh_dir
+from codeloom.workspace import fresh_dir, materialize
 
 
 @query(
@@ -64,6 +64,25 @@ def source_tree_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "source_files_scan",
+    f"WITH {S.CODE} SELECT path AS file, count(*) AS n_lines, md5(string_agg(line || chr(10), '' ORDER BY ln)) AS text_md5 "
+    "FROM code_lines WHERE path LIKE 'brand_1%' OR path LIKE 'brand_3%' GROUP BY path",
+)
+def source_files_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The files named in a list, here of two groups of brands."""
+    root = fresh_dir(spark, "listed")
+    views.code_files(spark, sf).select(F.col("path").alias("file"), "text").repartition("file").write.partitionBy(
+        "file"
+    ).text(root)
+    named = f"{root}/file=brand_1*/*.txt, {root}/file=brand_3*/*.txt"
+    return files.read_source_files(spark, named, exts=[".txt"]).select(
+        F.regexp_extract("path", r"/file=([^/]+)/", 1).alias("file"),
+        text.line_count(F.col("text")).alias("n_lines"),
+        F.md5("text").alias("text_md5"),
+    )
+
+
 EVAL_WIDE = (
     "SELECT repo || '-' || ((n - 1) // 5) AS project, "
     + ", ".join(
@@ -256,10 +275,8 @@ _EXTS = ", ".join(f"('{lang}', '{e}')" for lang, exts in languages.LANGUAGE_EXTE
     FROM corpus c JOIN exts e ON e.ext = regexp_extract(c.path, '(\\.[^./]+)$', 1)""",
 )
 def language_extensions(spark: SparkSession, sf: str) -> DataFrame:
-    known, unknown = languages.with_known_language(views.corpus(spark, sf))
-    owned = languages.files_of_language(
-        known.unionByName(unknown).select("seq", "path", F.col("language").alias("said"))
-    )
+    known = languages.require_known_language(views.corpus(spark, sf).select("seq", "path", "language"))
+    owned = languages.files_of_language(known.withColumnRenamed("language", "said"))
     return owned.select(
         "seq", "path", "ext", F.col("language").alias("file_language"),
         (F.col("said") == F.col("language")).alias("agrees"),
@@ -277,13 +294,16 @@ def text_lengths(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "progress_counts",
+_PIPELINE_COUNTS = (
     f"WITH {S.CORPUS},{S.windowed(source='corpus', key='seq')} "
     "SELECT 'naive' AS mode, count(*) AS n_chunks, count(DISTINCT seq) AS n_files, count(DISTINCT repo) AS n_repos "
-    "FROM windows JOIN corpus USING (seq)",
+    "FROM windows JOIN corpus USING (seq)"
 )
-def progress_counts(spark: SparkSession, sf: str) -> DataFrame:
+
+
+@query("progress_counts", _PIPELINE_COUNTS)
+@query("pipeline_counts", _PIPELINE_COUNTS)
+def pipeline_counts(spark: SparkSession, sf: str) -> DataFrame:
     return reports.progress_counts(views.naive_chunks(views.corpus(spark, sf)))
 
 
@@ -301,6 +321,29 @@ def first_per_repo(spark: SparkSession, sf: str) -> DataFrame:
     return firsts.first_per_key(records_)
 
 
+_SCAN_ORDER = "CASE language " + " ".join(
+    f"WHEN '{x}' THEN {i}" for i, x in enumerate(corpus.CORPUS_LANGUAGES)
+) + " END, CASE split " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(corpus.CORPUS_SPLITS)) + " END, seq"
+
+
+@query(
+    "first_scanned",
+    f"WITH {S.CORPUS}, firsts AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_SCAN_ORDER}) AS i FROM corpus) "
+    "SELECT seq, repo, language, split, path FROM firsts WHERE i = 1",
+)
+def first_scanned(spark: SparkSession, sf: str) -> DataFrame:
+    """The first record of each repository in the order in which the files are scanned."""
+    raw = spark.read.json(
+        corpus.corpus_glob(views.corpus_folder(spark, sf), file_glob=views.WRITTEN),
+        schema=corpus.reader_schema(views.RECORD), mode="PERMISSIVE", columnNameOfCorruptRecord=corpus.CORRUPT,
+    )
+    placed = corpus.good_records(
+        corpus.with_path_columns(raw.withColumn("at", corpus.scan_position()))
+    ).select("at", "seq", "repo", "language", "split", "path")
+    # Written once, as positions hold only for one reading.
+    return firsts.first_per_key(materialize(placed, "scanned"), order="at").drop("at")
+
+
 @query("first_n_repos", _firsts_sql(20))
 def first_n_repos(spark: SparkSession, sf: str) -> DataFrame:
     records_ = views.corpus(spark, sf).select("seq", "repo", "language", "path")
@@ -315,8 +358,13 @@ def batch_rounded_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "corpus_counts",
-    f"WITH {S.CORPUS} SELECT language, split, count(*) AS n, GROUPING(language, split)::BIGINT AS level "
-    "FROM corpus GROUP BY ROLLUP (language, split)",
+    f"WITH {S.CORPUS}, lines AS (SELECT language, split FROM corpus UNION ALL SELECT language, split FROM corpus WHERE seq % 50 = 0) "
+    "SELECT language, split, count(*) AS n, GROUPING(language, split)::BIGINT AS level "
+    "FROM lines GROUP BY ROLLUP (language, split)",
 )
 def corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.corpus_counts(views.corpus(spark, sf))
+    """Lines of the scanned files, malformed ones too."""
+    lines = spark.read.text(corpus.corpus_glob(views.corpus_folder(spark, sf), file_glob=views.WRITTEN))
+    path = F.col("_metadata.file_path")
+    placed = lines.select(corpus.path_language(path).alias("language"), corpus.path_split(path).alias("split"))
+    return reports.corpus_counts(placed)

@@ -13,7 +13,7 @@ from codeloom.operators import clusters, context, enrich, lookup
 from codeloom.operators.search import top_k
 from codeloom.plans import sql as S
 from codeloom.plans import flows, views
-from codeloom.plans.chunks import LINKS, SCOPE_CHUNKS, scope_links, small_scope_chunks
+from codeloom.plans.chunks import LINKS, SCOPE_CHUNKS, scope_chunks_sql, scope_links, small_scope_chunks
 from codeloom.plans.registry import query
 from codeloom.sources import collection
 from codeloom.workspace import materialize
@@ -346,6 +346,79 @@ def index_and_ask(spark: SparkSession, sf: str) -> DataFrame:
     return answers.drop("error")
 
 
+# Code files under the file names' own ids, chunked at the default sizes, as two collections.
+_STORED = f"""{scope_chunks_sql(5000, 50)},
+code_texts AS (SELECT repo, path, string_agg(line, chr(10) ORDER BY ln) AS text FROM code_lines GROUP BY repo, path),
+{S.windowed(source='code_texts', key='path')},
+smart_stored AS (
+  SELECT substr(sha256(repo || '|' || path || '|' || scope || ':' || part || '|smart|' || c.text), 1, 36) AS id, repo, c.text
+  FROM scope_chunks c JOIN code_texts t USING (path)),
+naive_stored AS (
+  SELECT substr(sha256(repo || '|' || path || '|' || win || '|naive|' || w.text), 1, 36) AS id, repo, w.text
+  FROM windows w JOIN code_texts USING (path)),
+{S.summarized('smart_summaries', 'smart_stored', 'id')},
+{S.hashed('smart_vectors', 'smart_summaries', 'id', 'summary')},
+{S.hashed('naive_vectors', 'naive_stored', 'id', 'text')},
+questions AS (SELECT DISTINCT p_type AS q_id, 'price of one ' || p_type AS question FROM part),{QVECTORS}"""
+_STORED_TOPS = (
+    S.nearest("smart_top", "question_vectors", "smart_vectors", "q_id", "id", "smart_stored")
+    + ","
+    + S.nearest("naive_top", "question_vectors", "naive_vectors", "q_id", "id", "naive_stored")
+    + """,
+smart_contexts AS (
+  SELECT q_id, string_agg(summary || chr(10) || chr(10) || text, chr(10) ORDER BY rank) AS smart
+  FROM smart_top JOIN smart_stored USING (id) JOIN smart_summaries USING (id) GROUP BY q_id),
+naive_contexts AS (
+  SELECT q_id, string_agg(text, chr(10) ORDER BY rank) AS naive FROM naive_top JOIN naive_stored USING (id) GROUP BY q_id),
+both_contexts AS (SELECT * FROM questions JOIN smart_contexts USING (q_id) JOIN naive_contexts USING (q_id))"""
+)
+
+
+def _type_questions(spark: SparkSession, sf: str) -> DataFrame:
+    types = views.table(spark, sf, "part").select(F.col("p_type").alias("q_id")).distinct()
+    return types.withColumn("question", F.concat(F.lit("price of one "), "q_id"))
+
+
+def _stored_code(spark: SparkSession, sf: str, mode: str) -> str:
+    """The name of a new collection of the code files."""
+    name = f"c_{uuid.uuid4().hex}"
+    files = views.code_files(spark, sf).withColumn("language", F.lit("python"))
+    flows.index_files(files, mode, name)
+    return name
+
+
+@query(
+    "index_and_compare",
+    f"WITH RECURSIVE {_STORED},{_STORED_TOPS} SELECT q_id, md5(smart) AS smart_md5, md5(naive) AS naive_md5, "
+    f"CASE WHEN {_overlap_sql('smart')} >= {_overlap_sql('naive')} THEN 'smart' ELSE 'naive' END AS choice FROM both_contexts",
+)
+def index_and_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Code files stored by scopes and by windows, and both asked the same questions."""
+    names = [_stored_code(spark, sf, mode) for mode in ("smart", "naive")]
+    compared = flows.compare(spark, _type_questions(spark, sf), *names)
+    for name in names:
+        collection.drop_collection(spark, name, files=True)  # the hits have been written
+    return compared.select("q_id", F.md5("smart").alias("smart_md5"), F.md5("naive").alias("naive_md5"), "choice")
+
+
+@query(
+    "ask_one_repo",
+    "WITH RECURSIVE "
+    + _STORED
+    + ", one_repo AS (SELECT * FROM smart_stored WHERE split_part(repo, '/', 2) = 'brand_13'), "
+    + "one_vectors AS (SELECT * FROM smart_vectors WHERE id IN (SELECT id FROM one_repo)),"
+    + S.nearest("one_top", "question_vectors", "one_vectors", "q_id", "id", "one_repo")
+    + " SELECT q_id, md5(string_agg(summary || chr(10) || chr(10) || text, chr(10) ORDER BY rank)) AS context_md5, "
+    "max(summary) FILTER (rank = 1) AS answer FROM one_top JOIN one_repo USING (id) JOIN smart_summaries USING (id) GROUP BY q_id",
+)
+def ask_one_repo(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored scopes of one repository alone, named by a literal filter."""
+    name = _stored_code(spark, sf, "smart")
+    found = flows.ask(spark, _type_questions(spark, sf), name, "smart", repo_name="brand_13")
+    collection.drop_collection(spark, name, files=True)  # the hits have been written
+    return found.select("q_id", F.md5("context").alias("context_md5"), "answer")
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

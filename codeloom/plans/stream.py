@@ -6,21 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import vectors
+from codeloom.operators import enrich
 from codeloom.operators.enrich import chunk_records
 from codeloom.operators.windows import token_windows
 from codeloom.plans import sql as S
-from codeloom.plans import views
+from codeloom.plans import flows, views
 from codeloom.plans.registry import query
 from codeloom.streaming import ingest
 from codeloom.workspace import fresh_dir
 
 
-def corpus_stream(spark: SparkSession, sf: str) -> DataFrame:
+def corpus_stream(spark: SparkSession, sf: str, files: int = 40) -> DataFrame:
     return ingest.stream_corpus(
         spark,
         views.corpus_folder(spark, sf),
         record_schema=views.RECORD,
-        max_files_per_batch=40,
+        max_files_per_batch=files,
         file_glob=views.WRITTEN,
     )
 
@@ -36,12 +37,16 @@ def stream_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return drained.select("seq", "repo", "path", "language", "split", F.md5("text").alias("text_md5"))
 
 
-@query("stream_dedup", f"WITH {S.CORPUS} SELECT DISTINCT repo FROM corpus")
+@query(
+    "stream_dedup",
+    f"WITH {S.CORPUS} SELECT repo, arg_min(path, seq) AS path, min(seq) AS seq FROM corpus GROUP BY repo",
+)
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    records = corpus_stream(spark, sf).select("repo", "language", "path")
+    """The first record of each repository; all files come in one batch."""
+    records = corpus_stream(spark, sf, files=1_000_000).select("repo", "path", "seq")
     return ingest.drain_to_table(
-        ingest.first_seen(records), fresh_dir(spark, "firsts"), fresh_dir(spark, "progress")
-    ).select("repo")
+        ingest.first_seen(records, order="seq"), fresh_dir(spark, "firsts"), fresh_dir(spark, "progress")
+    )
 
 
 def index_batch(batch: DataFrame) -> DataFrame:
@@ -66,3 +71,27 @@ def stream_index(spark: SparkSession, sf: str) -> DataFrame:
         "id", "repo", "language", "chunk_file", F.md5("chunk_code").alias("code_md5"),
         F.size("embedding").cast("bigint").alias("dim"),
     )
+
+
+def index_smart_batch(batch: DataFrame) -> DataFrame:
+    """Records of a batch: structural chunks, summed up, their summaries embedded."""
+    told = enrich.summarize(flows.chunk_files(batch, "structural"))
+    return chunk_records(told, "structural", F.col("summary"), vectors.embed_text(F.col("summary")))
+
+
+@query(
+    "stream_index_smart",
+    f"""WITH RECURSIVE {S.CORPUS},{S.structural()},
+    cut AS (SELECT doc_id || ':' || s AS chunk_id, * FROM chunks),{S.summarized('summaries', 'cut', 'chunk_id')}
+    SELECT substr(sha256(repo || '|' || path || '|' || s || '|structural|' || c.text), 1, 36) AS id, repo, language,
+           path AS chunk_file, start_line || '-' || end_line AS chunk_lines, md5(c.text) AS code_md5, md5(summary) AS summary_md5
+    FROM cut c JOIN summaries USING (chunk_id) JOIN corpus ON seq = doc_id""",
+)
+def stream_index_smart(spark: SparkSession, sf: str) -> DataFrame:
+    indexed = ingest.index_stream(
+        corpus_stream(spark, sf), index_smart_batch, fresh_dir(spark, "indexed"), fresh_dir(spark, "progress")
+    )
+    return indexed.select(
+        "id", "repo", "language", "chunk_file", "chunk_lines", F.md5("chunk_code").alias("code_md5"),
+        F.md5("summary").alias("summary_md5"),
+    )

@@ -59,14 +59,14 @@ def _corpus_folder(spark: SparkSession, sf: str, application: str) -> str:
     good = F.to_json(F.struct("seq", "repo", "path", "text"))
     bad = F.when(F.col("seq") % 50 == 0, F.concat(F.lit('{"seq": '), "seq", F.lit(', "repo": "cut')))
     lines = corpus(spark, sf).select(
-        "language", "split", F.explode(F.array_compact(F.array(good, bad))).alias("line")
+        "language", "split", "seq", F.explode(F.array_compact(F.array(good, bad))).alias("line")
     )
-    write_corpus(lines, base)
+    write_corpus(lines, base, order_col="seq")
     return base
 
 
 def corpus_folder(spark: SparkSession, sf: str) -> str:
-    """The corpus as JSON lines, with a truncated line behind every fiftieth record."""
+    """The corpus as JSON lines in order of seq, with a truncated line to every fiftieth record."""
     return _corpus_folder(spark, sf, spark.sparkContext.applicationId)
 
 

@@ -96,11 +96,26 @@ def scan_position(languages=None, splits=None) -> Column:
     )
 
 
-def write_corpus(records: DataFrame, base_dir: str, body_col: str = "line") -> None:
-    """Write lines into the corpus layout, one job per (language, split)."""
-    for lang in CORPUS_LANGUAGES:
-        for split in CORPUS_SPLITS:
-            part = records.where((F.col("language") == lang) & (F.col("split") == split))
-            part.select(body_col).write.mode("append").text(
-                f"{base_dir}/{lang}/final/jsonl/{split}/unzipped"
-            )
+def write_corpus(records: DataFrame, base_dir: str, body_col: str = "line", order_col: str | None = None) -> None:
+    """Write lines into the corpus layout. One job writes all; with ``order_col`` files
+    hold them in that order, and follow each other by name.
+
+    Every language and split of the records gets its folder, whether or not it is one of
+    the defaults. Folders are moved into the layout once all are written.
+    """
+    spark = records.sparkSession
+    rows = records.select("language", "split", *([order_col] if order_col else []), body_col)
+    if order_col:
+        rows = rows.repartitionByRange("language", "split", order_col).sortWithinPartitions("language", "split", order_col)
+        rows = rows.drop(order_col)
+    loose = f"{base_dir.rstrip('/')}/_written"
+    rows.write.partitionBy("language", "split").mode("append").text(loose)
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = Path(loose).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.globStatus(Path(f"{loose}/language=*/split=*")):
+        lang, split = (part.getName().split("=", 1)[1] for part in (folder.getPath().getParent(), folder.getPath()))
+        target = Path(f"{base_dir.rstrip('/')}/{lang}/final/jsonl/{split}/unzipped")
+        fs.mkdirs(target)
+        for file in fs.listStatus(folder.getPath()):
+            fs.rename(file.getPath(), Path(target, file.getPath().getName()))
+    fs.delete(Path(loose), True)

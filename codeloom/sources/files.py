@@ -41,10 +41,12 @@ def read_source_tree(
     return _whole_files(reader, root)
 
 
-def read_source_files(spark: SparkSession, paths: str | list[str], language: str = "python") -> DataFrame:
-    """(path, text) of the files named, as a list or separated by commas."""
+def read_source_files(
+    spark: SparkSession, paths: str | list[str], language: str = "python", exts: list[str] | None = None
+) -> DataFrame:
+    """(path, text) of the files named (globs are fine), as a list or separated by commas."""
     names = paths.split(",") if isinstance(paths, str) else paths
-    exts = extensions_of(language)
+    exts = exts or extensions_of(language)
     files = _whole_files(spark.read, [n.strip() for n in names])
     return files.where(file_extension(F.col("path")).isin(exts))
 

@@ -28,7 +28,7 @@ def language_table(spark: SparkSession) -> DataFrame:
 def extensions_of(language: str) -> list[str]:
     found = LANGUAGE_EXTENSIONS.get(language.lower())
     if not found:
-        raise ValueError(f"Unsupported language: {language}")
+        raise ValueError(f"no extensions known for {language!r}; known are {', '.join(LANGUAGE_EXTENSIONS)}")
     return found
 
 
@@ -49,6 +49,16 @@ def with_known_language(df: DataFrame, language_col: str = "language") -> tuple[
     )
 
 
+def require_known_language(df: DataFrame, language_col: str = "language") -> DataFrame:
+    """All rows, their language case-folded; an unknown language of any row is an error
+    that names a few of them."""
+    known, unknown = with_known_language(df, language_col)
+    bad = [str(r[0]) for r in unknown.select(language_col).distinct().limit(5).collect()]
+    if bad:
+        raise ValueError(f"no extensions known for {', '.join(sorted(bad))}; known are {', '.join(LANGUAGE_EXTENSIONS)}")
+    return known
+
+
 def files_of_language(files: DataFrame, path_col: str = "path") -> DataFrame:
     """Files with a known extension, one row per (file, language) that owns it."""
     langs = F.broadcast(language_table(files.sparkSession))

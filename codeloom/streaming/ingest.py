@@ -42,18 +42,34 @@ def stream_corpus(
     return good_records(with_path_columns(raw))
 
 
-def first_seen(stream: DataFrame, key: str = "repo") -> DataFrame:
-    """One record per key over the whole run; which one of a batch is not fixed.
+def first_seen(stream: DataFrame, key: str = "repo", order: str | None = None) -> DataFrame:
+    """One record per key over the whole run: the first that comes by ``order`` within the
+    batch that has the key first, any of that batch without ``order``.
 
     Arrow batches drop their own repeats first, so that a key with most of the
-    records does not send them all to one state store.
+    records does not send them all to one state store. The state of a key is that it was seen.
     """
 
     def local_firsts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.drop_duplicates(key)
+            yield (frame.sort_values(order) if order else frame).drop_duplicates(key)
 
-    return stream.mapInPandas(local_firsts, stream.schema).dropDuplicates([key])
+    firsts = stream.mapInPandas(local_firsts, stream.schema)
+    if order is None:
+        return firsts.dropDuplicates([key])
+
+    def once(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        state.update((True,))
+        best = None
+        for frame in frames:
+            frame = frame if best is None else pd.concat([best, frame])
+            best = frame.sort_values(order).head(1)
+        if best is not None:
+            yield best
+
+    return firsts.groupBy(key).applyInPandasWithState(once, stream.schema, "seen boolean", "append", "NoTimeout")
 
 
 def drain_to_table(stream: DataFrame, table_path: str, checkpoint: str) -> DataFrame:
