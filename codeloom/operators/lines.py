@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BEFORE = (Window.unboundedPreceding, -1)
-
-
-def running_start(length: Column, window) -> Column:
-    """Start offset of a part: all earlier parts and one separator behind each."""
-    return F.coalesce(F.sum(length + 1).over(window.rowsBetween(*BEFORE)), F.lit(0)).cast("bigint")
+from codeloom.functions.folds import placed_parts
 
 
 def line_table(files: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ln, line, start): lines with 0-based number and start offset.
-
-    Whole files are shuffled by id before they are cut, once; the windows here and
-    in every later per-file step then find their rows already in place.
+    """(id, ln, line, start): lines with 0-based number and start offset. A text lies in
+    its row, so it is cut and numbered there; nothing is shuffled.
     """
-    cut = files.select(id_col, text_col).repartition(id_col).select(
-        id_col, F.posexplode(F.split(text_col, "\n")).alias("ln", "line")
-    )
-    in_file = Window.partitionBy(id_col).orderBy("ln")
-    return cut.select(
-        id_col,
-        F.col("ln").cast("bigint").alias("ln"),
-        "line",
-        running_start(F.length("line"), in_file).alias("start"),
+    lines = placed_parts(f"split(`{text_col}`, '\\n')")
+    return files.select(id_col, F.posexplode(lines).alias("ln", "l")).select(
+        id_col, F.col("ln").cast("bigint").alias("ln"), F.col("l.part").alias("line"), "l.start"
     )
 
 

@@ -6,11 +6,11 @@ and children lie inside their parent, ordered by ``ord``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import block_span_text, non_blank_length, sentences, text_blocks
-from codeloom.operators.lines import running_start
+from codeloom.functions.folds import placed_parts
+from codeloom.functions.text import block_span_text, non_blank_length, text_blocks
 
 ROOT = "0"
 
@@ -22,25 +22,24 @@ def prose_nodes(
 
     Only lines longer than ``sentences_over`` are cut into sentences. Packing enters
     no node within its limit, so with that limit here it gives the same chunks from
-    fewer nodes. One shuffle, of whole files; lines and sentences are cut and numbered
-    in place.
+    fewer nodes. Lines and sentences are cut and numbered in their row; nothing is shuffled.
     """
     # The size is taken before the text is cut, so that the lines do not carry the text.
-    sized = files.select(id_col, text_col).repartition(id_col).select(
-        id_col, text_col, F.length(text_col).cast("bigint").alias("size")
+    lines = files.select(
+        id_col,
+        F.length(text_col).cast("bigint").alias("size"),
+        F.posexplode(placed_parts(f"split(`{text_col}`, '\\n')")).alias("ln", "l"),
     )
-    lines = sized.select(id_col, "size", F.posexplode(F.split(text_col, "\n")).alias("ln", "line"))
-    in_file = Window.partitionBy(id_col).orderBy("ln")
-    placed = lines.withColumn("line_start", running_start(F.length("line"), in_file))
+    placed = lines.select(id_col, "size", "ln", F.col("l.part").alias("line"), F.col("l.start").alias("line_start"))
     cut = F.length("line") > sentences_over
-    line_parts = F.when(cut, sentences(F.col("line"))).otherwise(F.array("line"))
-    parts = placed.select(
-        id_col, "size", "ln", "line", "line_start", F.posexplode(line_parts).alias("sn", "part")
-    )
-    in_line = Window.partitionBy(id_col, "ln").orderBy("sn")
-    placed_parts = parts.withColumn(
-        "part_start", F.col("line_start") + running_start(F.length("part"), in_line)
-    )
+    sentences_sql = r"split(regexp_replace(line, '([.!?]) ', '$1\n'), '\n')"
+    line_parts = placed_parts(f"if(length(line) > {int(sentences_over)}, {sentences_sql}, array(line))")
+    placed_parts_ = placed.select(
+        id_col, "size", "ln", "line", "line_start", F.posexplode(line_parts).alias("sn", "p")
+    ).select(
+        id_col, "size", "ln", "line", "line_start", "sn", F.col("p.part").alias("part"),
+        (F.col("line_start") + F.col("p.start")).alias("part_start"),
+    )
 
     def node(depth: int, kind: str, node_id, parent_id, order, start, end):
         return F.struct(
@@ -75,7 +74,7 @@ def prose_nodes(
         F.when((sn == 0) & (F.length("line") > 0), line),
         F.when(cut & (F.length("part") > 0), sentence),
     )
-    return placed_parts.select(id_col, F.explode(F.array_compact(per_part)).alias("n")).select(id_col, "n.*")
+    return placed_parts_.select(id_col, F.explode(F.array_compact(per_part)).alias("n")).select(id_col, "n.*")
 
 
 def large_nodes(

@@ -240,7 +240,8 @@ def structural_chunks(
     """(id, start, end, start_line, end_line, text): pack, fill gaps, merge small
     spans, turn offsets to half-open line ranges and drop the empty ones.
     """
-    spans = fill_gaps(greedy_pack(nodes, max_chars, id_col), id_col)
+    # Nodes by file, once: all windows and the join with the text run on that.
+    spans = fill_gaps(greedy_pack(nodes.repartition(id_col), max_chars, id_col), id_col)
     text = F.col(text_col)
     per_file = measured_spans(spans, files, id_col, text_col).select(
         id_col, "blocks", "spans", F.length(text).alias("size"), line_count(text).alias("n_lines")

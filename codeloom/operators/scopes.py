@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.lines import running_start
 
 # What opens a scope: keyword and name, after optional modifiers.
 HEADER_PATTERN = (
@@ -30,6 +29,12 @@ CLOSER_PATTERN = r"^\s*([)\]}]|end\b)"
 MODULE = -1
 
 
+def running_start(length: Column, window) -> Column:
+    """Start offset of a part: all earlier parts and one separator behind each."""
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(length + 1).over(earlier), F.lit(0)).cast("bigint")
+
+
 def indentation(line: Column) -> Column:
     lead = F.regexp_extract(line, r"^([ \t]*)", 1)
     tabbed = F.aggregate(

@@ -272,10 +272,12 @@ def top_k_terms(
         c_blocks = c_blocks.withColumn("salt", F.pmod(F.xxhash64("c_ids"), F.lit(salts)))
         joined = c_blocks.join(q_blocks, ["cell", "salt"])
 
+    names = schema.names
+
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield _best_by_overlap(row, k, schema)
+            for i in range(batch.num_rows):
+                yield _best_by_overlap(*(c[i].values for c in batch.columns), k, names)
 
     arrow = joined.select("q_ids", "q_terms", "c_ids", "c_terms").mapInArrow(rank, schema)
     return rank_hits(arrow, k)
@@ -307,33 +309,32 @@ def _pack_rows(df: DataFrame, prefix: str, id_col: str, terms_col: str, rows_per
     return df.select(id_col, terms_col).mapInArrow(blocks, schema)
 
 
-def _best_by_overlap(row: dict, k: int, schema: T.StructType) -> pa.RecordBatch:
-    q_ids, c_ids = row["q_ids"], np.asarray(row["c_ids"], dtype=object)
-    asked: dict[str, list[int]] = {}
-    for q, terms in enumerate(row["q_terms"]):
-        for term in terms:
-            asked.setdefault(term, []).append(q)
-    counts = np.zeros((len(c_ids), len(q_ids)), dtype=np.int64)
-    for c, terms in enumerate(row["c_terms"]):
-        for term in terms:
-            for q in asked.get(term, ()):
-                counts[c, q] += 1
-    out_q, out_c, out_score = [], [], []
-    for q, q_id in enumerate(q_ids):
-        at = np.flatnonzero(counts[:, q])
-        for c in sorted(at, key=lambda i: (-counts[i, q], c_ids[i]))[:k]:
-            out_q.append(q_id)
-            out_c.append(c_ids[c])
-            out_score.append(int(counts[c, q]))
+def _incidence(terms: pa.ListArray, known: pa.Array) -> np.ndarray:
+    """A row for each list, with a one under each known term that it holds."""
+    codes = pc.index_in(terms.flatten(), value_set=known)
+    rows = np.repeat(np.arange(len(terms)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+    out = np.zeros((len(terms), len(known)), dtype=np.float32)
+    held = codes.is_valid().to_numpy(zero_copy_only=False)
+    out[rows[held], codes.drop_null().to_numpy()] = 1
+    return out
+
+
+def _best_by_overlap(
+    q_ids: pa.Array, q_terms: pa.ListArray, c_ids: pa.Array, c_terms: pa.ListArray, k: int, names: list[str]
+) -> pa.RecordBatch:
+    """The ``k`` best rows of one block for each query of another: terms are numbered by the
+    queries' vocabulary, and one matrix product counts those in common."""
+    known = pc.unique(q_terms.flatten()).drop_null()
+    counts = (_incidence(q_terms, known) @ _incidence(c_terms, known).T).astype(np.int64)
+    by_id = np.empty(len(c_ids), dtype=np.int64)
+    by_id[pc.sort_indices(c_ids).to_numpy()] = np.arange(len(c_ids))
+    # More in common first, then the smaller id, in one number.
+    order = counts * len(c_ids) + (len(c_ids) - 1 - by_id)
+    order[counts == 0] = -1
+    n = min(k, len(c_ids))
+    best = np.argpartition(-order, n - 1, axis=1)[:, :n] if n else np.empty((len(q_ids), 0), np.int64)
+    q, at = np.nonzero(np.take_along_axis(order, best, axis=1) >= 0)
+    c = best[q, at]
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(out_q, _arrow_type(schema["q_id"].dataType)),
-            pa.array(out_c, _arrow_type(schema["id"].dataType)),
-            pa.array(out_score, pa.int64()),
-        ],
-        names=schema.names,
+        [q_ids.take(pa.array(q)), c_ids.take(pa.array(c)), pa.array(counts[q, c])], names=names
     )
-
-
-def _arrow_type(data_type: T.DataType) -> pa.DataType:
-    return pa.int64() if isinstance(data_type, T.LongType) else pa.string()

@@ -55,7 +55,7 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 @functools.lru_cache(maxsize=8)
 def _corpus_folder(spark: SparkSession, sf: str, application: str) -> str:
-    base = fresh_dir(spark, "corpus")
+    base = fresh_dir(spark, "corpus", keep=True)
     good = F.to_json(F.struct("seq", "repo", "path", "text"))
     bad = F.when(F.col("seq") % 50 == 0, F.concat(F.lit('{"seq": '), "seq", F.lit(', "repo": "cut')))
     lines = corpus(spark, sf).select(

@@ -27,10 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
 _MADE: dict[str, list[str]] = {}
 
 
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder. ``clear`` removes it."""
+def fresh_dir(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A new, unused path below the shared folder. ``clear`` removes it unless it is to be kept."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if not keep:
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 

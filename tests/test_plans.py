@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import vectors
 from codeloom.operators import firsts, packing
+from codeloom.operators.lines import line_table
 from codeloom.operators.nodes import prose_nodes
 from codeloom.operators.search import top_k
 
@@ -29,10 +30,17 @@ def shuffles(plan):
 def test_structural_chunks_shuffle_texts_once(spark, no_broadcast):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     plan = final_plan(packing.structural_chunks(prose_nodes(docs), docs))
-    assert shuffles(plan) == 1 and "ReusedExchange" in plan
+    # The nodes' and the texts', once each.
+    assert shuffles(plan) == 2
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
+def test_lines_and_nodes_are_cut_in_place(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for made in (line_table(docs), prose_nodes(docs), prose_nodes(docs, sentences_over=100)):
+        assert "Exchange" not in final_plan(made)
+
+
 def test_first_records_shuffle_no_texts_by_key(spark, no_broadcast):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     plan = final_plan(firsts.first_per_key(docs, "source", "doc_id"))

@@ -1,4 +1,5 @@
 import json
+import os
 import uuid
 
 import pytest
@@ -212,3 +213,41 @@ def test_workspace(spark, tmp_path):
     spark.range(100).repartition(40).write.parquet(str(tmp_path / "u"))
     plan = tables.read_table(spark, str(tmp_path / "u"), "id")._jdf.queryExecution().toString()
     assert "Repartition" not in plan
+
+
+def test_stores_are_files_by_size(spark, tmp_path):
+    """One hot repository is cut into several files, many tiny ones are a file each."""
+    schema = "chunk_id string, repo string, mode string, text string"
+    rows = [(str(i), "o/hot" if i < 4000 else f"o/tiny{i % 30}", "smart", os.urandom(300).hex()) for i in range(4300)]
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        chunk_store.write_chunk_store(spark.createDataFrame(rows, schema).repartition(8), str(tmp_path / "s"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    count = {p.name: len(list(p.glob("mode=smart/*.parquet"))) for p in (tmp_path / "s").glob("repo=*")}
+    hot = count.pop("repo=o%2Fhot")
+    assert hot >= 4 and len(count) == 30 and sum(count.values()) <= 45
+
+
+def test_nothing_is_left_behind(spark):
+    from codeloom import workspace
+    from codeloom.plans import flows
+
+    files = spark.createDataFrame([("o/r", "a.py", "python", "def f():\n    return 1")], "repo string, path string, language string, text string")
+    base = workspace.shared_dir(spark).split("file:")[-1]
+    workspace.clear(spark)
+    before = set(os.listdir(base))
+    flows.index_files(files, "smart", "c_left")
+    asked = spark.createDataFrame([(1, "f")], "q_id long, question string")
+    assert flows.ask(spark, asked, "c_left", "smart").count() == 1
+    assert set(os.listdir(base)) > before
+    collection.drop_collection(spark, "c_left", files=True)
+    workspace.clear(spark)
+    assert set(os.listdir(base)) == before
+
+
+def test_unknown_languages_are_an_error(spark):
+    df = spark.createDataFrame([("Python",), ("cobol",), (None,)], "language string")
+    with pytest.raises(ValueError, match="cobol.*python"):
+        languages.require_known_language(df)
+    assert languages.require_known_language(df.where("language = 'Python'")).first()["language"] == "python"

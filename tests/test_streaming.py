@@ -69,3 +69,18 @@ def test_index_stream_equals_batch(spark, base):
     whole = ingest.stream_corpus(spark, str(base / "c"), record_schema=RECORD, max_files_per_batch=9)
     repeated = ingest.index_stream(whole, index_batch, out, str(base / "progress2"), distinct_id="id")
     assert sorted(repeated.select(columns).collect()) == wanted
+
+
+def test_first_seen_keeps_the_first_by_order(spark, tmp_path):
+    rows = [(f"o/{i % 5}", i, f"p{i}") for i in reversed(range(200))]
+    schema = "repo string, seq long, path string"
+    spark.createDataFrame(rows, schema).repartition(6).write.parquet(str(tmp_path / "in"))
+    feed = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    out = ingest.drain_to_table(ingest.first_seen(feed, order="seq"), str(tmp_path / "out"), str(tmp_path / "progress"))
+    assert sorted(tuple(r) for r in out.collect()) == [(f"o/{i}", i, f"p{i}") for i in range(5)]
+    spark.createDataFrame([("o/0", -1, "late"), ("o/9", 7, "new")], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    out = ingest.drain_to_table(
+        ingest.first_seen(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), order="seq"),
+        str(tmp_path / "out"), str(tmp_path / "progress"),
+    )
+    assert {r["repo"]: r["path"] for r in out.collect()} == {**{f"o/{i}": f"p{i}" for i in range(5)}, "o/9": "new"}
