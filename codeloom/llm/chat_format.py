@@ -11,11 +11,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 PART = "struct<kind:string,text:string,ref:string,width:bigint,height:bigint,seconds:double,pages:bigint>"
 #: Columns of the formatted table: one row holds whole turns of one conversation.
@@ -160,9 +162,6 @@ def format_conversations(
             close()
             yield pa.RecordBatch.from_pylist(done, schema=schema)
 
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     schema = to_arrow_schema(T.StructType.fromDDL(FORMATTED))
     chosen = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
@@ -173,8 +172,8 @@ def format_conversations(
     return ordered.mapInArrow(run, FORMATTED)
 
 
-def read_turns(formatted: str) -> Iterator[tuple[str, str, bool]]:
-    """Role, text and whether all is well of each turn of a formatted text; placeholders stay."""
+def read_turns(formatted: str) -> Iterator[tuple[str, str]]:
+    """Role and text of each turn of a formatted text; placeholders stay."""
     at = 0
     while at < len(formatted):
         found = TURN.match(formatted, at)
@@ -182,7 +181,7 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str, bool]]:
             raise ValueError(f"no turn at {at} of a formatted conversation")
         at = found.end()
         body = "".join(x[0] if x[0][0] == "<" else unescape(x[0]) for x in PLACEHOLDER.finditer(found[2]))
-        yield unescape(found[1]), body, True
+        yield unescape(found[1]), body
 
 
 def digest_formatted(formatted: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -215,7 +214,7 @@ def digest_formatted(formatted: DataFrame, partitions: int | None = None) -> Dat
                     if row is not None:
                         done.append(finish(row))
                     row = start_row(conv)
-                for role, body, _ in read_turns(text):
+                for role, body in read_turns(text):
                     row["n_turns"] += 1
                     row["turns"].update(f"{role}\n{body}\n".encode())
                 for span in spans:
@@ -229,9 +228,6 @@ def digest_formatted(formatted: DataFrame, partitions: int | None = None) -> Dat
             done.append(finish(row))
             yield flush()
 
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     schema = to_arrow_schema(T.StructType.fromDDL(DIGEST))
     chosen = formatted.select("conv_id", "segment", "formatted", "loss")
     return in_order(chosen, partitions, "segment").drop("segment").mapInArrow(run, DIGEST)

@@ -97,9 +97,9 @@ def evaluate(postfix: list[str], allowed: frozenset[str]) -> tuple[set[str], boo
             name = f"{label_of(left[2])}-with-{right[2]}"
             stack.append(({name}, left[1] or name in allowed, ""))
         else:
-            both = left[0] | right[0] if len(left[0]) < len(right[0]) else left[0]
-            both.update(left[0], right[0])
-            stack.append((both, left[1] or right[1] if token == "or" else left[1] and right[1], ""))
+            few, many = sorted((left[0], right[0]), key=len)
+            many |= few  # into the larger one, so that long expressions stay cheap
+            stack.append((many, left[1] or right[1] if token == "or" else left[1] and right[1], ""))
     return stack[0][0], stack[0][1]
 
 

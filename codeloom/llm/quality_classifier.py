@@ -76,8 +76,10 @@ def passage_features(texts: list[bytes | None], size: int = PASSAGE) -> tuple[np
         if end - begin <= size:
             starts.append(np.array([begin]))
             continue
-        near = gaps[np.searchsorted(gaps, np.arange(begin + size, end, size)) % max(1, len(gaps))] if len(gaps) else np.empty(0, np.int64)
-        near = np.unique(near[(near > begin) & (near < end - size // 2)])
+        # The first blank from each multiple of the size on; a short rest joins the last passage.
+        found = np.searchsorted(gaps, np.arange(begin + size, end, size))
+        near = np.unique(gaps[found[found < len(gaps)]])
+        near = near[near < end - size // 2]
         starts.append(np.concatenate(([begin], near)))
     firsts = np.concatenate(([0], np.cumsum([len(s) for s in starts])))
     at = np.concatenate(starts)

@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import map_rows
@@ -74,8 +74,7 @@ def fingerprinter(shingle: int, seed: int) -> Callable[[], Callable]:
             low = 0
             while low < len(texts):
                 runs: list[list[int]] = []
-                high = total = low
-                total = 0
+                high, total = low, 0
                 while high < len(texts) and total < 4 * BLOCK:
                     runs.append(hashes(texts[high]))
                     total += len(runs[-1])
@@ -213,8 +212,6 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
             found = np.array(links, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    from pyspark.sql import Window
-
     list_order = Window.partitionBy("choice", "bytes").orderBy("fingerprint")
     several = (
         listed.withColumn("before", F.lag("fingerprint").over(list_order))
