@@ -226,6 +226,27 @@ def scope_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return small_scope_chunks(spark, sf)
 
 
+@query(
+    "scope_chunks_whole",
+    "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, true AS within_limit, md5(text) AS text_md5 FROM documents",
+)
+def scope_chunks_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents cut at the default sizes and put together again from their chunks."""
+    cut = scopes.scope_chunks(views.documents(spark, sf), id_col="doc_id")
+    pieces = F.array_sort(F.collect_list(F.struct("start_line", "part", "end_line", "text")))
+    by_doc = cut.groupBy("doc_id").agg(
+        pieces.alias("pieces"), F.max("end_line").alias("n_lines"), (F.max(F.length("text")) <= 5000).alias("within_limit")
+    )
+    # Pieces of one long line share where they start; others are lines apart.
+    joined = F.transform(
+        "pieces",
+        lambda p, i: F.concat(
+            F.when(i == 0, "").when(F.get(F.col("pieces"), i - 1)["start_line"] == p["start_line"], "").otherwise("\n"), p["text"]
+        ),
+    )
+    return by_doc.select("doc_id", "n_lines", "within_limit", F.md5(F.array_join(joined, "")).alias("text_md5"))
+
+
 @query("chunk_edges", f"WITH RECURSIVE {SCOPE_CHUNKS},{LINKS} SELECT * FROM links")
 def chunk_edges(spark: SparkSession, sf: str) -> DataFrame:
     return scope_links(materialize(small_scope_chunks(spark, sf), "scope-chunks"))

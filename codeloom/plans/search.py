@@ -205,28 +205,29 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def embedded_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return flows.embed_questions(questions(spark, sf))
+
+
 def window_hits(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
     """Best token windows for every question."""
-    return mode_hits(views.corpus(spark, sf), questions(spark, sf), "naive", k)
+    return mode_hits(views.corpus(spark, sf), embedded_questions(spark, sf), "naive", k)
 
 
 def mode_hits(files: DataFrame, asked: DataFrame, mode: str, k: int = 5) -> DataFrame:
-    """(q_id, mode, rank, chunk_id, score, summary, chunk_code) of the best chunks.
+    """(q_id, mode, rank, chunk_id, score, summary, chunk_code) of the best chunks for
+    embedded questions (q_id, qv).
 
     Only ids and vectors take part in the search. For the texts of the hits their
     files alone are cut again, which spares storing the text of every chunk.
     """
-    if mode == "naive":
-        cut, summary = views.naive_chunks, F.col("text")
-    else:
-        cut, summary = views.smart_chunks, enrich.telling_sentences(F.col("text"))
-    embedded = cut(files).select("chunk_id", vectors.embed_text(summary).alias("embedding"))
-    queries = asked.select("q_id", vectors.embed_text(F.col("question")).alias("qv"))
+    summary = F.col("text") if mode == "naive" else enrich.telling_sentences(F.col("text"))
+    embedded = views.chunk_texts(files, mode).select("chunk_id", vectors.embed_text(summary).alias("embedding"))
     # The hits, k to a query, serve twice: to find their files, and to rank the texts.
-    hits = materialize(top_k(embedded, queries, k=k, id_col="chunk_id"), "hits")
+    hits = materialize(top_k(embedded, asked.select("q_id", "qv"), k=k, id_col="chunk_id"), "hits")
     file_of_hit = F.split_part("id", F.lit(":"), F.lit(1)).cast("bigint")
     hit_files = files.join(hits.select(file_of_hit.alias("seq")), "seq", "left_semi")
-    texts = cut(hit_files).select(F.col("chunk_id").alias("id"), "text")
+    texts = views.chunk_texts(hit_files, mode).select(F.col("chunk_id").alias("id"), "text")
     return hits.join(texts, "id").select(
         "q_id", F.lit(mode).alias("mode"), "rank", F.col("id").alias("chunk_id"), "score",
         summary.alias("summary"), F.col("text").alias("chunk_code"),
@@ -285,10 +286,11 @@ def assemble_context(spark: SparkSession, sf: str) -> DataFrame:
 
 def both_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """(q_id, question, smart, naive): contexts of both modes side by side."""
-    asked = questions(spark, sf)
+    asked = embedded_questions(spark, sf)
     files = views.corpus(spark, sf)
     hits = mode_hits(files, asked, "smart").unionByName(mode_hits(files, asked, "naive"))
-    return asked.join(context.side_by_side(context.assemble_context(hits, ["q_id", "mode"])), "q_id")
+    wide = context.side_by_side(context.assemble_context(hits, ["q_id", "mode"]))
+    return asked.select("q_id", "question").join(wide, "q_id")
 
 
 @query("compare_retrieval", f"WITH RECURSIVE {CONTEXTS} SELECT q_id, smart, naive FROM both_contexts")

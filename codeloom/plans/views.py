@@ -152,10 +152,13 @@ def naive_chunks(files: DataFrame) -> DataFrame:
     return _as_chunks(cut.withColumns({"start_line": no_line, "end_line": no_line}), "naive", "win")
 
 
-def smart_chunks(files: DataFrame) -> DataFrame:
-    """Structural chunks of corpus files, with the columns of a chunk."""
-    cut = structural_chunks(prose_nodes(files, "seq", sentences_over=MAX_CHARS), files, id_col="seq")
-    return _as_chunks(cut.join(files.select("seq", *FILE_COLUMNS), "seq"), "smart", "start")
+def chunk_texts(files: DataFrame, mode: str) -> DataFrame:
+    """(chunk_id, text) alone: token windows (``naive``) or structural chunks (``smart``)."""
+    if mode == "naive":
+        cut, part = token_windows(files, id_col="seq"), "win"
+    else:
+        cut, part = structural_chunks(prose_nodes(files, "seq", sentences_over=MAX_CHARS), files, id_col="seq"), "start"
+    return cut.select(F.concat_ws(":", "seq", part).alias("chunk_id"), "text")
 
 
 def _as_chunks(cut: DataFrame, mode: str, part: str) -> DataFrame:
