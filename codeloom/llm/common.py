@@ -14,11 +14,34 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 Compute = Callable[[list], dict]
 
+#: Bytes of an Arrow batch, unless the session has a limit of its own.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPARKS_DEFAULT = ("67108864b", "64MB")
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let a session that has not chosen a limit send Arrow batches of ``BATCH_BYTES``: each
+    task holds a few of them, in Spark and in Python."""
+    if spark.conf.get(_BATCH_CONF, _SPARKS_DEFAULT[0]) in _SPARKS_DEFAULT:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def release_memory() -> None:
+    """Give back what Arrow and the C library keep for reuse. Workers outlive their tasks, and
+    what one stage leaves with them adds to what the next one needs."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # only some C libraries have it
+        trim(0)
+
+
 def map_rows(
     df: DataFrame,
     read: str,
@@ -32,6 +55,7 @@ def map_rows(
     (texts as UTF-8 bytes, nulls as None) to a dict of equally long columns. A kept column
     whose name is that of a field is replaced. Rows and their order stay.
     """
+    small_batches(df.sparkSession)
     new = T.StructType.fromDDL(fields)
     names = {f.name.lower() for f in new}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
@@ -51,6 +75,8 @@ def map_rows(
             columns = [batch.column(i) for i in range(len(kept))]
             columns += [pa.array(made[f.name], type=f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *arrow.names])
+            del values, made, columns, batch
+        release_memory()
 
     return source.mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import map_rows
+from codeloom.llm.common import map_rows, release_memory
 from codeloom.llm.tokens import id_encoder
 from codeloom.workspace import materialize
 
@@ -136,6 +136,7 @@ def _packer(capacity: int, turn: int) -> Callable[[tuple, pa.Table], pa.Table]:
         made = {"sequence_id": sequence, "offset": offsets, "open": spare[bins]}
         kept = [rows[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *made]
+        release_memory()
         return pa.table([*kept, *map(pa.array, made.values())], names=names)
 
     return pack

@@ -17,6 +17,8 @@ from codeloom.llm.common import map_rows
 
 #: Bytes of a passage, which then goes on to the end of its word.
 PASSAGE = 400
+#: Bytes of texts worked on at a time.
+BLOCK = 1 << 19
 #: Classes of bytes whose shares describe a passage.
 SIGNS = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -247,7 +249,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
             low = 0
             while model is not None and low < len(texts):
                 high, held = low, 0
-                while high < len(texts) and (high == low or held + len(texts[high] or b"") < 1 << 21):
+                while high < len(texts) and (high == low or held + len(texts[high] or b"") < BLOCK):
                     held += len(texts[high] or b"")
                     high += 1
                 scores[low:high] = bag_scores(model, *passage_features(texts[low:high]))

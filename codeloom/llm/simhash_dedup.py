@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import map_rows
+from codeloom.llm.common import map_rows, release_memory
 from codeloom.llm.graph import components
 from codeloom.workspace import materialize
 
@@ -25,7 +25,7 @@ MAX_BITS = 3
 N_BYTES = 8
 SEED = 42
 #: Shingles whose bits are counted at a time, and fingerprints compared with each other at a time.
-BLOCK = 1 << 17
+BLOCK = 1 << 16
 SIDE = 1024
 #: A list longer than this looks up all fingerprints in reach of each instead of comparing all pairs.
 LONG_LIST = 1 << 14
@@ -75,7 +75,7 @@ def fingerprinter(shingle: int, seed: int) -> Callable[[], Callable]:
             while low < len(texts):
                 runs: list[list[int]] = []
                 high, total = low, 0
-                while high < len(texts) and total < 4 * BLOCK:
+                while high < len(texts) and total < BLOCK:
                     runs.append(hashes(texts[high]))
                     total += len(runs[-1])
                     high += 1
@@ -211,6 +211,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
         if links := closed():
             found = np.array(links, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        release_memory()
 
     list_order = Window.partitionBy("choice", "bytes").orderBy("fingerprint")
     several = (

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from codeloom.llm.common import map_rows
+from codeloom.llm.common import map_rows, release_memory, small_batches
 from codeloom.llm.fm_index import FMIndex
 from codeloom.workspace import materialize
 
@@ -27,9 +27,9 @@ WINDOW = 13
 #: Words of the runs that minimizers are chosen from.
 RUN = 7
 #: Stretches of a shard, about; those of one minimizer beyond it are split over shards.
-SHARD = 40_000
+SHARD = 20_000
 #: Bytes of text worked on at a time.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: The id of rows without one: larger than any.
 NO_ID = (1 << 63) - 1
 
@@ -112,6 +112,8 @@ def _postings(window: int, run: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             place = np.arange(len(found)) - np.repeat(first, np.diff(np.append(first, len(found))))
             columns = [pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(place >= 2)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            del d1, pairs, found, columns, batch
+        release_memory()
 
     return run_task
 
@@ -136,6 +138,7 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chosen(rows[:whole], known[:whole])
         held, held_known = rows[whole:], known[whole:]
     yield chosen(held, held_known)
+    release_memory()
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataFrame:
@@ -217,6 +220,7 @@ def _stretches(marked: DataFrame, window: int, run: int, n_shards: int) -> DataF
                         out["stretch"].append(stretch)
                 if out["shard"]:
                     yield pa.RecordBatch.from_pydict(out, schema=schema)
+        release_memory()
 
     return marked.select("d1", "d2", "id", "shared", "text").mapInArrow(run_task, STRETCH)
 
@@ -280,6 +284,7 @@ def _shard_searcher(window: int) -> Callable[[pa.Table], pa.Table]:
                     key = hashlib.md5(b" ".join(words[j : j + window])).digest()
                     w1, w2 = (int.from_bytes(key[k : k + 8], "little", signed=True) for k in (0, 8))
                     waiting.append({"d1": d1[i], "d2": d2[i], "id": ids[i], "starts": [s + j for s in starts], "windows": 1, "w1": w1, "w2": w2})
+        release_memory()
         return pa.concat_tables([table.cast(schema), pa.Table.from_pylist(waiting, schema=schema)])
 
     return search
@@ -345,6 +350,7 @@ def remove_repeats(
     """
     if not run <= window <= run + 61:
         raise ValueError("a window has from run to run + 61 words")
+    small_batches(docs.sparkSession)
     rows = _keyed(docs, doc_id, text, keep or [])
     shared = _shared(rows, window, run, shard)
     classes = rows.groupBy("d1", "d2").agg(F.min("id").alias("least"))

@@ -15,7 +15,7 @@ _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{
 #: Texts with other signs than these, or that may hold a special token, go through the tokenizer whole.
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ſ]|<\\|")
 #: Words kept by a Python worker.
-MAX_WORDS = 600_000
+MAX_WORDS = 300_000
 
 
 def id_encoder(path: str) -> Callable[[bytes | None], bytes]:

