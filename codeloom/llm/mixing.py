@@ -4,6 +4,8 @@ operations.
 Tokens are counted by cell (source, language, topic). Raking scales the cells in turn to
 the target share of each source, language and topic. The scaled shares, spread over a
 budget of tokens, give each cell the probability with which its documents are sampled.
+A cell with fewer tokens than its share is sampled whole, which misses the targets, or
+repeated, which meets them.
 """
 
 from __future__ import annotations
@@ -139,6 +141,14 @@ def probabilities(raked: DataFrame, budget: float = BUDGET, spreads: int = SPREA
     return raked.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * F.lit(rate)))
 
 
+def expectations(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """Raked cells with ``expected``, the number of copies to take of each of its documents:
+    tokens times ``expected`` add up to ``budget`` of all tokens in just the raked
+    proportions, as it is above 1 where a cell has too few. Two sums reach the driver."""
+    total, left = raked.agg(F.sum("tokens"), F.sum(F.col("ratio") * F.col("tokens"))).first()
+    return raked.withColumn("expected", F.col("ratio") * F.lit(budget * total / left if left else 0.0))
+
+
 def with_cells(
     docs: DataFrame, doc_id: str, text: str, lang: str, source: str, targets: dict[str, float], keep: list[str] | None = None
 ) -> DataFrame:
@@ -167,10 +177,16 @@ def mix(
     seed: str = SEED,
     sweeps: int = SWEEPS,
     keep: list[str] | None = None,
+    repeats: bool = False,
 ) -> DataFrame:
     """Each row's source, lang (``other`` if it has no target), topic, tokens,
     ``probability`` and whether it is ``sampled`` (and the columns ``keep``, in a struct ``kept``).
 
+    Without ``repeats`` no row is taken twice, so shares whose tokens are too few fall short.
+    With it the expected shares are the raked ones, and ``copies`` says how often to take a
+    row: the whole part of what its cell expects, and one more by the hash for the rest.
+    Rows without tokens are taken once at most.
+
     Sampling is by the hash of the id, so a rerun and a lost task give the same rows, and
     rows of one id go together; rows of null ids are one such group. A null source is the
     empty one, a null or unnamed language ``other``, a null text an empty one of no tokens.
@@ -181,12 +197,22 @@ def mix(
         rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "cells"
     )
     raked = materialize(rake(cells, lang_targets, topic_targets, source_power, sweeps), "raked")
-    known = materialize(probabilities(raked, budget).drop("tokens", "ratio"), "mix")
+    if repeats:
+        spread = expectations(raked, budget).withColumn("probability", F.least(F.lit(1.0), F.col("expected")))
+    else:
+        spread = probabilities(raked, budget)
+    known = materialize(spread.drop("tokens", "ratio"), "mix")
     joined = rows.join(known, ["source", "lang", "topic"])
+    unit = unit_of(F.col("doc_id"), seed)
+    sampled = unit < F.col("probability")
+    own = []
+    if repeats:
+        whole = F.floor("expected").cast("int")
+        copies = F.when(F.col("tokens") > 0, whole + (unit < F.col("expected") - whole).cast("int"))
+        own = [copies.otherwise(sampled.cast("int")).alias("copies")]
     return joined.select(
-        "doc_id", "source", "lang", "topic", "tokens", "probability",
-        (unit_of(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"),
-        *(["kept"] if keep else []),
+        "doc_id", "source", "lang", "topic", "tokens", "probability", sampled.alias("sampled"),
+        *own, *(["kept"] if keep else []),
     )
 
 

@@ -55,8 +55,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens have the target shares of sources, languages and topics."""
-    return mixing.mix(docs, keep=docs.columns).where("sampled").select("kept.*")
+    """A sample whose tokens have the target shares of sources, languages and topics.
+    Documents of shares with too few tokens are repeated."""
+    mixed = mixing.mix(docs, keep=docs.columns, repeats=True)
+    return mixed.select("kept", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("kept.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

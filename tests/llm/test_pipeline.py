@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 from conftest import SMALL
 from helpers import documents, no_documents, rows_of
+from pyspark.sql import functions as F
 from test_texts import Sets, cut, fingerprint
 
 import corpus_pipeline
-from codeloom.llm import queries
+from codeloom.llm import mixing, queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.all_oracles()))
@@ -70,6 +71,28 @@ def test_repeats_are_cut(spark):
             assert out[doc_id].text is None or out[doc_id].n_chars == len(out[doc_id].text)
 
 
+def test_mixing_meets_targets(spark):
+    """Token shares of the sample itself, with topics and sources that the input has too little of."""
+    topic = "CASE WHEN id % 100 = 0 THEN ' api_key' WHEN id % 60 = 7 THEN ' phone' WHEN id % 31 = 3 THEN ' license' WHEN id % 40 = 9 THEN ' | x' ELSE '' END"
+    docs = spark.range(40_000).selectExpr(
+        "id AS doc_id", f"repeat('w ', 5 + CAST(id % 7 AS INT)) || 'end' || {topic} AS text",
+        "element_at(array('en', 'en', 'en', 'de', 'fr', 'es', 'it'), CAST(hash(id) & 65535 AS INT) % 7 + 1) AS lang",
+        "CASE WHEN hash(id, 1) % 30 = 0 THEN 'small' WHEN hash(id, 1) % 3 = 0 THEN 'middle' ELSE 'large' END AS source",
+    )
+
+    def cells_of(df):
+        return mixing.with_cells(df, "doc_id", "text", "lang", "source", mixing.LANG_TARGETS)
+
+    power = {r.source: r.n**mixing.SOURCE_POWER for r in cells_of(docs).groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    sources = {s: x / sum(power.values()) for s, x in power.items()}
+    sampled = cells_of(stage("mixing sources")(spark, docs, SMALL))
+    total = sampled.agg(F.sum("tokens")).first()[0]
+    assert total == pytest.approx(mixing.BUDGET * cells_of(docs).agg(F.sum("tokens")).first()[0], rel=0.02)
+    for column, targets in (("topic", mixing.TOPIC_TARGETS), ("lang", mixing.LANG_TARGETS), ("source", sources)):
+        shares = {r[0]: r.n / total for r in sampled.groupBy(column).agg(F.sum("tokens").alias("n")).collect()}
+        assert shares == pytest.approx(targets, abs=0.002)
+
+
 def test_run(spark):
     packed = corpus_pipeline.run(spark, SMALL).collect()
     n_docs = spark.read.parquet(f"{SMALL}/documents.parquet").count()
