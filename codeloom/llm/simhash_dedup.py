@@ -241,16 +241,33 @@ def near_duplicates(
     other. Repeated rows are repeated; a null doc_id is never the smallest unless no other
     is reached (then the component is null). Other columns are ignored.
     """
-    ids = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = materialize(fingerprints(ids, keep=["doc_id"], shingle=shingle, seed=seed), "fingerprints")
+    grouped = with_components(docs, doc_id, text, [], shingle, max_bits, seed)
+    return grouped.select("doc_id", as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def with_components(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    keep: list[str] | None = None,
+    shingle: int = SHINGLE,
+    max_bits: int = MAX_BITS,
+    seed: int = SEED,
+) -> DataFrame:
+    """doc_id, ``keep`` columns, fingerprint (a long), component_id as in ``near_duplicates``
+    and ``component``, a fingerprint of the component, which tells apart components whose
+    rows share a doc_id. Rows are as they were, only texts are left out."""
+    kept = [F.col(f"`{c}`") for c in keep or []]
+    ids = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *kept)
+    rows = materialize(fingerprints(ids, keep=["doc_id", *(keep or [])], shingle=shingle, seed=seed), "fingerprints")
     nodes = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(fingerprint_links(nodes.select("fingerprint"), max_bits))
     linked = nodes.join(roots, nodes.fingerprint == roots.node)
     groups = linked.groupBy("root").agg(F.min("least").alias("group_least"))
-    reached = linked.join(groups, "root").select("fingerprint", "group_least")
+    reached = linked.join(groups, "root").select("fingerprint", "root", "group_least")
     component = nodes.join(reached, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("group_least", "least").alias("component_id")
-    )
-    return rows.join(component, "fingerprint").select(
-        "doc_id", as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id"
+        "fingerprint",
+        F.coalesce("group_least", "least").alias("component_id"),
+        F.coalesce("root", "fingerprint").alias("component"),
     )
+    return rows.join(component, "fingerprint").select("doc_id", *kept, "fingerprint", "component_id", "component")

@@ -32,13 +32,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group; of rows of one doc_id one. Rows without
-    an id can't be told apart and all stay."""
-    groups = materialize(simhash_dedup.near_duplicates(docs), "groups")
-    later = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = docs.join(later.unionByName(again), "doc_id", "left_anti")
-    first = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group: that of the smallest doc_id, rows without an id last. Rows are
+    told apart by a hash of all their columns, so texts that share a doc_id, or have none,
+    are judged each by its own group; of rows equal in all columns one stays."""
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    every += [c.isNull() for c in every]
+    halves = {f"__row{i}": F.xxhash64(F.lit(i), *every) for i in (1, 2)}
+    hashed = docs.withColumns(halves)
+    groups = materialize(simhash_dedup.with_components(hashed, keep=list(halves)), "groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", *halves)
+    best = groups.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n"))
+    rest = groups.join(best.where("n > 1"), "component").select(*halves, (order != F.col("best")).alias("later"))
+    later = rest.where("later").select(*halves).distinct()
+    again = rest.where("NOT later").groupBy(*halves).count().where("count > 1").select(*halves)
+    once = hashed.join(later.unionByName(again), list(halves), "left_anti")
+    first = hashed.join(again, list(halves), "left_semi").dropDuplicates(list(halves))
     return once.unionByName(first).select(docs.columns)
 
 

@@ -59,6 +59,16 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
 
 
+def test_groups_are_of_rows_not_of_ids(spark):
+    """Two texts under one doc_id are two documents, and rows without an id are in groups too."""
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(80)) for w in ("ash", "birch", "cedar", "dogwood"))
+    rows = [(1, one), (7, one), (7, two), (8, three), (8, four), (8, four), (None, three), (None, "only here"), (None, "only here"), (9, None), (None, "")]
+    rows.append((None, two + " "))
+    kept = stage("simhash near-dedup")(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), SMALL)
+    expected = [(1, one), (7, two), (8, three), (8, four), (None, "only here"), (9, None)]
+    assert rows_of(kept) == sorted(expected, key=repr)
+
+
 def test_repeats_are_cut(spark):
     docs = documents(spark)
     expected = {d: (n, gone) for d, n, gone, _ in cut([(r.doc_id, r.text) for r in docs.collect()]) if d is not None}
