@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import ann_forest, chat_format, embedding_dedup, license_scan, mixing, packing, quality_classifier, simhash_dedup, substring_dedup, toxicity
+from codeloom.llm import ann_forest, chat_format, embedding_dedup, license_scan, line_dedup, mixing, packing, quality_classifier, simhash_dedup, substring_dedup, toxicity
 from codeloom.llm.common import table
 from codeloom.llm.registry import ORACLES, QUERIES, query
 
@@ -116,3 +116,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ann_forest")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_line_dedup", line_dedup.drop_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_common_lines(table(spark, sf_dir, "documents"))
