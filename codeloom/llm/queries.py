@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import ann_forest, chat_format, collocations, embedding_dedup, license_scan, line_dedup, mixing, packing, quality_classifier, simhash_dedup, substring_dedup, toxicity
+from codeloom.llm import ann_forest, chat_format, collocations, conversation_repair, embedding_dedup, license_scan, line_dedup, mixing, packing, quality_classifier, simhash_dedup, substring_dedup, toxicity
 from codeloom.llm.common import table
 from codeloom.llm.registry import ORACLES, QUERIES, query
 
@@ -123,6 +123,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_common_lines(table(spark, sf_dir, "documents"))
 
 
+@query("op12_conversation_repair", conversation_repair.repair_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 @query("op13_phrase_collocations", collocations.mine_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine_collocations(table(spark, sf_dir, "documents"))
