@@ -198,14 +198,20 @@ def scored_phrases(counts: DataFrame, words: DataFrame, covered: int = COVERED)
 
 
 def best_phrases(phrases: DataFrame, top: int = TOP) -> DataFrame:
-    """The first ``top`` phrases of each language by score, count, phrase. They are ranked within
-    parts of a language first, so that one with most phrases is not ranked by one task."""
+    """The first ``top`` phrases of each language by score, count, phrase.
+
+    Phrases are dealt to ranges of that order and numbered within them; only the sizes of
+    ranges are summed up in order, so a language with most phrases is many tasks.
+    """
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    parts = int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.xxhash64("phrase"), F.lit(parts))
-    some = phrases.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
-    ranked = some.where(F.col("rank") <= top).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-    return ranked.where(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long")).drop("part")
+    ranged = phrases.repartitionByRange("lang", *order).withColumn("range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranked-phrases")
+    sizes = ranged.groupBy("lang", "range").agg(F.count("*").alias("size"))
+    earlier = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("lang", "range", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("lang", "range").orderBy(*order))
+    placed = ranged.join(before.where(F.col("before") < top), ["lang", "range"]).withColumn("rank", F.col("before") + place)
+    return placed.where(F.col("rank") <= top).drop("range", "before")
 
 
 def mine_collocations(
