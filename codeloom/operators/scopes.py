@@ -1,152 +1,358 @@
-"""Code scopes from indentation.
-
-A scope is opened by a header line (class, function, ...) and ends before the
-first later line that is indented no more than the header. Blank lines, lines
-inside a triple-quoted text and lines that start with a closing bracket or an
-``end`` keyword close nothing, which also covers usually formatted brace
-languages. Tabs count to the next multiple of eight; decorators join the scope
-below. A line break inside other brackets or strings that returns to a smaller
-indentation would end a scope early: this is no parser.
-
-Instead of comparing every line with every header, each line is listed under the
-indentation levels it concerns (a file has few). Within one level the line that
-closes a scope is simply the next one listed, found with ``lead``, and the scope
-open at a line is the last one listed, if that is a header.
+"""Scopes of source files, told by indentation or by braces.
+
+Files are cut into blocks of lines, which are read side by side. What a block needs to know
+of the lines before it is worked out from one small row a block: first whether it begins in
+code, a comment or a string, at what depth, and after what unfinished head (``lexing.moves``,
+folded over the blocks of a file), then which scopes are open where it begins, and where its own scopes
+end in later blocks. Files of one block need none of it, and no text is ever shuffled for them.
+
+A scope has a key: the indentation of its header, or the depth of its brace. It ends at
+the first later event whose key is no larger: a line of code indented no more, or a closing
+brace. By indentation a header is a line with a keyword (class, function, ...); blank lines,
+lines inside strings or brackets and lines that start with a closing bracket or an ``end`` keyword
+close nothing; decorators join the scope below; tabs count to the next multiple of eight. By
+braces a header is what stands before the brace (``lexing.head_of``), methods without a keyword
+included; notes above it join it. This is no parser.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from codeloom.functions import lexing
+from codeloom.functions.folds import emitting_fold
+from codeloom.workspace import materialize
 
-# What opens a scope: keyword and name, after optional modifiers.
+# What opens a scope by indentation: keyword and name, after optional modifiers.
 HEADER_PATTERN = (
     r"^\s*(?:(?:export|default|public|private|protected|static|final|abstract|async)\s+)*"
-    r"(class|def|module|interface|enum|function|func)\s+(?:\([^)]*\)\s*)?([\p{L}_$][\p{L}\p{N}_$]*)"
+    r"(class|def|module|interface|enum|function|func)\s+(?:\([^)]*\)\s*)?((?:[^\W\d]|\$)[\w$]*)"
 )
 CLOSER_PATTERN = r"^\s*([)\]}]|end\b)"
 MODULE = -1
+#: Lines of a block.
+BLOCK = 2000
 
-
-def running_start(length: Column, window) -> Column:
-    """Start offset of a part: all earlier parts and one separator behind each."""
-    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(length + 1).over(earlier), F.lit(0)).cast("bigint")
+MOVES = "array<struct<state:int,depth:int,cut:boolean,rest:string>>"
+SCOPE = "struct<key:int,ln:bigint,kind:string,name:string,parent:bigint,level:bigint>"
+#: Scopes open where a block begins, ends of its own in later blocks, headers of later blocks that claim its last lines.
+AROUND = f"stack array<{SCOPE}>, ends array<struct<ln:bigint,end_ln:bigint>>, claims array<struct<from:bigint,scope:{SCOPE}>>"
+LINE = (
+    "struct<ln:bigint,line:string,is_header:boolean,kind:string,name:string,first_ln:bigint,end_ln:bigint,owner:bigint,"
+    "parent:bigint,depth:bigint,nth:bigint,owner_kind:string,owner_name:string,owner_parent:bigint>"
+)
 
 
-def indentation(line: Column) -> Column:
-    lead = F.regexp_extract(line, r"^([ \t]*)", 1)
-    tabbed = F.aggregate(
-        F.split(lead, ""),
-        F.lit(0),
-        lambda n, c: F.when(c == "\t", (F.floor(n / 8).cast("int") + 1) * 8)
-        .when(c == " ", n + 1)
-        .otherwise(n),
-    )
-    return F.when(lead.contains("\t"), tabbed).otherwise(F.length(lead))
+def indentation(line: str) -> int:
+    """Columns before the first other sign."""
+    lead = line[: len(line) - len(line.lstrip(" \t"))]
+    return len(lead.expandtabs(8))
 
 
-def line_scopes(files: DataFrame, id_col: str = "path", text_col: str = "text") -> DataFrame:
-    """Every line with its scope: (id, ln, line, start, is_header, kind, name,
-    end_ln, owner, parent, depth, first_ln).
+class Block:
+    """Lines of a file, with the events that open and close scopes in order.
 
-    ``owner`` is the header line of the innermost scope the line belongs to, or
-    -1 for the file itself. Header lines own themselves and carry ``end_ln``, the
-    first line after the scope, ``first_ln``, its first decorator or itself,
-    ``parent``, the header of the enclosing scope, and ``depth``.
+    ``opened`` and ``closed`` are events at the line where they take effect: (line, whether the
+    line itself is affected, key, and for an opening the header, for a closing the line where scopes end).
     """
-    cut = files.select(id_col, text_col).repartition(id_col).select(
-        id_col, F.posexplode(F.split(text_col, "\n")).alias("ln", "line")
-    )
-    in_file = Window.partitionBy(id_col).orderBy("ln")
-    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    whole_file = Window.partitionBy(id_col)
-
-    quotes = F.size(F.split("line", '"""|\'\'\'')) - 1
-    quoted = F.coalesce(F.sum(quotes).over(before), F.lit(0)) % 2 == 1
-    blank = F.trim("line") == ""
-    header = F.col("line").rlike(HEADER_PATTERN)
-    lines = cut.select(
-        id_col,
-        "ln",
-        "line",
-        running_start(F.length("line"), in_file).alias("start"),
-        indentation(F.col("line")).alias("indent"),
-        (~blank & ~quoted).alias("code"),
-        (~blank & ~quoted & ~F.col("line").rlike(CLOSER_PATTERN)).alias("closes"),
-        (~blank & ~quoted & header).alias("is_header"),
-        (~blank & ~quoted & F.trim("line").startswith("@")).alias("decorates"),
-    )
-    # A run is a line of code and the decorators directly above it.
-    plain = F.col("code") & ~F.col("decorates")
-    runs = lines.withColumn("run", F.coalesce(F.max(F.when(plain, F.col("ln"))).over(before), F.lit(-1)))
-    in_run = Window.partitionBy(id_col, "run")
-    decorated = runs.select(
-        "*",
-        F.max(F.when(F.col("is_header"), F.col("ln"))).over(in_run).alias("run_header"),
-        F.min(F.when(F.col("decorates"), F.col("ln"))).over(in_run).alias("run_first"),
-        F.max("ln").over(whole_file).alias("last_ln"),
-        F.collect_set(F.when(F.col("is_header"), F.col("indent"))).over(whole_file).alias("levels"),
-    )
-    # Levels at or above a closing line's indentation are closed by it; the line
-    # itself can only lie in scopes of smaller levels. -1 keeps the line itself.
-    listed = (
-        decorated.withColumn("level", F.explode(F.concat(F.array(F.lit(-1)), "levels")))
-        .withColumn("line", F.when(F.col("level") == -1, F.col("line")))
-        .withColumn("event", F.col("closes") & (F.col("level") >= F.col("indent")))
-    )
-    at_level = Window.partitionBy(id_col, "level").orderBy("ln")
-    opens = F.col("is_header") & (F.col("level") == F.col("indent"))
-    event_ln = F.when(F.col("event"), F.col("ln"))
-    last_event = F.last(
-        F.when(F.col("event"), F.struct(F.col("ln").alias("ln"), opens.alias("opens"))), ignorenulls=True
-    ).over(at_level.rowsBetween(Window.unboundedPreceding, -1))
-    next_event = F.first(event_ln, ignorenulls=True).over(
-        at_level.rowsBetween(1, Window.unboundedFollowing)
-    )
-    inside = ~F.col("closes") | (F.col("level") < F.col("indent"))
-    probed = listed.select(
-        "*",
-        F.when(inside & last_event["opens"], last_event["ln"]).alias("open_ln"),
-        F.when(opens, F.coalesce(next_event, F.col("last_ln") + 1)).alias("level_end"),
-    )
-    per_line = probed.groupBy(id_col, "ln").agg(
-        F.max("open_ln").alias("enclosing"),
-        F.count("open_ln").alias("depth"),
-        F.max("level_end").alias("end_ln"),
-        *[F.max(F.when(F.col("level") == -1, F.col(c))).alias(c)
-          for c in ("line", "start", "is_header", "decorates", "run_header", "run_first")],
-    )
-    is_header = F.col("is_header")
-    enclosing = F.coalesce("enclosing", F.lit(MODULE))
-    owner = (
-        F.when(is_header, F.col("ln"))
-        .when(F.col("decorates") & F.col("run_header").isNotNull(), F.col("run_header"))
-        .otherwise(enclosing)
+
+    def __init__(self, lines: list[str], first: int, language: str, state: int = 0, depth: int = 0, pending: str = ""):
+        self.lines, self.first, self.language, self.pending = lines, first, language, pending
+        self.code, _, inside = lexing.masked("\n".join(lines), state, language)
+        self.starts = [0]
+        for line in lines:
+            self.starts.append(self.starts[-1] + len(line) + 1)
+        self.quoted = [state != lexing.CODE, *[False] * (len(lines) - 1)]
+        for low, high in inside:
+            for i in range(bisect_right(self.starts, low), len(lines)):
+                if self.starts[i] >= high:
+                    break
+                self.quoted[i] = True
+        self.headers: set[int] = set()
+        self.events = self._braces(depth) if language in lexing.BRACED else self._indents(depth, state)
+
+    def decorates(self, i: int) -> bool:
+        return self.lines[i].lstrip().startswith("@") and not self.quoted[i]
+
+    def _indents(self, depth: int, state: int) -> list[tuple]:
+        bracketed = self.language in lexing.BRACKETED
+        above = None
+        if "@" in self.pending and state == lexing.CODE and depth <= 0:
+            above = self.first - self.pending.count("\n", len(self.pending) - len(self.pending.lstrip()))
+        events: list[tuple] = []
+        for i, line in enumerate(self.lines):
+            code = self.code[self.starts[i] : self.starts[i + 1]] if bracketed else line
+            plain = not (self.quoted[i] or bracketed and depth > 0) and bool(code.strip())
+            if bracketed:
+                depth += lexing.depth_change(code, self.language)
+            if not plain:
+                continue
+            ln, key = self.first + i, indentation(line)
+            if not re.match(CLOSER_PATTERN, line):
+                events.append((ln, True, key, None, ln))
+            if line.lstrip().startswith("@"):
+                above = ln if above is None else above
+                continue
+            head = re.match(HEADER_PATTERN, code)
+            if head:
+                self.headers.add(ln)
+                events.append((ln, False, key, (ln, head[1], head[2], ln if above is None else above), ln))
+            above = None
+        return events
+
+    def _braces(self, depth: int) -> list[tuple]:
+        events: list[tuple] = []
+        text = self.pending + self.code
+        shift = len(self.pending)
+        since = 0
+        for found in lexing.DELIMITER.finditer(text, shift):
+            ln = self._ln(found.start(), shift)
+            if found[0] == "{":
+                head = text[since : found.start()]
+                told = lexing.head_of(head, self.language)
+                if told:
+                    kind, name, place = told
+                    header = self._ln(since + place, shift)
+                    # A line is the header of one scope, the first that opens on it.
+                    if header not in self.headers:
+                        self.headers.add(header)
+                        first = self._ln(since + len(head) - len(head.lstrip()), shift)
+                        events.append((ln, False, depth, (header, kind, name, first), ln))
+                depth += 1
+            elif found[0] == "}":
+                depth -= 1
+                events.append((ln, False, depth, None, ln + 1))
+            since = found.end()
+        return events
+
+    def _ln(self, at: int, shift: int) -> int:
+        """The line of a place in what is pending and the block."""
+        if at < shift:
+            return self.first - self.pending.count("\n", at)
+        return self.first + bisect_right(self.starts, at - shift) - 1
+
+    def summary(self) -> dict:
+        """What later and earlier blocks have to know: lows of closing keys, and scopes left open."""
+        lows: list[dict] = []
+        left: list[dict] = []
+        ends: list[dict] = []
+        claims: list[tuple] = []
+        for _, _, key, header, end in self.events:
+            if header:
+                left.append({"key": key, "ln": header[0], "kind": header[1], "name": header[2], "first_ln": header[3]})
+                if header[3] < self.first:  # the scopes around it are those that nothing has closed so far
+                    claims.append((min([key, *(low["key"] for low in lows)]), *header))
+                continue
+            while left and left[-1]["key"] >= key:
+                ends.append({"ln": left.pop()["ln"], "end_ln": end})
+            if not lows or key < lows[-1]["key"]:
+                lows.append({"key": key, "end_ln": end})
+        named = [dict(zip(("key", "ln", "kind", "name", "first_ln"), c, strict=True)) for c in claims]
+        # A head may begin in an earlier block than its brace.
+        return {"lows": lows, "left": left, "claims": named, "ends": [e for e in ends if e["ln"] < self.first], "first": self.first}
+
+    def rows(self, n_lines: int, stack: list[dict], ends: list[dict], claims: list[dict]) -> list[dict]:
+        """The lines with their scopes."""
+        stack = list(stack)
+        end_of = {e["ln"]: e["end_ln"] for e in ends}
+        owners: list[dict | None] = []
+        depths: list[int] = []
+        scopes: dict[int, dict] = {}
+        first_of: dict[int, int] = {}
+
+        def begin(upto: int) -> None:
+            while len(owners) < min(upto, len(self.lines)):
+                owners.append(stack[-1] if stack else None)
+                depths.append(len(stack))
+
+        for ln, itself, key, header, end in self.events:
+            begin(ln - self.first + (not itself))
+            if not header:
+                while stack and stack[-1]["key"] >= key:
+                    end_of.setdefault(stack.pop()["ln"], end)
+                continue
+            at, kind, name, first = header
+            scope = {"key": key, "ln": at, "kind": kind, "name": name, "parent": stack[-1]["ln"] if stack else MODULE, "level": len(stack)}
+            stack.append(scope)
+            scopes[at], first_of[at] = scope, first
+            begin(ln - self.first + 1)
+            for i in range(max(first - self.first, 0), ln - self.first + 1):
+                if self.first + i == at or self._claimed(i) and self.first + i not in scopes:
+                    owners[i] = scope
+        begin(len(self.lines))
+        for claim in claims:
+            for i in range(max(claim["from"] - self.first, 0), len(self.lines)):
+                at = self.first + i
+                if at == claim["scope"]["ln"]:  # its brace stands in a later block
+                    scopes[at], first_of[at] = claim["scope"], claim["from"]
+                if at == claim["scope"]["ln"] or self._claimed(i) and at not in scopes:
+                    owners[i] = claim["scope"]
+        out: list[dict] = []
+        numbers: dict[int, int] = {}
+        for i, line in enumerate(self.lines):
+            ln, owner = self.first + i, owners[i]
+            own = scopes.get(ln)
+            of = owner["ln"] if owner else MODULE
+            numbers[of] = numbers.get(of, -1) + 1
+            row = {"ln": ln, "line": line, "is_header": own is not None, "owner": of, "nth": numbers[of]}
+            row |= {"depth": own["level"] if own else depths[i]}
+            if own:
+                row |= {"kind": own["kind"], "name": own["name"], "first_ln": first_of[ln],
+                        "end_ln": end_of.get(ln, n_lines), "parent": own["parent"]}
+            if owner:
+                row |= {"owner_kind": owner["kind"], "owner_name": owner["name"], "owner_parent": owner["parent"]}
+            out.append(row)
+        return out
+
+    def _claimed(self, i: int) -> bool:
+        """Whether a line above a header joins it: all of a head with a brace, or decorators."""
+        return self.language in lexing.BRACED or self.decorates(i)
+
+
+def _blocks(files: DataFrame, id_col: str, text_col: str, language_col: str | None, size: int) -> DataFrame:
+    """(id, language, n_lines, n_blocks, block, lines)."""
+    language = F.coalesce(F.lower(F.col(language_col)), F.lit("")) if language_col else F.lit("")
+    lines = files.select(F.col(id_col), language.alias("language"), F.split(text_col, "\n").alias("lines"))
+    cut = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("lines"), F.lit(1)), F.lit(size)), lambda i: F.slice("lines", i, F.lit(size))
     )
-    return per_line.select(
-        id_col,
-        F.col("ln").cast("bigint").alias("ln"),
-        "line",
-        "start",
-        "is_header",
-        F.when(is_header, F.regexp_extract("line", HEADER_PATTERN, 1)).alias("kind"),
-        F.when(is_header, F.regexp_extract("line", HEADER_PATTERN, 2)).alias("name"),
-        F.when(is_header, F.coalesce("run_first", "ln")).cast("bigint").alias("first_ln"),
-        F.col("end_ln").cast("bigint").alias("end_ln"),
-        owner.cast("bigint").alias("owner"),
-        F.when(is_header, enclosing).cast("bigint").alias("parent"),
-        F.col("depth").cast("bigint").alias("depth"),
+    n_lines = F.size("lines").cast("bigint")
+    return lines.where("lines IS NOT NULL").select(
+        id_col, "language", n_lines.alias("n_lines"), F.ceil(n_lines / size).alias("n_blocks"), F.posexplode(cut).alias("block", "lines")
     )
 
 
-def code_scopes(files: DataFrame, id_col: str = "path", text_col: str = "text") -> DataFrame:
+def _map_blocks(blocks: DataFrame, keep: list[str], out: str, work) -> DataFrame:
+    """``keep`` columns of blocks and the struct that ``work`` makes of each row."""
+    schema = T.StructType([*blocks.select(*keep).schema.fields, T.StructField("made", T.StructType.fromDDL(out))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            made = [work(row) for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(made, arrow.field("made").type)], schema=arrow)
+
+    return blocks.mapInArrow(run, schema)
+
+
+def _entered(blocks: DataFrame, id_col: str) -> DataFrame:
+    """(id, block, state, depth, pending) where each block begins: the moves of the blocks of a
+    file, a small row each, are folded in order."""
+    told = _map_blocks(
+        blocks, [id_col, "block"], f"moves {MOVES}",
+        lambda r: {"moves": [dict(zip(("state", "depth", "cut", "rest"), m, strict=True)) for m in lexing.moves("\n".join(r["lines"]), r["language"])]},
+    )
+    listed = told.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("block", F.col("made.moves").alias("moves")))).alias("items"))
+    entry = "struct<block:int,state:int,depth:int,pending:string>"
+    step = """named_struct('state', u.moves[acc.state].state, 'depth', acc.depth + u.moves[acc.state].depth,
+      'pending', if(u.moves[acc.state].cut, u.moves[acc.state].rest, concat(acc.pending, u.moves[acc.state].rest)),
+      'done', concat(acc.done, array(named_struct('block', u.block, 'state', acc.state, 'depth', acc.depth, 'pending', acc.pending))))"""
+    folded = emitting_fold("items", {"state": "0", "depth": "0", "pending": "''"}, step, entry, "acc.done")
+    return listed.select(id_col, F.explode(folded).alias("e")).select(id_col, "e.*")
+
+
+SUMMARY = (
+    "lows array<struct<key:int,end_ln:bigint>>, left array<struct<key:int,ln:bigint,kind:string,name:string,first_ln:bigint>>, "
+    "claims array<struct<key:int,ln:bigint,kind:string,name:string,first_ln:bigint>>, ends array<struct<ln:bigint,end_ln:bigint>>, first bigint"
+)
+
+
+def _around(summaries: DataFrame, id_col: str) -> DataFrame:
+    """What each block has to know of the others of its file; summaries alone meet here."""
+    schema = T.StructType([summaries.schema[id_col], T.StructField("block", T.IntegerType()), *T.StructType.fromDDL(AROUND).fields])
+    arrow = to_arrow_schema(schema)
+
+    def follow(rows: pa.Table) -> pa.Table:
+        parts = sorted(rows.to_pylist(), key=lambda r: r["block"])
+        out = [{id_col: p[id_col], "block": p["block"], "stack": [], "ends": [], "claims": []} for p in parts]
+        begins = [p["made"]["first"] for p in parts]
+        stack: list[dict] = []
+        for i, part in enumerate(parts):
+            made = part["made"]
+            out[i]["stack"] = [dict(s) for s in stack]
+            for end in made["ends"]:
+                out[bisect_right(begins, end["ln"]) - 1]["ends"].append(end)
+            for low in made["lows"]:
+                while stack and stack[-1]["key"] >= low["key"]:
+                    closed = stack.pop()
+                    out[bisect_right(begins, closed["ln"]) - 1]["ends"].append({"ln": closed["ln"], "end_ln": low["end_ln"]})
+            for left in made["left"]:
+                scope = {n: left[n] for n in ("key", "ln", "kind", "name")}
+                stack.append(scope | {"parent": stack[-1]["ln"] if stack else MODULE, "level": len(stack)})
+            for claim in made["claims"]:
+                outer = [s for s in out[i]["stack"] if s["key"] < claim["key"]]
+                scope = {n: claim[n] for n in ("key", "ln", "kind", "name")}
+                scope |= {"parent": outer[-1]["ln"] if outer else MODULE, "level": len(outer)}
+                for j in range(bisect_right(begins, claim["first_ln"]) - 1, i):
+                    out[j]["claims"].append({"from": claim["first_ln"], "scope": scope})
+        return pa.Table.from_pylist(out, schema=arrow)
+
+    return summaries.groupBy(id_col).applyInArrow(follow, schema)
+
+
+def _block(row: dict, size: int) -> Block:
+    entry = [row.get("state") or 0, row.get("depth") or 0, row.get("pending") or ""]
+    return Block(row["lines"], row["block"] * size, row["language"], *entry)
+
+
+def line_scopes(
+    files: DataFrame, id_col: str = "path", text_col: str = "text", language_col: str | None = None, block: int = BLOCK
+) -> DataFrame:
+    """Every line with its scope: (id, ln, line, is_header, kind, name, first_ln, end_ln, owner,
+    parent, depth, nth, owner_kind, owner_name, owner_parent).
+
+    ``owner`` is the header line of the innermost scope the line belongs to, or -1 for the
+    file itself, and ``nth`` the number of the line among those of its owner. Header lines
+    own themselves and carry ``end_ln``, the first line after the scope, ``first_ln``, where its
+    decorators, notes or head begin, ``parent``, the header of the enclosing scope, and ``depth``.
+
+    Languages with braces (``lexing.BRACED``) go by braces, others, and files without a language, by indentation.
+    A null text has no lines. A scope that nothing closes ends with its file.
+    """
+    blocks = materialize(_blocks(files, id_col, text_col, language_col, block), "blocks")
+
+    def told(some: DataFrame) -> DataFrame:
+        rows = _map_blocks(
+            some, [id_col, "block"], f"rows array<{LINE}>",
+            lambda r: {"rows": _block(r, block).rows(r["n_lines"], r.get("stack") or [], r.get("ends") or [], r.get("claims") or [])},
+        )
+        return rows.select(id_col, "block", F.explode("made.rows").alias("l")).select(id_col, "block", "l.*")
+
+    alone = told(blocks.where("n_blocks <= 1")).drop("block")
+    several = blocks.where("n_blocks > 1")
+    if several.isEmpty():
+        return alone
+    spread = several.repartition(id_col, "block")
+    entered = materialize(_entered(spread, id_col), "block-entries")
+    placed = several.join(entered, [id_col, "block"])
+    summaries = _map_blocks(placed, [id_col, "block"], SUMMARY, lambda r: _block(r, block).summary())
+    around = materialize(_around(summaries, id_col), "block-scopes")
+    lines = materialize(told(placed.join(around, [id_col, "block"])), "scoped-lines")
+    # Lines of an owner are numbered on from block to block: only their counts are summed up in order.
+    counts = lines.groupBy(id_col, "owner", "block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(id_col, "owner").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(id_col, "owner", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    numbered = lines.join(before, [id_col, "owner", "block"]).withColumn("nth", F.col("nth") + F.col("before"))
+    return alone.unionByName(numbered.select(*alone.columns))
+
+
+def code_scopes(
+    files: DataFrame, id_col: str = "path", text_col: str = "text", language_col: str | None = None, block: int = BLOCK
+) -> DataFrame:
     """(id, scope, kind, name, first_ln, end_ln, parent, depth); ``scope`` is the
     header's line number and ``parent`` that of the enclosing scope, or -1.
     """
     return (
-        line_scopes(files, id_col, text_col)
+        line_scopes(files, id_col, text_col, language_col, block)
         .where("is_header")
         .select(id_col, F.col("ln").alias("scope"), "kind", "name", "first_ln", "end_ln", "parent", "depth")
     )
@@ -158,6 +364,8 @@ def scope_chunks(
     chunk_lines: int = 50,
     id_col: str = "path",
     text_col: str = "text",
+    language_col: str | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(id, chunk_id, scope, parent, kind, name, part, start_line, end_line, text).
 
@@ -165,14 +373,12 @@ def scope_chunks(
     their own, tied by ``parent``. A scope is cut every ``chunk_lines`` of its
     lines, and a cut piece again wherever the next line would exceed ``max_chars``. A line
     longer than that is chunks of its own, cut by offset, which share its line number.
+    Scopes are as in ``line_scopes``.
     """
-    scoped = line_scopes(files, id_col, text_col)
-    in_scope = Window.partitionBy(id_col, "owner").orderBy("ln")
-    pieces = scoped.withColumn(
-        "piece", F.floor((F.row_number().over(in_scope) - 1) / chunk_lines)
-    ).groupBy(id_col, "owner", "piece").agg(
+    scoped = line_scopes(files, id_col, text_col, language_col, block)
+    pieces = scoped.groupBy(id_col, "owner", F.floor(F.col("nth") / chunk_lines).alias("piece")).agg(
         F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("lines"),
-        *[F.max(c).alias(c) for c in ("kind", "name", "parent")],
+        *[F.max(f"owner_{c}").alias(c) for c in ("kind", "name", "parent")],
     )
     chunk = "struct<first: bigint, last: bigint, text: string>"
     cut = F.expr(
@@ -201,20 +407,19 @@ def scope_chunks(
             ),
         )
     )
-    cuts = pieces.select(
-        id_col, "owner", "piece", "kind", "name", "parent", F.posexplode(short).alias("cut", "c")
-    )
-    in_order = Window.partitionBy(id_col, "owner").orderBy("piece", "cut")
-    scope = Window.partitionBy(id_col, "owner")
-    part = (F.row_number().over(in_order) - 1).cast("bigint")
+    pieces = materialize(pieces.select(id_col, "owner", "piece", "kind", "name", "parent", short.alias("cuts")), "scope-pieces")
+    # Parts are numbered on from piece to piece: only the numbers of cuts are summed up in order.
+    earlier = Window.partitionBy(id_col, "owner").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = pieces.select(id_col, "owner", "piece", F.size("cuts").alias("n"))
+    before = sizes.select(id_col, "owner", "piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    cuts = pieces.join(before, [id_col, "owner", "piece"]).select("*", F.posexplode("cuts").alias("cut", "c"))
     return cuts.select(
         id_col,
         F.col("owner").alias("scope"),
-        # The header line, and with it these columns, lies in the first piece.
-        F.max("parent").over(scope).alias("parent"),
-        F.coalesce(F.max("kind").over(scope), F.lit("module")).alias("kind"),
-        F.max("name").over(scope).alias("name"),
-        part.alias("part"),
+        "parent",
+        F.coalesce("kind", F.lit("module")).alias("kind"),
+        "name",
+        (F.col("before") + F.col("cut")).cast("bigint").alias("part"),
         F.col("c.first").alias("start_line"),
         (F.col("c.last") + 1).alias("end_line"),
         F.col("c.text").alias("text"),

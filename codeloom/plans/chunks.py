@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text
 from codeloom.operators import lines, nodes, packing, scopes, windows
+from codeloom.plans import brace_code, views
 from codeloom.plans import sql as S
-from codeloom.plans import views
 from codeloom.plans.registry import query
 from codeloom.workspace import materialize
 
@@ -169,12 +169,23 @@ def code_scopes(spark: SparkSession, sf: str) -> DataFrame:
     return scopes.code_scopes(views.code_files(spark, sf))
 
 
+#: Blocks so small that most scopes of the test files go over several.
+SMALL_BLOCK = 50
+
+
+@query("brace_scopes", f"WITH {brace_code.SCOPES} SELECT path, scope::BIGINT AS scope, kind, name, first_ln::BIGINT AS first_ln, "
+       "end_ln::BIGINT AS end_ln, parent::BIGINT AS parent, depth::BIGINT AS depth FROM scopes")
+def brace_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """Types, functions and methods of files in Java, C, TypeScript, PHP and Go, told by braces."""
+    return scopes.code_scopes(brace_code.brace_files(spark, sf), language_col="language", block=SMALL_BLOCK)
+
+
 # Cut sizes of the registered query, small enough that scopes are cut both ways.
 SCOPE_CHARS, SCOPE_LINES = 60, 3
 
-def scope_chunks_sql(chars: int, lines: int) -> str:
-    """``scope_chunks``: scopes of the code files, cut line by line."""
-    return f"""{S.SCOPES},
+def scope_chunks_sql(chars: int, lines: int, found: str = S.SCOPES) -> str:
+    """``scope_chunks``: the scopes that ``found`` has of the code files, cut line by line."""
+    return f"""{found},
 pieces AS MATERIALIZED (
   SELECT path, owner, ln, line, (row_number() OVER (PARTITION BY path, owner ORDER BY ln) - 1) // {lines} AS piece,
          row_number() OVER (PARTITION BY path, owner ORDER BY ln) AS i
@@ -198,6 +209,15 @@ scope_chunks AS (
 
 SCOPE_CHUNKS = scope_chunks_sql(SCOPE_CHARS, SCOPE_LINES)
 
+
+@query("brace_chunks", f"""WITH RECURSIVE {scope_chunks_sql(200, 6, brace_code.SCOPES)}
+    SELECT path, chunk_id, scope::BIGINT AS scope, parent::BIGINT AS parent, kind, name, part::BIGINT AS part,
+           start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, text FROM scope_chunks""")
+def brace_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of those files."""
+    return scopes.scope_chunks(brace_code.brace_files(spark, sf), 200, 6, language_col="language")
+
+
 LINKS = """
 raw_links AS (
   SELECT path, chunk_id, 'parent' AS relation, path || ':' || parent || ':0' AS target FROM scope_chunks

@@ -47,7 +47,7 @@ def chunk_files(files: DataFrame, mode: str) -> DataFrame:
         cut = token_windows(keyed, id_col="file_id", keep=FILE_COLUMNS)
         cut = cut.withColumns({"part": F.col("win").cast("string"), "start_line": no_line, "end_line": no_line})
     elif mode == "smart":
-        cut = scope_chunks(keyed, id_col="file_id").withColumn("part", F.concat_ws(":", "scope", "part"))
+        cut = scope_chunks(keyed, id_col="file_id", language_col="language").withColumn("part", F.concat_ws(":", "scope", "part"))
     elif mode == "structural":
         tree = prose_nodes(keyed, "file_id", sentences_over=MAX_CHARS)
         cut = structural_chunks(tree, keyed, id_col="file_id").withColumn("part", F.col("start").cast("string"))
