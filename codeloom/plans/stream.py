@@ -42,11 +42,12 @@ def stream_corpus(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {S.CORPUS} SELECT repo, arg_min(path, seq) AS path, min(seq) AS seq FROM corpus GROUP BY repo",
 )
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """The first record of each repository; all files come in one batch."""
-    records = corpus_stream(spark, sf, files=1_000_000).select("repo", "path", "seq")
-    return ingest.drain_to_table(
+    """The first record of each repository in scan order, whichever of its files comes first: three files a batch."""
+    records = corpus_stream(spark, sf, files=3).select("repo", "path", "seq")
+    corrections = ingest.drain_to_table(
         ingest.first_seen(records, order="seq"), fresh_dir(spark, "firsts"), fresh_dir(spark, "progress")
     )
+    return ingest.resolve_firsts(corrections)
 
 
 def index_batch(batch: DataFrame) -> DataFrame:

@@ -1,17 +1,20 @@
 """Structured Streaming over a growing corpus folder.
 
-There is no event time in a corpus, so no watermark: the state of ``stream_first_seen``
-holds every repository seen, by design.
+There is no event time in a corpus, so no watermark: the state of ``first_seen`` holds every
+repository seen, by design, and is kept in RocksDB, beside the memory of the executors.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.operators.firsts import first_per_key
 from codeloom.sources.corpus import (
     CORRUPT,
     RECORD_SCHEMA,
@@ -21,6 +24,10 @@ from codeloom.sources.corpus import (
     with_path_columns,
 )
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_STORES = "org.apache.spark.sql.execution.streaming.state"
+ROCKSDB, DEFAULT_STORE = f"{_STORES}.RocksDBStateStoreProvider", f"{_STORES}.HDFSBackedStateStoreProvider"
+
 
 def stream_corpus(
     spark: SparkSession,
@@ -43,44 +50,70 @@ def stream_corpus(
 
 
 def first_seen(stream: DataFrame, key: str = "repo", order: str | None = None) -> DataFrame:
-    """One record per key over the whole run: the first that comes by ``order`` within the
-    batch that has the key first, any of that batch without ``order``.
+    """The first record of each key by ``order``, as a stream of corrections: whenever a batch
+    has a record that comes before all of its key so far, that record is given. ``resolve_firsts``
+    reads the firsts from the table that holds them. Files may come in any order.
 
-    Arrow batches drop their own repeats first, so that a key with most of the
-    records does not send them all to one state store. The state of a key is that it was seen.
+    The state of a key is the least order seen. Rows without an order are left out. Arrow batches
+    keep only their own first of each key, so that a key with most of the records does not send
+    them all to one state store. Without ``order`` any one record of a key is given, once.
     """
 
     def local_firsts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield (frame.sort_values(order) if order else frame).drop_duplicates(key)
 
-    firsts = stream.mapInPandas(local_firsts, stream.schema)
     if order is None:
-        return firsts.dropDuplicates([key])
+        return stream.mapInPandas(local_firsts, stream.schema).dropDuplicates([key])
+    ordered = stream.where(F.col(order).isNotNull()).mapInPandas(local_firsts, stream.schema)
 
-    def once(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            return
-        state.update((True,))
+    def corrected(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        least = state.get[0] if state.exists else None
         best = None
         for frame in frames:
-            frame = frame if best is None else pd.concat([best, frame])
-            best = frame.sort_values(order).head(1)
+            first = frame.sort_values(order).head(1)
+            value = first[order].iloc[0]
+            if least is None or value < least:
+                best, least = first, value.item() if hasattr(value, "item") else value
         if best is not None:
+            state.update((least,))
             yield best
 
-    return firsts.groupBy(key).applyInPandasWithState(once, stream.schema, "seen boolean", "append", "NoTimeout")
+    held = T.StructType([T.StructField("least", stream.schema[order].dataType)])
+    return ordered.groupBy(key).applyInPandasWithState(corrected, stream.schema, held, "append", "NoTimeout")
+
+
+def resolve_firsts(corrections: DataFrame, key: str = "repo", order: str = "seq") -> DataFrame:
+    """The first record of each key from a table of corrections. A key has a record a batch at
+    most, and usually one. Rows equal in key and order count as one."""
+    return first_per_key(corrections, key, order).dropDuplicates([key]).select(*corrections.columns)
+
+
+@contextlib.contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, unless the session has chosen a store."""
+    before = spark.conf.get(STATE_STORE, None)
+    if before in (None, DEFAULT_STORE):
+        spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
 
 
 def drain_to_table(stream: DataFrame, table_path: str, checkpoint: str) -> DataFrame:
     """Run until the input is used up, appending to Parquet, and read it back."""
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .option("path", table_path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
+    with rocksdb_state(stream.sparkSession):
+        query = writer.start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(table_path)
 

@@ -1,6 +1,7 @@
 """Streams over a folder give what the batch operators give on the same files."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,16 +72,37 @@ def test_index_stream_equals_batch(spark, base):
     assert sorted(repeated.select(columns).collect()) == wanted
 
 
-def test_first_seen_keeps_the_first_by_order(spark, tmp_path):
-    rows = [(f"o/{i % 5}", i, f"p{i}") for i in reversed(range(200))]
-    schema = "repo string, seq long, path string"
-    spark.createDataFrame(rows, schema).repartition(6).write.parquet(str(tmp_path / "in"))
-    feed = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    out = ingest.drain_to_table(ingest.first_seen(feed, order="seq"), str(tmp_path / "out"), str(tmp_path / "progress"))
-    assert sorted(tuple(r) for r in out.collect()) == [(f"o/{i}", i, f"p{i}") for i in range(5)]
-    spark.createDataFrame([("o/0", -1, "late"), ("o/9", 7, "new")], schema).write.mode("append").parquet(str(tmp_path / "in"))
-    out = ingest.drain_to_table(
-        ingest.first_seen(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), order="seq"),
-        str(tmp_path / "out"), str(tmp_path / "progress"),
-    )
-    assert {r["repo"]: r["path"] for r in out.collect()} == {**{f"o/{i}": f"p{i}" for i in range(5)}, "o/9": "new"}
+def test_first_seen_by_order_over_many_batches(spark, tmp_path):
+    """Files come last first, so nearly every batch corrects the ones before."""
+    folder, schema = str(tmp_path / "in"), "repo string, seq long, path string"
+
+    def add(rows, name, age):
+        """One file, as old as told: streams take older files first."""
+        loose = tmp_path / f"loose-{name}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(loose))
+        written = next(loose.glob("part-*.json"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        os.utime(written, (10_000 - age, 10_000 - age))
+        os.rename(written, tmp_path / "in" / f"{name}.json")
+
+    def drained():
+        feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).json(folder)
+        corrections = ingest.drain_to_table(ingest.first_seen(feed, order="seq"), str(tmp_path / "out"), str(tmp_path / "progress"))
+        return corrections, sorted(tuple(r) for r in ingest.resolve_firsts(corrections).collect())
+
+    rows = [(f"o/{i % 5}" if i % 3 else "o/hot", i, f"p{i}") for i in range(240)]
+    for f in range(12):
+        add(rows[20 * f : 20 * f + 20] + [("o/none", None, "x")], f"f{f}", age=f)
+    firsts_of = {}
+    for repo, seq, path in rows:
+        firsts_of.setdefault(repo, (repo, seq, path))
+    corrections, found = drained()
+    assert found == sorted(firsts_of.values())
+    # Each of the four batches has an earlier record of nearly every repository.
+    assert corrections.count() > 2 * len(firsts_of)
+    assert spark.conf.get(ingest.STATE_STORE) == ingest.DEFAULT_STORE
+    add([("o/0", -1, "late"), ("o/9", 7, "new"), ("o/hot", 500, "too late")], "late", age=-5)
+    firsts_of |= {"o/0": ("o/0", -1, "late"), "o/9": ("o/9", 7, "new")}
+    assert drained()[1] == sorted(firsts_of.values())
+    progress = {p.name for p in (tmp_path / "progress" / "state" / "0" / "0").iterdir()}
+    assert any(name.endswith(".zip") or name.endswith(".changelog") for name in progress), progress
