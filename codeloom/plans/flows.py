@@ -20,6 +20,7 @@ from codeloom.operators.scopes import scope_chunks
 from codeloom.operators.search import TOP_K, top_k
 from codeloom.operators.windows import token_windows
 from codeloom.sources import collection
+from codeloom.streaming import ingest
 from codeloom.workspace import fresh_dir, materialize
 
 BatchFunction = Callable[[pd.DataFrame], pd.Series]
@@ -77,6 +78,7 @@ def index_files(
     embed_fn: BatchFunction | None = None,
     skip_known: bool = True,
     reject_wide: bool = False,
+    batch: str | None = None,
 ) -> DataFrame:
     """Chunk, summarise, embed and append to collection ``name``, made if missing.
 
@@ -84,14 +86,14 @@ def index_files(
     (unless ``skip_known`` is off) before anything costly is done to them, so an index can
     be taken up again or brought up to date. Returns the chunks with a ``reason``, and
     whether they are ``stored``: a failed summary or embedding keeps a chunk out; a field
-    beyond its declared width is reported, and keeps it out only with ``reject_wide``.
+    beyond its declared width is reported, and keeps it out only with ``reject_wide``. A
+    ``batch`` is stored once, whatever it is called with.
     """
     spark = files.sparkSession
     collection.create_collection(spark, name, path or fresh_dir(spark, name))
     chunks = chunk_files(files, mode)
     if skip_known:
-        known = spark.table(name).select("id")
-        chunks = chunks.withColumn("id", enrich.record_id(mode)).join(known, "id", "left_anti").drop("id")
+        chunks = collection.new_records(chunks.withColumn("id", enrich.record_id(mode)), name).drop("id")
     no_error = F.lit(None).cast("string")
     if mode == "naive":
         told = chunks.withColumns({"summary": F.col("text"), "summary_error": no_error})
@@ -108,12 +110,26 @@ def index_files(
         records.withColumns({"stored": barred.isNull(), "reason": F.coalesce(barred, collection.too_wide())}).drop("error"),
         "records",
     )
-    collection.append(records.where("stored"), name)
+    collection.append(records.where("stored"), name, batch, staged=True)
     return records.where(F.col("reason").isNotNull()).select(
         "id", "repo", "chunk_file", "chunk_lines", "reason", "stored"
     )
 
 
+def index_stream_files(
+    stream: DataFrame, mode: str, name: str, checkpoint: str, path: str | None = None, compact_after: int = 50, **options
+) -> DataFrame:
+    """Index the files of a stream (repo, path, language, text) batch by batch into collection
+    ``name``, made if missing, by ``index_files`` and its ``options``; the collection. Every
+    batch is stored once, and chunks that are there already are left out before anything costly."""
+    spark = stream.sparkSession
+    collection.create_collection(spark, name, path or fresh_dir(spark, name))
+    ingest.into_collection(
+        stream, name, checkpoint, lambda batch, tag: index_files(batch, mode, name, batch=tag, **options), compact_after
+    )
+    return collection.read(spark, name)
+
+
 def embed_questions(questions: DataFrame, embed_fn: BatchFunction | None = None) -> DataFrame:
     """(q_id, question, qv, question_error), worked out once: a search reads its questions
     more than once."""
@@ -131,9 +147,7 @@ def find(
     embed_fn: BatchFunction | None = None,
 ) -> DataFrame:
     """Best chunks of collection ``name`` for questions (q_id, question), or for embedded ones."""
-    stored = spark.table(name)
-    if repo_name is not None:
-        stored = stored.where(F.col("repo_name") == repo_name)
+    stored = collection.read(spark, name, repo_name)
     asked = questions if "qv" in questions.columns else embed_questions(questions, embed_fn)
     asked = asked.where(F.col("qv").isNotNull()).select("q_id", "qv")
     return top_k(stored, asked, k=k, output_fields=HIT_FIELDS).withColumn("mode", F.lit(mode))

@@ -181,7 +181,7 @@ def collection_schema(spark: SparkSession, sf: str) -> DataFrame:
                 F.count_if(size > width).alias("n_too_wide"),
             )
         ]
-    return spark.table(name).agg(F.array(*wide).alias("fields")).select(F.inline("fields"))
+    return collection.read(spark, name).agg(F.array(*wide).alias("fields")).select(F.inline("fields"))
 
 
 @query(
@@ -208,7 +208,7 @@ def collection_append(spark: SparkSession, sf: str) -> DataFrame:
     collection.create_collection(spark, name, fresh_dir(spark, name))
     collection.append(document_records(spark, sf), name)
     order = F.regexp_extract("chunk_file", r"(\d+)", 1).cast("bigint")
-    stored = spark.table(name).withColumn("seq", order)
+    stored = collection.read(spark, name).withColumn("seq", order)
     return collection.with_batch_number(stored, "seq", batch_size=10).select(
         "id",
         "repo_name",
@@ -229,10 +229,10 @@ def collection_append(spark: SparkSession, sf: str) -> DataFrame:
 def collection_delete(spark: SparkSession, sf: str) -> DataFrame:
     name = f"c_{uuid.uuid4().hex}"
     vecs = views.table(spark, sf, "embeddings")
-    collection.create_collection(spark, name, fresh_dir(spark, name), vecs.schema)
+    collection.create_collection(spark, name, fresh_dir(spark, name), vecs.schema, cluster=("label",))
     collection.append(vecs, name)
     collection.delete_where(spark, name, F.col("label").isin(0, 3))
-    return spark.table(name).select("vec_id", F.col("label").cast("bigint").alias("label"))
+    return collection.read(spark, name).select("vec_id", F.col("label").cast("bigint").alias("label"))
 
 
 @query("repo_url", f"WITH {S.CORPUS} SELECT seq, 'https://github.com/' || repo || '.git' AS url FROM corpus")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions import vectors
-from codeloom.operators import enrich
-from codeloom.operators.enrich import chunk_records
-from codeloom.operators.windows import token_windows
 from codeloom.plans import sql as S
 from codeloom.plans import flows, views
 from codeloom.plans.registry import query
@@ -50,49 +48,41 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.resolve_firsts(corrections)
 
 
-def index_batch(batch: DataFrame) -> DataFrame:
-    """Records of a batch: windows, their own text as summary, embedded."""
-    no_line = F.lit(None).cast("bigint")
-    chunks = token_windows(batch, id_col="path", keep=["repo", "language"])
-    chunks = chunks.withColumns({"part": F.col("win"), "start_line": no_line, "end_line": no_line})
-    return chunk_records(chunks, "naive", embedding=vectors.embed_text(F.col("text")))
+#: Files a batch of the streams that index.
+INDEX_FILES = 8
+
+
+def _collected(spark: SparkSession, sf: str, mode: str) -> DataFrame:
+    """The corpus as a stream, indexed into a collection batch by batch."""
+    name = f"c_{uuid.uuid4().hex}"
+    files = corpus_stream(spark, sf, files=INDEX_FILES).select("repo", "path", "language", "text")
+    return flows.index_stream_files(files, mode, name, fresh_dir(spark, "progress"))
 
 
 @query(
     "stream_index",
     f"WITH {S.CORPUS},{S.windowed(source='corpus', key='seq')} "
-    "SELECT substr(sha256(repo || '|' || path || '|' || win || '|naive|' || w.text), 1, 36) AS id, repo, language, "
-    "path AS chunk_file, md5(w.text) AS code_md5, 1024::BIGINT AS dim FROM windows w JOIN corpus USING (seq)",
+    "SELECT substr(sha256(repo || '|' || path || '|' || win || '|naive|' || w.text), 1, 36) AS id, split_part(repo, '/', 2) AS repo_name, "
+    "language, path AS chunk_file, md5(w.text) AS code_md5, 1024::BIGINT AS dim FROM windows w JOIN corpus USING (seq)",
 )
 def stream_index(spark: SparkSession, sf: str) -> DataFrame:
-    indexed = ingest.index_stream(
-        corpus_stream(spark, sf), index_batch, fresh_dir(spark, "indexed"), fresh_dir(spark, "progress")
-    )
-    return indexed.select(
-        "id", "repo", "language", "chunk_file", F.md5("chunk_code").alias("code_md5"),
+    return _collected(spark, sf, "naive").select(
+        "id", "repo_name", "language", "chunk_file", F.md5("chunk_code").alias("code_md5"),
         F.size("embedding").cast("bigint").alias("dim"),
     )
 
 
-def index_smart_batch(batch: DataFrame) -> DataFrame:
-    """Records of a batch: structural chunks, summed up, their summaries embedded."""
-    told = enrich.summarize(flows.chunk_files(batch, "structural"))
-    return chunk_records(told, "structural", F.col("summary"), vectors.embed_text(F.col("summary")))
-
-
 @query(
     "stream_index_smart",
     f"""WITH RECURSIVE {S.CORPUS},{S.structural()},
     cut AS (SELECT doc_id || ':' || s AS chunk_id, * FROM chunks),{S.summarized('summaries', 'cut', 'chunk_id')}
-    SELECT substr(sha256(repo || '|' || path || '|' || s || '|structural|' || c.text), 1, 36) AS id, repo, language,
-           path AS chunk_file, start_line || '-' || end_line AS chunk_lines, md5(c.text) AS code_md5, md5(summary) AS summary_md5
+    SELECT substr(sha256(repo || '|' || path || '|' || s || '|structural|' || c.text), 1, 36) AS id, split_part(repo, '/', 2) AS repo_name,
+           language, path AS chunk_file, start_line || '-' || end_line AS chunk_lines, md5(c.text) AS code_md5, md5(summary) AS summary_md5
     FROM cut c JOIN summaries USING (chunk_id) JOIN corpus ON seq = doc_id""",
 )
 def stream_index_smart(spark: SparkSession, sf: str) -> DataFrame:
-    indexed = ingest.index_stream(
-        corpus_stream(spark, sf), index_smart_batch, fresh_dir(spark, "indexed"), fresh_dir(spark, "progress")
-    )
-    return indexed.select(
-        "id", "repo", "language", "chunk_file", "chunk_lines", F.md5("chunk_code").alias("code_md5"),
+    """Structural chunks, summed up, their summaries embedded."""
+    return _collected(spark, sf, "structural").select(
+        "id", "repo_name", "language", "chunk_file", "chunk_lines", F.md5("chunk_code").alias("code_md5"),
         F.md5("summary").alias("summary_md5"),
     )

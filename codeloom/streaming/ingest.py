@@ -7,6 +7,7 @@ repository seen, by design, and is kept in RocksDB, beside the memory of the exe
 from __future__ import annotations
 
 import contextlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.operators.firsts import first_per_key
+from codeloom.sources import collection
 from codeloom.sources.corpus import (
     CORRUPT,
     RECORD_SCHEMA,
@@ -23,6 +25,7 @@ from codeloom.sources.corpus import (
     reader_schema,
     with_path_columns,
 )
+from codeloom.workspace import materialize
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 _STORES = "org.apache.spark.sql.execution.streaming.state"
@@ -118,33 +121,49 @@ def drain_to_table(stream: DataFrame, table_path: str, checkpoint: str) -> DataF
     return stream.sparkSession.read.schema(stream.schema).parquet(table_path)
 
 
-def index_stream(
+def into_collection(
     stream: DataFrame,
-    build: Callable[[DataFrame], DataFrame],
-    table_path: str,
+    name: str,
     checkpoint: str,
-    distinct_id: str | None = None,
-) -> DataFrame:
-    """Apply the batch operators of ``build`` to every batch and keep the records.
-
-    A batch is written to a folder of its own number, which a repeated batch
-    replaces, so the drained table has each record once. Only if a run started
-    anew over a table that holds other batches can a record be there twice; ids
-    depend on content, and ``distinct_id`` then keeps one of each.
+    store: Callable[[DataFrame, str], object],
+    compact_after: int = 50,
+) -> None:
+    """Run a stream until its input is used up, and store every batch in a collection once.
+
+    ``store(batch, tag)`` adds a batch under its tag, which the collection's manifest
+    remembers in the same step. A batch that is run again finds its tag there and does nothing;
+    one that was lost half way left files that no version names. The checkpoint folder names
+    the run. Whenever ``compact_after`` files are small ones, they are put together.
     """
+    spark = stream.sparkSession
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        build(batch).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
-
-    query = (
-        stream.writeStream.foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        tag = f"{run}:{batch_id}"
+        if collection.has_batch(spark, name, tag):
+            return
+        store(batch, tag)
+        if collection.small_files(spark, name) >= compact_after:
+            collection.compact(spark, name)
+
+    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    with rocksdb_state(spark):
+        query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
-    written = stream.sparkSession.read.option("basePath", table_path).parquet(table_path)
-    table = written.drop("batch")
-    return table.dropDuplicates([distinct_id]) if distinct_id else table
 
 
+def index_stream(
+    stream: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, checkpoint: str, compact_after: int = 50
+) -> DataFrame:
+    """Store the records that ``build`` makes of every batch in collection ``name``, and read it.
+
+    Records are worked out once a batch. Those whose id the collection has already are left
+    out, so a run started anew over the same files, in other batches, adds nothing.
+    """
+
+    def store(batch: DataFrame, tag: str) -> None:
+        built = materialize(build(batch), "built")
+        collection.append(collection.new_records(built, name), name, tag)
+
+    into_collection(stream, name, checkpoint, store, compact_after)
+    return collection.read(stream.sparkSession, name)

@@ -42,6 +42,13 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder of any file system that Spark reaches; none if it is not there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(place)) if fs.exists(place) else []
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all folders made so far in this application. Call it when the results that
     read them have been written or collected.

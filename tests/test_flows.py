@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from codeloom.plans import flows
+from codeloom.sources import collection
 from codeloom.sources.collection import VECTOR_DIM
 
 CODE = """class Cart:
@@ -41,13 +42,13 @@ def names(files):
 
 
 def test_collections(spark, names):
-    smart = {(r["repo_name"], r["chunk_lines"]) for r in spark.table(names["smart"]).collect()}
+    smart = {(r["repo_name"], r["chunk_lines"]) for r in collection.read(spark, names["smart"]).collect()}
     # Blank lines go with the scope above them.
     assert {("shop", "1-4"), ("shop", "4-8"), ("shop", "8-11"), ("other", "0-2")} <= smart
     for name in names.values():
-        rows = spark.table(name).collect()
+        rows = collection.read(spark, name).collect()
         assert len({r["id"] for r in rows}) == len(rows) and all(len(r["embedding"]) == VECTOR_DIM for r in rows)
-    assert {r["chunk_lines"] for r in spark.table(names["naive"]).collect()} == {"?-?"}
+    assert {r["chunk_lines"] for r in collection.read(spark, names["naive"]).collect()} == {"?-?"}
 
 
 def test_ask(spark, names, questions):
@@ -89,13 +90,13 @@ def test_failures_are_reported_not_stored(spark, files):
     name = f"c_{uuid.uuid4().hex}"
     reasons = {r["reason"] for r in flows.index_files(files, "smart", name, summarize_fn=summarize, embed_fn=embed).collect()}
     assert reasons == {"ValueError: model is down", "summary is too long", "embedding has the wrong dimension"}
-    kept = [r["chunk_code"] for r in spark.table(name).collect()]
+    kept = [r["chunk_code"] for r in collection.read(spark, name).collect()]
     # A field beyond its width is reported, and stored all the same.
     assert not any("send_mail" in t for t in kept) and any("total" in t for t in kept)
     strict = f"c_{uuid.uuid4().hex}"
     report = flows.index_files(files, "smart", strict, summarize_fn=summarize, embed_fn=embed, reject_wide=True)
     assert not any(r["stored"] for r in report.collect())
-    assert not any("total" in r["chunk_code"] for r in spark.table(strict).collect())
+    assert not any("total" in r["chunk_code"] for r in collection.read(spark, strict).collect())
 
 
 @pytest.mark.parametrize("mode", ["smart", "naive", "structural"])
@@ -107,7 +108,7 @@ def test_files_without_a_path_stay_apart(spark, mode):
     assert sorted(r["text"].strip() for r in chunks) == ["a = 1\nb = 2", "c = 3\nd = 4", "e = 5", "e = 5"]
     name = f"c_{uuid.uuid4().hex}"
     flows.index_files(files, mode, name)
-    assert spark.table(name).select("id").distinct().count() == 4
+    assert collection.read(spark, name).select("id").distinct().count() == 4
 
 
 def test_errors_reach_the_result(spark, names, questions):
@@ -149,9 +150,9 @@ def test_index_again_skips_what_is_known(spark, files):
     name = f"c_{uuid.uuid4().hex}"
     first = files.where("repo = 'o/shop'")
     flows.index_files(first, "smart", name)
-    before = spark.table(name).count()
+    before = collection.read(spark, name).count()
     flows.index_files(files, "smart", name, skip_known=True)
-    ids = [r["id"] for r in spark.table(name).select("id").collect()]
+    ids = [r["id"] for r in collection.read(spark, name).select("id").collect()]
     assert len(set(ids)) == len(ids) == before + 1
 
 

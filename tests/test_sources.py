@@ -119,12 +119,12 @@ def test_collection_life(spark, tmp_path):
     collection.create_collection(spark, name, str(tmp_path / "elsewhere"))  # already there
     collection.append(records(spark, 3), name)
     collection.append(records(spark, 5).where("id = 'id4'"), name)
-    assert sorted(r["id"] for r in spark.table(name).collect()) == ["id0", "id1", "id2", "id4"]
+    assert sorted(r["id"] for r in collection.read(spark, name).collect()) == ["id0", "id1", "id2", "id4"]
     collection.delete_where(spark, name, F.col("id").isin("id0", "id4"))
-    assert sorted(r["id"] for r in spark.table(name).collect()) == ["id1", "id2"]
+    assert sorted(r["id"] for r in collection.read(spark, name).collect()) == ["id1", "id2"]
     collection.append(records(spark, 1), name)
     collection.delete_where(spark, name, F.col("summary").isNull())
-    assert spark.table(name).count() == 3
+    assert collection.read(spark, name).count() == 3
     collection.drop_collection(spark, name)
     collection.drop_collection(spark, name)
     assert not spark.catalog.tableExists(name)
@@ -150,6 +150,86 @@ def test_validate(spark):
     ]
 
 
+def many(spark, n, start=0):
+    """Records of forty repositories, of which one has a third."""
+    vector = [0.5] * 4
+    rows = [(f"id{i:05d}", f"r{i % 40:02d}" if i % 3 else "hot", "go", f"f{i}", None, "x", None, vector) for i in range(start, start + n)]
+    return spark.createDataFrame(rows, collection.COLLECTION_SCHEMA).repartition(5)
+
+
+def files_of(df):
+    return {f.rsplit("/", 1)[-1] for f in df.inputFiles()}
+
+
+def listed(spark, name):
+    rows = collection.manifest(spark, name).where("file IS NOT NULL").collect()
+    return {r["file"].rsplit("/", 1)[-1]: r["rows"] for r in rows}
+
+
+def test_one_repository_reads_its_files_alone(spark, tmp_path):
+    name = "c_layout"
+    collection.create_collection(spark, name, str(tmp_path / name))
+    collection.append(many(spark, 4000), name, rows_per_file=100)
+    files = listed(spark, name)
+    assert sum(files.values()) == 4000 and 35 <= len(files) <= 40 and max(files.values()) < 250
+    one = collection.read(spark, name, "r07")
+    assert one.count() == sum(1 for i in range(4000) if i % 3 and i % 40 == 7)
+    assert len(files_of(one)) <= 3
+    assert len(files_of(collection.read(spark, name, "hot"))) <= 18  # a third of all, over many files
+    assert collection.read(spark, name, "zzz").count() == 0 and not files_of(collection.read(spark, name, "zzz"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(repo_name,r07)" in plan
+    # Within a file row groups are told apart by statistics and Bloom filters.
+    import pyarrow.parquet as pq
+
+    meta = pq.ParquetFile(one.inputFiles()[0].split("file:", 1)[-1].replace("///", "/")).metadata
+    assert meta.row_group(0).column(0).statistics.has_min_max
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_delete_touches_few_files(spark, tmp_path):
+    name = "c_delete"
+    collection.create_collection(spark, name, str(tmp_path / name))
+    collection.append(many(spark, 2000), name, batch="first", rows_per_file=100)
+    before = listed(spark, name)
+    written = collection.delete_where(spark, name, F.col("id").isin("id00000", "id00003", "id00007") | (F.col("repo_name") == "none"))
+    after = listed(spark, name)
+    assert written <= 3 and len(set(before) - set(after)) == written
+    assert all(after[f] == n for f, n in before.items() if f in after)
+    left = {r["id"] for r in collection.read(spark, name).select("id").collect()}
+    assert left == {f"id{i:05d}" for i in range(2000)} - {"id00000", "id00003", "id00007"}
+    # Nothing to delete: no version. A whole file: no file. Older versions can be read, batches are known.
+    versions = collection.versions(spark, name)
+    assert collection.delete_where(spark, name, F.col("id") == "nobody") == 0
+    assert collection.delete_where(spark, name, F.col("summary") == "x") == 0  # null conditions delete nothing
+    assert collection.versions(spark, name) == versions
+    assert collection.read(spark, name, version=versions[0]).count() == 2000
+    assert not collection.append(many(spark, 5, 9000), name, batch="first")
+    collection.delete_where(spark, name, F.lit(True))
+    assert collection.read(spark, name).count() == 0 and collection.has_batch(spark, name, "first")
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_compaction_and_vacuum(spark, tmp_path):
+    name = "c_compact"
+    collection.create_collection(spark, name, str(tmp_path / name))
+    for i in range(6):
+        assert collection.append(many(spark, 20, 20 * i), name, batch=f"b{i}")
+    assert collection.append(many(spark, 0), name, batch="empty") and collection.has_batch(spark, name, "empty")
+    assert len(listed(spark, name)) == 6
+    rows = sorted(r["id"] for r in collection.read(spark, name).collect())
+    assert collection.compact(spark, name, rows_per_file=100) == 6
+    assert len(listed(spark, name)) == 2 and sorted(r["id"] for r in collection.read(spark, name).collect()) == rows
+    assert all(collection.has_batch(spark, name, f"b{i}") for i in range(6))
+    assert collection.vacuum(spark, name) == 6
+    assert len(collection.versions(spark, name)) == 1
+    assert sorted(r["id"] for r in collection.read(spark, name).collect()) == rows
+    with pytest.raises(ValueError, match="no version"):
+        collection.read(spark, name, version=0)
+    collection.drop_collection(spark, name, files=True)
+    assert not (tmp_path / name).exists()
+
+
 def test_batch_numbers(spark):
     ids = [i * 7 % 1009 for i in range(1000)]
     df = spark.createDataFrame([(i,) for i in ids], "seq long")

@@ -2,14 +2,17 @@
 
 import json
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.operators import firsts
-from codeloom.plans.stream import index_batch
-from codeloom.sources import corpus
+from codeloom.functions import vectors
+from codeloom.operators import enrich, firsts
+from codeloom.operators.windows import token_windows
+from codeloom.plans import flows
+from codeloom.sources import collection, corpus
 from codeloom.streaming import ingest
 
 RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("repo", "path", "text")])
@@ -60,16 +63,85 @@ def test_first_seen_across_batches(spark, base):
     assert sorted(r["repo"] for r in found.collect()) == sorted(keys | {"o/new"})
 
 
-def test_index_stream_equals_batch(spark, base):
-    columns = ["id", "repo", "chunk_file", "chunk_code", "summary"]
-    out, progress = str(base / "out"), str(base / "progress")
-    indexed = ingest.index_stream(stream(spark, base), index_batch, out, progress)
-    wanted = sorted(index_batch(read(spark, base)).select(columns).collect())
-    assert sorted(indexed.select(columns).collect()) == wanted
-    # A run started anew, cut to other batches, leaves some records twice.
+def windows_of(batch):
+    """Records of a batch: windows, their own text as summary, embedded."""
+    no_line = F.lit(None).cast("bigint")
+    cut = token_windows(batch, id_col="path", keep=["repo", "language"]).withColumns({"part": F.col("win"), "start_line": no_line, "end_line": no_line})
+    return enrich.chunk_records(cut, "naive", embedding=vectors.embed_text(F.col("text")))
+
+
+COLUMNS = ["id", "repo_name", "chunk_file", "chunk_code", "summary"]
+
+
+def stored(spark, name):
+    return sorted(collection.read(spark, name).select(COLUMNS).collect())
+
+
+def test_index_stream_stores_every_record_once(spark, base):
+    name = f"c_{uuid.uuid4().hex}"
+    collection.create_collection(spark, name, str(base / "store"))
+    wanted = sorted(windows_of(read(spark, base)).select(COLUMNS).collect())
+    ingest.index_stream(stream(spark, base), windows_of, name, str(base / "progress"))
+    assert stored(spark, name) == wanted
+    versions = collection.versions(spark, name)
+    assert len(versions) == 4
+    # A run started anew, cut to other batches, has nothing to add.
     whole = ingest.stream_corpus(spark, str(base / "c"), record_schema=RECORD, max_files_per_batch=9)
-    repeated = ingest.index_stream(whole, index_batch, out, str(base / "progress2"), distinct_id="id")
-    assert sorted(repeated.select(columns).collect()) == wanted
+    ingest.index_stream(whole, windows_of, name, str(base / "progress2"))
+    assert stored(spark, name) == wanted
+    # A new file adds its records, the run goes on where it was.
+    add_file(base / "c", "go", "later.jsonl", [("o/new", "n.go", "x y z")])
+    ingest.index_stream(stream(spark, base), windows_of, name, str(base / "progress"))
+    assert len(stored(spark, name)) == len(wanted) + 1
+
+
+def test_a_batch_that_is_run_again_adds_nothing(spark, base):
+    """The store was written, but the stream was lost before it noted the batch."""
+    name = f"c_{uuid.uuid4().hex}"
+    collection.create_collection(spark, name, str(base / "store"))
+    progress = base / "progress"
+    ingest.index_stream(stream(spark, base), windows_of, name, str(progress))
+    before = stored(spark, name), collection.versions(spark, name)
+    last = max(int(p.name) for p in (progress / "commits").iterdir() if p.name.isdigit())
+    for file in (progress / "commits").glob(f"*{last}*"):
+        file.unlink()
+    calls = []
+
+    def build(batch):
+        calls.append(1)
+        return windows_of(batch)
+
+    ingest.index_stream(stream(spark, base), build, name, str(progress))
+    assert (stored(spark, name), collection.versions(spark, name)) == before and not calls
+
+
+def test_a_lost_batch_leaves_nothing(spark, base):
+    name = f"c_{uuid.uuid4().hex}"
+    collection.create_collection(spark, name, str(base / "store"))
+    failing = [True]
+
+    def build(batch):
+        made = windows_of(batch)
+        if failing[0] and collection.versions(spark, name):
+            return made.withColumn("summary", F.raise_error(F.lit("lost")).cast("string"))
+        return made
+
+    with pytest.raises(Exception, match="lost"):
+        ingest.index_stream(stream(spark, base), build, name, str(base / "progress"))
+    assert len(collection.versions(spark, name)) == 1
+    failing[0] = False
+    ingest.index_stream(stream(spark, base), build, name, str(base / "progress"), compact_after=3)
+    assert stored(spark, name) == sorted(windows_of(read(spark, base)).select(COLUMNS).collect())
+    # Small files have been put together on the way.
+    assert collection.read(spark, name).select(F.col("_metadata.file_path")).distinct().count() <= 2
+
+
+def test_streamed_files_can_be_asked(spark, base):
+    name = f"c_{uuid.uuid4().hex}"
+    files = stream(spark, base).select("repo", "path", "language", "text")
+    flows.index_stream_files(files, "naive", name, str(base / "progress"), str(base / "store"))
+    asked = spark.createDataFrame([(1, "text number 7 of 2")], "q_id long, question string")
+    assert "text number 7 of 2" in flows.ask(spark, asked, name, "naive", k=1).first()["answer"]
 
 
 def test_first_seen_by_order_over_many_batches(spark, tmp_path):
