@@ -91,7 +91,7 @@ probed AS (
     FROM (SELECT p.q_id, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], p.qv), 9) AS score
           FROM probes p JOIN assigned v USING (cid))) WHERE rank <= 5),
 exact AS (
-  SELECT q_id, rank, id FROM (
+  SELECT q_id, rank, id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS rank
     FROM (SELECT a.q_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], a.qv), 9) AS score
           FROM asked a CROSS JOIN embeddings e)) WHERE rank <= 5)"""
@@ -122,9 +122,75 @@ def ivf_build(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("ivf_search", f"WITH {_IVF} SELECT q_id, rank, id AS vec_id, round(score, 6) AS score FROM probed")
+def _hits(found: DataFrame) -> DataFrame:
+    return found.select("q_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query("ivf_search", f"WITH {_IVF} SELECT q_id, rank, id AS vec_id, round(score, 6) AS score FROM exact")
 def ivf_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _probed(spark, sf).select("q_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+    """Through the index, with its guarantee: the rows of the exact search."""
+    return _hits(clusters.search_index(_index(spark, sf), _asked(spark, sf), nprobe=NPROBE, id_col="vec_id"))
+
+
+@query("ivf_probed", f"WITH {_IVF} SELECT q_id, rank, id AS vec_id, round(score, 6) AS score FROM probed")
+def ivf_probed(spark: SparkSession, sf: str) -> DataFrame:
+    """The three nearest clusters alone."""
+    return _hits(_probed(spark, sf))
+
+
+KMEANS_LISTS, KMEANS_STEPS = 16, 6
+
+
+def _kmeans_sql() -> str:
+    """``steps`` of k-means, each unrolled: nearest centroids, then means of unit vectors."""
+    parts = [f"""
+unit AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS e, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u
+  FROM embeddings WHERE embedding IS NOT NULL),
+centroids_0 AS (
+  SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cid, e AS centroid FROM unit
+  ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT {KMEANS_LISTS})"""]
+    for i in range(KMEANS_STEPS + 1):
+        parts.append(f"""
+assigned_{i} AS MATERIALIZED (
+  SELECT vec_id, e, u, cid FROM (
+    SELECT v.*, c.cid, row_number() OVER (PARTITION BY v.vec_id ORDER BY round(list_cosine_similarity(c.centroid, v.e), 9) DESC, c.cid) AS i
+    FROM unit v CROSS JOIN centroids_{i} c) WHERE i = 1)""")
+        if i < KMEANS_STEPS:
+            parts.append(f"""
+centroids_{i + 1} AS MATERIALIZED (
+  SELECT c.cid, coalesce(m.centroid, c.centroid) AS centroid
+  FROM centroids_{i} c LEFT JOIN (
+    SELECT cid, list(v ORDER BY pos) AS centroid FROM (
+      SELECT cid, pos, sum(v) AS v FROM (SELECT cid, unnest(u) AS v, unnest(range(len(u))) AS pos FROM assigned_{i}) GROUP BY cid, pos)
+    GROUP BY cid) m USING (cid))""")
+    return ",".join(parts)
+
+
+def _kmeans_index(spark: SparkSession, sf: str) -> clusters.ClusteredIndex:
+    table = views.table(spark, sf, "embeddings")
+    return clusters.build_index(table, KMEANS_LISTS, id_col="vec_id", max_iter=KMEANS_STEPS)
+
+
+@query(
+    "kmeans_build",
+    f"WITH {_kmeans_sql()} SELECT cid::BIGINT AS cid, count(*) AS n_vectors, sum(vec_id)::BIGINT AS ids, "
+    f"round(max(acos(least(list_cosine_similarity(c.centroid, e), 1.0))), 6) AS radius "
+    f"FROM assigned_{KMEANS_STEPS} a JOIN centroids_{KMEANS_STEPS} c USING (cid) GROUP BY cid",
+)
+def kmeans_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters found by k-means from hashed seeds, as written, with their radii."""
+    index = _kmeans_index(spark, sf)
+    written = index.collection.groupBy("cid").agg(F.count("*").alias("n_vectors"), F.sum("vec_id").alias("ids"))
+    return written.join(index.centroids, "cid").select(
+        F.col("cid").cast("bigint").alias("cid"), "n_vectors", "ids", F.round("radius", 6).alias("radius")
+    )
+
+
+@query("kmeans_search", f"WITH {_IVF} SELECT q_id, rank, id AS vec_id, round(score, 6) AS score FROM exact")
+def kmeans_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of the exact search, through the clusters of k-means."""
+    return _hits(clusters.search_index(_kmeans_index(spark, sf), _asked(spark, sf), nprobe=NPROBE, id_col="vec_id"))
 
 
 @query(

@@ -100,6 +100,64 @@ def test_probing_every_cluster_is_exact(collection, queries):
     assert len(recalls) == 20 and 0 < sum(recalls) / 20 <= 1
 
 
+def clouds(rng, n=900, dim=12, groups=15):
+    """Vectors around a few centres, of any length."""
+    centres = rng.normal(size=(groups, dim)) * 4
+    return centres[np.arange(n) % groups] + rng.normal(size=(n, dim)) * 0.25
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_guaranteed_search_is_exact_and_opens_few(spark, metric):
+    rng = np.random.default_rng(5)
+    vectors = clouds(rng)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(2000, [0.0] * 12), (2001, None), (2002, [float(x) for x in vectors[7]])]
+    table = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5)
+    asked = [(i, [float(x) for x in vectors[i] + 0.1]) for i in range(30)] + [(90, [0.0] * 12)]
+    queries = spark.createDataFrame(asked, "q_id long, qv array<double>")
+    index = clusters.build_index(table, nlist=15, metric=metric)
+    assert index.collection.count() == 902
+    exact = hits_of(top_k(table.where("embedding IS NOT NULL"), queries, 5, metric=metric))
+    for nprobe in (1, 3):
+        assert hits_of(clusters.search_index(index, queries, 5, nprobe=nprobe)) == exact
+    shares = {r["q_id"]: r["share"] for r in clusters.opened_share(index, queries, 5, nprobe=1).collect()}
+    assert len(shares) == 31 and 0 < min(shares.values()) and max(shares.values()) <= 1.0000001
+    if metric != "ip":
+        assert np.median([shares[i] for i in range(30)]) < 0.35
+    # More than there are, and an index of nothing.
+    assert len(hits_of(clusters.search_index(index, queries.where("q_id = 3"), 1000, nprobe=1))[3]) == 902
+    empty = clusters.build_index(table.where("id < 0"), nlist=4, metric=metric)
+    assert clusters.search_index(empty, queries, 5).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_k_means_is_a_fixed_point(spark, metric):
+    vectors = clouds(np.random.default_rng(6), n=300, groups=6)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
+    found = sorted(clusters.fit_centroids(table, 6, metric, max_iter=50).collect())
+    now = np.array([c for _, c in found])
+    points = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) if metric == "cosine" else vectors
+    near = (points @ now.T).argmax(1) if metric == "cosine" else ((points[:, None] - now) ** 2).sum(2).argmin(1)
+    for c in range(6):
+        mean = points[near == c].mean(0)
+        assert np.allclose(mean / np.linalg.norm(mean) if metric == "cosine" else mean, now[c], atol=1e-7)
+    again = sorted(clusters.fit_centroids(table.repartition(7), 6, metric, max_iter=50).collect())
+    assert np.allclose([c for _, c in again], now, atol=1e-9)
+
+
+def test_assignment_shuffles_no_vector(spark, collection):
+    held = clusters.Centroids(np.arange(3), np.eye(3, 8), "cosine")
+    plan = clusters.assign_clusters(collection, held)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_too_many_centroids_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "MAX_CENTROID_BYTES", 100)
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, embedding array<double>")
+    with pytest.raises(ValueError, match="centroids of"):
+        clusters.build_index(table, nlist=20)
+
+
 def test_unprobed_clusters_are_not_read(collection, queries):
     index = clusters.build_index(collection.where("embedding IS NOT NULL"), nlist=8)
     one = queries.where("q_id = 0")
