@@ -197,14 +197,12 @@ def train(
     doc_id: str = "doc_id",
     text: str = "text",
     max_rows: int = 4096,
-    max_passages: int = 64,
     seed: int = 1,
 ) -> Model | None:
     """A model of the texts in ``docs`` whose row in ``labels`` meets ``usable``; None without any.
 
-    Fitted on at most ``max_rows`` labelled rows (those of the smallest hashed doc_id) and
-    at most ``max_passages`` passages, evenly spread, of each: the only bounded sample
-    here, and all that reaches the driver. Null labels and ids are not used; a document
+    Fitted on at most ``max_rows`` labelled rows (those of the smallest hashed doc_id), all passages
+    of each: the only bounded sample here, and what reaches the driver, a few numbers a passage. Null labels and ids are not used; a document
     labelled twice counts twice, a label without a document not at all.
     """
     wanted = (
@@ -218,12 +216,7 @@ def train(
 
     def start() -> Callable:
         def compute(values: list) -> dict:
-            out = []
-            for value in values:
-                x, _ = passage_features([value])
-                pick = np.unique(np.linspace(0, len(x) - 1, min(len(x), max_passages)).astype(int))
-                out.append(x[pick].astype(np.float32).tobytes())
-            return {"bag": out}
+            return {"bag": [passage_features([value])[0].astype(np.float32).tobytes() for value in values]}
 
         return compute
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -21,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import map_rows
+from codeloom.workspace import materialize
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -187,49 +187,40 @@ def terms_of(text: bytes | None, shortest: int = 4, longest: int = 8) -> set[str
     return terms
 
 
-def learn_insults(
-    texts: list[bytes], toxic: list[int], covers: int = 3, least: float = 0.01, odds: float = 1.5
-) -> tuple[dict[str, float], dict[str, float]]:
+#: Toxic texts that should each hold so many chosen terms, the least share of them that a term must gain, and the least log odds.
+COVERS, LEAST, ODDS = 3, 0.01, 1.5
+
+
+def term_floor(n_bad: int, least: float = LEAST) -> float:
+    """Toxic texts that a term must gain: ``least`` of them, three at least (two of few)."""
+    return max(3 if n_bad > 30 else 2, least * n_bad)
+
+
+def choose_terms(
+    where: dict[str, list[int]], others: dict[str, int], n_bad: int, n_others: int,
+    covers: int = COVERS, least: float = LEAST, odds: float = ODDS,
+) -> tuple[dict[str, float], dict[str, float]]:
     """Words, and beginnings of words, that toxic texts have and others hardly, with weights.
 
-    Greedy: always the term that covers most toxic texts still short of ``covers`` terms,
+    ``where`` has the numbers of the toxic texts of each term, ``others`` how many other texts
+    have it. Greedy: always the term that covers most toxic texts still short of ``covers`` terms,
     less twice the others it meets (scaled to as many others as toxic texts), until the gain
-    is below ``least`` of the toxic texts (three at least). Terms need log odds of ``odds``;
-    weights are log odds over 6, 1 at most. Of equal terms whole words go first, then longer
-    beginnings. No term that begins another chosen one is taken. Near-copies count once.
+    is below ``term_floor``. Terms need log odds of ``odds``; weights are log odds over 6, 1
+    at most. Of equal terms whole words go first, then longer beginnings. No term that begins
+    another chosen one is taken.
     """
-    seen: set[tuple] = set()
-    bad: list[set[str]] = []
-    others: Counter = Counter()
-    n_others = 0
-    for text, label in zip(texts, toxic, strict=True):
-        terms = terms_of(text)
-        sketch = (label, *sorted(map(_stable, terms))[:2])
-        if sketch in seen:
-            continue
-        seen.add(sketch)
-        if label:
-            bad.append(terms)
-        else:
-            others.update(terms)
-            n_others += 1
-    counts = Counter(t for terms in bad for t in terms)
-    cost = 2 * len(bad) / max(1, n_others)
-    floor = max(3 if len(bad) > 30 else 2, least * len(bad))
+    cost = 2 * n_bad / max(1, n_others)
+    floor = term_floor(n_bad, least)
 
     def log_odds(t: str) -> float:
-        return float(np.log((counts[t] + 0.5) / (len(bad) + 1) * (n_others + 1) / (others[t] + 0.5)))
-
-    where: dict[str, list[int]] = {
-        t: [] for t, n in counts.items() if n - cost * others[t] >= floor and log_odds(t) >= odds
-    }
-    for i, terms in enumerate(bad):
-        for t in terms & where.keys():
-            where[t].append(i)
-    short = np.full(len(bad), covers)
+        return float(np.log((len(counts[t]) + 0.5) / (n_bad + 1) * (n_others + 1) / (others.get(t, 0) + 0.5)))
+
+    counts = where
+    where = {t: at for t, at in where.items() if len(at) - cost * others.get(t, 0) >= floor and log_odds(t) >= odds}
+    short = np.full(n_bad, covers)
     chosen: list[str] = []
     while where:
-        gains = {t: int((short[at] > 0).sum()) - cost * others[t] for t, at in where.items()}
+        gains = {t: int((short[at] > 0).sum()) - cost * others.get(t, 0) for t, at in where.items()}
         best = max(gains, key=lambda t: (gains[t], t[-1] == " ", len(t), t))
         if gains[best] < floor:
             break
@@ -240,10 +231,27 @@ def learn_insults(
     return {t[:-1]: w for t, w in weight.items() if t[-1] == " "}, {t: w for t, w in weight.items() if t[-1] != " "}
 
 
-def _stable(term: str) -> int:
-    import zlib
+def learn_insults(texts: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """``choose_terms`` for ``texts`` (text, label). Equal texts of one label count once. Terms are
+    found and counted where the texts lie; only those frequent enough in toxic texts come to the driver."""
+    told = texts.select("label", "text", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(7), "text").alias("u"))
+    once = told.dropDuplicates(["t", "u", "label"])
 
-    return zlib.crc32(term.encode())
+    def start() -> Callable:
+        return lambda values: {"terms": [sorted(terms_of(v)) for v in values]}
+
+    listed = map_rows(once, "text", "terms array<string>", start, keep=["t", "label"])
+    sizes = {r["label"]: r["n"] for r in once.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_bad, n_others = sizes.get(1, 0), sizes.get(0, 0)
+    toxic = F.when(F.col("label") == 1, F.col("t"))
+    counted = listed.select("t", "label", F.explode("terms").alias("term")).groupBy("term").agg(
+        F.collect_set(toxic).alias("where"), F.count_if(F.col("label") == 0).alias("others")
+    )
+    cost = 2 * n_bad / max(1, n_others)
+    often = counted.where(F.size("where") - cost * F.col("others") >= term_floor(n_bad)).collect()
+    number: dict[int, int] = {}
+    where = {r["term"]: [number.setdefault(t, len(number)) for t in sorted(r["where"])] for r in sorted(often, key=lambda r: r["term"])}
+    return choose_terms(where, {r["term"]: r["others"] for r in often}, n_bad, n_others)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 1.0) -> tuple[np.ndarray, float]:
@@ -271,38 +279,36 @@ def train(
     text: str = "text",
     max_toxic: int = 2000,
     max_others: int = 4000,
-    max_bytes: int = 20_000,
     seed: int = 1,
 ) -> Model | None:
     """A model from texts of ``docs`` whose row in ``labels`` meets ``usable``; None without any.
 
     Fitted on a bounded sample, the only one here: at most ``max_toxic`` rows of label 1 and
-    ``max_others`` of label 0 (of the smallest hashed doc_id), of texts of at most
-    ``max_bytes`` bytes. Null labels and ids are not used; a document labelled twice counts twice.
+    ``max_others`` of label 0 (of the smallest hashed doc_id), of any length. Null labels, ids and
+    texts are not used; a document labelled twice counts twice for the weights of clauses. Texts
+    stay with the tasks: terms are counted and clauses read there.
     """
     usable_rows = labels.where(usable & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).alias("__id"), (F.col(label) == 1).cast("int").alias("__label")
+        F.col(doc_id).alias("__id"), (F.col(label) == 1).cast("int").alias("label")
     )
     order = [F.xxhash64("__id", F.lit(seed)), F.col("__id")]
     wanted = (
-        usable_rows.where("__label = 1").orderBy(*order).limit(max_toxic)
-        .unionByName(usable_rows.where("__label = 0").orderBy(*order).limit(max_others))
+        usable_rows.where("label = 1").orderBy(*order).limit(max_toxic)
+        .unionByName(usable_rows.where("label = 0").orderBy(*order).limit(max_others))
     )
-    texts = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text"))
-    rows = (
-        texts.join(F.broadcast(wanted), "__id")
-        .where(F.octet_length("text") <= max_bytes)
-        .select("__id", "__label", "text")
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["__id"], r["__label"], r["text"]))
-    if not rows:
+    texts = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    rows = materialize(texts.join(F.broadcast(wanted), "__id"), "labelled")
+    if rows.isEmpty():
         return None
-    raw = [r["text"].encode() for r in rows]
-    toxic = [r["__label"] for r in rows]
-    words, prefixes = learn_insults(raw, toxic)
-    read = clause_reader(words, prefixes)
-    weights, bias = fit_weights(np.array([read(t) for t in raw]), np.array(toxic, float))
+    words, prefixes = learn_insults(rows)
+
+    def start() -> Callable:
+        read = clause_reader(words, prefixes)
+        return lambda values: {"clauses": [read(v).tolist() for v in values]}
+
+    read = map_rows(rows, "text", "clauses array<double>", start, keep=["__id", "label"]).collect()
+    read.sort(key=lambda r: (r["__id"], r["label"], r["clauses"]))
+    weights, bias = fit_weights(np.array([r["clauses"] for r in read]), np.array([r["label"] for r in read], float))
     return Model(words, prefixes, weights, bias)
 
 

@@ -109,10 +109,77 @@ def _letters(i):
     return " ".join("".join(chr(97 + (i * k + j * j) % 26) for j in range(5)) for k in (3, 7, 11, 19))
 
 
-def test_learned_words_cover_and_spare():
+def test_learned_words_cover_and_spare(spark):
     good = [f"the day {i} was fine and calm {_letters(i)}" for i in range(60)]
     bad = [f"the day {i} was {w} and calm {_letters(99 + i)}" for i, w in enumerate(["vile", "grotty", "grottiest"] * 10)]
-    words, prefixes = toxicity.learn_insults([t.encode() for t in good + bad], [0] * 60 + [1] * 30)
+    rows = [(t, 0) for t in good] + [(t, 1) for t in bad]
+    texts = spark.createDataFrame(rows + rows[-5:] * 20, "text string, label int").repartition(3)  # copies count once
+    words, prefixes = toxicity.learn_insults(texts)
+    assert (words, prefixes) == terms_by_hand(rows)
     assert "vile" in words and not {"the", "day", "was", "calm"} & set(words)
     read = toxicity.clause_reader(words, prefixes)
     assert all(read(t.encode()).sum() > 0 for t in bad) and not any(read(t.encode()).sum() for t in good)
+
+
+def terms_by_hand(rows):
+    """Terms of all texts at once, without Spark."""
+    bad = [toxicity.terms_of(t.encode()) for t, label in rows if label]
+    good = [toxicity.terms_of(t.encode()) for t, label in rows if not label]
+    where = {t: [i for i, x in enumerate(bad) if t in x] for t in set().union(*bad)}
+    return toxicity.choose_terms(where, {t: sum(t in x for x in good) for t in where}, len(bad), len(good))
+
+
+def test_unlike_texts_all_count(spark):
+    """Texts that share their common words are no copies of each other."""
+    common = "aa ab ac ad ae af ag ah ai aj ak al"
+    rows = [(f"{common} plain {_letters(i)}", 0) for i in range(60)]
+    rows += [(f"{common} you {'scum' if i % 2 else 'louse'} {_letters(i)}", 1) for i in range(40)]
+    words, _ = toxicity.learn_insults(spark.createDataFrame(rows, "text string, label int"))
+    assert {"scum", "louse"} <= set(words)
+
+
+def test_clauses_against_a_direct_loop():
+    rng = np.random.default_rng(3)
+    vocabulary = ["idiot", "idiots", "kill", "you", "not", "said", "a", "b", "Idiot", "don't", "é", "KILL", "moron", "moronic"]
+    words, prefixes = {"idiot": 1.0}, {"moro": 0.5}
+    read = toxicity.clause_reader(words, prefixes)
+    for _ in range(400):
+        text = "".join(rng.choice(vocabulary) + rng.choice([" ", " ", ", ", ". ", "!", "\n", "-", ";"]) for _ in range(rng.integers(0, 25)))
+        wanted = np.zeros(len(toxicity.KINDS))
+        for clause in toxicity.CLAUSE_END.split(text.encode()):
+            state, strength = toxicity.GRAMMAR.start, 0.0
+            for word in clause.translate(toxicity.LETTERS).decode().split():
+                weight = max([words.get(word, 0.0), *(w for p, w in prefixes.items() if word.startswith(p) and len(word) > len(p))])
+                kind = toxicity.INSULT if weight else toxicity.CLASS_OF.get(word, toxicity.OTHER)
+                state = toxicity.GRAMMAR.moves[state, kind]
+                strength += weight or float(kind == toxicity.THREAT)
+            if (found := toxicity.kind_of(state)) is not None:
+                wanted[found] += strength
+        assert np.allclose(read(text.encode()), wanted), text
+
+
+def test_passage_features_against_a_direct_loop():
+    rng = np.random.default_rng(4)
+    pieces = ["word", "Word", "12", "!!", "||", "é", "\n", "\t", "$", "same", "same", "."]
+    texts = [("".join(rng.choice(pieces) + " " * int(rng.integers(0, 2)) for _ in range(n))).encode() for n in (0, 1, 5, 60, 300, 900)]
+    found, starts = quality_classifier.passage_features([*texts, None], size=50)
+    rows = []
+    firsts = []
+    for text in [*texts, b""]:
+        firsts.append(len(rows))
+        # A passage ends at the first blank from each multiple of the size on; a short rest joins the last.
+        cuts = sorted({at for k in range(50, len(text), 50) if (at := next((i for i in range(k, len(text)) if text[i : i + 1] in b" \t\r\x0b\x0c\n"), None)) is not None and at < len(text) - 25})
+        bounds = [0, *(cuts if len(text) > 50 else []), len(text)]
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            passage = text[low:high]
+            shares = [sum(passage.count(bytes([b])) for b in signs) for signs in quality_classifier.SIGNS.values()]
+            shares.append(len(passage) - sum(shares))
+            words = passage.split()
+            doubled = sum(text[i] == text[i - 1] and text[i : i + 1] not in b" \t\r\x0b\x0c" for i in range(max(low, 1), high))
+            # A word that a passage begins inside of belongs to the one before.
+            heads = [w for w in words]
+            mean = min((len(passage) - sum(passage.count(bytes([b])) for b in b" \t\r\x0b\x0c\n")) / max(1, len(heads)) / 10, 3) if heads else 0.0
+            rows.append([*[x / max(1, len(passage)) for x in shares], doubled / max(1, len(passage)), len(set(heads)) / max(1, len(heads)), mean, np.log1p(len(passage)) / 10])
+    assert starts.tolist() == firsts
+    wanted = np.array(rows)
+    assert found.shape == wanted.shape and np.allclose(found, wanted)
