@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.binding import bind
 from codeloom.functions.prompts import preference_prompt
 from codeloom.functions.repos import repo_name
 from codeloom.operators import metrics
@@ -47,21 +48,21 @@ def long_responses(wide: DataFrame) -> DataFrame:
 def score_responses(
     responses: DataFrame, prediction_col: str = "response", reference_col: str = "reference"
 ) -> DataFrame:
-    """Adds bleu, rouge_l, word_edit_rate and ter; null where a text is missing."""
+    """Adds bleu_counts, bleu, rouge_l, word_edit_rate and ter; null where a text is missing."""
     p, r = F.col(prediction_col), F.col(reference_col)
     both = p.isNotNull() & r.isNotNull()
     p, r = F.coalesce(p, F.lit("")), F.coalesce(r, F.lit(""))
     scored = responses.select(
         "*",
         both.alias("_both"),
-        metrics.bleu_score(metrics.bleu_counts(p, r)).alias("bleu"),
+        bind(metrics.bleu_counts(p, r), lambda c: F.struct(c.alias("counts"), metrics.bleu_score(c).alias("score"))).alias("_bleu"),
         metrics.rouge_l(p, r).alias("rouge_l"),
         metrics.word_edit_rate(p, r).alias("word_edit_rate"),
         metrics.ter(p, r).alias("ter"),
     )
-    names = ("bleu", "rouge_l", "word_edit_rate", "ter")
+    found = {"bleu_counts": "_bleu.counts", "bleu": "_bleu.score"} | {n: n for n in ("rouge_l", "word_edit_rate", "ter")}
     return scored.select(
-        *responses.columns, *[F.when(F.col("_both"), F.col(n)).alias(n) for n in names]
+        *responses.columns, *[F.when(F.col("_both"), F.col(c)).alias(n) for n, c in found.items()]
     )
 
 
@@ -125,15 +126,18 @@ def partial_results(questions: DataFrame, results: DataFrame, keys: list[str]) -
 
 def eval_report(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Per keys and mode: answered questions, mean scores and how often the mode was
-    preferred, as a count and as a share of the questions with a preference.
+    preferred, as a count and as a share of the questions with a preference. ``corpus_bleu``
+    is that of all answers as one text, from their summed counts: the mean of scores of
+    short answers, most of which are 0, says little.
 
-    ``scores`` has mode, bleu, rouge_l, word_edit_rate, ter and chosen_mode.
+    ``scores`` has mode, bleu_counts, bleu, rouge_l, word_edit_rate, ter and chosen_mode.
     """
     preferred = F.count_if(F.col("chosen_mode") == F.col("mode"))
     judged = F.count("chosen_mode")
     return scores.groupBy(*keys, "mode").agg(
         F.count("bleu").alias("n_scored"),
         F.avg("bleu").alias("bleu"),
+        metrics.pooled_bleu(F.col("bleu_counts")).alias("corpus_bleu"),
         F.avg("rouge_l").alias("rouge_l"),
         F.avg("word_edit_rate").alias("word_edit_rate"),
         F.count("ter").alias("n_ter"),

@@ -47,19 +47,23 @@ def ngrams(tokens: Column, order: int) -> Column:
 def clipped_matches(left: Column, right: Column) -> Column:
     """Common elements of two arrays, each counted as often as both hold it.
 
-    Numbering the copies of an element makes the arrays sets: in sorted order a
-    copy's number is its distance from the first copy.
+    Both sides are sorted together, an element's copies of the left before those of the
+    right, and read once: a right copy takes a left one of the same element, if one is left.
     """
 
-    def numbered(values: Column) -> Column:
-        return bind(
-            F.array_sort(values),
-            lambda s: F.transform(
-                s, lambda v, i: F.concat_ws("\u0001", v, i + 1 - F.array_position(s, v))
-            ),
-        )
+    def of(values: Column, side: int) -> Column:
+        return F.transform(values, lambda v: F.struct(v.alias("v"), F.lit(side).alias("side")))
+
+    def read(state: Column, item: Column) -> Column:
+        same = item["v"].eqNullSafe(state["v"])
+        free = F.when(same, state["free"]).otherwise(F.lit(0))
+        taken = (item["side"] == 1) & (free > 0)
+        step = F.when(item["side"] == 0, free + 1).when(taken, free - 1).otherwise(free)
+        return F.struct(item["v"].alias("v"), step.alias("free"), (state["found"] + taken.cast("int")).alias("found"))
 
-    return F.size(F.array_intersect(numbered(left), numbered(right)))
+    both = F.array_sort(F.concat(of(left, 0), of(right, 1)))
+    start = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("free"), F.lit(0).alias("found"))
+    return F.aggregate(both, start, read, lambda s: s["found"])
 
 
 def bleu_counts(prediction: Column, reference: Column) -> Column:
@@ -95,6 +99,18 @@ def bleu_score(counts: Column) -> Column:
     return bind(counts, score)
 
 
+def pooled_bleu(counts: Column) -> Column:
+    """The score of a group of pairs as one text: an aggregate of ``bleu_counts``, whose lengths and
+    matches add up, in any order and from any parts of the group. Null for a group without counts."""
+    orders = range(1, MAX_ORDER + 1)
+    found = [F.sum(counts[f"m{n}"]) for n in orders]
+    all_grams = [F.sum(F.greatest(counts["pred_len"] - (n - 1), F.lit(0))) for n in orders]
+    pred_len, ref_len = F.sum(counts["pred_len"]), F.sum(counts["ref_len"])
+    logs = sum(F.log(m / n) for m, n in zip(found, all_grams, strict=True)) / MAX_ORDER
+    penalty = F.when(pred_len > ref_len, F.lit(1.0)).otherwise(F.exp(1 - ref_len / pred_len))
+    return F.when(F.least(*found) > 0, penalty * F.exp(logs)).when(F.count(counts["pred_len"]) > 0, F.lit(0.0))
+
+
 def rouge_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({ROUGE_TOKEN})"), F.lit(1))
 

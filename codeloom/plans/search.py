@@ -15,7 +15,7 @@ from codeloom.plans import sql as S
 from codeloom.plans import flows, views
 from codeloom.plans.chunks import LINKS, SCOPE_CHUNKS, scope_chunks_sql, scope_links, small_scope_chunks
 from codeloom.plans.registry import query
-from codeloom.sources import collection
+from codeloom.sources import chunk_store, collection
 from codeloom.workspace import materialize
 
 _SCORES = {
@@ -284,18 +284,19 @@ def mode_hits(files: DataFrame, asked: DataFrame, mode: str, k: int = 5) -> Data
     """(q_id, mode, rank, chunk_id, score, summary, chunk_code) of the best chunks for
     embedded questions (q_id, qv).
 
-    Only ids and vectors take part in the search. For the texts of the hits their
-    files alone are cut again, which spares storing the text of every chunk.
+    Chunks are cut once and stored in order of their ids. Only ids and vectors take part in
+    the search; the texts of the hits are fetched from the files that hold them.
     """
+    spark = files.sparkSession
     summary = F.col("text") if mode == "naive" else enrich.telling_sentences(F.col("text"))
-    embedded = views.chunk_texts(files, mode).select("chunk_id", vectors.embed_text(summary).alias("embedding"))
-    # The hits, k to a query, serve twice: to find their files, and to rank the texts.
-    hits = materialize(top_k(embedded, asked.select("q_id", "qv"), k=k, id_col="chunk_id"), "hits")
-    file_of_hit = F.split_part("id", F.lit(":"), F.lit(1)).cast("bigint")
-    hit_files = files.join(hits.select(file_of_hit.alias("seq")), "seq", "left_semi")
-    texts = views.chunk_texts(hit_files, mode).select(F.col("chunk_id").alias("id"), "text")
-    return hits.join(texts, "id").select(
-        "q_id", F.lit(mode).alias("mode"), "rank", F.col("id").alias("chunk_id"), "score",
+    store = chunk_store.write_sorted(views.chunk_texts(files, mode), "chunk_id")
+    embedded = chunk_store.read_sorted(spark, store).select("chunk_id", vectors.embed_text(summary).alias("embedding"))
+    # The hits, k to a query, serve twice: to fetch their texts, and to rank them.
+    found = top_k(embedded, asked.select("q_id", "qv"), k=k, id_col="chunk_id").withColumnRenamed("id", "chunk_id")
+    hits = materialize(found, "hits")
+    texts = chunk_store.fetch(spark, store, hits, "chunk_id").select("chunk_id", "text")
+    return hits.join(texts, "chunk_id").select(
+        "q_id", F.lit(mode).alias("mode"), "rank", "chunk_id", "score",
         summary.alias("summary"), F.col("text").alias("chunk_code"),
     )
 

@@ -181,3 +181,34 @@ def test_missing_responses_score_null(spark):
     report = evaluate.report_by_mode(evaluate.eval_report(judged, ["repo"]), ["repo"]).first()
     assert report["smart_n_preferred"] == 1 and report["naive_preference_share"] == 0.0
     assert report["naive_n_scored"] == 0
+
+
+def test_long_texts_match_in_linear_time(spark):
+    """Copies are not searched for: a hundred thousand words of few kinds are counted in a moment."""
+    import time
+
+    rows = [(i, [f"w{j % 50}" for j in range(50_000)], [f"w{j % 70}" for j in range(50_000)]) for i in range(2)]
+    df = spark.createDataFrame(rows, "i int, p array<string>, r array<string>")
+    began = time.perf_counter()
+    found = [r[0] for r in df.select(metrics.clipped_matches(F.col("p"), F.col("r"))).collect()]
+    assert time.perf_counter() - began < 20
+    left, right = Counter(rows[0][1]), Counter(rows[0][2])
+    assert found == [sum((left & right).values())] * 2
+
+
+def test_pooled_bleu_is_that_of_all_answers(spark):
+    """Counts add up: of short answers without a common four-gram each, the group has a score."""
+    pairs = [("a b c d e", "a b c d x"), ("f g", "f g"), ("h i j", "h i k l m"), ("", "n")]
+    df = spark.createDataFrame(pairs, "p string, r string")
+    counted = df.select(metrics.bleu_counts(F.col("p"), F.col("r")).alias("c"))
+    found = counted.agg(metrics.pooled_bleu(F.col("c")).alias("b")).first()["b"]
+    m, t, p, r = [0] * 4, [0] * 4, 0, 0
+    for x, y in ((a.split(), b.split()) for a, b in pairs):
+        p, r = p + len(x), r + len(y)
+        for n in range(1, 5):
+            grams = [Counter(zip(*[z[i:] for i in range(n)], strict=False)) for z in (x, y)]
+            m[n - 1] += sum((grams[0] & grams[1]).values())
+            t[n - 1] += max(0, len(x) - n + 1)
+    wanted = math.exp(sum(math.log(a / b) for a, b in zip(m, t, strict=True)) / 4) * (1 if p > r else math.exp(1 - r / p))
+    assert found == pytest.approx(wanted)
+    assert counted.where("false").agg(metrics.pooled_bleu(F.col("c")).alias("b")).first()["b"] is None

@@ -249,6 +249,21 @@ def test_chunk_store(spark, tmp_path):
     assert chunk_store.read_chunk_store(spark, path).count() == 1 + 15 + 10
 
 
+def test_sorted_store_opens_few_files(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("concat('k', lpad(id * 7 % 3001, 5, '0')) AS k", "id").repartition(7)
+    path = chunk_store.write_sorted(rows, "k", rows_per_file=200, path=str(tmp_path / "s"))
+    assert chunk_store.read_sorted(spark, path).count() == 3000
+    keys = spark.createDataFrame([("k00005",), ("k00007",), ("k02999",), ("k00007",), ("a",), ("z",), (None,)], "k string")
+    found = chunk_store.fetch(spark, path, keys, "k")
+    wanted = {(r["k"], r["id"]) for r in rows.collect() if r["k"] in ("k00005", "k00007", "k02999")}
+    assert {(r["k"], r["id"]) for r in found.collect()} == wanted and len(wanted) >= 2
+    assert len(found.inputFiles()) <= 2 < len(chunk_store.read_sorted(spark, path).inputFiles())
+    assert "In(k" in found._jdf.queryExecution().executedPlan().toString().replace("PushedFilters: [", "")
+    many = rows.select("k").where("id < 1500")
+    assert chunk_store.fetch(spark, path, many, "k").count() == 1500
+    assert chunk_store.fetch(spark, path, keys.where("k = 'a'"), "k").count() == 0
+
+
 def test_results(spark, tmp_path):
     columns = ["question", "reference", "smart_response", "naive_response"]
     scores = ["smart_bleu", "smart_rouge_l", "smart_ter", "naive_bleu", "naive_rouge_l", "naive_ter"]
