@@ -14,6 +14,8 @@ from codeloom.workspace import fresh_dir, materialize
 
 #: Rows of a file of a sorted store, about.
 ROWS_PER_FILE = 20_000
+#: Fewer rows are not divided, however many tasks could read them.
+LEAST_ROWS = 256
 #: So few keys are named to the scan, which then skips row groups too.
 NAMED_KEYS = 1000
 
@@ -102,11 +104,13 @@ def read_results(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def write_sorted(rows: DataFrame, key: str, rows_per_file: int = ROWS_PER_FILE, path: str | None = None) -> str:
     """Write rows in order of a unique string ``key``, in files of a bounded size, and beside them
-    the range of keys of each file. Rows are worked out once. Returns the path."""
+    the range of keys of each file. Rows are worked out once. A small store is as many files as the
+    session has cores, as work on its texts costs far more than reading. Returns the path."""
     spark = rows.sparkSession
     path = path or fresh_dir(spark, "sorted")
     staged = materialize(rows, "staged")
-    parts = max(1, math.ceil(staged.count() / rows_per_file))
+    n_rows = staged.count()
+    parts = max(1, math.ceil(n_rows / rows_per_file), min(spark.sparkContext.defaultParallelism, n_rows // LEAST_ROWS))
     dealt = staged.repartitionByRange(parts, key).sortWithinPartitions(key)
     dealt.write.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{path}/rows")
     stored = spark.read.schema(rows.schema).parquet(f"{path}/rows")
