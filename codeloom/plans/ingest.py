@@ -14,7 +14,7 @@ from codeloom.plans import sql as S
 from codeloom.plans import views
 from codeloom.plans.registry import query
 from codeloom.sources import chunk_store, collection, corpus, files, languages
-from codeloom.workspace import fresh_dir, materialize
+from codeloom.workspace import fresh_dir
 
 
 @query(
@@ -67,15 +67,15 @@ def source_tree_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "source_files_scan",
     f"WITH {S.CODE} SELECT path AS file, count(*) AS n_lines, md5(string_agg(line || chr(10), '' ORDER BY ln)) AS text_md5 "
-    "FROM code_lines WHERE path LIKE 'brand_1%' OR path LIKE 'brand_3%' GROUP BY path",
+    "FROM code_lines GROUP BY path",
 )
 def source_files_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """The files named in a list, here of two groups of brands."""
+    """The files named in a list of two groups: brands whose number begins with 1, and all others."""
     root = fresh_dir(spark, "listed")
     views.code_files(spark, sf).select(F.col("path").alias("file"), "text").repartition("file").write.partitionBy(
         "file"
     ).text(root)
-    named = f"{root}/file=brand_1*/*.txt, {root}/file=brand_3*/*.txt"
+    named = f"{root}/file=brand_1*/*.txt, {root}/file=brand_[!1]*/*.txt"
     return files.read_source_files(spark, named, exts=[".txt"]).select(
         F.regexp_extract("path", r"/file=([^/]+)/", 1).alias("file"),
         text.line_count(F.col("text")).alias("n_lines"),
@@ -333,15 +333,10 @@ _SCAN_ORDER = "CASE language " + " ".join(
 )
 def first_scanned(spark: SparkSession, sf: str) -> DataFrame:
     """The first record of each repository in the order in which the files are scanned."""
-    raw = spark.read.json(
-        corpus.corpus_glob(views.corpus_folder(spark, sf), file_glob=views.WRITTEN),
-        schema=corpus.reader_schema(views.RECORD), mode="PERMISSIVE", columnNameOfCorruptRecord=corpus.CORRUPT,
-    )
-    placed = corpus.good_records(
-        corpus.with_path_columns(raw.withColumn("at", corpus.scan_position()))
-    ).select("at", "seq", "repo", "language", "split", "path")
-    # Written once, as positions hold only for one reading.
-    return firsts.first_per_key(materialize(placed, "scanned"), order="at").drop("at")
+    scanned = corpus.scan_corpus(spark, views.corpus_folder(spark, sf), record_schema=views.RECORD, file_glob=views.WRITTEN)
+    placed = corpus.good_records(scanned).select("at", "seq", "repo", "language", "split", "path")
+    # Positions hold for any reading, so the files are simply read again for the records themselves.
+    return firsts.first_per_key(placed, order="at").drop("at")
 
 
 @query("first_n_repos", _firsts_sql(20))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,21 +82,67 @@ def quarantined_lines(corpus: DataFrame) -> DataFrame:
     return corpus.where(F.col(CORRUPT).isNotNull())
 
 
-def scan_position(languages=None, splits=None) -> Column:
-    """Sort key that follows scan order: language, split, file, then line.
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, line_no, line) of text files. Numbers count from 0 in each file, however the files
+    are cut into blocks for reading, so any other reading gives the same ones.
 
-    Take it in the same projection that reads the files: the row number inside a
-    file block comes from the reading task.
+    The lines of every block are counted first, a row a block; a line's number is the sum of the
+    blocks before it in its file and its place in its own, which the task that reads the block counts.
     """
-    path = F.col("_metadata.file_path")
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line")
+    )
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    fields = "file string, block long, line string, place long"
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        upto = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, blocks = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            codes = files.indices.to_numpy()
+            cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            places = np.empty(batch.num_rows, np.int64)
+            bounds = [0, *cuts.tolist(), batch.num_rows]
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                here = files.dictionary[int(codes[low])].as_py(), int(blocks[low])
+                upto = upto if here == at else 0
+                places[low:high] = np.arange(upto, upto + high - low)
+                at, upto = here, upto + high - low
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places)], names=["file", "block", "line", "place"])
+
+    numbered = lines.mapInArrow(placed, fields).join(bases, ["file", "block"])
+    return numbered.select("file", (F.col("base") + F.col("place")).alias("line_no"), "line")
+
+
+def scan_corpus(
+    spark: SparkSession,
+    base_dir: str,
+    languages=None,
+    splits=None,
+    record_schema: T.StructType = RECORD_SCHEMA,
+    file_glob: str = "*.jsonl",
+) -> DataFrame:
+    """As ``read_corpus``, with ``at``, a key that sorts records in scan order: language, split,
+    file, then line. It is the same in every reading. Empty lines are no records, but count."""
+    lines = numbered_lines(spark, corpus_glob(base_dir, languages, splits, file_glob)).where("line <> ''")
+    path = F.col("file")
     langs = F.array(*[F.lit(x) for x in (languages or CORPUS_LANGUAGES)])
     parts = F.array(*[F.lit(x) for x in (splits or CORPUS_SPLITS)])
-    return F.struct(
+    at = F.struct(
         F.array_position(langs, path_language(path)).alias("language_rank"),
         F.array_position(parts, path_split(path)).alias("split_rank"),
-        path.alias("file"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("row"),
+        "file",
+        "line_no",
+    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = lines.select(F.from_json("line", reader_schema(record_schema), options).alias("r"), at.alias("at"), "file")
+    return parsed.select(
+        "r.*", "at", path_language(path).alias("language"), path_split(path).alias("split"), clone_url(F.col("r.repo")).alias("github_repo")
     )
 
 

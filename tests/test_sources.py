@@ -47,16 +47,32 @@ def test_corpus_selection(spark, corpus_dir):
 
 
 def test_scan_order_decides_first_records(spark, corpus_dir):
-    raw = spark.read.schema(corpus.reader_schema()).json(corpus.corpus_glob(corpus_dir))
-    placed = raw.select(
-        "repo", corpus.path_split(F.col("_metadata.file_path")).alias("split"), corpus.scan_position().alias("seq"),
-        corpus.CORRUPT,
-    ).where(F.col(corpus.CORRUPT).isNull())
+    placed = corpus.good_records(corpus.scan_corpus(spark, corpus_dir)).select("repo", "split", F.col("at").alias("seq"))
     found = firsts.first_per_key(placed).orderBy("seq").collect()
     assert [(r["repo"], r["split"]) for r in found] == [
         ("a/x", "train"), ("b/x", "train"), ("c/y", "test"), ("d/z", "valid")
     ]
     assert [r["repo"] for r in firsts.first_n_keys(placed, 2).orderBy("seq").collect()] == ["a/x", "b/x"]
+    bad = corpus.quarantined_lines(corpus.scan_corpus(spark, corpus_dir)).collect()
+    assert sorted(r[corpus.CORRUPT] for r in bad) == ['"only a string"', "{bad"]
+
+
+def test_line_numbers_hold_for_any_reading(spark, tmp_path):
+    """However files are cut into blocks, and whichever blocks a task reads."""
+    for f, n in (("a", 700), ("b", 1), ("c", 0), ("d", 350)):
+        (tmp_path / f"{f}.txt").write_text("".join(f"{f}{i}{'x' * (i % 37)}\n" if i % 10 else "\n" for i in range(n)))
+    readings = []
+    for size in ("128m", "1000", "333"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            lines = corpus.numbered_lines(spark, str(tmp_path / "*.txt"))
+            readings.append(sorted((r["file"][-5:], r["line_no"], r["line"]) for r in lines.collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    wanted = [(f"{f}.txt", i, f"{f}{i}{'x' * (i % 37)}" if i % 10 else "") for f, n in (("a", 700), ("b", 1), ("d", 350)) for i in range(n)]
+    assert readings[0] == wanted and readings[1] == wanted and readings[2] == wanted
 
 
 def test_limits(spark):
