@@ -1,4 +1,4 @@
-"""Exact top-k search, over vectors or over term sets.
+"""Exact top-k search over vectors.
 
 Both sides are packed into blocks, a few thousand rows to one row of bytes, and
 blocks are joined on a cell key. A task scores one collection block against one
@@ -232,109 +232,3 @@ def rank_hits(hits: DataFrame, k: int, larger_is_better: bool = True) -> DataFra
         .where(F.col("rank") <= k)
         .select("q_id", F.col("rank").cast("bigint").alias("rank"), "id", "score")
     )
-
-
-def top_k_terms(
-    collection: DataFrame,
-    queries: DataFrame,
-    k: int = TOP_K,
-    id_col: str = "id",
-    terms_col: str = "terms",
-    query_id_col: str = "q_id",
-    query_terms_col: str = "q_terms",
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """The ``k`` rows that share most distinct terms with each query; at least one.
-
-    Blocks are joined as in ``top_k``: a block of rows is counted against a block
-    of queries inside one task and leaves its k best ids per query, so a term that
-    most rows hold sends no pairs through the shuffle.
-    """
-    c = collection.select(F.col(id_col).alias("id"), F.array_distinct(terms_col).alias("terms"))
-    q = queries.select(F.col(query_id_col).alias("q_id"), F.array_distinct(query_terms_col).alias("q_terms"))
-    schema = T.StructType(
-        [
-            T.StructField("q_id", q.schema["q_id"].dataType),
-            T.StructField("id", c.schema["id"].dataType),
-            T.StructField("score", T.LongType()),
-        ]
-    )
-    row_bytes = F.aggregate("q_terms", F.lit(16), lambda n, t: n + F.octet_length(t) + 8)
-    size = q.agg(F.count("*").alias("n"), F.sum(row_bytes).alias("bytes")).first()
-    c_blocks = _pack_rows(c, "c", "id", "terms", COLLECTION_BLOCK)
-    if (size["bytes"] or 0) <= broadcast_bytes:
-        q = q.repartition(math.ceil(max(size["n"], 1) / QUERY_BLOCK))
-        joined = c_blocks.join(F.broadcast(_pack_rows(q, "q", "q_id", "q_terms", QUERY_BLOCK)), "cell")
-    else:
-        salts = int(collection.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        q_blocks = _pack_rows(q, "q", "q_id", "q_terms", QUERY_BLOCK).withColumn("salt", every_salt)
-        c_blocks = c_blocks.withColumn("salt", F.pmod(F.xxhash64("c_ids"), F.lit(salts)))
-        joined = c_blocks.join(q_blocks, ["cell", "salt"])
-
-    names = schema.names
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield _best_by_overlap(*(c[i].values for c in batch.columns), k, names)
-
-    arrow = joined.select("q_ids", "q_terms", "c_ids", "c_terms").mapInArrow(rank, schema)
-    return rank_hits(arrow, k)
-
-
-def _pack_rows(df: DataFrame, prefix: str, id_col: str, terms_col: str, rows_per_block: int) -> DataFrame:
-    schema = T.StructType(
-        [
-            T.StructField("cell", T.IntegerType()),
-            T.StructField(f"{prefix}_ids", T.ArrayType(df.schema[id_col].dataType)),
-            T.StructField(f"{prefix}_terms", T.ArrayType(df.schema[terms_col].dataType)),
-        ]
-    )
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows_per_block):
-                part = batch.slice(at, rows_per_block)
-                offsets = pa.array([0, part.num_rows], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([0], pa.int32()),
-                        pa.ListArray.from_arrays(offsets, part.column(id_col)),
-                        pa.ListArray.from_arrays(offsets, part.column(terms_col)),
-                    ],
-                    names=schema.names,
-                )
-
-    return df.select(id_col, terms_col).mapInArrow(blocks, schema)
-
-
-def _incidence(terms: pa.ListArray, known: pa.Array) -> np.ndarray:
-    """A row for each list, with a one under each known term that it holds."""
-    codes = pc.index_in(terms.flatten(), value_set=known)
-    rows = np.repeat(np.arange(len(terms)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
-    out = np.zeros((len(terms), len(known)), dtype=np.float32)
-    held = codes.is_valid().to_numpy(zero_copy_only=False)
-    out[rows[held], codes.drop_null().to_numpy()] = 1
-    return out
-
-
-def _best_by_overlap(
-    q_ids: pa.Array, q_terms: pa.ListArray, c_ids: pa.Array, c_terms: pa.ListArray, k: int, names: list[str]
-) -> pa.RecordBatch:
-    """The ``k`` best rows of one block for each query of another: terms are numbered by the
-    queries' vocabulary, and one matrix product counts those in common."""
-    known = pc.unique(q_terms.flatten()).drop_null()
-    counts = (_incidence(q_terms, known) @ _incidence(c_terms, known).T).astype(np.int64)
-    by_id = np.empty(len(c_ids), dtype=np.int64)
-    by_id[pc.sort_indices(c_ids).to_numpy()] = np.arange(len(c_ids))
-    # More in common first, then the smaller id, in one number.
-    order = counts * len(c_ids) + (len(c_ids) - 1 - by_id)
-    order[counts == 0] = -1
-    n = min(k, len(c_ids))
-    best = np.argpartition(-order, n - 1, axis=1)[:, :n] if n else np.empty((len(q_ids), 0), np.int64)
-    q, at = np.nonzero(np.take_along_axis(order, best, axis=1) >= 0)
-    c = best[q, at]
-    return pa.RecordBatch.from_arrays(
-        [q_ids.take(pa.array(q)), c_ids.take(pa.array(c)), pa.array(counts[q, c])], names=names
-    )

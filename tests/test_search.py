@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import vectors
-from codeloom.operators import clusters, context, lookup
-from codeloom.operators.search import top_k, top_k_terms
+from codeloom.operators import clusters, context, lookup, terms
+from codeloom.operators.search import top_k
 
 RNG = np.random.default_rng(42)
 VECTORS = [list(map(float, v)) for v in RNG.random((100, 16)).astype(np.float32)]
@@ -166,13 +166,37 @@ def test_unprobed_clusters_are_not_read(collection, queries):
 
 
 def test_terms(spark):
-    rows = [("a", ["x", "y", "x"]), ("b", ["y", "z"]), ("c", ["x", "y", "z"]), ("d", ["q"]), ("e", [])]
+    rows = [("a", ["x", "y", "x"]), ("b", ["y", "z"]), ("c", ["x", "y", "z"]), ("d", ["q"]), ("e", []), ("f", None), ("g", [None])]
     c = spark.createDataFrame(rows, "id string, terms array<string>")
-    q = spark.createDataFrame([(1, ["x", "y", "y"]), (2, ["none"]), (3, ["z"])], "q_id long, q_terms array<string>")
-    for limit in (1 << 20, 0):
-        rows = top_k_terms(c, q, 2, broadcast_bytes=limit).collect()
-        found = sorted((r["q_id"], r["rank"], r["id"], r["score"]) for r in rows)
-        assert found == [(1, 1, "a", 2), (1, 2, "c", 2), (3, 1, "b", 1), (3, 2, "c", 1)]
+    q = spark.createDataFrame([(1, ["x", "y", "y"]), (2, ["none"]), (3, ["z"]), (4, []), (5, None)], "q_id long, q_terms array<string>")
+    found = sorted((r["q_id"], r["rank"], r["id"], r["score"]) for r in terms.top_k_terms(c, q, 2).collect())
+    assert found == [(1, 1, "a", 2), (1, 2, "c", 2), (3, 1, "b", 1), (3, 2, "c", 1)]
+
+
+def test_terms_against_all_pairs_with_work_by_postings(spark, monkeypatch):
+    """Every row has the same two words; candidates come from the rare ones alone."""
+    monkeypatch.setattr(terms, "BLOCK", 100)
+    rng = np.random.default_rng(8)
+    n = 3000
+    sets = [["get", "set", *{f"w{int(x)}" for x in rng.zipf(1.3, 4) if x < 2000}] for _ in range(n)]
+    asked = [["get", *{f"w{int(x)}" for x in rng.zipf(1.3, 5) if x < 2000}] for _ in range(25)] + [["get"], ["set", "get", "nowhere"]]
+    c = spark.createDataFrame(list(enumerate(sets)), "id long, terms array<string>").repartition(6)
+    q = spark.createDataFrame(list(enumerate(asked)), "q_id long, q_terms array<string>")
+    index = terms.build_terms(c)
+    for k in (1, 5):
+        wanted = {}
+        for i, a in enumerate(asked):
+            scores = sorted(((-len(set(a) & set(s)), j) for j, s in enumerate(sets)))
+            wanted[i] = [(j, -x) for x, j in scores[:k] if x < 0]
+        found = {}
+        for r in terms.search_terms(index, q, k).orderBy("q_id", "rank").collect():
+            found.setdefault(r["q_id"], []).append((r["id"], r["score"]))
+        assert found == {i: w for i, w in wanted.items() if w}
+        counts = {r["q_id"]: r["count"] for r in terms.term_candidates(index, q, k).groupBy("q_id").count().collect()}
+        size = {t: sum(t in s for s in sets) for a in asked for t in a}
+        # A question with a rare word beside common ones never follows the words that all rows have.
+        rare = [i for i, a in enumerate(asked[:25]) if any(k < size[t] < 100 for t in a) and -sorted((-len(set(a) & set(s)) for s in sets))[k - 1] > 1]
+        assert rare and all(counts[i] < n for i in rare)
 
 
 def test_name_terms(spark):
