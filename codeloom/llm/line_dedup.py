@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import map_rows
+from codeloom.llm.joins import match_keys
 from codeloom.workspace import materialize
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: Keys that hold more than one in so many rows are matched by broadcast; there are fewer of them.
-SHARE = 10_000
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Stands for a doc_id that is null.
@@ -32,22 +31,6 @@ def line_key(line: Column) -> Column:
     return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, UPPER, UPPER.lower()))
 
 
-def match_keys(rows: DataFrame, table: DataFrame, on: list[str], n_rows: str, share: int = SHARE) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, which has each key once and in ``n_rows`` how many
-    of ``rows`` have it.
-
-    A key with more than one in ``share`` of the rows is matched by broadcast (fewer than
-    ``share`` keys can be), so that it stays spread; the others meet in a shuffle, in which
-    none of them weighs more than that.
-    """
-    total = rows.count()
-    hot = F.col(n_rows) * share > total
-    new = [c for c in table.columns if c not in on]
-    marked = rows.join(F.broadcast(table.where(hot).withColumn("__hot", F.lit(True))), on, "left")
-    rest = marked.where("__hot IS NULL").select(*rows.columns).join(table.where(~hot), on)
-    return marked.where("__hot").select(*rows.columns, *new).unionByName(rest.select(*rows.columns, *new))
-
-
 def line_postings(rows: DataFrame, min_chars: int) -> DataFrame:
     """(id, t, pos, h1, h2) of the lines of (id, t, text) whose key has ``min_chars`` code points."""
     lines = rows.select("id", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))

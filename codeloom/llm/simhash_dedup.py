@@ -1,9 +1,10 @@
 """SimHash near-duplicates by an inverted index over bytes at their positions.
 
-Fingerprints of eight bytes that differ in at most three bits differ in at most three
-bytes, so they share at least five positional bytes. The index lists every fingerprint
-under each choice of that many positional bytes; within a list, shared positional bytes
-are tallied for each pair, pairs that reach the minimum are verified bit by bit.
+Fingerprints of eight bytes that differ in at most three bits differ in at most three bytes, so
+they share at least five positional bytes. The index lists every fingerprint under some choices
+of four positions and the bytes there, so chosen that any five positions hold one of them: pairs
+with enough bytes in common meet. In a list, whose members share four bytes, shared positional
+bytes are tallied for each pair; pairs that reach the guaranteed five are verified bit by bit.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import map_rows, release_memory
 from codeloom.llm.graph import components
+from codeloom.llm.joins import match_keys
 from codeloom.workspace import materialize
 
 SHINGLE = 3
@@ -27,8 +29,6 @@ SEED = 42
 #: Shingles whose bits are counted at a time, and fingerprints compared with each other at a time.
 BLOCK = 1 << 16
 SIDE = 1024
-#: A list longer than this looks up all fingerprints in reach of each instead of comparing all pairs.
-LONG_LIST = 1 << 14
 
 
 def fingerprinter(shingle: int, seed: int) -> Callable[[], Callable]:
@@ -109,20 +109,46 @@ def as_hex(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def _sharing(max_bits: int) -> list[tuple[int, ...]]:
-    return list(combinations(range(N_BYTES), N_BYTES - max_bits))
+def list_positions(max_bits: int) -> list[tuple[int, ...]]:
+    """Choices of one position less than two linked fingerprints surely share, such that any
+    choice of as many as they share holds one: greedily, always that which most still lack."""
+    least = N_BYTES - max_bits
+    if least < 2:
+        raise ValueError("fingerprints that far apart need share no two bytes")
+    lacking = [frozenset(c) for c in combinations(range(N_BYTES), least)]
+    choices = [frozenset(c) for c in combinations(range(N_BYTES), least - 1)]
+    chosen: list[tuple[int, ...]] = []
+    while lacking:
+        best = max(choices, key=lambda c: sum(c <= x for x in lacking))
+        chosen.append(tuple(sorted(best)))
+        lacking = [x for x in lacking if not best <= x]
+    return chosen
 
 
 def _index_keys(max_bits: int) -> Column:
     """Under which keys a fingerprint is listed: a choice of positions, and the bytes there."""
     keys = []
-    for positions in _sharing(max_bits):
+    for positions in list_positions(max_bits):
         mask = sum(0xFF << 8 * p for p in positions)
         mask -= (mask >> 63) << 64  # as a signed long
         keys.append(F.col("fingerprint").bitwiseAND(F.lit(mask).cast("long")))
     return F.posexplode(F.array(*keys))
 
 
+def tallied(fps: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in ``fps`` with enough positional bytes in common, a block of pairs at a time."""
+    by_byte = fps.view(np.uint8).reshape(-1, N_BYTES)
+    for i in range(0, len(fps), SIDE):
+        for j in range(i, len(fps), SIDE):
+            left, right = by_byte[i : i + SIDE], by_byte[j : j + SIDE]
+            tally = np.zeros((len(left), len(right)), np.uint8)
+            for p in range(N_BYTES):
+                tally += left[:, p][:, None] == right[:, p][None, :]
+            x, y = np.nonzero(tally >= N_BYTES - max_bits)
+            x, y = x + i, y + j
+            yield x[x < y], y[x < y]
+
+
 def links_in_list(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links that hold together what is linked among distinct fingerprints of one list.
 
@@ -147,31 +173,9 @@ def links_in_list(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
                 links.append((int(fps[i]), int(fps[j])))
 
     unsigned = fps.view(np.uint64)
-    by_byte = unsigned.view(np.uint8).reshape(-1, N_BYTES)
-    if len(fps) <= LONG_LIST:
-        for i in range(0, len(fps), SIDE):
-            for j in range(i, len(fps), SIDE):
-                left, right = slice(i, i + SIDE), slice(j, j + SIDE)
-                tally = np.zeros((len(fps[left]), len(fps[right])), np.uint8)
-                for p in range(N_BYTES):
-                    tally += by_byte[left, p][:, None] == by_byte[right, p][None, :]
-                x, y = np.nonzero(tally >= N_BYTES - max_bits)
-                x, y = x + i, y + j
-                near = (np.bitwise_count(unsigned[x] ^ unsigned[y]) <= max_bits) & (x < y)
-                link(zip(x[near].tolist(), y[near].tolist(), strict=True))
-        return links
-    # Members share all but max_bits bytes, so a partner differs by one of a few thousand
-    # masks over the other bytes: look each up in the sorted list.
-    free = [8 * p + b for p in range(N_BYTES) if (by_byte[:, p] != by_byte[0, p]).any() for b in range(8)]
-    order = np.argsort(unsigned)
-    ranked = unsigned[order]
-    for size in range(1, max_bits + 1):
-        for bits in combinations(free, size):
-            mask = np.uint64(sum(1 << b for b in bits))
-            wanted = ranked ^ mask
-            at = np.minimum(np.searchsorted(ranked, wanted), len(ranked) - 1)
-            hit = np.flatnonzero((ranked[at] == wanted) & (ranked < wanted))
-            link(zip(order[hit].tolist(), order[at[hit]].tolist(), strict=True))
+    for x, y in tallied(fps, max_bits):
+        near = np.bitwise_count(unsigned[x] ^ unsigned[y]) <= max_bits
+        link(zip(x[near].tolist(), y[near].tolist(), strict=True))
     return links
 
 
@@ -179,8 +183,8 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     """Links (a, b) between different fingerprints that differ in at most ``max_bits`` bits,
     as many as hold each linked group together.
 
-    ``distinct`` has each fingerprint once. A list holds at most 256^max_bits
-    of them, whatever the input: all others differ in a byte that the key fixes.
+    ``distinct`` has each fingerprint once. Exact copies are thus one member of a list; a list of
+    many near-copies is compared in blocks.
     """
     listed = distinct.select("fingerprint", _index_keys(max_bits).alias("choice", "bytes"))
 
@@ -260,14 +264,15 @@ def with_components(
     kept = [F.col(f"`{c}`") for c in keep or []]
     ids = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *kept)
     rows = materialize(fingerprints(ids, keep=["doc_id", *(keep or [])], shingle=shingle, seed=seed), "fingerprints")
-    nodes = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialize(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = components(fingerprint_links(nodes.select("fingerprint"), max_bits))
     linked = nodes.join(roots, nodes.fingerprint == roots.node)
     groups = linked.groupBy("root").agg(F.min("least").alias("group_least"))
     reached = linked.join(groups, "root").select("fingerprint", "root", "group_least")
     component = nodes.join(reached, "fingerprint", "left").select(
-        "fingerprint",
+        "fingerprint", "n",
         F.coalesce("group_least", "least").alias("component_id"),
         F.coalesce("root", "fingerprint").alias("component"),
     )
-    return rows.join(component, "fingerprint").select("doc_id", *kept, "fingerprint", "component_id", "component")
+    placed = match_keys(rows, materialize(component, "components"), ["fingerprint"], "n")
+    return placed.select("doc_id", *kept, "fingerprint", "component_id", "component")

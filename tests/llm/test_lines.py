@@ -4,7 +4,7 @@ import hashlib
 
 from helpers import documents, no_documents, rows_of
 
-from codeloom.llm import line_dedup
+from codeloom.llm import joins, line_dedup
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = str.maketrans(line_dedup.UPPER, line_dedup.UPPER.lower())
@@ -63,7 +63,7 @@ def test_frequent_keys_either_way(spark):
     table = spark.range(5).selectExpr("id AS h", "id * 10 AS keeper").join(rows.groupBy("h").count(), "h").withColumnRenamed("count", "n")
     wanted = sorted((i, i % 7, i % 7 * 10) for i in range(300) if i % 7 < 5)
     for share in (1, 7, 10_000):
-        found = line_dedup.match_keys(rows, table, ["h"], "n", share).select("id", "h", "keeper")
+        found = joins.match_keys(rows, table, ["h"], "n", share).select("id", "h", "keeper")
         assert sorted(map(tuple, found.collect())) == wanted
 
 

@@ -1,6 +1,7 @@
 """Operators on texts against brute force, and on rows that are easily got wrong."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -121,9 +122,26 @@ def test_simhash_equals_brute_force(spark):
     assert simhash_dedup.near_duplicates(no_documents(spark)).count() == 0
 
 
-@pytest.mark.parametrize("long_list", [0, 1 << 14])
-def test_fingerprint_links_hold_groups_together(monkeypatch, long_list):
-    monkeypatch.setattr(simhash_dedup, "LONG_LIST", long_list)
+@pytest.mark.parametrize("max_bits", [1, 2, 3, 4])
+def test_pairs_that_share_enough_bytes_meet(max_bits):
+    lists = simhash_dedup.list_positions(max_bits)
+    least = simhash_dedup.N_BYTES - max_bits
+    assert all(len(x) == least - 1 for x in lists)
+    assert all(any(set(x) <= set(c) for x in lists) for c in itertools.combinations(range(simhash_dedup.N_BYTES), least))
+
+
+def test_the_tally_throws_pairs_out():
+    """Members of one list share its four bytes; with no fifth a pair is not even verified."""
+    base = np.uint64(0x0102030405060708)
+    others = [base ^ np.uint64(0x1111111100000000), base ^ np.uint64(0x0011111100000000), base ^ np.uint64(0x0000000100000000)]
+    fps = np.array([base, *others], np.uint64).view(np.int64)
+    pairs = {(int(x), int(y)) for xs, ys in simhash_dedup.tallied(fps, 3) for x, y in zip(xs, ys, strict=True)}
+    assert pairs == {(0, 2), (1, 2), (0, 3), (2, 3)}  # (0, 1) and (1, 3) share four bytes alone
+    links = {frozenset(x) for x in simhash_dedup.links_in_list(fps, 3)}
+    assert links == {frozenset(map(int, fps[[1, 2]])), frozenset(map(int, fps[[0, 3]]))}  # the others differ in more bits
+
+
+def test_fingerprint_links_hold_groups_together():
     rng = np.random.default_rng(3)
     flips = [sum(1 << int(b) for b in rng.choice(24, rng.integers(0, 7), replace=False)) for _ in range(400)]
     fps = np.unique(np.uint64(0x1234567887654321) ^ np.array(flips, np.uint64))
