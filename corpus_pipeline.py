@@ -18,6 +18,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from codeloom.llm import mixing, packing, quality_classifier, queries, simhash_dedup, substring_dedup  # noqa: E402
 from codeloom.llm.common import table  # noqa: E402
+from codeloom.llm.joins import match_keys  # noqa: E402
 from codeloom.workspace import materialize  # noqa: E402
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -42,7 +43,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = materialize(simhash_dedup.with_components(hashed, keep=list(halves)), "groups")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", *halves)
     best = groups.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n"))
-    rest = groups.join(best.where("n > 1"), "component").select(*halves, (order != F.col("best")).alias("later"))
+    several = materialize(best.where("n > 1"), "groups-of-several")
+    rest = match_keys(groups, several, ["component"], "n").select(*halves, (order != F.col("best")).alias("later"))
     later = rest.where("later").select(*halves).distinct()
     again = rest.where("NOT later").groupBy(*halves).count().where("count > 1").select(*halves)
     once = hashed.join(later.unionByName(again), list(halves), "left_anti")
