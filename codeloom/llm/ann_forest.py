@@ -186,12 +186,13 @@ def nearest(
     products of the given vectors in double precision.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor
-    do rows without an id. Rows of one id are one (the best counts); a query never finds its
+    do those of another width than most have, nor rows without an id. Rows of one id are one (the best counts); a query never finds its
     own id. No queries or no other rows: no result.
     """
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("vector"))
     rows = rows.where(takes_part(F.col("vector")) & F.col("vec_id").isNotNull())
     size = dimension(rows, "vector")
+    rows = rows.where(F.size("vector") == size)
     longest = rows.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0]
     chosen = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).collect()
     x = np.array([r["vector"] for r in chosen], np.float64).reshape(len(chosen), size)

@@ -167,9 +167,8 @@ def format_conversations(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"), F.col(f"`{parts}`").cast(f"array<{PART}>").alias("parts"),
     )
-    order = chosen.withColumn("content", F.to_json("parts"))
-    ordered = in_order(order, partitions, "turn", "role", "content").drop("content")
-    return ordered.mapInArrow(run, FORMATTED)
+    # Contents are ordered as such, not as they would be spelled in JSON.
+    return in_order(chosen, partitions, "turn", "role", "parts").mapInArrow(run, FORMATTED)
 
 
 def read_turns(formatted: str) -> Iterator[tuple[str, str]]:

@@ -187,8 +187,8 @@ def near_duplicates(
     ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest
     vec_id that links reach, ``kept`` marks the rows that are it. Equal vectors are one with
     a number of copies. Null, empty and zero vectors and those with null or non-finite
-    components link with nothing, nor do rows without an id (whose component is null). Rows
-    of one id are told apart by their vectors only.
+    components link with nothing, nor do vectors of another width than most have, nor rows
+    without an id (whose component is null). Rows of one id are told apart by their vectors only.
 
     A list is one end of one projection, with a fraction of all vectors. A list longer than
     ``block`` is compared by pairs of blocks, so a group of near copies of any size is spread
@@ -197,13 +197,15 @@ def near_duplicates(
     """
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("vector"))
     sound_row = takes_part(F.col("vector")) & F.col("vec_id").isNotNull()
+    width = dimension(rows.where(sound_row), "vector")
+    sound_row &= F.size("vector") == width
     sound = rows.where(sound_row)
     classes = materialize(
         sound.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors"
     )
     directions = calibrated_directions(min_cosine, count, recall, tail, reach)
     projected = classes.select("id", "copies", "vector").mapInArrow(
-        _projector(dimension(classes, "vector"), directions, tail, seed),
+        _projector(width, directions, tail, seed),
         T.StructType([*classes.select("id", "copies", "vector").schema, *T.StructType.fromDDL("lists array<int>, at array<float>")]),
     )
     projected = materialize(projected, "projected")

@@ -67,3 +67,11 @@ def test_long_conversation_keeps_numbering(spark):
 def test_no_rows(spark):
     formatted = chat_format.format_conversations(conversations(spark).limit(0))
     assert formatted.count() == 0 and chat_format.digest_formatted(formatted).count() == 0
+
+
+def test_ties_go_by_the_text_itself(spark):
+    """Not by its JSON, where a quote is two signs."""
+    texts = ['x"', "x#", "x", 'x"y', "x\\"]
+    turns = spark.createDataFrame([(1, 0, "user", [part("text", t)], "") for t in reversed(texts)], PARTS)
+    row = chat_format.format_conversations(turns).first()
+    assert [t for _, t in chat_format.read_turns(row.formatted)] == sorted(texts)

@@ -98,3 +98,13 @@ def test_calibration_holds():
     x, y = a @ lines.T, b @ lines.T
     hit = (np.abs(x) >= 2.8) & (np.abs(y) >= 2.8) & (np.abs(x - y) <= 1.0)
     assert (hit.sum(1) >= embedding_dedup.COUNT).mean() >= 0.985
+
+
+def test_vectors_of_another_width_take_no_part(spark):
+    df, x = table(spark, n=120)
+    odd = spark.createDataFrame([(900 + i, [1.0] * (3 + i), "a", "b") for i in range(20)], SCHEMA)
+    mixed = df.unionByName(odd)
+    alone = ann_forest.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    assert sorted(map(tuple, ann_forest.nearest(mixed, F.col("vec_id") % 20 == 0).collect())) == sorted(map(tuple, alone))
+    rows = {r.vec_id: r for r in embedding_dedup.near_duplicates(mixed).where("vec_id >= 900").collect()}
+    assert len(rows) == 20 and all((r.n_links, r.component_id, r.kept) == (0, i, True) for i, r in rows.items())
