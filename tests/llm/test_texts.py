@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from conftest import SMALL
 from helpers import documents, no_documents, rows_of
 
 from codeloom.llm import fm_index, license_scan, mixing, packing, simhash_dedup, substring_dedup
@@ -264,34 +265,76 @@ def test_bounds_hold_and_certify():
 # --- mixing
 
 
+CELLS = [(f"s{i % 7}", ["en", "de", "other"][i % 3], ["general", "legal"][i % 2], 50 + 13 * i) for i in range(42)]
+CELL = "source string, lang string, topic string, tokens long"
+
+
 def test_raking_meets_targets(spark):
-    cells = [(f"s{i % 7}", ["en", "de", "other"][i % 3], ["general", "legal"][i % 2], 50 + 13 * i) for i in range(42)]
-    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
-    langs, topics = {"en": 0.2, "de": 0.7, "other": 0.1, "fr": 0.5}, {"general": 0.9, "legal": 0.1}
-    raked = mixing.rake(df, langs, topics, sweeps=15).collect()
-    for column, targets in (("lang", {"en": 0.2, "de": 0.7, "other": 0.1}), ("topic", topics)):
+    """Feasible ones exactly, though some cells are full."""
+    df = spark.createDataFrame(CELLS, CELL)
+    total = sum(c[3] for c in CELLS)
+    langs, topics = {"en": 0.2, "de": 0.55, "other": 0.25, "fr": 0.5}, {"general": 0.6, "legal": 0.4}
+    raked = mixing.rake(df, langs, topics, budget=0.5, max_sweeps=60).collect()
+    assert max(r.expected for r in raked) == 1 and min(r.expected for r in raked) > 0
+    raw = {s: sum(c[3] for c in CELLS if c[0] == s) ** mixing.SOURCE_POWER for s in {c[0] for c in CELLS}}
+    sources = {s: x / sum(raw.values()) for s, x in raw.items()}
+    for column, targets in (("lang", {"en": 0.2, "de": 0.55, "other": 0.25}), ("topic", topics), ("source", sources)):
+        for value, target in targets.items():
+            share = sum(r.expected * r.tokens for r in raked if r[column] == value) / total
+            assert share == pytest.approx(0.5 * target, rel=1e-3)
+
+
+def test_raking_fills_what_is_too_small(spark):
+    """A language with less than its target is taken whole; the others share what it lacks by their targets."""
+    cells = [*CELLS, ("s1", "fr", "general", 40), ("tiny", "en", "legal", 5)]
+    df = spark.createDataFrame(cells, CELL)
+    total = sum(c[3] for c in cells)
+    langs, topics = {"en": 0.3, "de": 0.3, "other": 0.3, "fr": 0.1}, {"general": 0.5, "legal": 0.5}
+    for copies in (1, 3):
+        raked = mixing.rake(df, langs, topics, budget=0.6, max_copies=copies, max_sweeps=60).collect()
+        assert max(r.expected for r in raked) <= copies
+        taken = {x: sum(r.expected * r.tokens for r in raked if r.lang == x) for x in langs}
+        assert taken["fr"] == pytest.approx(40 * copies)
+        for x in ("en", "de", "other"):
+            assert taken[x] == pytest.approx((0.6 * total - 40 * copies) / 3, rel=1e-3)
+    # More than there is: everything, as often as allowed.
+    assert {r.expected for r in mixing.rake(df, langs, topics, budget=1.0).collect()} == {1.0}
+
+
+def test_no_share_is_worse_than_in_the_input(spark):
+    """On the given documents, whose topics are too scarce for their targets."""
+    cells = mixing.with_cells(spark.read.parquet(f"{SMALL.replace('0.001', '0.1')}/documents.parquet"), "doc_id", "text", "lang", "source", mixing.LANG_TARGETS)
+    cells = cells.groupBy("source", "lang", "topic").agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "tokens")
+    raked = mixing.rake(cells).collect()
+    total, taken = sum(r.tokens for r in raked), sum(r.expected * r.tokens for r in raked)
+    assert taken == pytest.approx(mixing.BUDGET * total)
+    raw = {}
+    for r in raked:
+        raw[r.source] = raw.get(r.source, 0) + r.tokens
+    raw = {s: x**mixing.SOURCE_POWER for s, x in raw.items()}
+    sources = {s: x / sum(raw.values()) for s, x in raw.items()}
+    for column, targets in (("source", sources), ("lang", mixing.LANG_TARGETS), ("topic", mixing.TOPIC_TARGETS)):
         for value, target in targets.items():
-            share = sum(r.ratio * r.tokens for r in raked if r[column] == value)
-            assert share == pytest.approx(target, rel=1e-4)
-    spread = mixing.probabilities(spark.createDataFrame(raked), 0.9).collect()
-    assert max(r.probability for r in spread) <= 1
-    assert sum(r.probability * r.tokens for r in spread) == pytest.approx(0.9 * sum(r.tokens for r in spread), rel=1e-3)
+            before = sum(r.tokens for r in raked if r[column] == value) / total
+            after = sum(r.expected * r.tokens for r in raked if r[column] == value) / taken
+            # General texts have to stand in for topics that are taken whole.
+            assert abs(after - target) <= abs(before - target) + 1e-6, (column, value)
 
 
 def test_mixing_edge_rows(spark):
     docs = documents(spark)
-    mixed = mixing.mix(docs, sweeps=2, keep=["doc_id", "text", "sampled"])
+    mixed = mixing.mix(docs, keep=["doc_id", "text", "sampled"])
     rows = mixed.collect()
     assert len(rows) == docs.count() and mixed.columns.count("sampled") == 1
     for r in rows:
         assert 0 <= r.probability <= 1 and r.tokens == len(WORD.findall(r.kept.text or ""))
         u = int(hashlib.md5(f"{'' if r.doc_id is None else r.doc_id}:mix".encode()).hexdigest()[:13], 16) / (1 << 52)
         assert r.sampled == (u < r.probability)
-    assert mixing.mix(no_documents(spark), sweeps=1).count() == 0
+    assert mixing.mix(no_documents(spark)).count() == 0
     blank = docs.where("length(trim(text)) = 0 OR text IS NULL").select("doc_id", "text", "lang", "source")
-    assert mixing.mix(blank, sweeps=1).count() == blank.count()
+    assert mixing.mix(blank).count() == blank.count()
 
 
 def test_mixing_plan_is_native(spark):
-    plan = mixing.mix(documents(spark).select("doc_id", "text", "lang", "source"), sweeps=1)._jdf.queryExecution().toString()
+    plan = mixing.mix(documents(spark).select("doc_id", "text", "lang", "source"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
