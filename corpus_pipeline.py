@@ -21,6 +21,9 @@ from codeloom.llm.common import table  # noqa: E402
 from codeloom.llm.joins import match_keys  # noqa: E402
 from codeloom.workspace import materialize  # noqa: E402
 
+#: How often a document may be taken where its source, language or topic is scarce.
+MAX_COPIES = 4
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -65,9 +68,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens have the target shares of sources, languages and topics.
-    Documents of shares with too few tokens are repeated."""
-    mixed = mixing.mix(docs, keep=docs.columns, repeats=True)
+    """A sample whose tokens have the target shares of sources, languages and topics. Documents
+    of shares with too few tokens are repeated, ``MAX_COPIES`` times at most."""
+    mixed = mixing.mix(docs, keep=docs.columns, max_copies=MAX_COPIES)
     return mixed.select("kept", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("kept.*")
 
 
