@@ -16,18 +16,20 @@ ROOT = "0"
 
 
 def prose_nodes(
-    files: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences_over: int = 0
+    files: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences_over: int = 0, measured: bool = False
 ) -> DataFrame:
-    """Document, its lines, and the sentences of each line; empty ones are left out.
+    """Document, its lines, and the sentences of each line; empty ones are left out. If they are
+    ``measured``, with ``non_blank``, the characters of each that are not blank.
 
     Only lines longer than ``sentences_over`` are cut into sentences. Packing enters
     no node within its limit, so with that limit here it gives the same chunks from
     fewer nodes. Lines and sentences are cut and numbered in their row; nothing is shuffled.
     """
-    # The size is taken before the text is cut, so that the lines do not carry the text.
+    # Sizes are taken before the text is cut, so that the lines do not carry the text.
+    shown = non_blank_length(F.col(text_col)) if measured else F.lit(None).cast("bigint")
     lines = files.select(
         id_col,
-        F.length(text_col).cast("bigint").alias("size"),
+        F.struct(F.length(text_col).cast("bigint").alias("chars"), shown.alias("non_blank")).alias("size"),
         F.posexplode(placed_parts(f"split(`{text_col}`, '\\n')")).alias("ln", "l"),
     )
     placed = lines.select(id_col, "size", "ln", F.col("l.part").alias("line"), F.col("l.start").alias("line_start"))
@@ -41,7 +43,7 @@ def prose_nodes(
         (F.col("line_start") + F.col("p.start")).alias("part_start"),
     )
 
-    def node(depth: int, kind: str, node_id, parent_id, order, start, end):
+    def node(depth: int, kind: str, node_id, parent_id, order, start, end, non_blank):
         return F.struct(
             node_id.alias("node_id"),
             parent_id.alias("parent_id"),
@@ -50,15 +52,17 @@ def prose_nodes(
             F.lit(kind).alias("kind"),
             start.alias("start"),
             end.cast("bigint").alias("end"),
+            *([non_blank.alias("non_blank")] if measured else []),
         )
 
     ln, sn = F.col("ln"), F.col("sn")
     line_id = F.concat_ws(".", F.lit(ROOT), ln)
     no_parent = F.lit(None).cast("string")
-    document = node(0, "document", F.lit(ROOT), no_parent, F.lit(0), F.lit(0).cast("bigint"), F.col("size"))
+    document = node(0, "document", F.lit(ROOT), no_parent, F.lit(0), F.lit(0).cast("bigint"), F.col("size.chars"), F.col("size.non_blank"))
     line = node(
-        1, "line", line_id, F.lit(ROOT), ln, F.col("line_start"), F.col("line_start") + F.length("line")
-    )
+        1, "line", line_id, F.lit(ROOT), ln, F.col("line_start"), F.col("line_start") + F.length("line"),
+        non_blank_length(F.col("line")),
+    )
     sentence = node(
         2,
         "sentence",
@@ -67,6 +71,7 @@ def prose_nodes(
         sn,
         F.col("part_start"),
         F.col("part_start") + F.length("part"),
+        non_blank_length(F.col("part")),
     )
     # The first part of a line carries the line, the first line the document.
     per_part = F.array(
@@ -79,7 +84,7 @@ def prose_nodes(
 
 def large_nodes(
     nodes: DataFrame,
-    files: DataFrame,
+    files: DataFrame | None = None,
     min_chars: int = 100,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -87,9 +92,13 @@ def large_nodes(
     """Nodes with at least ``min_chars`` non-blank characters, labelled ``kind:start-end``.
 
     A child is never longer than its parent, so leaving out the children of a
-    small node equals a plain filter. Nodes shorter than the limit go first, and
-    nodes are measured next to their text, one row per file.
+    small node equals a plain filter. Nodes that are ``measured`` are just filtered. Of others
+    those shorter than the limit go first, and the rest are measured next to their text in
+    ``files``, one row per file; that alone takes a shuffle of texts.
     """
+    if "non_blank" in nodes.columns:
+        label = F.format_string("%s:%d-%d", "kind", "start", "end").alias("label")
+        return nodes.where(F.col("non_blank") >= min_chars).select(id_col, "node_id", "depth", label, "non_blank")
     long_enough = nodes.where(F.col("end") - F.col("start") >= min_chars)
     per_file = long_enough.groupBy(id_col).agg(
         F.collect_list(F.struct("node_id", "depth", "kind", "start", "end")).alias("found")

@@ -30,8 +30,7 @@ def line_table(spark: SparkSession, sf: str) -> DataFrame:
     FROM sized WHERE non_blank >= 100""",
 )
 def large_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    docs = views.documents(spark, sf)
-    return nodes.large_nodes(nodes.prose_nodes(docs), docs)
+    return nodes.large_nodes(nodes.prose_nodes(views.documents(spark, sf), measured=True))
 
 
 @query("greedy_pack", f"WITH RECURSIVE {S.packed(SMALL)} SELECT {SPAN} FROM spans")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from codeloom.operators import lines, packing
+from codeloom.operators import lines, nodes, packing
 from codeloom.operators.nodes import prose_nodes
 
 NODES = "doc_id long, node_id string, parent_id string, depth int, ord int, kind string, start long, end long"
@@ -228,3 +228,14 @@ def test_offset_to_line(spark):
     offsets = spark.createDataFrame(asked, "doc_id long, offset long")
     found = {(r["doc_id"], r["offset"]): r["line"] for r in lines.offset_to_line(offsets, files).collect()}
     assert found == {(d, o): line_at(texts[d], o) for d, o in asked}
+
+
+def test_large_nodes_measured_in_their_row(spark):
+    """As those measured beside their texts, without a shuffle."""
+    texts = ["One. Two is longer than that! " * 9 + "\n\n  x  \n" + "word " * 40, "", "short", "é" * 150 + "\n" + " " * 300]
+    files = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = nodes.large_nodes(nodes.prose_nodes(files, measured=True))
+    beside = nodes.large_nodes(nodes.prose_nodes(files), files)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, beside.select(found.columns).collect()))
+    assert found.count() > 5
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
