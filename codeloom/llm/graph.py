@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.joins import match_keys
 from codeloom.workspace import materialize
 
 
@@ -15,15 +16,16 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = _both_ways(edges)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+    larger = match_keys(both.where("b > a"), least.where("n > 0"), ["a"], "n")
+    return larger.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them. Edges go from larger to smaller."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
     return (
-        edges.join(least, "a")
+        match_keys(edges, least, ["a"], "n")
         .select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         .select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
         .where("a > b")
@@ -34,9 +36,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b), where root is the smallest node reachable.
 
-    Nodes are longs. Each round reads and writes edges by joins and grouped minima, so the
-    centre of a large star is split like any skewed join key; no component meets in one
-    task. Ends when a round changes nothing, after about log2 of the longest path rounds.
+    Nodes are longs. Each round reads and writes edges by joins and grouped minima. The centre
+    of a large star is matched by a bounded broadcast (``match_keys``), so its edges stay
+    where they are; no component meets in one task. Ends when a round changes nothing, after about log2 of the longest path rounds.
     Null ends, loops and repeated edges are ignored.
     """
     edges = (
@@ -51,7 +53,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = mark(edges)
     while before[0]:
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        edges = materialize(_small_star(materialize(_large_star(edges), "stars")), "edges")
         after = mark(edges)
         if after == before:
             break
