@@ -158,11 +158,11 @@ def head_of(head: str, language: str) -> tuple[str, str, int] | None:
     if language in ("c", "cpp") and (found := _RECORD.search(head)):
         return found[1].split()[0], found[2], found.start(2)
     if language in ("javascript", "typescript"):
-        if found := _ARROW.search(head):
-            return "function", found[1], found.start(1)
-        # A method of a literal stands behind the other entries.
+        # A function or method of a literal stands behind the other entries.
         start = _last_comma(head)
         head = " " * start + head[start:]
+        if found := _ARROW.search(head):
+            return "function", found[1], found.start(1)
     if found := _FUNCTION.search(head):
         return "function", found[2], found.start(2)
     opened = head.find("(")
