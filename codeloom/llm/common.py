@@ -12,25 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-Compute = Callable[[list], dict]
+from codeloom.workspace import small_batches
 
-#: Bytes of an Arrow batch, unless the session has a limit of its own.
-BATCH_BYTES = 8 << 20
-_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
-_SPARKS_DEFAULT = ("67108864b", "64MB")
+Compute = Callable[[list], dict]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let a session that has not chosen a limit send Arrow batches of ``BATCH_BYTES``: each
-    task holds a few of them, in Spark and in Python."""
-    if spark.conf.get(_BATCH_CONF, _SPARKS_DEFAULT[0]) in _SPARKS_DEFAULT:
-        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
-
-
 def release_memory() -> None:
     """Give back what Arrow and the C library keep for reuse. Workers outlive their tasks, and
     what one stage leaves with them adds to what the next one needs."""

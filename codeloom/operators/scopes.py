@@ -22,6 +22,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeloom.functions import lexing
 from codeloom.functions.folds import emitting_fold
-from codeloom.workspace import materialize
+from codeloom.workspace import materialize, small_batches
 
 # What opens a scope by indentation: keyword and name, after optional modifiers.
 HEADER_PATTERN = (
@@ -230,16 +231,28 @@ def _blocks(files: DataFrame, id_col: str, text_col: str, language_col: str | No
     )
 
 
+def _worked(batch: pa.RecordBatch, keep: list[str], work, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, worked and given on as soon as they have ``BLOCK`` lines."""
+    kept = batch.select(keep)
+    first, made, n_lines = 0, [], 0
+    for i, size in enumerate(pc.list_value_length(batch.column("lines")).to_pylist()):
+        made.append(work(batch.slice(i, 1).to_pylist()[0]))
+        n_lines += size
+        if n_lines >= BLOCK or i + 1 == batch.num_rows:
+            columns = kept.slice(first, i + 1 - first).columns
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(made, arrow.field("made").type)], schema=arrow)
+            first, made, n_lines = i + 1, [], 0
+
+
 def _map_blocks(blocks: DataFrame, keep: list[str], out: str, work) -> DataFrame:
     """``keep`` columns of blocks and the struct that ``work`` makes of each row."""
+    small_batches(blocks.sparkSession)
     schema = T.StructType([*blocks.select(*keep).schema.fields, T.StructField("made", T.StructType.fromDDL(out))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            made = [work(row) for row in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(made, arrow.field("made").type)], schema=arrow)
+            yield from _worked(batch, keep, work, arrow)
 
     return blocks.mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@
 import ast
 import textwrap
 
+import pyarrow as pa
 import pytest
 
 from codeloom.operators import scopes
@@ -136,3 +137,20 @@ def test_links(spark, files):
         "path string, chunk_id string, relation string, target string",
     )
     assert scopes.clean_links(wrong, chunks).count() == 0
+
+
+def test_tasks_hold_the_lines_of_a_block_at_most():
+    n, size = 40, 500
+    batch = pa.RecordBatch.from_pydict({"path": [f"f{i}" for i in range(n)], "lines": [["x"] * size] * n})
+    arrow = pa.schema([("path", pa.string()), ("made", pa.struct([("n", pa.int64())]))])
+    worked = []
+
+    def work(row):
+        worked.append(row["path"])
+        return {"n": len(row["lines"])}
+
+    parts = scopes._worked(batch, ["path"], work, arrow)
+    first = next(parts)
+    assert len(worked) * size == scopes.BLOCK and first.num_rows == len(worked)
+    rows = [r for part in [first, *parts] for r in part.to_pylist()]
+    assert rows == [{"path": f"f{i}", "made": {"n": size}} for i in range(n)]
