@@ -166,8 +166,12 @@ def reject_reason(widths: dict[str, int] = FIELD_WIDTHS, dim: int = VECTOR_DIM)
 def validate(
     records: DataFrame, widths: dict[str, int] = FIELD_WIDTHS, dim: int = VECTOR_DIM
 ) -> tuple[DataFrame, DataFrame]:
-    """Records a collection takes, and rejected ones with a ``reason``."""
-    checked = records.withColumn("reason", reject_reason(widths, dim))
+    """Records a collection takes, and rejected ones with a ``reason``.
+
+    Records are worked out and checked once and written, so that what is costly in them, as
+    summaries and vectors, is neither computed again for the filter nor for the other part.
+    """
+    checked = materialize(records.withColumn("reason", reject_reason(widths, dim)), "checked")
     return (
         checked.where(F.col("reason").isNull()).drop("reason"),
         checked.where(F.col("reason").isNotNull()),

@@ -5,10 +5,11 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from codeloom.functions import vectors
-from codeloom.operators import firsts, packing
+from codeloom.operators import enrich, firsts, packing
 from codeloom.operators.lines import line_table
 from codeloom.operators.nodes import prose_nodes
 from codeloom.operators.search import top_k
+from codeloom.sources import collection
 
 
 @pytest.fixture
@@ -64,3 +65,18 @@ def test_search_embeds_each_text_once(spark):
     queries = spark.createDataFrame([(1, [1.0] * 32)], "q_id long, qv array<float>")
     plan = final_plan(top_k(made, queries, id_col="doc_id"))
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_summaries_cut_each_text_once(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    plan = final_plan(docs.select("doc_id", enrich.telling_sentences(F.col("text")).alias("summary")))
+    assert plan.count("regexp_replace(") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_records_are_worked_out_once_to_be_checked(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns = {c: F.lit("x") for c in collection.FIELD_WIDTHS}
+    columns |= {"summary": enrich.telling_sentences(F.col("text")), "embedding": vectors.embed_text(F.col("text"), 32)}
+    good, rejected = collection.validate(docs.select(*[e.alias(c) for c, e in columns.items()]), dim=32)
+    assert "ArrowEvalPython" not in final_plan(good) + final_plan(rejected)
+    assert good.count() + rejected.count() == docs.count()
