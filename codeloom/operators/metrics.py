@@ -17,6 +17,8 @@ MAX_SHIFT_SIZE = 10
 MAX_SHIFT_DISTANCE = 50
 # Cells of distance tables worked on together.
 CELLS = 1 << 21
+# Cells of the tables of pairs worked on together; an operation on few costs as much as on many.
+GROUP_CELLS = 1 << 24
 
 
 def bleu_tokens(text: Column) -> Column:
@@ -376,6 +378,206 @@ def translation_edits(
     return shifts + distance(hyp)
 
 
+# --- block moves of many pairs at once: one numpy operation for all pairs, or for all their moves
+
+
+def _word_steps(grows: np.ndarray, falls: np.ndarray, match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_Distances.step`` for many columns, a row of machine words each."""
+    both = match & grows
+    total = both + grows
+    carry = total < both
+    for w in range(1, total.shape[1]):
+        over = carry[:, w - 1]
+        total[:, w] += over
+        carry[:, w] |= over & (total[:, w] == 0)
+    keeps = (total ^ grows) | match | falls
+    up, down = falls | ~(keeps | grows), grows & keeps
+    top = np.uint64(63)
+    shifted = up << np.uint64(1), down << np.uint64(1)
+    for side, out in zip((up, down), shifted):
+        out[:, 1:] |= side[:, :-1] >> top
+    shifted[0][:, 0] |= np.uint64(1)
+    return shifted[1] | ~(keeps | shifted[0]), shifted[0] & keeps
+
+
+def _match_words(same: np.ndarray) -> np.ndarray:
+    """The last axis as bits of machine words."""
+    packed = np.packbits(same, axis=-1, bitorder="little")
+    words = np.zeros((*same.shape[:-1], same.shape[-1] // 64 + 1), np.uint64)
+    words.view(np.uint8)[..., : packed.shape[-1]] = packed
+    return words
+
+
+def _columns_of(match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of pairs (pair, words before, machine words), where they grow and fall."""
+    n, size, width = match.shape
+    grows, falls = np.empty((2, size + 1, n, width), np.uint64)
+    grows[0], falls[0] = ~np.uint64(0), 0
+    for i in range(size):
+        grows[i + 1], falls[i + 1] = _word_steps(grows[i], falls[i], match[:, i])
+    return grows.swapaxes(0, 1), falls.swapaxes(0, 1)
+
+
+def _distance_rows(grows: np.ndarray, falls: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Distances to the first 0 to ``size`` reference words, from columns; ``first`` is the one to none."""
+    out = np.empty((*grows.shape[:-1], size + 1), np.int16)
+    out[..., 0] = first
+    bits = [np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=-1, count=size, bitorder="little").view(np.int8) for x in (grows, falls)]
+    out[..., 1:] = bits[0] - bits[1]
+    return np.cumsum(out, axis=-1, dtype=np.int16, out=out)
+
+
+def _aligned_pairs(table: np.ndarray, same: np.ndarray, n_hyp: np.ndarray, n_ref: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_aligned`` for many pairs, which all walk back together."""
+    n, width, height = same.shape
+    # One place more takes what pairs that have nothing to write there write.
+    hyp_error, ref_error, at = np.zeros((n, width + 1), bool), np.zeros((n, height + 1), bool), np.full((n, height + 1), -1)
+    p, i, j = np.arange(n), n_hyp.copy(), n_ref.copy()
+    here = table[p, i, j]
+    while (i + j).any():
+        up, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        wrong = ~same[p, up, left]
+        across, above = table[p, up, left], table[p, up, j]
+        diagonal = (i > 0) & (j > 0) & (here == across + wrong)
+        remove = ~diagonal & (i > 0) & (here == above + 1)
+        insert = ~diagonal & ~remove & (j > 0)
+        hyp_error[p, np.where(diagonal | remove, up, width)] = remove | wrong
+        ref_at = np.where(diagonal | insert, left, height)
+        ref_error[p, ref_at] = insert | wrong
+        at[p, ref_at] = i - 1
+        here = np.where(diagonal, across, np.where(remove, above, here - insert))
+        i, j = i - (diagonal | remove), j - (diagonal | insert)
+    return hyp_error[:, :width], ref_error[:, :height], at[:, :height]
+
+
+def _moves_of_pairs(same: np.ndarray, errors: tuple, max_size: int, max_distance: int) -> np.ndarray:
+    """``_possible_moves`` for many pairs: rows (pair, size, start, to), each once, the longest blocks of a
+    pair first, then in order of start and place."""
+    n, width, height = same.shape
+    hyp_errors, ref_errors = (np.pad(np.cumsum(e, axis=1), ((0, 0), (1, 0))) for e in errors[:2])
+    at = errors[2]
+    near = np.abs(np.arange(width)[:, None] - np.arange(height)[None, :]) <= max_distance
+    p, start, j = np.unravel_index(np.flatnonzero(same & near), same.shape)
+    found = [np.empty((0, 4), np.int64)]
+    for size in range(1, max_size + 1):
+        goes_on = (start + size <= width) & (j + size <= height)
+        p, start, j = p[goes_on], start[goes_on], j[goes_on]
+        equal = same[p, start + size - 1, j + size - 1]
+        p, start, j = p[equal], start[equal], j[equal]
+        if not len(p):
+            break
+        wrong = (hyp_errors[p, start + size] > hyp_errors[p, start]) & (ref_errors[p, j + size] > ref_errors[p, j])
+        here = (start <= at[p, j]) & (at[p, j] < start + size)
+        q, s, k = (x[wrong & ~here] for x in (p, start, j))
+        for i in range(-1, size):
+            to = np.where(k + i >= 0, at[q, np.maximum(k + i, 0)] + 1, 0)
+            moves = (to < s) | (to > s + size)
+            found.append(np.stack([q[moves], np.full(moves.sum(), size), s[moves], to[moves]], axis=1))
+    every = np.concatenate(found)
+    keys = ((every[:, 0] * (max_size + 1) + max_size - every[:, 1]) * (width + 1) + every[:, 2]) * (width + 1) + every[:, 3]
+    return every[np.unique(keys, return_index=True)[1]]
+
+
+def _edits_after_moves(moves: np.ndarray, match: np.ndarray, before: tuple, behind: tuple, n_hyp: np.ndarray, n_ref: np.ndarray) -> np.ndarray:
+    """``_edits_after`` for moves (pair, size, start, to) of many pairs."""
+    p, size, start, to = moves.T
+    low, high = np.minimum(start, to), np.maximum(start + size, to)
+    length = high - low
+    # What stands first in the new order of the stretch, how much of it, and what follows.
+    back = to < start
+    head, n_head, tail = np.where(back, start, start + size), np.where(back, size, to - start - size), np.where(back, to, start)
+    grows, falls = before[0][p, low], before[1][p, low]
+    for t in range(int(length.max(initial=0))):
+        n = int(np.searchsorted(-length, -t, "left"))
+        at = np.where(t < n_head[:n], head[:n] + t, tail[:n] + t - n_head[:n])
+        grows[:n], falls[:n] = _word_steps(grows[:n], falls[:n], match[p[:n], at])
+    most = int(n_ref.max())
+    left = n_hyp[p] - high
+    total = _distance_rows(grows, falls, high, most)
+    rest = _distance_rows(behind[0][p, left], behind[1][p, left], left, most)
+    j = n_ref[p][:, None] - np.arange(most + 1)
+    total += np.take_along_axis(rest, np.maximum(j, 0), axis=1)
+    return np.where(j >= 0, total, np.iinfo(np.int16).max).min(axis=1)
+
+
+def _edits_of_group(hyps: list[list], refs: list[list], max_size: int, max_distance: int) -> list[int]:
+    """``translation_edits`` of pairs that are moved on together, a block a pair and round."""
+    ids: dict = {}
+    n_hyp, n_ref = (np.array([len(x) for x in side]) for side in (hyps, refs))
+    # What stands behind the last word of either side is equal to nothing.
+    hyp, ref = (np.full((len(hyps), n.max()), sign, np.int32) for n, sign in ((n_hyp, -1), (n_ref, -2)))
+    back_ref = ref.copy()
+    for i, (h, r) in enumerate(zip(hyps, refs, strict=True)):
+        hyp[i, : len(h)] = [ids.setdefault(w, len(ids)) for w in h]
+        ref[i, : len(r)] = [ids.setdefault(w, len(ids)) for w in r]
+        back_ref[i, : len(r)] = ref[i, : len(r)][::-1]
+    edits, shifts = np.zeros(len(hyps), np.int64), np.zeros(len(hyps), np.int64)
+    going = np.arange(len(hyps))
+    places = np.arange(hyp.shape[1])
+    while len(going):
+        of_hyp, of_ref, words = n_hyp[going], n_ref[going], hyp[going]
+        n = np.arange(len(going))
+        same = words[:, :, None] == ref[going][:, None, :]
+        turned = np.where(places < of_hyp[:, None], words[n[:, None], np.maximum(of_hyp[:, None] - 1 - places, 0)], np.int32(-1))
+        match = _match_words(same)
+        match_back = _match_words(turned[:, :, None] == back_ref[going][:, None, :])
+        both = _columns_of(np.concatenate([match, match_back]))
+        before, behind = [c[: len(going)] for c in both], [c[len(going) :] for c in both]
+        table = _distance_rows(*before, np.arange(hyp.shape[1] + 1), ref.shape[1])
+        edits[going] = now = table[n, of_hyp, of_ref]
+        moves = _moves_of_pairs(same, _aligned_pairs(table, same, of_hyp, of_ref), max_size, max_distance)
+        gains = np.empty(len(moves), np.int64)
+        length = np.maximum(moves[:, 2] + moves[:, 1], moves[:, 3]) - np.minimum(moves[:, 2], moves[:, 3])
+        longest_first = np.argsort(-length, kind="stable")
+        at_once = max(1, CELLS // (ref.shape[1] + 1))
+        for at in range(0, len(moves), at_once):
+            some = longest_first[at : at + at_once]
+            gains[some] = now[moves[some, 0]] - _edits_after_moves(moves[some], match, before, behind, of_hyp, of_ref)
+        # Of each pair the largest gain; of equal ones the first, as moves are in order.
+        best = np.lexsort((-gains, moves[:, 0]))
+        best = best[np.unique(moves[best, 0], return_index=True)[1]]
+        best = best[gains[best] > 0]
+        for q, size, start, to in moves[best].tolist():
+            i = going[q]
+            hyp[i, : n_hyp[i]] = _moved(hyp[i, : n_hyp[i]].tolist(), size, start, to)
+        going = going[moves[best, 0]]
+        shifts[going] += 1
+    return (edits + shifts).tolist()
+
+
+def translation_edits_of_pairs(
+    hyps: list[list], refs: list[list], max_size: int = MAX_SHIFT_SIZE, max_distance: int = MAX_SHIFT_DISTANCE
+) -> list[int]:
+    """``translation_edits`` of many pairs. Pairs of similar length go together, as many as have
+    ``GROUP_CELLS`` cells in their tables; a pair with far more than most is worked out alone."""
+    out = [0] * len(hyps)
+    group: list[int] = []
+    size = (0, 0)
+
+    def close() -> None:
+        found = _edits_of_group([hyps[i] for i in group], [refs[i] for i in group], max_size, max_distance)
+        for i, edits in zip(group, found, strict=True):
+            out[i] = edits
+        group.clear()
+
+    for i in sorted(range(len(hyps)), key=lambda i: (len(refs[i]), len(hyps[i]))):
+        n_hyp, n_ref = len(hyps[i]), len(refs[i])
+        if not n_hyp or not n_ref:
+            out[i] = n_hyp + n_ref
+        elif (n_hyp + 1) * (n_ref + 1) > GROUP_CELLS // 32:
+            out[i] = translation_edits(hyps[i], refs[i], max_size, max_distance)
+        else:
+            larger = max(size[0], n_hyp), max(size[1], n_ref)
+            if group and (len(group) + 1) * (larger[0] + 1) * (larger[1] + 1) > GROUP_CELLS:
+                close()
+                larger = n_hyp, n_ref
+            group.append(i)
+            size = larger
+    if group:
+        close()
+    return out
+
+
 def rate(edits: float, ref_len: int) -> float:
     """Edits per reference word, times 100. An empty reference gives 100 if there
     are edits and else 0.
@@ -393,8 +595,9 @@ def ter(
 
     @F.pandas_udf(T.DoubleType())
     def shifted_edit_rates(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-        rates = [rate(translation_edits(list(h), list(r), max_size, max_distance), len(r)) for h, r in zip(hyp, ref)]
-        return pd.Series(rates, dtype="float64")
+        hyps, refs = ([list(words) for words in side] for side in (hyp, ref))
+        edits = translation_edits_of_pairs(hyps, refs, max_size, max_distance)
+        return pd.Series([rate(e, len(r)) for e, r in zip(edits, refs, strict=True)], dtype="float64")
 
     return shifted_edit_rates(ter_words(prediction), ter_words(reference))
 

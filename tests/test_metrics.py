@@ -62,6 +62,22 @@ def test_long_distance():
     assert metrics._lcs_length(a, b) == lcs(a, b)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(WORDS, WORDS), max_size=12))
+def test_pairs_moved_together_cost_what_each_costs_alone(pairs):
+    together = metrics.translation_edits_of_pairs([a for a, _ in pairs], [b for _, b in pairs])
+    assert together == [metrics.translation_edits(a, b) for a, b in pairs]
+
+
+def test_long_pairs_moved_together(monkeypatch):
+    rng = random.Random(5)
+    pairs = [tuple([rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(1, 150))] for _ in range(2)) for _ in range(12)]
+    alone = [metrics.translation_edits(a, b) for a, b in pairs]
+    for cells in (1 << 24, 1 << 19, 1 << 17):  # one group, several, and long pairs on their own
+        monkeypatch.setattr(metrics, "GROUP_CELLS", cells)
+        assert metrics.translation_edits_of_pairs([a for a, _ in pairs], [b for _, b in pairs]) == alone
+
+
 def test_translation_edits_examples():
     # One block moved, counted once, as in the published description of the measure.
     hyp = "this week the saudis denied information published in the new york times".split()
