@@ -105,6 +105,14 @@ def test_batch_map_keeps_good_rows(spark):
     assert [(r["i"], r["value"], r["error"]) for r in failed.collect()] == [(3, None, "RuntimeError: no")]
 
 
+def test_batch_map_takes_long_texts_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    done = enrich.batch_map(df, lambda f: pd.Series([len(f)] * len(f)), ["text"], "rows", "long")
+    sizes = [r["rows"] for r in done.select("rows").collect()]
+    assert len(sizes) == 40 and max(sizes) <= 10
+
+
 def test_batch_map_wants_one_value_per_row(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "i int, text string").coalesce(1)
     done = enrich.batch_map(df, lambda f: pd.Series([7]), ["text"], "value", "long")
