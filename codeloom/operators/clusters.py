@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from codeloom.operators.search import METRICS, TIE_DECIMALS, TOP_K, rank_hits, top_k
+from codeloom.operators.search import METRICS, QUERY_BLOCK, TIE_DECIMALS, TOP_K, rank_hits, top_k
 from codeloom.workspace import fresh_dir, materialize
 
 NLIST = 128
@@ -237,11 +237,13 @@ def _probed(queries: DataFrame, held: Centroids, choose) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(1)))
-            if not batch.num_rows or not len(held.cids):
-                continue
-            q, at = np.nonzero(choose(_matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False) if len(columns) > 2 else None))
-            picked = batch.take(pa.array(q))
-            yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), pa.array(held.cids[at], pa.int32())], schema=arrow)
+            # A query is taken once for each cluster, so that a batch would be many times its size.
+            for first in range(0, batch.num_rows if len(held.cids) else 0, QUERY_BLOCK):
+                some = batch.slice(first, QUERY_BLOCK)
+                kths = some.column(2).to_numpy(zero_copy_only=False) if len(columns) > 2 else None
+                q, at = np.nonzero(choose(_matrix(some.column(1)), kths))
+                picked = some.take(pa.array(q))
+                yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), pa.array(held.cids[at], pa.int32())], schema=arrow)
 
     return queries.select(*columns).mapInArrow(run, T.StructType(fields))
 

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.workspace import small_batches
+
 COLLECTION_BLOCK = 4096
 QUERY_BLOCK = 256
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -188,6 +190,7 @@ def top_k(
     if k <= 0:
         raise ValueError("k must be positive")
     spark = collection.sparkSession
+    small_batches(spark)
     cell = F.col(match_on) if match_on else F.lit(0)
     c_side = collection.select(
         cell.alias("cell"), F.col(id_col).alias("id"), F.col(vector_col).alias("vector")

@@ -234,3 +234,15 @@ def test_choice(spark):
     replies = spark.createDataFrame([("Smart.",), ("'naive'",), ("smart or naive",), ("",)], "r string")
     found = [r[0] for r in replies.select(context.clean_choice(F.col("r"))).collect()]
     assert found == ["smart", "naive", None, None]
+
+
+def test_probes_are_made_of_some_queries_at_a_time(spark):
+    queries = spark.range(1000, numPartitions=1).select(F.col("id").alias("q_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("qv"))
+    held = clusters.Centroids(np.arange(3), np.ones((3, 2)), "cosine")
+
+    def every(vectors, _):
+        assert len(vectors) <= 256
+        return np.ones((len(vectors), 3), bool)
+
+    found = clusters._probed(queries, held, every)
+    assert found.count() == found.distinct().count() == 3000
