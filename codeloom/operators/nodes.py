@@ -25,13 +25,13 @@ def prose_nodes(
     no node within its limit, so with that limit here it gives the same chunks from
     fewer nodes. Lines and sentences are cut and numbered in their row; nothing is shuffled.
     """
-    # Sizes are taken before the text is cut, so that the lines do not carry the text.
+    # Sizes are taken before the text is cut, in a projection of their own: what stands beside a
+    # generator is worked out for each of its rows, and the lines would carry the text.
     shown = non_blank_length(F.col(text_col)) if measured else F.lit(None).cast("bigint")
-    lines = files.select(
-        id_col,
-        F.struct(F.length(text_col).cast("bigint").alias("chars"), shown.alias("non_blank")).alias("size"),
-        F.posexplode(placed_parts(f"split(`{text_col}`, '\\n')")).alias("ln", "l"),
+    sized = files.select(
+        id_col, F.col(text_col).alias("_text"), F.struct(F.length(text_col).cast("bigint").alias("chars"), shown.alias("non_blank")).alias("size")
     )
+    lines = sized.select(id_col, "size", F.posexplode(placed_parts("split(_text, '\\n')")).alias("ln", "l"))
     placed = lines.select(id_col, "size", "ln", F.col("l.part").alias("line"), F.col("l.start").alias("line_start"))
     cut = F.length("line") > sentences_over
     sentences_sql = r"split(regexp_replace(line, '([.!?]) ', '$1\n'), '\n')"

@@ -225,10 +225,12 @@ def _blocks(files: DataFrame, id_col: str, text_col: str, language_col: str | No
     cut = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("lines"), F.lit(1)), F.lit(size)), lambda i: F.slice("lines", i, F.lit(size))
     )
+    # Counted before the lines are dealt: what stands beside a generator is worked out for each of its rows.
     n_lines = F.size("lines").cast("bigint")
-    return lines.where("lines IS NOT NULL").select(
-        id_col, "language", n_lines.alias("n_lines"), F.ceil(n_lines / size).alias("n_blocks"), F.posexplode(cut).alias("block", "lines")
+    counted = lines.where("lines IS NOT NULL").select(
+        id_col, "language", n_lines.alias("n_lines"), F.ceil(n_lines / size).alias("n_blocks"), "lines"
     )
+    return counted.select(id_col, "language", "n_lines", "n_blocks", F.posexplode(cut).alias("block", "lines"))
 
 
 def _worked(batch: pa.RecordBatch, keep: list[str], work, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:

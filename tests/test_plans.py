@@ -1,11 +1,13 @@
 """Plans that must hold at scale: what is shuffled, read and pushed down."""
 
+import re
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from codeloom.functions import vectors
-from codeloom.operators import enrich, firsts, packing
+from codeloom.operators import enrich, firsts, packing, scopes
 from codeloom.operators.lines import line_table
 from codeloom.operators.nodes import prose_nodes
 from codeloom.operators.search import top_k
@@ -80,3 +82,11 @@ def test_records_are_worked_out_once_to_be_checked(spark):
     good, rejected = collection.validate(docs.select(*[e.alias(c) for c, e in columns.items()]), dim=32)
     assert "ArrowEvalPython" not in final_plan(good) + final_plan(rejected)
     assert good.count() + rejected.count() == docs.count()
+
+
+def test_lines_do_not_carry_their_text(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for made in (prose_nodes(docs, measured=True), scopes._blocks(docs, "doc_id", "text", None, 5)):
+        # What each generator passes on of its row.
+        kept = re.findall(r"\[([^\[\]]*)\], false, \[", final_plan(made))
+        assert kept and not any(re.search(r"\b(_?text|lines)#", x) for x in kept)
