@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.functions.binding import bind
 from codeloom.functions.repos import base_name, content_id
 from codeloom.functions.text import sentences, words
 from codeloom.workspace import small_batches
@@ -73,22 +72,21 @@ def split_errors(enriched: DataFrame, error_col: str = "error") -> tuple[DataFra
     )
 
 
-@F.arrow_udf(T.StringType())
-def _telling(found: pa.Array, limit: pa.Array) -> pa.Array:
-    """The sentences to keep, those whose words are most frequent in the text, joined in its order."""
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _telling(words: pa.Array, lengths: pa.Array, limit: pa.Array) -> pa.Array:
+    """Which sentences to keep, best first: those whose words are most frequent in the text."""
     out = []
-    for i, most in enumerate(limit.to_pylist()):
-        parts, words_, sizes = (found.field(f)[i].as_py() for f in ("parts", "words", "sizes"))
-        counts = Counter(w for s in words_ for w in s)
-        score = [sum(map(counts.__getitem__, s)) / len(s) if s else 0.0 for s in words_]
+    for sentences_, sizes, most in zip(words.to_pylist(), lengths.to_pylist(), limit.to_pylist(), strict=True):
+        counts = Counter(w for s in sentences_ or () for w in s)
+        score = [sum(map(counts.__getitem__, s)) / len(s) if s else 0.0 for s in sentences_ or ()]
         kept, total = [], 0
-        for j in sorted(range(len(score)), key=lambda j: (-score[j], j)):
-            total += sizes[j]
+        for i in sorted(range(len(score)), key=lambda i: (-score[i], i)):
+            total += sizes[i]
             if total > most and kept:
                 break
-            kept.append(j)
-        out.append(" ".join([parts[j] for j in sorted(kept)]))
-    return pa.array(out, pa.string())
+            kept.append(i)
+        out.append(kept)
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def telling_sentences(text: Column, max_words: int = SUMMARY_WORDS) -> Column:
@@ -97,28 +95,26 @@ def telling_sentences(text: Column, max_words: int = SUMMARY_WORDS) -> Column:
 
     A sentence tells as much as its words are frequent in the text, on average; of equal
     ones the first goes first. Sentences are taken best first until the next one is too
-    long; if the best alone is, its first ``max_words`` words are the summary. The text is
-    cut once: its sentences go to the function with their words, and come back joined.
+    long; if the best alone is, its first ``max_words`` words are the summary.
     """
     parts = F.filter(F.transform(sentences(F.coalesce(text, F.lit(""))), lambda s: F.trim(s)), lambda s: s != "")
-    found = bind(
-        parts,
-        lambda p: F.struct(
-            p.alias("parts"),
-            F.transform(p, lambda s: words(s)).alias("words"),
-            F.transform(p, lambda s: F.size(F.split(s, r"\s+"))).alias("sizes"),
-        ),
-    )
+
+    def joined(found: Column) -> Column:
+        kept = _telling(
+            F.transform(found, lambda s: words(s)),
+            F.transform(found, lambda s: F.size(F.split(s, r"\s+"))),
+            F.lit(max_words),
+        )
+        return F.array_join(F.transform(F.array_sort(kept), lambda i: F.get(found, i)), " ")
+
     # Only a sentence that is kept alone can be too long.
-    return bind(_telling(found, F.lit(max_words)), lambda t: cut_words(t, max_words))
+    return cut_words(joined(parts), max_words)
 
 
 def cut_words(text: Column, max_words: int) -> Column:
     """The text, or its first words if it has more."""
-    return bind(
-        F.split(text, r"\s+"),
-        lambda p: F.when(F.size(p) <= max_words, text).otherwise(F.array_join(F.slice(p, 1, max_words), " ")),
-    )
+    pieces = F.split(text, r"\s+")
+    return F.when(F.size(pieces) <= max_words, text).otherwise(F.array_join(F.slice(pieces, 1, max_words), " "))
 
 
 def summarize(
