@@ -10,18 +10,19 @@ from codeloom.functions.prompts import preference_prompt
 from codeloom.functions.repos import repo_name
 from codeloom.operators import metrics
 from codeloom.sources.files import QUESTIONS_PER_PROJECT
+from codeloom.workspace import small_batches
 
 MODES = ("smart", "naive")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows over as many tasks as the session has, for work that costs time per row
-    rather than bytes, which would otherwise be coalesced to a few tasks.
+    rather than bytes, which would otherwise be coalesced to a few tasks. Four tasks a core
+    are enough: work on the rows of a batch together costs the less a row the more they are.
     """
     spark = df.sparkSession
-    n = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
+    cores = spark.sparkContext.defaultParallelism
+    n = max(cores, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores))
     return df.repartition(n, *keys)
 
 
@@ -49,6 +50,7 @@ def score_responses(
     responses: DataFrame, prediction_col: str = "response", reference_col: str = "reference"
 ) -> DataFrame:
     """Adds bleu_counts, bleu, rouge_l, word_edit_rate and ter; null where a text is missing."""
+    small_batches(responses.sparkSession)
     p, r = F.col(prediction_col), F.col(reference_col)
     both = p.isNotNull() & r.isNotNull()
     p, r = F.coalesce(p, F.lit("")), F.coalesce(r, F.lit(""))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ MAX_SHIFT_DISTANCE = 50
 # Cells of distance tables worked on together.
 CELLS = 1 << 21
 # Cells of the tables of pairs worked on together; an operation on few costs as much as on many.
-GROUP_CELLS = 1 << 24
+GROUP_CELLS = 1 << 25
 
 
 def bleu_tokens(text: Column) -> Column:
@@ -39,13 +40,6 @@ def bleu_tokens(text: Column) -> Column:
     return F.filter(F.split(out, r"\s+"), lambda t: t != "")
 
 
-def ngrams(tokens: Column, order: int) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(tokens) - (order - 1), F.lit(1))),
-        lambda i: F.array_join(F.slice(tokens, i, order), " "),
-    )
-
-
 def clipped_matches(left: Column, right: Column) -> Column:
     """Common elements of two arrays, each counted as often as both hold it.
 
@@ -68,22 +62,47 @@ def clipped_matches(left: Column, right: Column) -> Column:
     return F.aggregate(both, start, read, lambda s: s["found"])
 
 
-def bleu_counts(prediction: Column, reference: Column) -> Column:
-    """(pred_len, ref_len, m1..m4): lengths and clipped n-gram matches."""
-    p, r = bleu_tokens(prediction), bleu_tokens(reference)
+def ngram_matches(tokens: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+    """Clipped n-gram matches, a line for each order, of pairs: the numbers of all tokens of either side,
+    and how many of them each pair has. N-grams are numbered from the ones a word shorter."""
+    code = np.concatenate(tokens).astype(np.int64)
+    n_pairs, n_words = len(sizes[0]), int(code.max(initial=0)) + 1
+    pair = np.concatenate([np.repeat(np.arange(n_pairs), n) for n in sizes])
+    right = np.repeat([False, True], [len(t) for t in tokens])
+    ends = np.cumsum(np.concatenate(sizes))
+    left = np.repeat(ends, np.concatenate(sizes)) - np.arange(len(code))
+    out = np.zeros((MAX_ORDER, n_pairs), np.int32)
+    at, gram = np.arange(len(code)), pair
+    for order in range(1, MAX_ORDER + 1):
+        on = left[at] >= order
+        at = at[on]
+        known, gram = np.unique(gram[on] * n_words + code[at + order - 1], return_inverse=True)
+        counts = [np.bincount(gram[side], minlength=len(known)) for side in (~right[at], right[at])]
+        of_pair = np.empty(len(known), np.int64)
+        of_pair[gram] = pair[at]
+        out[order - 1] = np.bincount(of_pair, np.minimum(*counts), minlength=n_pairs)
+    return out
 
-    def matches(p: Column, r: Column, n: int) -> Column:
-        enough = (F.size(p) >= n) & (F.size(r) >= n)
-        return F.when(enough, clipped_matches(ngrams(p, n), ngrams(r, n))).otherwise(0)
 
-    return bind(
-        F.struct(p.alias("p"), r.alias("r")),
-        lambda t: F.struct(
-            F.size(t["p"]).alias("pred_len"),
-            F.size(t["r"]).alias("ref_len"),
-            *[matches(t["p"], t["r"], n).alias(f"m{n}") for n in range(1, MAX_ORDER + 1)],
-        ),
+_COUNTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("pred_len", "ref_len", *(f"m{n}" for n in range(1, MAX_ORDER + 1)))])
+
+
+@F.arrow_udf(_COUNTS)
+def _matched_tokens(prediction: pa.Array, reference: pa.Array) -> pa.Array:
+    lengths = [side.value_lengths() for side in (prediction, reference)]
+    flat = [side.flatten() for side in (prediction, reference)]
+    codes = pa.concat_arrays(flat).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    matches = ngram_matches(
+        [codes[: len(flat[0])], codes[len(flat[0]) :]], [n.fill_null(0).to_numpy(zero_copy_only=False) for n in lengths]
     )
+    columns = [n.cast(pa.int32()) for n in lengths] + [pa.array(m) for m in matches]
+    return pa.StructArray.from_arrays(columns, names=_COUNTS.names)
+
+
+def bleu_counts(prediction: Column, reference: Column) -> Column:
+    """(pred_len, ref_len, m1..m4): lengths and clipped n-gram matches, counted for the rows of an Arrow
+    batch together."""
+    return _matched_tokens(bleu_tokens(prediction), bleu_tokens(reference))
 
 
 def bleu_score(counts: Column) -> Column:
@@ -354,12 +373,16 @@ def _best_shift(hyp: list, ref: list, costs: tuple, distance: _Distances, backwa
     return _moved(hyp, *best) if best else None
 
 
-def _moved(hyp: list, size: int, start: int, to: int) -> list:
-    """``size`` words from ``start`` put before word ``to``."""
+def _cut_and_put(hyp, size: int, start: int, to: int) -> list:
+    """The parts of ``hyp`` in order, with ``size`` words from ``start`` put before word ``to``."""
     block = hyp[start : start + size]
     if to < start:
-        return hyp[:to] + block + hyp[to:start] + hyp[start + size :]
-    return hyp[:start] + hyp[start + size : to] + block + hyp[to:]
+        return [hyp[:to], block, hyp[to:start], hyp[start + size :]]
+    return [hyp[:start], hyp[start + size : to], block, hyp[to:]]
+
+
+def _moved(hyp: list, size: int, start: int, to: int) -> list:
+    return sum(_cut_and_put(hyp, size, start, to), [])
 
 
 def translation_edits(
@@ -379,91 +402,137 @@ def translation_edits(
 
 
 # --- block moves of many pairs at once: one numpy operation for all pairs, or for all their moves
+#
+# Columns of distance tables are kept as in ``_Distances``, as machine words (word, hypothesis words
+# before, pair). Pairs that can't be bettered leave and others take their place, so that operations
+# stay wide; tables are never spelled out: walks and minima are read from the bits.
 
 
-def _word_steps(grows: np.ndarray, falls: np.ndarray, match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``_Distances.step`` for many columns, a row of machine words each."""
+_ONE, _TOP = np.uint64(1), np.uint64(63)
+
+
+def _word_steps(grows: np.ndarray, falls: np.ndarray, match: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_Distances.step`` for many columns (word, column), and where the row before grows and falls to the new one."""
     both = match & grows
     total = both + grows
-    carry = total < both
-    for w in range(1, total.shape[1]):
-        over = carry[:, w - 1]
-        total[:, w] += over
-        carry[:, w] |= over & (total[:, w] == 0)
-    keeps = (total ^ grows) | match | falls
-    up, down = falls | ~(keeps | grows), grows & keeps
-    top = np.uint64(63)
-    shifted = up << np.uint64(1), down << np.uint64(1)
-    for side, out in zip((up, down), shifted):
-        out[:, 1:] |= side[:, :-1] >> top
-    shifted[0][:, 0] |= np.uint64(1)
-    return shifted[1] | ~(keeps | shifted[0]), shifted[0] & keeps
-
-
-def _match_words(same: np.ndarray) -> np.ndarray:
-    """The last axis as bits of machine words."""
+    for w in range(1, len(total)):
+        total[w] += (both[w - 1] | grows[w - 1] & ~total[w - 1]) >> _TOP
+    total ^= grows
+    total |= match
+    total |= falls
+    up, down = ~(total | grows), grows & total
+    up |= falls
+    up_shifted, down_shifted = up << _ONE, down << _ONE
+    up_shifted[0] |= _ONE
+    if len(total) > 1:
+        up_shifted[1:] |= up[:-1] >> _TOP
+        down_shifted[1:] |= down[:-1] >> _TOP
+    falls = up_shifted & total
+    total |= up_shifted
+    np.invert(total, out=total)
+    total |= down_shifted
+    return total, falls, up, down
+
+
+def _words_of(same: np.ndarray, width: int) -> np.ndarray:
+    """The last axis, of at most ``width`` machine words, as bits of them."""
     packed = np.packbits(same, axis=-1, bitorder="little")
-    words = np.zeros((*same.shape[:-1], same.shape[-1] // 64 + 1), np.uint64)
+    words = np.zeros((*same.shape[:-1], width), "<u8")
     words.view(np.uint8)[..., : packed.shape[-1]] = packed
     return words
 
 
-def _columns_of(match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Columns of pairs (pair, words before, machine words), where they grow and fall."""
-    n, size, width = match.shape
-    grows, falls = np.empty((2, size + 1, n, width), np.uint64)
-    grows[0], falls[0] = ~np.uint64(0), 0
-    for i in range(size):
-        grows[i + 1], falls[i + 1] = _word_steps(grows[i], falls[i], match[:, i])
-    return grows.swapaxes(0, 1), falls.swapaxes(0, 1)
+def _width(ref) -> int:
+    return (len(ref) + 63) // 64
 
 
-def _distance_rows(grows: np.ndarray, falls: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-    """Distances to the first 0 to ``size`` reference words, from columns; ``first`` is the one to none."""
-    out = np.empty((*grows.shape[:-1], size + 1), np.int16)
-    out[..., 0] = first
-    bits = [np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=-1, count=size, bitorder="little").view(np.int8) for x in (grows, falls)]
-    out[..., 1:] = bits[0] - bits[1]
-    return np.cumsum(out, axis=-1, dtype=np.int16, out=out)
+class _Pair:
+    """A pair on its way. Words are numbers, the place in the reference of the first word equal to
+    it counted from 1, or 0; ``where`` has the places of each number, and ``back`` those counted from
+    the end, moved up so that the last place is the highest bit."""
 
+    def __init__(self, at: int, hyp: list, ref: list):
+        width = _width(ref)
+        ids = {word: i for i, word in enumerate(dict.fromkeys(ref), 1)}
+        self.at, self.shifts = at, 0
+        self.hyp = np.array([ids.get(w, 0) for w in hyp], np.int32)
+        self.ref = np.array([ids[w] for w in ref], np.int32)
+        same = np.zeros((len(ids) + 1, 64 * width), bool)
+        same[self.ref, np.arange(len(ref))] = True
+        self.where, self.back = _words_of(same, width), _words_of(same[:, ::-1], width)
+        #: Where the first column grows: at all places, of ``back`` at those that are places of the reference.
+        self.start = _words_of(np.arange(64 * width)[::-1] < len(ref), width)
 
-def _aligned_pairs(table: np.ndarray, same: np.ndarray, n_hyp: np.ndarray, n_ref: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _columns_of(start: np.ndarray, match: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Columns (word, words before, pair), where they grow and fall, and where the rows between them do."""
+    width, size, n = match.shape
+    grows, falls = np.empty((2, width, size + 1, n), np.uint64)
+    up, down = np.empty((2, width, size, n), np.uint64)
+    grows[:, 0], falls[:, 0] = start, 0
+    for i in range(size):
+        grows[:, i + 1], falls[:, i + 1], up[:, i], down[:, i] = _word_steps(grows[:, i], falls[:, i], match[:, i])
+    return grows, falls, up, down
+
+
+def _aligned_pairs(columns: tuple, match: np.ndarray, n_hyp: np.ndarray, n_ref: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``_aligned`` for many pairs, which all walk back together."""
-    n, width, height = same.shape
+    grows, falls, up, down = columns
+    width, size, n = match.shape
+    # A cell is at most one more than the one across from it: that much it is where the words differ.
+    across = (match | up & ~falls[:, :-1] | grows[:, :-1] & ~down).reshape(-1)
+    above, equal = up.reshape(-1), match.reshape(-1)
+    height = 64 * width
     # One place more takes what pairs that have nothing to write there write.
-    hyp_error, ref_error, at = np.zeros((n, width + 1), bool), np.zeros((n, height + 1), bool), np.full((n, height + 1), -1)
+    hyp_error, ref_error, at = np.zeros((n, size + 1), bool), np.zeros((n, height + 1), bool), np.full((n, height + 1), -1)
     p, i, j = np.arange(n), n_hyp.copy(), n_ref.copy()
-    here = table[p, i, j]
-    while (i + j).any():
-        up, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
-        wrong = ~same[p, up, left]
-        across, above = table[p, up, left], table[p, up, j]
-        diagonal = (i > 0) & (j > 0) & (here == across + wrong)
-        remove = ~diagonal & (i > 0) & (here == above + 1)
-        insert = ~diagonal & ~remove & (j > 0)
-        hyp_error[p, np.where(diagonal | remove, up, width)] = remove | wrong
-        ref_at = np.where(diagonal | insert, left, height)
+    while len(p):
+        inside = (i > 0) & (j > 0)
+        row, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        cell, bit = ((left >> 6) * size + row) * n + p, (left & 63).astype(np.uint64)
+        diagonal = inside & (across[cell] >> bit & _ONE).astype(bool)
+        # Above no word of the reference there is a word more to remove at each.
+        remove = ~diagonal & (i > 0) & ((j == 0) | (above[cell] >> bit & _ONE).astype(bool))
+        wrong = ~(equal[cell] >> bit & _ONE).astype(bool)
+        insert = ~(diagonal | remove)
+        hyp_error[p, np.where(insert, size, row)] = remove | wrong
+        ref_at = np.where(remove, height, left)
         ref_error[p, ref_at] = insert | wrong
         at[p, ref_at] = i - 1
-        here = np.where(diagonal, across, np.where(remove, above, here - insert))
-        i, j = i - (diagonal | remove), j - (diagonal | insert)
-    return hyp_error[:, :width], ref_error[:, :height], at[:, :height]
+        i, j = i - ~insert, j - ~remove
+        more = (i > 0) | (j > 0)
+        if not more.all():
+            p, i, j = p[more], i[more], j[more]
+    return hyp_error[:, :size], ref_error[:, :height], at[:, :height]
 
 
-def _moves_of_pairs(same: np.ndarray, errors: tuple, max_size: int, max_distance: int) -> np.ndarray:
+def _moves_of_pairs(hyp: np.ndarray, ref: np.ndarray, match: np.ndarray, errors: tuple, max_size: int, max_distance: int) -> np.ndarray:
     """``_possible_moves`` for many pairs: rows (pair, size, start, to), each once, the longest blocks of a
     pair first, then in order of start and place."""
-    n, width, height = same.shape
-    hyp_errors, ref_errors = (np.pad(np.cumsum(e, axis=1), ((0, 0), (1, 0))) for e in errors[:2])
+    width, size_of_hyp, n = match.shape
+    hyp_errors, ref_errors = (np.pad(np.cumsum(e, axis=1, dtype=np.int32), ((0, 0), (1, 0))) for e in errors[:2])
     at = errors[2]
-    near = np.abs(np.arange(width)[:, None] - np.arange(height)[None, :]) <= max_distance
-    p, start, j = np.unravel_index(np.flatnonzero(same & near), same.shape)
+    near = np.abs(np.arange(size_of_hyp)[:, None] - np.arange(64 * width)[None, :]) <= max_distance
+    bits = (match & _words_of(near, width).T[:, :, None]).reshape(-1)
+    cells = np.flatnonzero(bits)
+    bits = bits[cells]
+    parts = []
+    while len(cells):
+        lowest = bits & (~bits + _ONE)
+        parts.append((cells, np.bitwise_count(lowest - _ONE)))
+        bits ^= lowest
+        cells, bits = cells[bits != 0], bits[bits != 0]
     found = [np.empty((0, 4), np.int64)]
-    for size in range(1, max_size + 1):
-        goes_on = (start + size <= width) & (j + size <= height)
-        p, start, j = p[goes_on], start[goes_on], j[goes_on]
-        equal = same[p, start + size - 1, j + size - 1]
-        p, start, j = p[equal], start[equal], j[equal]
+    if parts:
+        cells, j = np.concatenate([c for c, _ in parts]), np.concatenate([b for _, b in parts]).astype(np.int64)
+        p, start = cells % n, cells // n % size_of_hyp
+        j += cells // (n * size_of_hyp) * 64
+    for size in range(1, max_size + 1 if parts else 1):
+        if size > 1:
+            goes_on = (start + size <= hyp.shape[1]) & (j + size <= ref.shape[1])
+            p, start, j = p[goes_on], start[goes_on], j[goes_on]
+            equal = hyp[p, start + size - 1] == ref[p, j + size - 1]
+            p, start, j = p[equal], start[equal], j[equal]
         if not len(p):
             break
         wrong = (hyp_errors[p, start + size] > hyp_errors[p, start]) & (ref_errors[p, j + size] > ref_errors[p, j])
@@ -474,107 +543,203 @@ def _moves_of_pairs(same: np.ndarray, errors: tuple, max_size: int, max_distance
             moves = (to < s) | (to > s + size)
             found.append(np.stack([q[moves], np.full(moves.sum(), size), s[moves], to[moves]], axis=1))
     every = np.concatenate(found)
-    keys = ((every[:, 0] * (max_size + 1) + max_size - every[:, 1]) * (width + 1) + every[:, 2]) * (width + 1) + every[:, 3]
+    keys = ((every[:, 0] * (max_size + 1) + max_size - every[:, 1]) * (size_of_hyp + 1) + every[:, 2]) * (size_of_hyp + 1) + every[:, 3]
     return every[np.unique(keys, return_index=True)[1]]
 
 
-def _edits_after_moves(moves: np.ndarray, match: np.ndarray, before: tuple, behind: tuple, n_hyp: np.ndarray, n_ref: np.ndarray) -> np.ndarray:
-    """``_edits_after`` for moves (pair, size, start, to) of many pairs."""
+def _quads() -> tuple[np.ndarray, np.ndarray]:
+    """For four places of two columns that meet, what they add to the sum of both and the least sum on
+    the way: by the bits where the one grows and falls, and the other, whose places run the other way."""
+    bits = np.arange(1 << 16)
+    one = [(bits >> k & 1) - (bits >> 4 + k & 1) - (bits >> 11 - k & 1) + (bits >> 15 - k & 1) for k in range(4)]
+    sums = np.cumsum(one, axis=0)
+    return sums[-1].astype(np.int8), sums.min(axis=0).astype(np.int8)
+
+
+_QUADS = _quads()
+
+
+def _least_sums(before: tuple, n_before: np.ndarray, behind: tuple, n_behind: np.ndarray) -> np.ndarray:
+    """The edits of hypotheses from columns after their beginnings and, backward, after their ends: the
+    least sum of both over all places where the reference may be cut."""
+    added, least = _QUADS
+
+    def bytes_of(words: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(words.T).view(np.uint8)
+
+    # Past the reference the first only grows and the other does nothing, so all places may count.
+    front = bytes_of(before[0]), bytes_of(before[1])
+    rear = bytes_of(behind[0])[:, ::-1], bytes_of(behind[1])[:, ::-1]
+    index = np.empty((len(n_before), 2 * front[0].shape[1]), np.uint16)
+    for half in (0, 1):
+        low, high = (lambda b: b & np.uint8(15)), (lambda b: b >> np.uint8(4))
+        of_front, of_rear = (low, high) if half == 0 else (high, low)
+        first = of_front(front[0]) | of_front(front[1]) << np.uint8(4)
+        second = of_rear(rear[0]) | of_rear(rear[1]) << np.uint8(4)
+        index[:, half::2] = first | second.astype(np.uint16) << np.uint16(8)
+    step = added[index]
+    sums = np.cumsum(step, axis=1, dtype=np.int16)
+    sums -= step
+    sums += least[index]
+    whole = np.bitwise_count(behind[0]).sum(axis=0, dtype=np.int64) - np.bitwise_count(behind[1]).sum(axis=0, dtype=np.int64)
+    return n_before + n_behind + whole + np.minimum(sums.min(axis=1), 0)
+
+
+def _taken(table: np.ndarray, rows: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Machine words (word, place) of rows of pairs."""
+    width, size, n = table.shape
+    return table.reshape(width, size * n).take(rows * n + p, axis=1)
+
+
+def _gain_bounds(moves: np.ndarray, now: np.ndarray, match: np.ndarray, before: tuple, behind: tuple, n_hyp: np.ndarray) -> np.ndarray:
+    """What a move can save at most. A block put in saves a word's edit for each of its words at most, beyond
+    what taking it out saves; taken out, beyond what putting it in saves."""
+    # Moves of a block stand together.
+    new = np.append(True, (moves[1:, :3] != moves[:-1, :3]).any(axis=1))
+    p, size, start = moves[new, :3].T
+    left = n_hyp[p] - start - size
+    out = _least_sums(tuple(_taken(b, start, p) for b in before), start, tuple(_taken(b, left, p) for b in behind), left)
+    bounds = (now[p] - out + size)[np.cumsum(new) - 1]
+    some = np.flatnonzero(bounds > 0)
+    p, size, start, to = moves[some].T
+    grows, falls = (_taken(b, to, p) for b in before)
+    for t in range(int(size.max(initial=0))):
+        on = np.flatnonzero(size > t)
+        grows[:, on], falls[:, on] = _word_steps(grows[:, on], falls[:, on], _taken(match, start[on] + t, p[on]))[:2]
+    left = n_hyp[p] - to
+    put = _least_sums((grows, falls), to + size, tuple(_taken(b, left, p) for b in behind), left)
+    bounds[some] = np.minimum(bounds[some], now[p] - put + size)
+    return bounds
+
+
+def _edits_after_moves(moves: np.ndarray, match: np.ndarray, before: tuple, behind: tuple, n_hyp: np.ndarray) -> np.ndarray:
+    """``_edits_after`` for moves (pair, size, start, to) of many pairs, the longest stretches first."""
     p, size, start, to = moves.T
     low, high = np.minimum(start, to), np.maximum(start + size, to)
     length = high - low
     # What stands first in the new order of the stretch, how much of it, and what follows.
     back = to < start
     head, n_head, tail = np.where(back, start, start + size), np.where(back, size, to - start - size), np.where(back, to, start)
-    grows, falls = before[0][p, low], before[1][p, low]
+    grows, falls = (_taken(b, low, p) for b in before)
     for t in range(int(length.max(initial=0))):
         n = int(np.searchsorted(-length, -t, "left"))
         at = np.where(t < n_head[:n], head[:n] + t, tail[:n] + t - n_head[:n])
-        grows[:n], falls[:n] = _word_steps(grows[:n], falls[:n], match[p[:n], at])
-    most = int(n_ref.max())
+        grows[:, :n], falls[:, :n] = _word_steps(grows[:, :n], falls[:, :n], _taken(match, at, p[:n]))[:2]
     left = n_hyp[p] - high
-    total = _distance_rows(grows, falls, high, most)
-    rest = _distance_rows(behind[0][p, left], behind[1][p, left], left, most)
-    j = n_ref[p][:, None] - np.arange(most + 1)
-    total += np.take_along_axis(rest, np.maximum(j, 0), axis=1)
-    return np.where(j >= 0, total, np.iinfo(np.int16).max).min(axis=1)
+    return _least_sums((grows, falls), high, tuple(_taken(b, left, p) for b in behind), left)
+
+
+def _best_moves(moves: np.ndarray, bounds: np.ndarray, n: int, gains_of) -> np.ndarray:
+    """Numbers of the moves, one a pair at most, that gain most, of equal gains the first. Those that may gain
+    most are measured first, and others only as long as their bound lets them be better."""
+    gain, best = np.zeros(n, np.int64), np.full(n, len(moves))
+    p = moves[:, 0]
+    open_ = np.flatnonzero(bounds > 0)
+    while len(open_):
+        most = np.zeros(n, np.int64)
+        np.maximum.at(most, p[open_], bounds[open_])
+        top = bounds[open_] == most[p[open_]]
+        some = open_[top]
+        gains = gains_of(some)
+        for_pair = np.lexsort((some, -gains, p[some]))
+        for_pair = for_pair[np.unique(p[some][for_pair], return_index=True)[1]]
+        q, g, o = p[some[for_pair]], gains[for_pair], some[for_pair]
+        better = (g > gain[q]) | (g == gain[q]) & (g > 0) & (o < best[q])
+        gain[q[better]], best[q[better]] = g[better], o[better]
+        open_ = open_[~top]
+        of = p[open_]
+        open_ = open_[(bounds[open_] > gain[of]) | (bounds[open_] == gain[of]) & (open_ < best[of])]
+    return best[best < len(moves)]
+
+
+def _stacked(tables: list[np.ndarray], width: int, behind: bool) -> np.ndarray:
+    """Rows of machine words (word, row) of all pairs, filled up with none before or behind the given ones."""
+    out = np.zeros((width, sum(len(t) for t in tables)), np.uint64)
+    at = 0
+    for table in tables:
+        n, own = table.shape
+        out[width - own if behind else 0 : width if behind else own, at : at + n] = table.T
+        at += n
+    return out
 
 
-def _edits_of_group(hyps: list[list], refs: list[list], max_size: int, max_distance: int) -> list[int]:
-    """``translation_edits`` of pairs that are moved on together, a block a pair and round."""
-    ids: dict = {}
-    n_hyp, n_ref = (np.array([len(x) for x in side]) for side in (hyps, refs))
+def _round(pairs: list[_Pair], max_size: int, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The edits of each pair, and the best move (pair, size, start, to) of those that have one."""
+    n_hyp, n_ref = (np.array([len(x) for x in side]) for side in ([p.hyp for p in pairs], [p.ref for p in pairs]))
+    n, size = len(pairs), int(n_hyp.max())
     # What stands behind the last word of either side is equal to nothing.
-    hyp, ref = (np.full((len(hyps), n.max()), sign, np.int32) for n, sign in ((n_hyp, -1), (n_ref, -2)))
-    back_ref = ref.copy()
-    for i, (h, r) in enumerate(zip(hyps, refs, strict=True)):
-        hyp[i, : len(h)] = [ids.setdefault(w, len(ids)) for w in h]
-        ref[i, : len(r)] = [ids.setdefault(w, len(ids)) for w in r]
-        back_ref[i, : len(r)] = ref[i, : len(r)][::-1]
-    edits, shifts = np.zeros(len(hyps), np.int64), np.zeros(len(hyps), np.int64)
-    going = np.arange(len(hyps))
-    places = np.arange(hyp.shape[1])
-    while len(going):
-        of_hyp, of_ref, words = n_hyp[going], n_ref[going], hyp[going]
-        n = np.arange(len(going))
-        same = words[:, :, None] == ref[going][:, None, :]
-        turned = np.where(places < of_hyp[:, None], words[n[:, None], np.maximum(of_hyp[:, None] - 1 - places, 0)], np.int32(-1))
-        match = _match_words(same)
-        match_back = _match_words(turned[:, :, None] == back_ref[going][:, None, :])
-        both = _columns_of(np.concatenate([match, match_back]))
-        before, behind = [c[: len(going)] for c in both], [c[len(going) :] for c in both]
-        table = _distance_rows(*before, np.arange(hyp.shape[1] + 1), ref.shape[1])
-        edits[going] = now = table[n, of_hyp, of_ref]
-        moves = _moves_of_pairs(same, _aligned_pairs(table, same, of_hyp, of_ref), max_size, max_distance)
-        gains = np.empty(len(moves), np.int64)
-        length = np.maximum(moves[:, 2] + moves[:, 1], moves[:, 3]) - np.minimum(moves[:, 2], moves[:, 3])
-        longest_first = np.argsort(-length, kind="stable")
-        at_once = max(1, CELLS // (ref.shape[1] + 1))
-        for at in range(0, len(moves), at_once):
-            some = longest_first[at : at + at_once]
-            gains[some] = now[moves[some, 0]] - _edits_after_moves(moves[some], match, before, behind, of_hyp, of_ref)
-        # Of each pair the largest gain; of equal ones the first, as moves are in order.
-        best = np.lexsort((-gains, moves[:, 0]))
-        best = best[np.unique(moves[best, 0], return_index=True)[1]]
-        best = best[gains[best] > 0]
-        for q, size, start, to in moves[best].tolist():
-            i = going[q]
-            hyp[i, : n_hyp[i]] = _moved(hyp[i, : n_hyp[i]].tolist(), size, start, to)
-        going = going[moves[best, 0]]
-        shifts[going] += 1
-    return (edits + shifts).tolist()
+    hyp, ref = np.zeros((n, size), np.int32), np.full((n, int(n_ref.max())), -1, np.int32)
+    hyp[np.arange(size) < n_hyp[:, None]] = np.concatenate([p.hyp for p in pairs])
+    ref[np.arange(ref.shape[1]) < n_ref[:, None]] = np.concatenate([p.ref for p in pairs])
+    turned = np.zeros_like(hyp)
+    turned[np.arange(size) < n_hyp[:, None]] = np.concatenate([p.hyp[::-1] for p in pairs])
+    first = np.cumsum([0] + [len(p.where) for p in pairs[:-1]])[:, None]
+    width = max(p.where.shape[1] for p in pairs)
+    match, match_back = (
+        _stacked(tables, width, way).take((first + words).T, axis=1)
+        for tables, words, way in (([p.where for p in pairs], hyp, False), ([p.back for p in pairs], turned, True))
+    )
+    match = np.concatenate([match, match_back], axis=2)
+    start = np.concatenate([np.full((width, n), ~np.uint64(0)), _stacked([p.start[None, :] for p in pairs], width, True)], axis=1)
+    both = _columns_of(start, match)
+    match, *columns = (np.ascontiguousarray(x[:, :, :n]) for x in (match, *both))
+    before, behind = columns[:2], [np.ascontiguousarray(x[:, :, n:]) for x in both[:2]]
+    alone = np.arange(n)
+    nothing = np.zeros(n, np.int64)
+    edits = _least_sums(tuple(_taken(b, nothing, alone) for b in before), nothing, tuple(_taken(b, n_hyp, alone) for b in behind), n_hyp)
+    moves = _moves_of_pairs(hyp, ref, match, _aligned_pairs(columns, match, n_hyp, n_ref), max_size, max_distance)
+    at_once = max(1, CELLS // (256 * width))
+    parts = [slice(at, at + at_once) for at in range(0, len(moves), at_once)]
+    bounds = [_gain_bounds(moves[part], edits, match, before, behind, n_hyp) for part in parts]
+
+    def gains_of(some: np.ndarray) -> np.ndarray:
+        p, size, start, to = moves[some].T
+        longest_first = np.argsort(np.minimum(start, to) - np.maximum(start + size, to), kind="stable")
+        gains = np.empty(len(some), np.int64)
+        for at in range(0, len(some), at_once):
+            part = longest_first[at : at + at_once]
+            gains[part] = edits[p[part]] - _edits_after_moves(moves[some[part]], match, before, behind, n_hyp)
+        return gains
+
+    return edits, moves[_best_moves(moves, np.concatenate(bounds), n, gains_of)] if len(moves) else moves
 
 
 def translation_edits_of_pairs(
     hyps: list[list], refs: list[list], max_size: int = MAX_SHIFT_SIZE, max_distance: int = MAX_SHIFT_DISTANCE
 ) -> list[int]:
     """``translation_edits`` of many pairs. Pairs of similar length go together, as many as have
-    ``GROUP_CELLS`` cells in their tables; a pair with far more than most is worked out alone."""
+    ``GROUP_CELLS`` cells in their tables, and one that is done makes room for the next; a pair with far
+    more than most is worked out alone."""
     out = [0] * len(hyps)
-    group: list[int] = []
-    size = (0, 0)
-
-    def close() -> None:
-        found = _edits_of_group([hyps[i] for i in group], [refs[i] for i in group], max_size, max_distance)
-        for i, edits in zip(group, found, strict=True):
-            out[i] = edits
-        group.clear()
-
-    for i in sorted(range(len(hyps)), key=lambda i: (len(refs[i]), len(hyps[i]))):
-        n_hyp, n_ref = len(hyps[i]), len(refs[i])
-        if not n_hyp or not n_ref:
-            out[i] = n_hyp + n_ref
-        elif (n_hyp + 1) * (n_ref + 1) > GROUP_CELLS // 32:
-            out[i] = translation_edits(hyps[i], refs[i], max_size, max_distance)
+    waiting = []
+    for i, (hyp, ref) in enumerate(zip(hyps, refs, strict=True)):
+        if not len(hyp) or not len(ref):
+            out[i] = len(hyp) + len(ref)
+        elif (len(hyp) + 1) * (len(ref) + 1) > GROUP_CELLS // 64:
+            out[i] = translation_edits(list(hyp), list(ref), max_size, max_distance)
         else:
-            larger = max(size[0], n_hyp), max(size[1], n_ref)
-            if group and (len(group) + 1) * (larger[0] + 1) * (larger[1] + 1) > GROUP_CELLS:
-                close()
-                larger = n_hyp, n_ref
-            group.append(i)
+            waiting.append(i)
+    waiting.sort(key=lambda i: (_width(refs[i]), len(hyps[i])), reverse=True)
+    going: list[_Pair] = []
+    while waiting or going:
+        size = max((len(p.hyp) for p in going), default=0), max((p.where.shape[1] for p in going), default=0)
+        while waiting:
+            i = waiting[-1]
+            larger = max(size[0], len(hyps[i])), max(size[1], _width(refs[i]))
+            if going and (len(going) + 1) * (larger[0] + 1) * 64 * larger[1] > GROUP_CELLS:
+                break
+            going.append(_Pair(waiting.pop(), hyps[i], refs[i]))
             size = larger
-    if group:
-        close()
+        edits, moves = _round(going, max_size, max_distance)
+        for pair, n in zip(going, edits.tolist(), strict=True):
+            out[pair.at] = pair.shifts + n
+        following = []
+        for p, *move in moves.tolist():
+            pair = going[p]
+            pair.hyp = np.concatenate(_cut_and_put(pair.hyp, *move))
+            pair.shifts += 1
+            following.append(pair)
+        going = following
     return out
 
 

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,6 +79,48 @@ def test_long_pairs_moved_together(monkeypatch):
         assert metrics.translation_edits_of_pairs([a for a, _ in pairs], [b for _, b in pairs]) == alone
 
 
+def test_most_moves_are_ruled_out_before_they_are_measured(monkeypatch):
+    """Columns stepped for moves, of pairs of random words of one language: a bound leaves about half to
+    measure. Pairs are moved on together, so rounds are those of the pair with most, not of a group each."""
+    rng = random.Random(5)
+    words = [[rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(20, 150))] for _ in range(60)]
+    hyps, refs = words[:30], words[30:]
+    rounds, found, measured = [], [], []
+    one_round, possible, after = metrics._round, metrics._moves_of_pairs, metrics._edits_after_moves
+
+    def seen_moves(*args):
+        found.append(moves := possible(*args))
+        return moves
+
+    def seen_measured(moves, *args):
+        measured.append(len(moves))
+        return after(moves, *args)
+
+    monkeypatch.setattr(metrics, "_round", lambda *args: rounds.append(1) or one_round(*args))
+    monkeypatch.setattr(metrics, "_moves_of_pairs", seen_moves)
+    monkeypatch.setattr(metrics, "_edits_after_moves", seen_measured)
+    assert metrics.translation_edits_of_pairs(hyps, refs) == [metrics.translation_edits(h, r) for h, r in zip(hyps, refs)]
+    assert sum(measured) < 0.6 * sum(map(len, found))
+    alone = []
+    for h, r in zip(hyps, refs):
+        before = len(rounds)
+        metrics.translation_edits_of_pairs([h], [r])
+        alone.append(len(rounds) - before)
+    assert len(rounds) - sum(alone) == max(alone)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(WORDS, WORDS), min_size=1, max_size=8))
+def test_ngram_matches_of_many_pairs(pairs):
+    sides = [[p for p, _ in pairs], [r for _, r in pairs]]
+    numbers = [[ord(w) - 97 for words in side for w in words] for side in sides]
+    found = metrics.ngram_matches([*map(np.array, numbers)], [np.array([len(w) for w in side]) for side in sides])
+    for i, (p, r) in enumerate(pairs):
+        for n in range(1, 5):
+            grams = [Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) for w in (p, r)]
+            assert found[n - 1, i] == sum((grams[0] & grams[1]).values())
+
+
 def test_translation_edits_examples():
     # One block moved, counted once, as in the published description of the measure.
     hyp = "this week the saudis denied information published in the new york times".split()
