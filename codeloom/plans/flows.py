@@ -21,7 +21,7 @@ from codeloom.operators.search import TOP_K, top_k
 from codeloom.operators.windows import token_windows
 from codeloom.sources import collection
 from codeloom.streaming import ingest
-from codeloom.workspace import fresh_dir, materialize
+from codeloom.workspace import fresh_dir, materialize, remove
 
 BatchFunction = Callable[[pd.DataFrame], pd.Series]
 HIT_FIELDS = ["summary", "chunk_code", "chunk_file"]
@@ -92,8 +92,12 @@ def index_files(
     spark = files.sparkSession
     collection.create_collection(spark, name, path or fresh_dir(spark, name))
     chunks = chunk_files(files, mode)
+    cut = fresh_dir(spark, "chunks")
     if skip_known:
-        chunks = collection.new_records(chunks.withColumn("id", enrich.record_id(mode)), name).drop("id")
+        # Written once: ids are compared first, and files are not read and cut again for it.
+        keyed = chunks.withColumn("id", enrich.record_id(mode))
+        keyed.write.parquet(cut)
+        chunks = collection.new_records(spark.read.schema(keyed.schema).parquet(cut), name).drop("id")
     no_error = F.lit(None).cast("string")
     if mode == "naive":
         told = chunks.withColumns({"summary": F.col("text"), "summary_error": no_error})
@@ -110,6 +114,7 @@ def index_files(
         records.withColumns({"stored": barred.isNull(), "reason": F.coalesce(barred, collection.too_wide())}).drop("error"),
         "records",
     )
+    remove(spark, cut)
     collection.append(records.where("stored"), name, batch, staged=True)
     return records.where(F.col("reason").isNotNull()).select(
         "id", "repo", "chunk_file", "chunk_lines", "reason", "stored"

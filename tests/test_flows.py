@@ -156,6 +156,27 @@ def test_index_again_skips_what_is_known(spark, files):
     assert len(set(ids)) == len(ids) == before + 1
 
 
+@pytest.mark.parametrize("mode", ["naive", "structural"])
+def test_files_are_read_once_to_leave_out_what_is_known(spark, mode):
+    """Ids are compared with those of the collection without reading and cutting the files again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    name = f"c_{uuid.uuid4().hex}"
+    rows = [("o/shop", f"f{i}.py", "python", f"x = {i}\ny = {i}") for i in range(20)]
+    for upto in (10, 20):
+        schema = "repo string, path string, language string, text string"
+        files = spark.createDataFrame(rows[:upto], schema).mapInPandas(counted, schema)
+        before, parts = read.value, 1 if mode == "naive" else 2
+        flows.index_files(files, mode, name)
+        assert read.value - before <= upto * parts
+    assert collection.read(spark, name).count() == 20
+
+
 def test_unknown_mode(files):
     with pytest.raises(ValueError):
         flows.chunk_files(files, "other")
