@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,6 +23,9 @@ MAX_SHIFT_DISTANCE = 50
 CELLS = 1 << 21
 # Cells of the tables of pairs worked on together; an operation on few costs as much as on many.
 GROUP_CELLS = 1 << 25
+# Moves of a pair measured at first, then twice as many each time; steps back through pairs between looks at who is done.
+AT_FIRST = 2
+STEPS = 8
 
 
 def bleu_tokens(text: Column) -> Column:
@@ -411,23 +417,29 @@ def translation_edits(
 _ONE, _TOP = np.uint64(1), np.uint64(63)
 
 
-def _word_steps(grows: np.ndarray, falls: np.ndarray, match: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``_Distances.step`` for many columns (word, column), and where the row before grows and falls to the new one."""
+def _word_steps(grows: np.ndarray, falls: np.ndarray, match: np.ndarray, out: tuple = (None, None)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_Distances.step`` for many columns (word, column), and where the row before grows and falls to the new one.
+    The new columns are written to ``out``, if that is given, which is not what is read."""
     both = match & grows
-    total = both + grows
+    total = np.add(both, grows, out=out[0])
     for w in range(1, len(total)):
-        total[w] += (both[w - 1] | grows[w - 1] & ~total[w - 1]) >> _TOP
+        over = ~total[w - 1]
+        over &= grows[w - 1]
+        over |= both[w - 1]
+        over >>= _TOP
+        total[w] += over
     total ^= grows
     total |= match
     total |= falls
-    up, down = ~(total | grows), grows & total
+    up, down = total | grows, np.bitwise_and(grows, total, out=both)
+    np.invert(up, out=up)
     up |= falls
     up_shifted, down_shifted = up << _ONE, down << _ONE
     up_shifted[0] |= _ONE
     if len(total) > 1:
         up_shifted[1:] |= up[:-1] >> _TOP
         down_shifted[1:] |= down[:-1] >> _TOP
-    falls = up_shifted & total
+    falls = np.bitwise_and(up_shifted, total, out=out[1])
     total |= up_shifted
     np.invert(total, out=total)
     total |= down_shifted
@@ -442,8 +454,11 @@ def _words_of(same: np.ndarray, width: int) -> np.ndarray:
     return words
 
 
-def _width(ref) -> int:
-    return (len(ref) + 63) // 64
+class _Batch:
+    """The edits of a batch of pairs, and how many of them are still to come."""
+
+    def __init__(self, size: int):
+        self.edits, self.open = [0] * size, 0
 
 
 class _Pair:
@@ -451,10 +466,10 @@ class _Pair:
     it counted from 1, or 0; ``where`` has the places of each number, and ``back`` those counted from
     the end, moved up so that the last place is the highest bit."""
 
-    def __init__(self, at: int, hyp: list, ref: list):
-        width = _width(ref)
+    def __init__(self, batch: _Batch, at: int, hyp: list, ref: list):
+        width = self.width = (len(ref) + 63) // 64
         ids = {word: i for i, word in enumerate(dict.fromkeys(ref), 1)}
-        self.at, self.shifts = at, 0
+        self.batch, self.at, self.shifts = batch, at, 0
         self.hyp = np.array([ids.get(w, 0) for w in hyp], np.int32)
         self.ref = np.array([ids[w] for w in ref], np.int32)
         same = np.zeros((len(ids) + 1, 64 * width), bool)
@@ -464,14 +479,17 @@ class _Pair:
         self.start = _words_of(np.arange(64 * width)[::-1] < len(ref), width)
 
 
-def _columns_of(start: np.ndarray, match: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Columns (word, words before, pair), where they grow and fall, and where the rows between them do."""
-    width, size, n = match.shape
-    grows, falls = np.empty((2, width, size + 1, n), np.uint64)
+def _columns_of(start: np.ndarray, match: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Columns (word, words before, pair), where they grow and fall, and where the rows between those of the
+    first ``n`` pairs do."""
+    width, size, n_all = match.shape
+    grows, falls = np.empty((2, width, size + 1, n_all), np.uint64)
     up, down = np.empty((2, width, size, n), np.uint64)
     grows[:, 0], falls[:, 0] = start, 0
     for i in range(size):
-        grows[:, i + 1], falls[:, i + 1], up[:, i], down[:, i] = _word_steps(grows[:, i], falls[:, i], match[:, i])
+        new = grows[:, i + 1], falls[:, i + 1]
+        _, _, rises, sinks = _word_steps(grows[:, i], falls[:, i], match[:, i], new)
+        up[:, i], down[:, i] = rises[:, :n], sinks[:, :n]
     return grows, falls, up, down
 
 
@@ -479,31 +497,42 @@ def _aligned_pairs(columns: tuple, match: np.ndarray, n_hyp: np.ndarray, n_ref:
     """``_aligned`` for many pairs, which all walk back together."""
     grows, falls, up, down = columns
     width, size, n = match.shape
-    # A cell is at most one more than the one across from it: that much it is where the words differ.
-    across = (match | up & ~falls[:, :-1] | grows[:, :-1] & ~down).reshape(-1)
-    above, equal = up.reshape(-1), match.reshape(-1)
     height = 64 * width
-    # One place more takes what pairs that have nothing to write there write.
-    hyp_error, ref_error, at = np.zeros((n, size + 1), bool), np.zeros((n, height + 1), bool), np.full((n, height + 1), -1)
-    p, i, j = np.arange(n), n_hyp.copy(), n_ref.copy()
+    # Bits of a cell by the words before it: a step across, a word removed. Neither is a word inserted, as
+    # before the first word of the hypothesis; before that of the reference there is a word more to remove at each.
+    across, above = np.empty((2, width + 1, size + 1, n), np.uint64)
+    across[0] = across[:, 0] = above[:, 0] = 0
+    above[0, 1:], above[1:, 1:] = ~np.uint64(0), up
+    # A cell is at most one more than the one across from it: that much it is where the words differ.
+    steps = np.invert(falls[:, :-1], out=across[1:, 1:])
+    steps &= up
+    steps |= match
+    steps |= grows[:, :-1] & ~down
+    across, above, equal = (x.reshape(-1).view(np.int64) for x in (across, above, match))
+    p, i, j = np.arange(n), n_hyp.copy(), n_ref + 63
+    path = []
     while len(p):
-        inside = (i > 0) & (j > 0)
-        row, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
-        cell, bit = ((left >> 6) * size + row) * n + p, (left & 63).astype(np.uint64)
-        diagonal = inside & (across[cell] >> bit & _ONE).astype(bool)
-        # Above no word of the reference there is a word more to remove at each.
-        remove = ~diagonal & (i > 0) & ((j == 0) | (above[cell] >> bit & _ONE).astype(bool))
-        wrong = ~(equal[cell] >> bit & _ONE).astype(bool)
-        insert = ~(diagonal | remove)
-        hyp_error[p, np.where(insert, size, row)] = remove | wrong
-        ref_at = np.where(remove, height, left)
-        ref_error[p, ref_at] = insert | wrong
-        at[p, ref_at] = i - 1
-        i, j = i - ~insert, j - ~remove
-        more = (i > 0) | (j > 0)
-        if not more.all():
-            p, i, j = p[more], i[more], j[more]
-    return hyp_error[:, :size], ref_error[:, :height], at[:, :height]
+        for _ in range(STEPS):
+            bit, cell = j & 63, ((j >> 6) * (size + 1) + i) * n + p
+            diagonal, stays = across.take(cell) >> bit & 1, above.take(cell) >> bit & 1
+            path.append((p, i, j, 2 * diagonal + stays))
+            i = i - (diagonal | stays)
+            # Who has arrived goes on inserting nothing.
+            j = np.maximum(j - (diagonal | stays ^ 1), 63)
+        more = (i > 0) | (j > 63)
+        p, i, j = p[more], i[more], j[more]
+    p, i, j, kind = (np.concatenate(x) for x in zip(*path, strict=True))
+    i, j = i - 1, j - 64
+    diagonal, remove = np.flatnonzero(kind > 1), np.flatnonzero(kind == 1)
+    insert = np.flatnonzero((kind == 0) & (j >= 0))
+    hyp_error, ref_error, at = np.zeros((n, size), bool), np.zeros((n, height), bool), np.full((n, height), -1)
+    q, row, left = p[diagonal], i[diagonal], j[diagonal]
+    wrong = (equal.take(((left >> 6) * size + row) * n + q) >> (left & 63) & 1) == 0
+    hyp_error[q, row], ref_error[q, left], at[q, left] = wrong, wrong, row
+    hyp_error[p[remove], i[remove]] = True
+    q, left = p[insert], j[insert]
+    ref_error[q, left], at[q, left] = True, i[insert]
+    return hyp_error, ref_error, at
 
 
 def _moves_of_pairs(hyp: np.ndarray, ref: np.ndarray, match: np.ndarray, errors: tuple, max_size: int, max_distance: int) -> np.ndarray:
@@ -591,54 +620,79 @@ def _taken(table: np.ndarray, rows: np.ndarray, p: np.ndarray) -> np.ndarray:
     return table.reshape(width, size * n).take(rows * n + p, axis=1)
 
 
-def _gain_bounds(moves: np.ndarray, now: np.ndarray, match: np.ndarray, before: tuple, behind: tuple, n_hyp: np.ndarray) -> np.ndarray:
+def _gain_bounds(moves: np.ndarray, now: np.ndarray, match: np.ndarray, both: tuple, n_hyp: np.ndarray) -> np.ndarray:
     """What a move can save at most. A block put in saves a word's edit for each of its words at most, beyond
     what taking it out saves; taken out, beyond what putting it in saves."""
+    n = len(n_hyp)
     # Moves of a block stand together.
     new = np.append(True, (moves[1:, :3] != moves[:-1, :3]).any(axis=1))
     p, size, start = moves[new, :3].T
     left = n_hyp[p] - start - size
-    out = _least_sums(tuple(_taken(b, start, p) for b in before), start, tuple(_taken(b, left, p) for b in behind), left)
+    out = _least_sums(tuple(_taken(b, start, p) for b in both), start, tuple(_taken(b, left, n + p) for b in both), left)
     bounds = (now[p] - out + size)[np.cumsum(new) - 1]
-    some = np.flatnonzero(bounds > 0)
+    # Where one edit is all there is to save, the move itself is measured.
+    some = np.flatnonzero(bounds > 1)
     p, size, start, to = moves[some].T
-    grows, falls = (_taken(b, to, p) for b in before)
+    grows, falls = (_taken(b, to, p) for b in both)
     for t in range(int(size.max(initial=0))):
         on = np.flatnonzero(size > t)
         grows[:, on], falls[:, on] = _word_steps(grows[:, on], falls[:, on], _taken(match, start[on] + t, p[on]))[:2]
     left = n_hyp[p] - to
-    put = _least_sums((grows, falls), to + size, tuple(_taken(b, left, p) for b in behind), left)
+    put = _least_sums((grows, falls), to + size, tuple(_taken(b, left, n + p) for b in both), left)
     bounds[some] = np.minimum(bounds[some], now[p] - put + size)
     return bounds
 
 
-def _edits_after_moves(moves: np.ndarray, match: np.ndarray, before: tuple, behind: tuple, n_hyp: np.ndarray) -> np.ndarray:
-    """``_edits_after`` for moves (pair, size, start, to) of many pairs, the longest stretches first."""
-    p, size, start, to = moves.T
+def _edits_after_moves(moves: np.ndarray, match: np.ndarray, both: tuple, n_hyp: np.ndarray) -> np.ndarray:
+    """``_edits_after`` for moves (pair, size, start, to) of many pairs. The stretch between where a block was and
+    where it goes is measured from both of its ends at once, which meet in the middle."""
+    n, (p, size, start, to) = len(n_hyp), moves.T
     low, high = np.minimum(start, to), np.maximum(start + size, to)
     length = high - low
     # What stands first in the new order of the stretch, how much of it, and what follows.
     back = to < start
     head, n_head, tail = np.where(back, start, start + size), np.where(back, size, to - start - size), np.where(back, to, start)
-    grows, falls = (_taken(b, low, p) for b in before)
-    for t in range(int(length.max(initial=0))):
-        n = int(np.searchsorted(-length, -t, "left"))
-        at = np.where(t < n_head[:n], head[:n] + t, tail[:n] + t - n_head[:n])
-        grows[:, :n], falls[:, :n] = _word_steps(grows[:, :n], falls[:, :n], _taken(match, at, p[:n]))[:2]
-    left = n_hyp[p] - high
-    return _least_sums((grows, falls), high, tuple(_taken(b, left, p) for b in behind), left)
+    rear = length // 2
+    steps = np.concatenate([length - rear, rear])
+    order = np.argsort(-steps, kind="stable")  # longest first
+    steps = steps[order]
+    move, turned = order % len(moves), order >= len(moves)
+    pair = np.where(turned, n, 0) + p[move]
+    done = np.where(turned, n_hyp[p[move]] - high[move], low[move])
+    grows, falls = (_taken(b, done, pair) for b in both)
+    # The words of all steps, those of a step side by side.
+    n_on = np.searchsorted(-steps, -np.arange(int(steps.max(initial=0))), "left")
+    lane = np.concatenate([np.arange(k) for k in n_on]) if len(n_on) else np.empty(0, np.int64)
+    k = np.repeat(np.arange(len(n_on)), n_on)
+    move, turned, pair = move[lane], turned[lane], pair[lane]
+    k = np.where(turned, length[move] - 1 - k, k)
+    at = np.where(k < n_head[move], head[move] + k, tail[move] + k - n_head[move])
+    words = _taken(match, np.where(turned, n_hyp[p[move]] - 1 - at, at), pair)
+    begin = 0
+    for n_step in n_on.tolist():
+        grows[:, :n_step], falls[:, :n_step] = _word_steps(grows[:, :n_step], falls[:, :n_step], words[:, begin : begin + n_step])[:2]
+        begin += n_step
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    front, behind = (tuple(b[:, half] for b in (grows, falls)) for half in (place[: len(moves)], place[len(moves) :]))
+    return _least_sums(front, high - rear, behind, n_hyp[p] - high + rear)
 
 
 def _best_moves(moves: np.ndarray, bounds: np.ndarray, n: int, gains_of) -> np.ndarray:
     """Numbers of the moves, one a pair at most, that gain most, of equal gains the first. Those that may gain
-    most are measured first, and others only as long as their bound lets them be better."""
+    most are measured first, a few of each pair at a time, and others only as long as their bound lets them be
+    better: one that gains all it may ends the search among those behind it."""
     gain, best = np.zeros(n, np.int64), np.full(n, len(moves))
     p = moves[:, 0]
+    # In order of pairs, in these of bounds.
     open_ = np.flatnonzero(bounds > 0)
+    open_ = open_[np.lexsort((open_, -bounds[open_], p[open_]))]
+    at_once = AT_FIRST
     while len(open_):
-        most = np.zeros(n, np.int64)
-        np.maximum.at(most, p[open_], bounds[open_])
-        top = bounds[open_] == most[p[open_]]
+        new = np.append(True, p[open_[1:]] != p[open_[:-1]])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        top = (np.arange(len(open_)) < first + at_once) & (bounds[open_] == bounds[open_[first]])
+        at_once *= 2
         some = open_[top]
         gains = gains_of(some)
         for_pair = np.lexsort((some, -gains, p[some]))
@@ -679,68 +733,96 @@ def _round(pairs: list[_Pair], max_size: int, max_distance: int) -> tuple[np.nda
         _stacked(tables, width, way).take((first + words).T, axis=1)
         for tables, words, way in (([p.where for p in pairs], hyp, False), ([p.back for p in pairs], turned, True))
     )
+    # Pairs from their ends follow the pairs.
     match = np.concatenate([match, match_back], axis=2)
     start = np.concatenate([np.full((width, n), ~np.uint64(0)), _stacked([p.start[None, :] for p in pairs], width, True)], axis=1)
-    both = _columns_of(start, match)
-    match, *columns = (np.ascontiguousarray(x[:, :, :n]) for x in (match, *both))
-    before, behind = columns[:2], [np.ascontiguousarray(x[:, :, n:]) for x in both[:2]]
+    columns = _columns_of(start, match, n)
+    both = columns[:2]
     alone = np.arange(n)
     nothing = np.zeros(n, np.int64)
-    edits = _least_sums(tuple(_taken(b, nothing, alone) for b in before), nothing, tuple(_taken(b, n_hyp, alone) for b in behind), n_hyp)
-    moves = _moves_of_pairs(hyp, ref, match, _aligned_pairs(columns, match, n_hyp, n_ref), max_size, max_distance)
+    edits = _least_sums(tuple(_taken(b, nothing, alone) for b in both), nothing, tuple(_taken(b, n_hyp, n + alone) for b in both), n_hyp)
+    forward = np.ascontiguousarray(match[:, :, :n])
+    errors = _aligned_pairs(tuple(x[:, :, :n] for x in columns), forward, n_hyp, n_ref)
+    moves = _moves_of_pairs(hyp, ref, forward, errors, max_size, max_distance)
     at_once = max(1, CELLS // (256 * width))
     parts = [slice(at, at + at_once) for at in range(0, len(moves), at_once)]
-    bounds = [_gain_bounds(moves[part], edits, match, before, behind, n_hyp) for part in parts]
+    bounds = [_gain_bounds(moves[part], edits, match, both, n_hyp) for part in parts]
 
     def gains_of(some: np.ndarray) -> np.ndarray:
-        p, size, start, to = moves[some].T
-        longest_first = np.argsort(np.minimum(start, to) - np.maximum(start + size, to), kind="stable")
-        gains = np.empty(len(some), np.int64)
-        for at in range(0, len(some), at_once):
-            part = longest_first[at : at + at_once]
-            gains[part] = edits[p[part]] - _edits_after_moves(moves[some[part]], match, before, behind, n_hyp)
-        return gains
+        parts = [moves[some[at : at + at_once]] for at in range(0, len(some), at_once)]
+        return np.concatenate([edits[part[:, 0]] - _edits_after_moves(part, match, both, n_hyp) for part in parts])
 
     return edits, moves[_best_moves(moves, np.concatenate(bounds), n, gains_of)] if len(moves) else moves
 
 
+def _done(batches: deque[_Batch]) -> Iterator[list[int]]:
+    while batches and not batches[0].open:
+        yield batches.popleft().edits
+
+
+def translation_edits_of_batches(
+    batches: Iterable[tuple[list, list]], max_size: int = MAX_SHIFT_SIZE, max_distance: int = MAX_SHIFT_DISTANCE
+) -> Iterator[list[int]]:
+    """``translation_edits`` of the pairs of each batch, in order. Pairs of similar length go together, as many as
+    have ``GROUP_CELLS`` cells in their tables, and one that is done makes room for the next, of a batch behind
+    if need be; a pair with far more than most is worked out alone. Batches are read when no pair is left that
+    waits, so few are open."""
+    coming = iter(batches)
+    open_: deque[_Batch] = deque()
+    waiting: list[_Pair] = []
+    going: list[_Pair] = []
+    more = True
+    while more or going:
+        cells = 0
+        # Nothing waits here.
+        while more and cells < GROUP_CELLS:
+            if (batch := next(coming, None)) is None:
+                more = False
+                break
+            open_.append(_Batch(len(batch[0])))
+            for i, (hyp, ref) in enumerate(zip(*batch, strict=True)):
+                size = (len(hyp) + 1) * (len(ref) + 1)
+                if not len(hyp) or not len(ref):
+                    open_[-1].edits[i] = len(hyp) + len(ref)
+                elif size > GROUP_CELLS // 64:
+                    open_[-1].edits[i] = translation_edits(list(hyp), list(ref), max_size, max_distance)
+                else:
+                    waiting.append(_Pair(open_[-1], i, hyp, ref))
+                    open_[-1].open += 1
+                cells += size
+            yield from _done(open_)
+        waiting.sort(key=lambda p: (p.width, len(p.hyp)), reverse=True)
+        while waiting or (going and not more):
+            size = max((len(p.hyp) for p in going), default=0), max((p.width for p in going), default=0)
+            while waiting:
+                larger = max(size[0], len(waiting[-1].hyp)), max(size[1], waiting[-1].width)
+                if going and (len(going) + 1) * (larger[0] + 1) * 64 * larger[1] > GROUP_CELLS:
+                    break
+                going.append(waiting.pop())
+                size = larger
+            if more and not waiting:
+                break
+            edits, moves = _round(going, max_size, max_distance)
+            moved = np.zeros(len(going), bool)
+            moved[moves[:, 0]] = True
+            for pair, n in ((going[p], edits[p]) for p in np.flatnonzero(~moved)):
+                pair.batch.edits[pair.at] = pair.shifts + int(n)
+                pair.batch.open -= 1
+            following = []
+            for p, *move in moves.tolist():
+                pair = going[p]
+                pair.hyp = np.concatenate(_cut_and_put(pair.hyp, *move))
+                pair.shifts += 1
+                following.append(pair)
+            going = following
+        yield from _done(open_)
+
+
 def translation_edits_of_pairs(
     hyps: list[list], refs: list[list], max_size: int = MAX_SHIFT_SIZE, max_distance: int = MAX_SHIFT_DISTANCE
 ) -> list[int]:
-    """``translation_edits`` of many pairs. Pairs of similar length go together, as many as have
-    ``GROUP_CELLS`` cells in their tables, and one that is done makes room for the next; a pair with far
-    more than most is worked out alone."""
-    out = [0] * len(hyps)
-    waiting = []
-    for i, (hyp, ref) in enumerate(zip(hyps, refs, strict=True)):
-        if not len(hyp) or not len(ref):
-            out[i] = len(hyp) + len(ref)
-        elif (len(hyp) + 1) * (len(ref) + 1) > GROUP_CELLS // 64:
-            out[i] = translation_edits(list(hyp), list(ref), max_size, max_distance)
-        else:
-            waiting.append(i)
-    waiting.sort(key=lambda i: (_width(refs[i]), len(hyps[i])), reverse=True)
-    going: list[_Pair] = []
-    while waiting or going:
-        size = max((len(p.hyp) for p in going), default=0), max((p.where.shape[1] for p in going), default=0)
-        while waiting:
-            i = waiting[-1]
-            larger = max(size[0], len(hyps[i])), max(size[1], _width(refs[i]))
-            if going and (len(going) + 1) * (larger[0] + 1) * 64 * larger[1] > GROUP_CELLS:
-                break
-            going.append(_Pair(waiting.pop(), hyps[i], refs[i]))
-            size = larger
-        edits, moves = _round(going, max_size, max_distance)
-        for pair, n in zip(going, edits.tolist(), strict=True):
-            out[pair.at] = pair.shifts + n
-        following = []
-        for p, *move in moves.tolist():
-            pair = going[p]
-            pair.hyp = np.concatenate(_cut_and_put(pair.hyp, *move))
-            pair.shifts += 1
-            following.append(pair)
-        going = following
-    return out
+    """``translation_edits`` of many pairs."""
+    return next(translation_edits_of_batches([(hyps, refs)], max_size, max_distance))
 
 
 def rate(edits: float, ref_len: int) -> float:
@@ -759,10 +841,17 @@ def ter(
     measure; others give another measure."""
 
     @F.pandas_udf(T.DoubleType())
-    def shifted_edit_rates(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-        hyps, refs = ([list(words) for words in side] for side in (hyp, ref))
-        edits = translation_edits_of_pairs(hyps, refs, max_size, max_distance)
-        return pd.Series([rate(e, len(r)) for e, r in zip(edits, refs, strict=True)], dtype="float64")
+    def shifted_edit_rates(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        sizes: deque[list[int]] = deque()
+
+        def words() -> Iterator[tuple[list, list]]:
+            for pair in batches:
+                hyps, refs = ([list(words) for words in side] for side in pair)
+                sizes.append([len(r) for r in refs])
+                yield hyps, refs
+
+        for edits in translation_edits_of_batches(words(), max_size, max_distance):
+            yield pd.Series([rate(e, n) for e, n in zip(edits, sizes.popleft(), strict=True)], dtype="float64")
 
     return shifted_edit_rates(ter_words(prediction), ter_words(reference))
 

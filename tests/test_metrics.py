@@ -109,6 +109,56 @@ def test_most_moves_are_ruled_out_before_they_are_measured(monkeypatch):
     assert len(rounds) - sum(alone) == max(alone)
 
 
+def test_a_move_that_gains_all_it_may_ends_the_search(monkeypatch):
+    """Of pairs of random words most moves may gain one edit, and most do: the first that does is the best."""
+    rng = random.Random(6)
+    words = [[rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(60, 120))] for _ in range(12)]
+    hyps, refs = words[:6], words[6:]
+    found, measured = [], []
+    possible, after = metrics._moves_of_pairs, metrics._edits_after_moves
+
+    def seen_moves(*args):
+        found.append(moves := possible(*args))
+        return moves
+
+    def seen_measured(moves, *args):
+        measured.append(len(moves))
+        return after(moves, *args)
+
+    monkeypatch.setattr(metrics, "_moves_of_pairs", seen_moves)
+    monkeypatch.setattr(metrics, "_edits_after_moves", seen_measured)
+    assert metrics.translation_edits_of_pairs(hyps, refs) == [metrics.translation_edits(h, r) for h, r in zip(hyps, refs)]
+    assert sum(measured) < 0.25 * sum(map(len, found))
+
+
+def test_pairs_of_the_next_batch_take_the_room_of_those_done(monkeypatch):
+    """Results come batch by batch, empty ones too; batches are read ahead only as far as there is room."""
+    rng = random.Random(7)
+    pairs = [tuple([rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(20, 40))] for _ in range(2)) for _ in range(600)]
+    pairs[5:8] = [([], []), (["a"], []), ([], ["a", "b"])]
+    batches = [[], *(pairs[at : at + 30] for at in range(0, 600, 30))]
+    rounds, read, ahead = [], [], []
+    one_round = metrics._round
+    monkeypatch.setattr(metrics, "GROUP_CELLS", 1 << 17)
+    monkeypatch.setattr(metrics, "_round", lambda *args: rounds.append(1) or one_round(*args))
+
+    def coming():
+        for batch in batches:
+            read.append(1)
+            yield [a for a, _ in batch], [b for _, b in batch]
+
+    def results():
+        for i, edits in enumerate(metrics.translation_edits_of_batches(coming())):
+            ahead.append(len(read) - i)
+            yield edits
+
+    together = list(results())
+    n_together = len(rounds)
+    assert together == [metrics.translation_edits_of_pairs([a for a, _ in batch], [b for _, b in batch]) for batch in batches]
+    assert len(ahead) == len(read) == 21 and max(ahead) < 16
+    assert n_together < (len(rounds) - n_together) / 2
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(WORDS, WORDS), min_size=1, max_size=8))
 def test_ngram_matches_of_many_pairs(pairs):
