@@ -18,7 +18,7 @@ included; notes above it join it. This is no parser.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -146,19 +146,29 @@ class Block:
         left: list[dict] = []
         ends: list[dict] = []
         claims: list[tuple] = []
+        heads: list[dict] = []
+        own_ends: dict[int, int] = {}
         for _, _, key, header, end in self.events:
             if header:
+                if header[0] >= self.first:
+                    heads.append({"ln": header[0], "kind": header[1], "name": header[2], "first_ln": header[3], "level": len(left),
+                                  "parent": left[-1]["ln"] if left else None, "low": lows[-1]["key"] if lows else None})
                 left.append({"key": key, "ln": header[0], "kind": header[1], "name": header[2], "first_ln": header[3]})
                 if header[3] < self.first:  # the scopes around it are those that nothing has closed so far
                     claims.append((min([key, *(low["key"] for low in lows)]), *header))
                 continue
             while left and left[-1]["key"] >= key:
                 ends.append({"ln": left.pop()["ln"], "end_ln": end})
+                own_ends.setdefault(ends[-1]["ln"], end)
             if not lows or key < lows[-1]["key"]:
                 lows.append({"key": key, "end_ln": end})
         named = [dict(zip(("key", "ln", "kind", "name", "first_ln"), c, strict=True)) for c in claims]
+        for head in heads:
+            head["end_ln"] = own_ends.get(head["ln"])
         # A head may begin in an earlier block than its brace.
-        return {"lows": lows, "left": left, "claims": named, "ends": [e for e in ends if e["ln"] < self.first], "first": self.first}
+        earlier = [e for e in ends if e["ln"] < self.first]
+        return {"lows": lows, "left": left, "claims": named, "ends": earlier, "first": self.first,
+                "behind": self.first + len(self.lines), "heads": heads}
 
     def rows(self, n_lines: int, stack: list[dict], ends: list[dict], claims: list[dict]) -> list[dict]:
         """The lines with their scopes."""
@@ -259,12 +269,29 @@ def _map_blocks(blocks: DataFrame, keep: list[str], out: str, work) -> DataFrame
     return blocks.mapInArrow(run, schema)
 
 
+def _map_small(rows: DataFrame, keep: list[str], out: str, work) -> DataFrame:
+    """As ``_map_blocks``, for ``work`` that makes little of a row. Lines come as one ``text``."""
+    small_batches(rows.sparkSession)
+    schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("made", T.StructType.fromDDL(out))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            taken = {n: batch.column(n) for n in batch.schema.names}
+            if "lines" in taken:
+                taken["text"] = pc.binary_join(taken.pop("lines"), "\n")
+            made = [work(row) for row in pa.RecordBatch.from_pydict(taken).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(made, arrow.field("made").type)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 def _entered(blocks: DataFrame, id_col: str) -> DataFrame:
     """(id, block, state, depth, pending) where each block begins: the moves of the blocks of a
     file, a small row each, are folded in order."""
-    told = _map_blocks(
+    told = _map_small(
         blocks, [id_col, "block"], f"moves {MOVES}",
-        lambda r: {"moves": [dict(zip(("state", "depth", "cut", "rest"), m, strict=True)) for m in lexing.moves("\n".join(r["lines"]), r["language"])]},
+        lambda r: {"moves": [dict(zip(("state", "depth", "cut", "rest"), m, strict=True)) for m in lexing.moves(r["text"], r["language"])]},
     )
     listed = told.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("block", F.col("made.moves").alias("moves")))).alias("items"))
     entry = "struct<block:int,state:int,depth:int,pending:string>"
@@ -279,6 +306,30 @@ SUMMARY = (
     "lows array<struct<key:int,end_ln:bigint>>, left array<struct<key:int,ln:bigint,kind:string,name:string,first_ln:bigint>>, "
     "claims array<struct<key:int,ln:bigint,kind:string,name:string,first_ln:bigint>>, ends array<struct<ln:bigint,end_ln:bigint>>, first bigint"
 )
+#: Scopes whose header stands in a block, as far as the block knows: the scope of the block around it, how many there are, the lowest
+#: key closed before, and the end; and the line behind the block.
+HEADS = ", behind bigint, heads array<struct<ln:bigint,kind:string,name:string,first_ln:bigint,level:bigint,parent:bigint,low:int,end_ln:bigint>>"
+FOUND = "array<struct<scope:bigint,kind:string,name:string,first_ln:bigint,end_ln:bigint,parent:bigint,depth:bigint>>"
+
+
+def _found(summary: dict, n_lines: int, stack: list[dict], ends: list[dict], claims: list[dict]) -> list[dict]:
+    """The scopes whose header stands in a block, given what is around it, as ``Block.rows`` tells them."""
+    keys = [s["key"] for s in stack]
+    scopes: dict[int, dict] = {}
+    for head in summary["heads"]:
+        outer = len(stack) if head["low"] is None else bisect_left(keys, head["low"])
+        parent = head["parent"]
+        if parent is None:
+            parent = stack[outer - 1]["ln"] if outer else MODULE
+        scopes[head["ln"]] = {n: head[n] for n in ("kind", "name", "first_ln")} | {"parent": parent, "depth": outer + head["level"]}
+    for claim in claims:
+        scope = claim["scope"]
+        if summary["first"] <= scope["ln"] < summary["behind"]:  # its brace stands in a later block
+            told = {"kind": scope["kind"], "name": scope["name"], "parent": scope["parent"], "depth": scope["level"]}
+            scopes[scope["ln"]] = told | {"first_ln": claim["from"]}
+    end_of = {h["ln"]: h["end_ln"] for h in summary["heads"] if h["end_ln"] is not None}
+    end_of |= {e["ln"]: e["end_ln"] for e in ends}
+    return [{"scope": ln, "end_ln": end_of.get(ln, n_lines)} | scope for ln, scope in scopes.items()]
 
 
 def _around(summaries: DataFrame, id_col: str) -> DataFrame:
@@ -316,7 +367,13 @@ def _around(summaries: DataFrame, id_col: str) -> DataFrame:
 
 def _block(row: dict, size: int) -> Block:
     entry = [row.get("state") or 0, row.get("depth") or 0, row.get("pending") or ""]
-    return Block(row["lines"], row["block"] * size, row["language"], *entry)
+    return Block(row["text"].split("\n") if "text" in row else row["lines"], row["block"] * size, row["language"], *entry)
+
+
+def _placed(several: DataFrame, id_col: str) -> DataFrame:
+    """Blocks of files of several, with the state, depth and unfinished head they are entered with."""
+    entered = materialize(_entered(several.repartition(id_col, "block"), id_col), "block-entries")
+    return several.join(entered, [id_col, "block"])
 
 
 def line_scopes(
@@ -346,10 +403,8 @@ def line_scopes(
     several = blocks.where("n_blocks > 1")
     if several.isEmpty():
         return alone
-    spread = several.repartition(id_col, "block")
-    entered = materialize(_entered(spread, id_col), "block-entries")
-    placed = several.join(entered, [id_col, "block"])
-    summaries = _map_blocks(placed, [id_col, "block"], SUMMARY, lambda r: _block(r, block).summary())
+    placed = _placed(several, id_col)
+    summaries = _map_small(placed, [id_col, "block"], SUMMARY, lambda r: _block(r, block).summary())
     around = materialize(_around(summaries, id_col), "block-scopes")
     lines = materialize(told(placed.join(around, [id_col, "block"])), "scoped-lines")
     # Lines of an owner are numbered on from block to block: only their counts are summed up in order.
@@ -365,12 +420,28 @@ def code_scopes(
 ) -> DataFrame:
     """(id, scope, kind, name, first_ln, end_ln, parent, depth); ``scope`` is the
     header's line number and ``parent`` that of the enclosing scope, or -1.
+
+    These are the headers of ``line_scopes``. Blocks give what they know of the scopes whose header
+    they hold with their summaries, so lines are neither made rows nor read again for it.
     """
-    return (
-        line_scopes(files, id_col, text_col, language_col, block)
-        .where("is_header")
-        .select(id_col, F.col("ln").alias("scope"), "kind", "name", "first_ln", "end_ln", "parent", "depth")
+    blocks = materialize(_blocks(files, id_col, text_col, language_col, block), "blocks")
+    keep = [id_col, "block"]
+
+    def told(rows: DataFrame, work) -> DataFrame:
+        return _map_small(rows, [id_col], f"found {FOUND}", lambda r: {"found": work(r)}).select(id_col, F.inline("made.found"))
+
+    alone = told(blocks.where("n_blocks <= 1"), lambda r: _found(_block(r, block).summary(), r["n_lines"], [], [], []))
+    several = blocks.where("n_blocks > 1")
+    if several.isEmpty():
+        return alone
+    placed = _placed(several, id_col)
+    summaries = materialize(
+        _map_small(placed, [*keep, "n_lines"], SUMMARY + HEADS, lambda r: _block(r, block).summary()), "block-summaries"
     )
+    small = [F.col("made")[c].alias(c) for c in ("lows", "left", "claims", "ends", "first")]
+    around = materialize(_around(summaries.select(*keep, F.struct(*small).alias("made")), id_col), "block-scopes")
+    held = summaries.select(*keep, "n_lines", F.struct("made.first", "made.behind", "made.heads").alias("made")).join(around, keep)
+    return alone.unionByName(told(held, lambda r: _found(r["made"], r["n_lines"], r["stack"], r["ends"], r["claims"])))
 
 
 def scope_chunks(

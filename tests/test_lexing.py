@@ -108,3 +108,42 @@ def test_lines_in_brackets_end_nothing(spark):
     files = spark.createDataFrame([("a.py", text, "python")], "path string, text string, language string")
     rows = {r["name"]: r for r in scopes.code_scopes(files, language_col="language").collect()}
     assert (rows["f"]["end_ln"], rows["A"]["end_ln"], rows["h"]["scope"]) == (5, 7, 7)
+
+
+def test_a_block_moves_from_each_state_as_if_read_in_it():
+    rng = random.Random(11)
+    for _ in range(3000):
+        language = rng.choice(list(LINES))
+        text = "\n".join(rng.choice(LINES[language]) for _ in range(rng.randrange(8)))
+        told, states = lexing.moves(text, language), [lexing.CODE]
+        for state in states:  # those that a block can be entered in
+            code, after, _ = lexing.masked(text, state, language)
+            assert told[state] == (after, lexing.depth_change(code, language), *lexing.unfinished(code, language))
+            states += [after] * (after not in states)
+
+
+def test_a_block_is_read_once_for_all_states(monkeypatch):
+    """Unless a comment or string of one reading ends within one of another."""
+    read, starts = [], lexing._STARTS["java"]
+
+    class Counted:
+        def search(self, text, at):
+            read.append(at)
+            return starts.search(text, at)
+
+    monkeypatch.setitem(lexing._STARTS, "java", Counted())
+    lexing.moves("int x; /* a */ f('}');\n" * 100, "java")
+    assert len(read) <= 201
+
+
+def test_scopes_are_the_headers_of_lines(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        language = rng.choice(list(LINES))
+        rows.append((f"f{i}", "\n".join(rng.choice(LINES[language]) for _ in range(rng.randrange(40))), language))
+    files = spark.createDataFrame([*rows, (None, "class A {\n}", "java")], "path string, text string, language string")
+    for block in (1, 6, 100):
+        heads = scopes.line_scopes(files, language_col="language", block=block).where("is_header").withColumnRenamed("ln", "scope")
+        found = scopes.code_scopes(files, language_col="language", block=block)
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, heads.select(*found.columns).collect()), key=repr)
