@@ -43,6 +43,9 @@ def chunk_files(files: DataFrame, mode: str) -> DataFrame:
     by packed nodes, ``naive`` by token windows. Equal rows are one file.
     """
     keyed = with_file_id(files)
+    if mode == "structural":
+        # Nodes, texts and the files' columns each take them: told apart and written once, files are not read again for it.
+        keyed = materialize(keyed, "files")
     no_line = F.lit(None).cast("bigint")
     if mode == "naive":
         cut = token_windows(keyed, id_col="file_id", keep=FILE_COLUMNS)

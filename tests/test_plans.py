@@ -11,6 +11,7 @@ from codeloom.operators import enrich, firsts, packing, scopes
 from codeloom.operators.lines import line_table
 from codeloom.operators.nodes import prose_nodes
 from codeloom.operators.search import top_k
+from codeloom.plans import flows
 from codeloom.sources import collection
 
 
@@ -84,3 +85,24 @@ def test_lines_do_not_carry_their_text(spark):
         # What each generator passes on of its row.
         kept = re.findall(r"\[([^\[\]]*)\], false, \[", final_plan(made))
         assert kept and not any(re.search(r"\b(_?text|lines)#", x) for x in kept)
+
+
+def test_nodes_are_made_by_batches_of_texts(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    plan = final_plan(prose_nodes(docs, sentences_over=100))
+    # One generator gives the nodes on; lines and sentences are no rows of their own.
+    assert plan.count("MapInArrow") == 1 and len(re.findall(r"Generate \w+\(", plan)) == 1
+
+
+def test_sentences_are_cut_twice_at_most_for_a_summary(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    plan = final_plan(docs.select(enrich.telling_sentences(F.col("text")).alias("summary")))
+    assert plan.count("regexp_replace(") in (1, 2)
+
+
+def test_files_are_read_once_to_be_cut_structurally(spark, tmp_path):
+    rows = [("o/a", f"f{i % 4}.py", "python", "one. two\nthree") for i in range(8)]
+    spark.createDataFrame(rows, "repo string, path string, language string, text string").write.parquet(f"{tmp_path}/given")
+    chunks = flows.chunk_files(spark.read.parquet(f"{tmp_path}/given"), "structural")
+    assert f"{tmp_path}/given" not in final_plan(chunks)
+    assert sorted(r["path"] for r in chunks.collect()) == [f"f{i}.py" for i in range(4)]
