@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,11 @@ from codeloom.functions.text import sentences, words
 from codeloom.workspace import small_batches
 
 SUMMARY_WORDS = 150
+#: Texts whose words are counted together.
+ROWS_AT_ONCE = 1024
+#: What Spark's patterns take for blanks.
+_BLANK = r"[ \t\n\v\f\r]"
+_BLANKS = re.compile(f"{_BLANK}+")
 
 
 def batch_map(
@@ -72,21 +79,45 @@ def split_errors(enriched: DataFrame, error_col: str = "error") -> tuple[DataFra
     )
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _telling(words: pa.Array, lengths: pa.Array, limit: pa.Array) -> pa.Array:
-    """Which sentences to keep, best first: those whose words are most frequent in the text."""
-    out = []
-    for sentences_, sizes, most in zip(words.to_pylist(), lengths.to_pylist(), limit.to_pylist(), strict=True):
-        counts = Counter(w for s in sentences_ or () for w in s)
-        score = [sum(map(counts.__getitem__, s)) / len(s) if s else 0.0 for s in sentences_ or ()]
-        kept, total = [], 0
-        for i in sorted(range(len(score)), key=lambda i: (-score[i], i)):
-            total += sizes[i]
-            if total > most and kept:
-                break
-            kept.append(i)
-        out.append(kept)
-    return pa.array(out, pa.list_(pa.int32()))
+def _told(parts: pa.Array, words: pa.Array, most: np.ndarray) -> pa.Array:
+    """The summaries of some texts, given as sentences and the words of each."""
+    row = np.repeat(np.arange(len(parts)), np.asarray(parts.value_lengths()))
+    sentence = pc.utf8_trim(parts.flatten(), " ")
+    sizes = np.asarray(pc.count_substring_regex(sentence, f"{_BLANK}+")) + 1
+    of_sentence = words.flatten()
+    n_words = np.asarray(of_sentence.value_lengths())
+    # How often each word stands in its text, summed up by sentence.
+    coded = of_sentence.flatten().dictionary_encode()
+    holder = np.repeat(np.arange(len(sentence)), n_words)
+    cells = row[holder] * max(1, len(coded.dictionary)) + np.asarray(coded.indices, dtype=np.int64)
+    _, cell, counts = np.unique(cells, return_inverse=True, return_counts=True)
+    sums = np.bincount(holder, weights=counts[cell], minlength=len(sentence))
+    score = np.divide(sums, n_words, out=np.zeros(len(sentence)), where=n_words > 0)
+    # Best first in each text, as many as fit, and the best in any case.
+    best = np.lexsort((-score, row))
+    best = best[np.asarray(pc.binary_length(sentence))[best] > 0]
+    of = row[best]
+    is_first = np.diff(of, prepend=-1) > 0
+    upto = np.cumsum(sizes[best])
+    before = (upto - sizes[best])[is_first]
+    kept = np.sort(best[is_first | (upto - np.repeat(before, np.bincount(of)[of[is_first]]) <= most[of])])
+    shown = sentence.take(pa.array(kept))
+    # Only a sentence that is kept alone can be too long.
+    long = sizes[kept] > most[row[kept]]
+    if long.any():
+        cut = [" ".join(_BLANKS.split(shown[int(i)].as_py())[: most[row[kept[i]]]]) for i in np.flatnonzero(long)]
+        shown = pc.replace_with_mask(shown, pa.array(long), pa.array(cut, pa.string()))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(parts)))]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), shown), " ")
+
+
+@F.arrow_udf(T.StringType())
+def _telling(parts: pa.Array, words: pa.Array, limit: pa.Array) -> pa.Array:
+    """The sentences to keep, those whose words are most frequent in the text, joined in its order."""
+    most = np.asarray(limit)
+    cuts = range(0, max(1, len(parts)), ROWS_AT_ONCE)
+    some = [slice(at, at + ROWS_AT_ONCE) for at in cuts]
+    return pa.concat_arrays([_told(parts[rows], words[rows], most[rows]) for rows in some])
 
 
 def telling_sentences(text: Column, max_words: int = SUMMARY_WORDS) -> Column:
@@ -95,26 +126,11 @@ def telling_sentences(text: Column, max_words: int = SUMMARY_WORDS) -> Column:
 
     A sentence tells as much as its words are frequent in the text, on average; of equal
     ones the first goes first. Sentences are taken best first until the next one is too
-    long; if the best alone is, its first ``max_words`` words are the summary.
+    long; if the best alone is, its first ``max_words`` words are the summary. Sentences and
+    words are cut by Spark and handed over once; the summary comes back as it is.
     """
-    parts = F.filter(F.transform(sentences(F.coalesce(text, F.lit(""))), lambda s: F.trim(s)), lambda s: s != "")
-
-    def joined(found: Column) -> Column:
-        kept = _telling(
-            F.transform(found, lambda s: words(s)),
-            F.transform(found, lambda s: F.size(F.split(s, r"\s+"))),
-            F.lit(max_words),
-        )
-        return F.array_join(F.transform(F.array_sort(kept), lambda i: F.get(found, i)), " ")
-
-    # Only a sentence that is kept alone can be too long.
-    return cut_words(joined(parts), max_words)
-
-
-def cut_words(text: Column, max_words: int) -> Column:
-    """The text, or its first words if it has more."""
-    pieces = F.split(text, r"\s+")
-    return F.when(F.size(pieces) <= max_words, text).otherwise(F.array_join(F.slice(pieces, 1, max_words), " "))
+    parts = sentences(F.coalesce(text, F.lit("")))
+    return _telling(parts, F.transform(parts, lambda s: words(s)), F.lit(max_words))
 
 
 def summarize(

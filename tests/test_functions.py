@@ -1,3 +1,7 @@
+import random
+import re
+from collections import Counter
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +80,30 @@ def test_summary_reads_to_the_end(spark):
     assert summary.endswith("Key point here. Key point.")
 
 
+def test_summaries_against_a_plain_loop(spark):
+    rng = random.Random(9)
+    signs = ["a", "b", "Cc", "dé", " ", " ", ". ", "! ", "?", "\n", "\t", "\x0b", "_9", "😀"]
+    rows = [("".join(rng.choice(signs) for _ in range(rng.randrange(120))),) for _ in range(1500)]  # more than are counted together
+
+    def told(text, most):
+        found = [s.strip(" ") for s in re.sub(r"([.!?]) ", r"\1\n", text).split("\n")]
+        found = [(s, re.findall(r"\w+", s.lower()), re.split(r"\s+", s)) for s in found if s]
+        counts = Counter(w for _, words, _ in found for w in words)
+        best, total = [], 0
+        for i in sorted(range(len(found)), key=lambda i: (-sum(counts[w] for w in found[i][1]) / max(1, len(found[i][1])), i)):
+            total += len(found[i][2])
+            if total > most and best:
+                break
+            best.append(i)
+        if best and len(found[best[0]][2]) > most:  # kept alone
+            return " ".join(found[best[0]][2][:most])
+        return " ".join(found[i][0] for i in sorted(best))
+
+    for most in (0, 4, 30):
+        made = values(spark, rows, "t string", F.col("t"), enrich.telling_sentences(F.col("t"), most))
+        assert [s for _, s in made] == [told(t, most) for t, _ in made]
+
+
 def test_failing_batches_are_halved(spark):
     calls = spark.sparkContext.accumulator(0)
 
